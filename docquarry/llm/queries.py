@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, html_text, topk
+from . import bpe, chat, covertree, html_text, mixing, topk
 from .common import table
 
 #: A further conversation whose texts hold the template's own control strings.
@@ -36,11 +36,16 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by the square root of a source's size; blocks of 64 Ki code points."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", *mixing.ADDED)
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op7_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup)}
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
@@ -71,6 +76,9 @@ WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+    "op6_source_mixing": f"""
+WITH RECURSIVE {mixing.schedule_sql("documents")}
+SELECT doc_id, source, mix_block, mix_release, mix_deadline, mix_slot FROM mixed""",
     "op7_embedding_dedup": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
