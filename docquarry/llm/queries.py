@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, html_text, mixing, quality, topk
+from . import bpe, chat, covertree, html_text, mixing, quality, topk, toxicity
 from .common import table
 
 #: A further conversation whose texts hold the template's own control strings.
@@ -50,7 +50,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup, op10_toxicity)}
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
