@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, html_text, mixing, quality, suffixdup, topk, toxicity
+from . import bpe, chat, covertree, html_text, mixing, partenum, quality, suffixdup, topk, toxicity
 from .common import table
 
 #: A further conversation whose texts hold the template's own control strings.
@@ -54,11 +54,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup, op8_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_toxicity)}
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
