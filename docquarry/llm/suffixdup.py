@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import sliced, text_or_empty, written
 
 #: At most so many ranges are split by sampled leads; beyond, a range is split further by a hash of the lead.
 RANGES = 4096
 #: Bytes that choose a position; suffixes in a bucket; positions in a buffer; windows compared together.
-GRAM, BUCKET, BUFFER, WINDOWS = 64, 20_000, 1 << 20, 1 << 21
+GRAM, BUCKET, BUFFER, WINDOWS = 64, 4096, 1 << 19, 1 << 18
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -221,9 +221,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     texts = keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text"))
 
     def anchors(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = (batch.column(c).to_numpy() for c in ("t1", "t2"))
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
             for held in segments(raw, length):
                 text, _, _, at, place, g, data = choose(held, length)
                 # one row for each text and hash; a hash at two places of a text is repeated as it is
@@ -251,9 +251,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     holding = written(one.join(places, ["t1", "t2"]), "suffix-texts")
 
     def contexts(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = (batch.column(c).to_numpy() for c in ("t1", "t2"))
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
             alive = np.concatenate([np.array(p, np.int64) + (i << 40) for i, p in enumerate(batch.column("places").to_pylist())])
             for held in segments(raw, length):
                 text, first, last, at, place, _, data = choose(held, length)
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     found, keyed = repeated_spans(docs, text, length)
 
     def apply(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = t.encode()
