@@ -104,6 +104,12 @@ class Kernel:
         out[:, codes == 0] = 0
         return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12), codes
 
+    def similar(self, words: list[str], base: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Kernel of a few words with the landmarks whose features over `codes` are given."""
+        x, own = self.features(words)
+        _, i, j = np.intersect1d(own, codes, assume_unique=True, return_indices=True)
+        return x[:, i] @ base[:, j].T
+
     def margins(self, words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
         """The machine's margins, at least -1. `table`: weight of each code, that of 0 is 0."""
         out = np.full(len(words), -1.0)
@@ -285,18 +291,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             if c.isalnum():
                 seen[c] = seen.get(c, 0) + 1
     kernel = Kernel("".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 1])), decay)
-    x, codes = kernel.features(bad + good)
+    all_words = bad + good
     y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
     spread = lambda ws, n, at: at + np.array(sorted(range(len(ws)), key=lambda i: zlib.crc32(ws[i].encode()))[:n])
     marks = np.concatenate([spread(bad, landmarks // 2, 0), spread(good, landmarks - landmarks // 2, len(bad))])
-    values, vectors = np.linalg.eigh(x[marks] @ x[marks].T)
+    base, codes = kernel.features([all_words[i] for i in marks])
+    similar = np.concatenate([kernel.similar(all_words[i : i + 128], base, codes) for i in range(0, len(all_words), 128)])
+    values, vectors = np.linalg.eigh(base @ base.T)
     some = values > 1e-6 * values[-1]
     root = vectors[:, some] / np.sqrt(values[some])
     # a toxic word weighs as the documents that it explains
     weight = np.r_[np.array([n for _, n in bad_rows], float) / sum(n for _, n in bad_rows), np.full(len(good), 1.0 / len(good))]
-    machine = squared_hinge((x @ x[marks].T) @ root, y, weight)
+    machine = squared_hinge(similar @ root, y, weight)
     table = np.zeros(SYMBOLS**3)
-    table[codes] = x[marks].T @ (root @ machine[:-1])
+    table[codes] = base.T @ (root @ machine[:-1])
     table[0] = 0
     model = Model(kernel.alphabet, decay, table.astype(np.float32), float(machine[-1]), np.zeros(3))
 
