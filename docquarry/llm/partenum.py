@@ -5,15 +5,17 @@ next band's least size joins that band too, so any two sets that may link meet i
 one. A band cuts the feature domain into partitions of two cells by the
 features' hash, and the enumerated subsets of each partition are its single
 cells: a signature is the content of one non-empty cell. Two linked sets differ
-in at most k features, so among each set's first k + 1 signatures, in any order
-that all sets share, one is common. The shared order puts signatures that a
-bounded sample found frequent last, so a common passage is only used by sets
-that hold little else. Sets with k or fewer non-empty cells add the features of
-their Jaccard prefix, which covers pairs of two such sets.
-
-Sets that share a signature are chained, in salted groups for frequent
-signatures, and each chain's connected sets are compared once in blocks of
-bounded size with exact intersections. Blocks return a spanning forest of the
+in at most k features and so in at most k of either's signatures.
+
+First, signatures whose hash is low are counted: a set with more than k that no
+other set has links with nothing and goes. The sets that are left order all their
+signatures from rare to frequent, and two linked ones share one of their first
+k + 1 in this order, which any order of signatures would give; the rare ones keep
+common passages from bringing unlike sets together. Sets with k or fewer
+non-empty cells add the features of their Jaccard prefix, which covers pairs of
+two such sets. Sets that share a signature are chained, in salted groups where it
+is frequent, and the connected sets of the chains are compared once, in blocks of
+bounded size, with exact intersections. Blocks return a spanning forest of the
 links that hold, never pairs. Equal sets are one vertex.
 
 Defined results: null and empty texts and texts without words have the empty set
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, sliced, text_or_empty, written
@@ -36,10 +38,10 @@ from .components import components
 from .covertree import forest
 from .suffixdup import mixed
 
-#: Sets of the sample, and occurrences in it from which a signature counts as frequent.
-SAMPLE, FREQUENT = 16_384, 8
-#: Parts of a frequent signature's group; features in a block of sets; candidates that are broadcast.
-SALT, BLOCK, BROADCAST_KEYS = 32, 1_000_000, 200_000
+#: Share of the signatures that is counted first; sets below the size count all.
+SHARE, SMALL = 0.45, 64
+#: Sets in a part of a frequent signature's group; features in a block of sets; keys that are broadcast at most.
+GROUP, BLOCK, BROADCAST_KEYS = 5_000, 1_000_000, 200_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -81,7 +83,7 @@ def set_key(x: np.ndarray) -> int:
 
 def cells(x: np.ndarray, band: int) -> np.ndarray:
     """Signatures of the non-empty cells of a band's partitions."""
-    cell = x & np.uint64(2 * 4**band - 1)
+    cell = x & np.uint64(4 * 4**band - 1)
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     first = np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0]
@@ -95,21 +97,26 @@ def bands(n: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * n >= percent * 4 ** (own + 1) else [own]
 
 
-def signatures(x: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+def allowed(n: int, percent: int) -> int:
+    """Most features in which a set of n and one linked with it may differ."""
+    return n * (100 - percent) // percent
+
+
+def counted(x: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The signatures that are counted first, for each band of the set."""
+    found = [cells(x, b) for b in bands(len(x), percent)]
+    return found if len(x) < SMALL else [c[c < np.uint64(int(SHARE * 2.0**64))] for c in found]
+
+
+def signatures(x: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """All signatures by band, each with the number of those that must be used at least (in one shared order)."""
     n = len(x)
-    if not n:
-        return x
-    k, out, few = n * (100 - percent) // percent, [], False
-    for band in bands(n, percent):
-        found = np.sort(cells(x, band))
-        few |= len(found) <= k
-        if len(frequent):
-            last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-            found = np.concatenate([found[~last], found[last]])
-        out.append(found[: k + 1])
-    if few:
-        out.append(mixed(x[: n - -(-n * percent // 100) + 1] + _K[2]))
-    return np.concatenate(out)
+    k = allowed(n, percent)
+    out = [(c, k + 1) for c in (cells(x, b) for b in bands(n, percent))]
+    if any(len(c) <= k for c, _ in out):
+        prefix = mixed(x[: n - -(-n * percent // 100) + 1] + _K[2])
+        out.append((prefix, len(prefix)))
+    return out
 
 
 def links(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -165,42 +172,64 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
-    total = picked.count()
-    every = max(1, -(-total // SAMPLE))
 
-    def sampled(batches):
+    def light(batches):
         for batch in sliced(batches):
-            found = [np.concatenate([cells(x, b) for b in bands(len(x), percent)]) for t in batch.column(0).to_pylist() if len(x := features(t, width))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["sig"])
+            found = [features(t, width) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_t1"), batch.column("_t2"), pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())], names=["_key", "_t1", "_t2", "s", "n"])
 
-    # any set of frequent signatures gives whole results: it only orders them
-    sample = picked.where(F.pmod(F.col("_t2"), F.lit(every)) == 0).groupBy("_t1", "_t2").agg(F.first("_text").alias("_text")).select("_text")
-    heavy = sample.mapInArrow(sampled, "sig long").groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("sig").toArrow()
-    held = spark.sparkContext.broadcast(np.sort(heavy.column("sig").to_numpy().astype(np.int64).view(np.uint64)))
+    def count(batches):
+        for batch in sliced(batches):
+            s, up, sig = [], [], []
+            for t in batch.column(0).to_pylist():
+                x = features(t, width)
+                if len(x):
+                    for i, found in enumerate(counted(x, percent)):
+                        sig.append(found)
+                        s.append(np.full(len(found), set_key(x)))
+                        up.append(np.full(len(found), i, np.int32))
+            if sig:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(up))], names=["sig", "s", "up"])
+
+    made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(light, f"_key {key_type}, _t1 long, _t2 long, s long, n long"), "partenum-sets")
+    owned = picked.select("_text").mapInArrow(count, "sig long, s long, up int").groupBy("sig").agg(F.min("s").alias("s"), F.max("s").alias("other"), F.min("up").alias("up")).where("s = other")
+    alone = owned.groupBy("s").agg(F.sum(1 - F.col("up")).alias("own"), F.sum("up").alias("above"))
+    sets = made.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("_t1").alias("_t1"), F.count("*").alias("rows"))
+    k = F.floor(F.col("n") * (100 - percent) / percent)
+    # in the upper band too, if the size is near enough to its least
+    nearly = F.expr(f"100 * n >= {percent} * pow(4, floor(log(4, n) + 1e-9) + 1)")
+    hopeful = (F.coalesce("own", F.lit(0)) <= k) | (nearly & (F.coalesce("above", F.lit(0)) <= k))
+    hopes = written(sets.join(alone, "s", "left").where(hopeful).select("s", "_t1"), "partenum-hopes")
+    few = hopes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    mark = hopes.select("_t1").distinct()
+    texts = picked.select("_t1", "_text").join(F.broadcast(mark) if few else mark, "_t1", "left_semi").groupBy("_t1").agg(F.first("_text").alias("_text"))
 
-    def sets(batches):
+    def again(batches):
         for batch in sliced(batches):
             found = [features(t, width) for t in batch.column("_text").to_pylist()]
-            sigs = [signatures(x, percent, held.value).view(np.int64) for x in found]
-            ends = np.cumsum([0, *(len(s) for s in sigs)])
-            told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_t1"), batch.column("_t2"), pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), told], names=["_key", "_t1", "_t2", "s", "n", "sigs"]
-            )
+            ends = np.cumsum([0, *(len(x) for x in found)])
+            told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), told], names=["s", "x"])
 
-    made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(sets, f"_key {key_type}, _t1 long, _t2 long, s long, n long, sigs array<long>"), "partenum-sets")
-    flagged = made.where("n > 0").select(F.explode("sigs").alias("sig"), "s")
+    held = written(texts.mapInArrow(again, "s long, x array<long>"), "partenum-features")
 
-    def salted(batches):
-        for batch in batches:
-            sig, s = (batch.column(c).to_numpy().view(np.uint64) for c in ("sig", "s"))
-            hot = np.isin(sig, held.value) if len(held.value) else np.zeros(len(sig), bool)
-            salt = np.where(hot, mixed(s) % np.uint64(SALT), np.uint64(0)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt), pa.array(hot)], names=["sig", "s", "salt", "hot"])
-
-    dealt = flagged.mapInArrow(salted, "sig long, s long, salt long, hot boolean") if len(held.value) else flagged.withColumns({"salt": F.lit(0).cast("long"), "hot": F.lit(False)})
-    dealt = dealt.repartition(partitions(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "s")
+    def all_signatures(batches):
+        for batch in sliced(batches):
+            rows = []
+            for s, x in zip(batch.column("s").to_pylist(), batch.column("x"), strict=True):
+                rows += [(s, i, len(c), least, c) for i, (c, least) in enumerate(signatures(x.values.to_numpy().view(np.uint64), percent))]
+            if rows:
+                sizes = [len(r[4]) for r in rows]
+                columns = [np.repeat(np.array([r[i] for r in rows], np.int64), sizes) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[4] for r in rows]).view(np.int64)), *map(pa.array, columns)], names=["sig", "s", "band", "cells", "least"])
+
+    every = held.mapInArrow(all_signatures, "sig long, s long, band long, cells long, least long")
+    shared = every.join(every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
+    own = Window.partitionBy("s", "band")
+    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("df", "sig")), "of": F.count("*").over(own)})
+    # signatures of one set alone come first in the order and meet nothing
+    used = ranked.where("rank + cells - of <= least").withColumns({"salt": F.pmod(F.xxhash64("s"), F.ceil(F.col("df") / GROUP).cast("long")), "hot": F.col("df") > GROUP})
+    dealt = used.select("sig", "salt", "s", "hot").repartition(partitions(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "s")
 
     def chains(batches):
         """Each set with the one before it in its group; the least set of each part of a frequent signature's group."""
@@ -225,22 +254,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     heads = chained.where("sig is not null").select("sig", "u")
     joined_heads = heads.join(heads.groupBy("sig").agg(F.min("u").alias("v")), "sig").where("u <> v").select("u", "v")
     near = components(chained.where("sig is null").select("u", "v").unionByName(joined_heads)).withColumnsRenamed({"id": "s", "component": "chain"})
-    one = made.join(near, "s").groupBy("s", "chain").agg(F.min(F.struct("_t1", "_t2")).alias("t"), F.first("n").alias("n"))
-    one = written(one.select("s", "chain", "n", F.col("t._t1").alias("_t1"), F.col("t._t2").alias("_t2")), "partenum-near")
-    sized = one.groupBy("chain").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    one = one.join(sized, "chain").withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
-    few = one.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = picked.select("_t1", "_t2", "_text").join(F.broadcast(one.select("_t1", "_t2")) if few else one.select("_t1", "_t2"), ["_t1", "_t2"], "left_semi")
-    texts = texts.groupBy("_t1", "_t2").agg(F.first("_text").alias("_text")).join(one, ["_t1", "_t2"])
-
-    def again(batches):
-        for batch in sliced(batches):
-            found = [features(t, width).view(np.int64) for t in batch.column("_text").to_pylist()]
-            ends = np.cumsum([0, *(len(s) for s in found)])
-            told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chain", "blocks", "block", "s")), told], names=["chain", "blocks", "block", "s", "x"])
-
-    held_sets = texts.mapInArrow(again, "chain long, blocks int, block int, s long, x array<long>")
+    one = held.join(near, "s")
+    sized = one.groupBy("chain").agg(F.ceil(F.sum(F.size("x")) / BLOCK).cast("int").alias("blocks"))
+    held_sets = one.join(sized, "chain").withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = held_sets.withColumn("_o", other).select("chain", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "s", "x")
     met = met.repartition(partitions(spark), "chain", "a", "b").sortWithinPartitions("chain", "a", "b", "block", "s")
