@@ -1,9 +1,88 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from `documents` to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
+as Parquet to the shared folder and reads again for the next stage. All but the
+last return the columns of `documents`.
+
+toxicity    drops the documents that the classifier rejects
+near_copies keeps of each group of linked documents the one with the least
+            doc_id (rows without a doc_id last, then by place in the input);
+            documents without words are all kept
+repeats     removes byte strings of 400 that repeat, and what remains of a
+            character that a removal cut; rewrites text and n_chars, keeps rows
+mixture     orders all rows so that sources keep to their target weights
+tokens      encodes and decodes: doc_id and the digests of op2
+
+SQL can't express the stages' models, so there is no ORACLE_SQL.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.llm import bpe, mixing, partenum, suffixdup, toxicity
+from docquarry.llm.common import table, written
+from docquarry.llm.queries import vocabulary
+
+#: Up to so many keys of dropped rows are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return toxicity.score(rows, model, ("_row",), "_text").where("predicted = 0").select("_row.*")
+
+
+def _with_place(docs: DataFrame) -> DataFrame:
+    """Rows of files with a key that orders and tells them apart however the files are split."""
+    place = [F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.withColumn("_place", F.struct(*place))
+    except AnalysisException:  # it doesn't come from files
+        return written(docs, "pipeline-rows").withColumn("_place", F.struct(*place))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = _with_place(docs)
+    found = partenum.jaccard_components(placed, key="_place")
+    gone = written(found.where("_place <> component_id").select("_place"), "pipeline-copies")
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return placed.join(F.broadcast(gone) if few else gone, "_place", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(F.struct(*rest).alias("_row"), "text")
+    kept = suffixdup.remove_repeats(rows, key="_row", texts=True).select("_row.*", F.col("kept").alias("text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(docs, vocabulary(), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeats", drop_repeats),
+    ("mixture", mix_sources),
+    ("tokens", encode_tokens),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
