@@ -47,6 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches hold fewer rows than the default of 10,000: rows here are whole texts and vectors of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def sliced(batches, rows: int = 512):
     """The same rows in batches of a bounded number, so that a task holds few texts at a time."""
     for batch in batches:

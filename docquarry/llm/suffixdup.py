@@ -30,25 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_or_empty, written
+from .common import sliced, small_batches, text_or_empty, written
 
 #: At most so many ranges are split by sampled leads; beyond, a range is split further by a hash of the lead.
 RANGES = 4096
 #: Bytes that choose a position; suffixes in a bucket; positions in a buffer; windows compared together.
-GRAM, BUCKET, BUFFER, WINDOWS = 64, 4096, 1 << 19, 1 << 18
+GRAM, BUCKET, BUFFER, WINDOWS = 64, 2048, 1 << 18, 1 << 17
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if (base, size) not in _tables:
+    if base not in _tables or len(_tables[base][0]) < n:
+        size = 1 << max(16, n.bit_length())
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _tables[base, size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _tables[base, size]
+        _tables[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _tables[base]
 
 
 def rolling(data: np.ndarray, starts: np.ndarray | None, length: int, base: int) -> np.ndarray:
@@ -171,7 +171,6 @@ def compare(bucket: pa.Table, length: int, cut: np.ndarray) -> pa.RecordBatch:
 def _repeated(data, base, who, run, bordering, count, off, low, t1, t2, length):
     record = np.arange(len(who)).repeat(count)
     step = np.arange(len(record)) - (np.cumsum(count) - count).repeat(count)
-    own, where = np.unique(base[who], return_inverse=True)
     # only the bytes of these records
     sizes = count + length - 1
     joined = np.concatenate([data[b : b + s] for b, s in zip(base[who], sizes, strict=True)])
@@ -216,7 +215,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     """(t1, t2, text, spans) of the distinct texts that repeat a string within themselves or another text; the rows with t1, t2."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of less than {2 * GRAM} bytes are not supported")
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("_text", text_or_empty(text)).withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
     texts = keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text"))
 
