@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, text_or_empty, written
+from .common import partitions, sliced, small_batches, text_or_empty, written
 from .components import components
 from .covertree import forest
 from .suffixdup import mixed
@@ -170,6 +170,7 @@ def _streamed(batches, keys: tuple[str, ...]):
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id of every row; linked: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
+    small_batches(spark)
     key_type = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
 
