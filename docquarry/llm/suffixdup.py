@@ -280,7 +280,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, texts: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row (and `kept` bytes, if texts are asked for)."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    If texts are asked for, also `kept`: what is left as a string, without the bytes of characters that a removal cut.
+    """
     found, keyed = repeated_spans(docs, text, length)
 
     def apply(batches):
@@ -293,12 +296,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 for a, b in gone:
                     kept.append(raw[at:a])
                     at = b
-                kept = b"".join([*kept, raw[at:]])
-                out.append((sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                kept.append(raw[at:])
+                whole = "".join([k.decode("utf-8", "ignore") for k in kept]) if texts else None
+                out.append((sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), whole))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_t1", "_t2", "removed", "pieces", "sha", "_kept"])
 
-    told = found.mapInArrow(apply, "_t1 long, _t2 long, removed long, pieces long, sha string, _kept binary")
+    told = found.mapInArrow(apply, "_t1 long, _t2 long, removed long, pieces long, sha string, _kept string")
     copies = keyed.groupBy("_t1", "_t2").agg(F.count("*").alias("copies")).where("copies > 1")
     light = keyed.select(key, "_t1", "_t2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("whole"), *(["_text"] if texts else []))
     rows = light.join(copies, ["_t1", "_t2"], "left").join(told, ["_t1", "_t2"], "left")
@@ -309,5 +313,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         "kept_sha256": F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole")),
     }
     if texts:
-        columns["kept"] = F.when(gone, F.lit(b"")).otherwise(F.coalesce("_kept", F.col("_text").cast("binary")))
+        columns["kept"] = F.when(gone, F.lit("")).otherwise(F.coalesce("_kept", "_text"))
     return rows.withColumns(columns).select(key, "n_bytes", *columns)
