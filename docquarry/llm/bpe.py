@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import partitions, text_or_empty
+from .common import partitions, remembers, small_batches, text_or_empty
 
 #: Matches that end this close to a chunk's end may still change with what follows.
 GUARD = 8
 #: Pre-tokens that a task remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def boundaries(pattern: "regex.Pattern", text: str) -> list[int]:
@@ -180,6 +180,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def encoder(content: bytes, pattern: str) -> Encoder:
     """One encoder for a worker process, kept from task to task."""
+    remembers("bpe", _encoders.clear)
     key = (hashlib.sha256(content).hexdigest(), pattern)
     if key not in _encoders:
         _encoders[key] = Encoder(content, pattern)
@@ -189,6 +190,7 @@ def encoder(content: bytes, pattern: str) -> Encoder:
 def _per_text(docs: DataFrame, key: str, text: str, make, fields: str, long_chars: int, chunk: int, overlap: int, content, pattern: str) -> DataFrame:
     """make(encoder, pieces) -> values of `fields`, for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(content)
     rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
     key_type = rows.schema["_key"].dataType.simpleString()

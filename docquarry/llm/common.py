@@ -59,3 +59,13 @@ def sliced(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_remembered: dict[str, object] = {}
+
+
+def remembers(name: str, forget) -> None:
+    """Tell that an operator keeps something in this process, and let the others forget: workers live on from stage to stage."""
+    for other in [o for o in _remembered if o != name]:
+        _remembered.pop(other)()
+    _remembered[name] = forget

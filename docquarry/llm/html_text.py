@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: HTML's own element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,6 +249,7 @@ def extract(page: str) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per page: the kept columns, its main text and the text's number of code points."""
+    small_batches(pages.sparkSession)
     picked = pages.select(*(F.col(c) for c in keep), text_or_empty(html_col).alias("_html"))
 
     def run(batches):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, small_batches, text_or_empty, written
+from .common import partitions, remembers, sliced, small_batches, text_or_empty, written
 from .components import components
 from .covertree import forest
 from .suffixdup import mixed
@@ -50,7 +50,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = found
         return found
@@ -61,6 +61,7 @@ _words = _Words()
 
 def features(text: str, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's n-grams of words; A-Z are lowered, only ASCII white space parts words."""
+    remembers("partenum", _words.clear)
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)

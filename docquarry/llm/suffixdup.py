@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, small_batches, text_or_empty, written
+from .common import remembers, sliced, small_batches, text_or_empty, written
 
 #: At most so many ranges are split by sampled leads; beyond, a range is split further by a hash of the lead.
 RANGES = 4096
@@ -43,6 +43,7 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64."""
+    remembers("suffixdup", _tables.clear)
     if base not in _tables or len(_tables[base][0]) < n:
         size = 1 << max(16, n.bit_length())
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)

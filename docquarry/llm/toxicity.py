@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import remembers, small_batches, text_or_empty, written
 
 #: Greatest length that a subsequence may span, width of a word's window, its step.
 SPAN, WIDTH, STEP = 9, 32, 16
 #: Size of the alphabet with 0 for what lies outside.
 SYMBOLS = 64
 #: Words that a task remembers; characters of the texts it looks at together.
-REMEMBERED, TOGETHER = 600_000, 2_000_000
+REMEMBERED, TOGETHER = 400_000, 1_000_000
 
 _STEPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 
@@ -238,6 +238,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def _scorer(model: Model, mark: int) -> Scorer:
+    remembers("toxicity", _scorers.clear)
     if mark not in _scorers:
         _scorers.clear()
         _scorers[mark] = Scorer(model)
@@ -246,6 +247,7 @@ def _scorer(model: Model, mark: int) -> Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, landmarks: int = 256, decay: float = 0.6, words: int = 512) -> Model:
     """Learn from at most `sample` labelled documents (those of least key hash) and at most `words` toxic words."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     # bounded: `sample` ids
     chosen = written(chosen.orderBy(F.xxhash64(key), key).limit(sample), "toxic-sample")
@@ -322,6 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The kept columns, score and predicted."""
+    small_batches(docs.sparkSession)
     held, mark = docs.sparkSession.sparkContext.broadcast(model), zlib.crc32(model.table.tobytes() + model.logistic.tobytes())
     rows = docs.select(*keep, text_or_empty(text).alias("_score_text"))
 
