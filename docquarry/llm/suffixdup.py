@@ -238,6 +238,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     chosen = written(texts.where(F.octet_length("text") >= length).mapInArrow(anchors, "h long, t1 long, t2 long, at long, lead long, twice boolean"), "suffix-anchors")
     # a long text's buffers don't see each other: count its places as well
     live = chosen.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("twice").alias("t"), F.min("at").alias("c"), F.max("at").alias("d")).where("a <> b or t or c <> d").select("h")
+    # written, so that both sides of the join are dealt anew and large parts can be split
+    live = written(live, "suffix-repeated")
     kept = written(chosen.join(live, "h", "left_semi").select("t1", "t2", "at", "lead").distinct(), "suffix-live")
     n = kept.count()
     buckets = min(-(-n // BUCKET), RANGES) or 1
