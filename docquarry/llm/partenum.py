@@ -274,7 +274,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     found = components(written(met.mapInArrow(compare, "u long, v long"), "partenum-links")).withColumnsRenamed({"id": "s", "component": "root"})
     light = made.select("_key", "s", "n").where("n > 0").join(found, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    least = light.groupBy("root").agg(F.min("_key").alias("component_id"))
+    # written, so that both sides of the join are dealt anew and large parts can be split
+    least = written(light.groupBy("root").agg(F.min("_key").alias("component_id")), "partenum-least")
     linked = light.join(least, "root").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     empty = made.where("n = 0").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.col("_key").alias("component_id"))
     return linked.unionByName(empty)
