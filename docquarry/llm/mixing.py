@@ -103,7 +103,9 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, power:
     rows = rows.join(small(plan.drop("_mix_weight")), ["_mix_source", "_mix_place"])
     round_ = F.floor(F.col("_mix_block") / F.col("_mix_weight")).cast("long") * F.col("_mix_period")
     mixed = rows.withColumns({"mix_block": F.col("_mix_block") + 1, "mix_release": round_ + F.col("_mix_from"), "mix_deadline": round_ + F.col("_mix_by"), "mix_slot": round_ + F.col("_mix_at")})
-    return mixed.orderBy("mix_slot", "_mix_hash", F.xxhash64(text_or_empty(text))).select(*docs.columns, *ADDED)
+    # the tie-breaker is computed before the rows move, so texts move only if they are asked for
+    mixed = mixed.withColumn("_mix_tie", F.xxhash64(text_or_empty(text)))
+    return mixed.orderBy("mix_slot", "_mix_hash", "_mix_tie").select(*docs.columns, *ADDED)
 
 
 def schedule_sql(docs: str, power: float = 0.5, slots: int = 1000, block_chars: int = 65_536) -> str:
