@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Let Arrow batches hold fewer rows than the default of 10,000: rows here are whole texts and vectors of them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
@@ -56,16 +59,38 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def sliced(batches, rows: int = 512):
     """The same rows in batches of a bounded number, so that a task holds few texts at a time."""
+    lean()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    lean()
 
 
 _remembered: dict[str, object] = {}
+_libc: list[object] = []
+
+
+def lean() -> None:
+    """Let this worker give freed memory back to the system: large blocks at once, the rest now."""
+    if not _libc:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # blocks from 1 MB on are mapped one by one
+            libc.mallopt(-1, 1 << 22)  # at most 4 MB stay free at the top
+            libc.mallopt(-8, 2)  # two arenas
+        except (OSError, AttributeError):
+            libc = None
+        _libc.append(libc)
+        pa.set_memory_pool(pa.system_memory_pool())
+    if _libc[0] is not None:
+        _libc[0].malloc_trim(0)
 
 
 def remembers(name: str, forget) -> None:
     """Tell that an operator keeps something in this process, and let the others forget: workers live on from stage to stage."""
-    for other in [o for o in _remembered if o != name]:
+    if name in _remembered:
+        return
+    for other in list(_remembered):
         _remembered.pop(other)()
     _remembered[name] = forget
+    lean()

@@ -35,7 +35,7 @@ from .common import remembers, sliced, small_batches, text_or_empty, written
 #: At most so many ranges are split by sampled leads; beyond, a range is split further by a hash of the lead.
 RANGES = 4096
 #: Bytes that choose a position; suffixes in a bucket; positions in a buffer; windows compared together.
-GRAM, BUCKET, BUFFER, WINDOWS = 64, 2048, 1 << 18, 1 << 17
+GRAM, BUCKET, BUFFER, WINDOWS = 64, 2048, 1 << 17, 1 << 16
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
