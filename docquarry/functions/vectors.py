@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -34,15 +35,26 @@ def hashing_embedding(dimension: int = 256):
     if dimension < 32:
         raise ValueError("a dimension of at least 32 is needed")
 
-    def vector(words: list[str]) -> list[float]:
-        out, seen = np.zeros(dimension), {}
-        for feature in [*words, *map("␟".join, zip(words, words[1:]))]:
-            seen[feature] = seen.get(feature, 0) + 1
-        for feature, n in seen.items():
+    places: dict[str, tuple[int, float]] = {}
+
+    def place(feature: str) -> tuple[int, float]:
+        found = places.get(feature)
+        if found is None:
+            if len(places) > 300_000:
+                places.clear()
             d = blake2b(feature.encode(), digest_size=16).digest()
-            out[int.from_bytes(d[:8], "big") % dimension] += np.log1p(n) if d[8] & 1 else -np.log1p(n)
+            found = places[feature] = (int.from_bytes(d[:8], "big") % dimension, 1.0 if d[8] & 1 else -1.0)
+        return found
+
+    def vector(words: list[str]) -> np.ndarray:
+        seen = Counter(words)
+        seen.update(map("␟".join, zip(words, words[1:])))
+        out = np.zeros(dimension)
+        if seen:
+            at, sign = zip(*map(place, seen))
+            out = np.bincount(at, np.log1p(np.fromiter(seen.values(), float, len(seen))) * sign, dimension)
         norm = np.sqrt((out**2).sum())
-        return (out / norm if norm else out).tolist()
+        return out / norm if norm else out
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(words: pd.Series) -> pd.Series:

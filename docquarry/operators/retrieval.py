@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -47,14 +51,43 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query:
     return scored.groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", target: str = "vec_id", vector: str = "embedding", scope: list[str] | None = None) -> DataFrame:
-    """(query_id, target, dense) of each query's k nearest; `scope`: columns in which both sides must agree."""
-    on = [queries[c] == vectors[c] for c in scope or []]
-    condition = on[0] if on else F.lit(True)
-    for c in on[1:]:
-        condition = condition & c
-    pairs = queries.join(vectors, condition).select(queries[query_id], vectors[target], V.dense_score(queries[query_vector], vectors[vector]).alias("dense"))
-    return top_k(pairs, k, [F.desc("dense"), F.asc(target)], [query_id])
+def _blocks(rows: DataFrame, scope: list[str], size: int, name: str) -> DataFrame:
+    """Rows (_id, _v, scope) packed by hash into blocks of about `size` rows; a block's vectors lie end to end."""
+    counts = rows.groupBy(*scope, F.size("_v").alias("_dim")).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_of"))
+    keyed = rows.withColumn("_dim", F.size("_v")).join(counts, [*scope, "_dim"]).withColumn(f"{name}_n", F.pmod(F.xxhash64("_id"), f"{name}_of").cast("int"))
+    packed = keyed.groupBy(*scope, "_dim", f"{name}_n").agg(F.first(f"{name}_of").alias(f"{name}_of"), F.collect_list(F.struct("_id", "_v")).alias("_r"))
+    return packed.select(*scope, "_dim", f"{name}_n", f"{name}_of", F.col("_r._id").alias(f"{name}_ids"), F.flatten("_r._v").alias(f"{name}_v"))
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", target: str = "vec_id", vector: str = "embedding", scope: list[str] | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, target, dense) of each query's k nearest; `scope`: columns in which both sides must agree.
+
+    Blocks of queries meet blocks of vectors as matrices; a pair of blocks returns
+    k rows a query, so neither the pairs nor an unbounded group are ever made.
+    Vectors that are null, zero or of another length than the query's aren't compared.
+    """
+    scope = scope or []
+    good = lambda c: F.coalesce(F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    pick = lambda df, i, v: df.where(good(v)).select(*scope, F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("_v"))
+    q, v = _blocks(pick(queries, query_id, query_vector), scope, 1024, "q"), _blocks(pick(vectors, target, vector), scope, block, "v")
+    parts = q.groupBy(*scope, "_dim").agg(F.first("q_of").alias("_of"))
+    met = v.join(parts, [*scope, "_dim"]).withColumn("q_n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).join(q.drop("q_of"), [*scope, "_dim", "q_n"])
+    q_type, v_type = (df.schema[c].dataType for df, c in ((queries, query_id), (vectors, target)))
+    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(target, v_type), T.StructField("dense", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def multiply(batches):
+        unit = lambda column, r, n: (lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True)))(column[r].values.to_numpy(zero_copy_only=False).reshape(n, -1))
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, vi = batch.column("q_ids")[r].values, batch.column("v_ids")[r].values
+                score = np.maximum(0.0, unit(batch.column("q_v"), r, len(qi)) @ unit(batch.column("v_v"), r, len(vi)).T)
+                # ties at the k-th score stay in, so the final order may break them by id
+                least = np.partition(score, len(vi) - k, axis=1)[:, len(vi) - k, None] if len(vi) > k else np.full((len(qi), 1), -1.0)
+                a, b = np.nonzero(score >= least - 1e-9)
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(a)), vi.take(pa.array(b)), pa.array(score[a, b])], schema=arrow)
+
+    return top_k(met.mapInArrow(multiply, schema), k, [F.desc("dense"), F.asc(target)], [query_id])
 
 
 def resolve_papers(queries: DataFrame, papers: DataFrame, k: int = 5, scope: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators import structure as S
 from ..operators import workflow as W
+from ..sources.staging import staged
 from ..sources.tables import canonical_json, manifest, put_blobs, table
 from ..streaming import events as E
 
@@ -84,6 +85,7 @@ def dense_top30(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vectors inside the scope of a label, for each label's first vector."""
     e = table(spark, d, "embeddings")
     q = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("query_vector"))
+    # one query a label: a scan with a bounded sort needs no blocks of queries
     pairs = q.join(e, "label").select("query_id", "vec_id", F.round(V.dense_score("query_vector", "embedding"), 6).alias("dense"))
     return R.top_k(pairs, 30, [F.desc("dense"), F.asc("vec_id")], ["query_id"])
 
@@ -112,8 +114,9 @@ def search_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Dense and sparse lists over hashed vectors, fused, reranked and made diverse, with explicit no_evidence."""
     embed = V.hashing_embedding()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
-    queries = _asked(spark, d).withColumn("query_vector", embed("query"))
-    return R.search(queries, docs, docs.select("chunk_id", embed("text").alias("embedding")))
+    queries = staged(_asked(spark, d).withColumn("query_vector", embed("query")), "query-vectors")
+    # vectors are an index: made once, written, then searched
+    return R.search(queries, docs, staged(docs.select("chunk_id", embed("text").alias("embedding")), "vectors"))
 
 
 @query(

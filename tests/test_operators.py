@@ -156,3 +156,20 @@ def test_stream_equals_batch(spark, smallest, tmp_path):
     q.stop()
     rows = spark.table("hourly").select(F.col("start").cast("timestamp_ntz"), "event_type", "n", F.round("total", 6)).collect()
     assert {tuple(r) for r in rows} == batch
+
+
+def test_dense_equals_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    v = rnd.normal(size=(90, 6))
+    rows = [(i, [float(x) for x in v[i]], i % 2) for i in range(90)] + [(200, None, 0), (201, [0.0] * 6, 0), (202, [1.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = vectors.where("vec_id < 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = set()
+    for q in range(12):
+        near = sorted((-max(0.0, float(u[q] @ u[i])), i) for i in range(90) if i % 2 == q % 2)[:5]
+        want |= {(q, i, round(-s, 9)) for s, i in near}
+    got = {(r["query_id"], r["vec_id"], round(r["dense"], 9)) for r in R.dense(queries, vectors, 5, scope=["label"], block=16).collect()}
+    assert got == want
