@@ -145,3 +145,28 @@ def precedence(*candidates: tuple[Column, Column]) -> Column:
 
 def failure_tally(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
+
+
+def stratified_split(rows: DataFrame, key: str, stratum: str, quotas: dict[str, int], by: list[Column]) -> DataFrame:
+    """Rows with split: `quotas` names splits from the smallest to the largest; each takes its number of every stratum, evenly, and the smaller are part of the larger's order."""
+    out = rows.withColumn("split", F.lit(None).cast("string"))
+    for name, n in quotas.items():
+        free = out.where("split is null")
+        taken = evenly(free.drop("split"), [stratum], n, by).select(key)
+        out = out.join(taken.withColumn("_t", F.lit(True)), key, "left").withColumn("split", F.when(F.col("split").isNull() & F.col("_t"), name).otherwise(F.col("split"))).drop("_t")
+    return out
+
+
+def hard_negatives(excluded: DataFrame, reasons: list[str], by: list[Column], most: int = 20) -> DataFrame:
+    """The excluded rows that come nearest to belonging (a report of fixed length)."""
+    return excluded.where(F.col("reason").isin(*reasons)).orderBy(*by).limit(most)
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """One row for each file with what its name and first pages tell. `files`: file_name, text, file_hash, file_size, pages."""
+    title = X.venue_title("file_name")
+    both = F.concat_ws("\n", "file_name", title)
+    return files.select(
+        F.substring("file_hash", 1, 16).alias("paper_key"), "file_name", "file_hash", "file_size", "pages", title.alias("title"), X.record_title(title).alias("title_normalized"), infer_year("file_name", "text").alias("year"),
+        infer_venue("file_name", "text").alias("venue"), matches(F.concat_ws("\n", both, F.col("text")), METHODS).alias("methods"), F.lit("pending").alias("review_status"),
+    )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.staging import staged
@@ -116,3 +120,70 @@ def unwrap_fence(x: Column | str) -> Column:
 def summary(findings: Column | str) -> Column:
     c = F.col(findings) if isinstance(findings, str) else findings
     return F.substring(F.concat_ws(" ", F.slice(c, 1, 3)), 1, 500)
+
+
+def error_code(typed: Column, by_operation: dict[str, str], operation: Column, by_stage: dict[str, str], stage: Column, default: str = "internal_error") -> Column:
+    """The code an error carries, else its operation's, else its stage's."""
+    look = lambda table, key: F.element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), key)
+    return F.coalesce(typed, look(by_operation, operation), look(by_stage, stage), F.lit(default))
+
+
+def scope(requested: Column, assigned: Column) -> Column:
+    """struct(ids, outside): an empty request means all that is assigned; ids outside of it are reported."""
+    none = F.coalesce(F.size(requested), F.lit(0)) <= 0
+    return F.struct(F.when(none, assigned).otherwise(F.array_intersect(requested, assigned)).alias("ids"), F.when(none, F.array().cast("array<string>")).otherwise(F.array_except(requested.cast("array<string>"), assigned.cast("array<string>"))).alias("outside"))
+
+
+def interactions(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id", text: str = "text") -> DataFrame:
+    """(answer_id, papers): the papers that an answer cites. `sources`: label, paper_id."""
+    used = answers.select(answer_id, F.explode(X.citations(text)).alias("label"))
+    return used.join(sources, "label").groupBy(answer_id).agg(F.sort_array(F.collect_set("paper_id")).alias("papers"))
+
+
+def live_sessions(state: DataFrame, now: Column, seconds: int = 86_400, key: str = "session_id", at: str = "updated_at") -> DataFrame:
+    """The last state of each session that hasn't expired."""
+    last = state.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    return last.where(F.col(at) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)) > now)
+
+
+def recall(rows: DataFrame, words: Column, columns: list[str], order: list[Column], most: int) -> DataFrame:
+    """Newest rows of which some column contains the words, without regard to case."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(F.lower(F.col(c)), F.lower(words))
+    return rows.where(hit).orderBy(*order).limit(most)
+
+
+def schema_issues(value: object, schema: dict, path: str = "$") -> list[str]:
+    """What is wrong with a JSON value: type, enum, required, extra keys, recursively."""
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
+    wanted = schema.get("type")
+    if wanted and (not isinstance(value, kinds[wanted]) or wanted in ("integer", "number") and isinstance(value, bool)):
+        return [f"{path}: not of type {wanted}"]
+    out = [f"{path}: not one of the allowed values"] if "enum" in schema and value not in schema["enum"] else []
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        out += [f"{path}: lacks {k}" for k in schema.get("required", []) if k not in value]
+        if schema.get("additionalProperties") is False:
+            out += [f"{path}: has unknown {k}" for k in sorted(set(value) - set(known))]
+        for k in sorted(set(value) & set(known)):
+            out += schema_issues(value[k], known[k], f"{path}.{k}")
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            out += schema_issues(v, schema["items"], f"{path}[{i}]")
+    return out
+
+
+def validate_json(schema: dict):
+    """A pandas UDF from JSON text to the list of its issues."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def check(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return schema_issues(json.loads(t), schema)
+            except (TypeError, ValueError):
+                return ["$: not JSON"]
+
+        return texts.map(one)
+
+    return check

@@ -173,3 +173,34 @@ def test_dense_equals_brute_force(spark):
         want |= {(q, i, round(-s, 9)) for s, i in near}
     got = {(r["query_id"], r["vec_id"], round(r["dense"], 9)) for r in R.dense(queries, vectors, 5, scope=["label"], block=16).collect()}
     assert got == want
+
+
+def test_splits_and_negatives(spark):
+    from docquarry.operators import curation as C
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], ["x", "y", "z"][i % 3]) for i in range(60)], "id long, s string, reason string")
+    got = C.stratified_split(rows, "id", "s", {"smoke": 3, "regression": 10}, [F.asc("id")])
+    assert {(r["s"], r["split"]): r["count"] for r in got.groupBy("s", "split").count().collect()} == {("a", "smoke"): 3, ("b", "smoke"): 3, ("a", "regression"): 10, ("b", "regression"): 10, ("a", None): 17, ("b", None): 17}
+    assert [r["id"] for r in C.hard_negatives(rows, ["x"], [F.desc("id")], 2).collect()] == [57, 54]
+    files = spark.createDataFrame([("CVPR2024_Deep_Things.pdf", "a zero-shot method", "h" * 64, 3, 8)], "file_name string, text string, file_hash string, file_size long, pages int")
+    r = C.inventory(files).first()
+    assert (r["title"], r["methods"]) == ("Deep Things", ["zero_shot"])
+
+
+def test_state_and_validation(spark):
+    from datetime import datetime
+
+    s = spark.createDataFrame([("a", datetime(2024, 1, 1), "old"), ("a", datetime(2024, 1, 2), "new"), ("b", datetime(2023, 1, 1), "x")], "session_id string, updated_at timestamp, state string")
+    assert [r["state"] for r in W.live_sessions(s, F.lit("2024-01-02 12:00:00").cast("timestamp")).collect()] == ["new"]
+    assert [r["state"] for r in W.recall(s, F.lit("OL"), ["state"], [F.desc("updated_at")], 5).collect()] == ["old"]
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "array", "items": {"enum": [1, 2]}}}}
+    df = spark.createDataFrame([('{"a":[1,2]}',), ('{"a":[3],"b":1}',), ("{}",), ("nope",), (None,)], "t string")
+    got = [r[0] for r in df.select(W.validate_json(schema)("t")).collect()]
+    assert got == [[], ["$: has unknown b", "$.a[0]: not one of the allowed values"], ["$: lacks a"], ["$: not JSON"], ["$: not JSON"]]
+    code = W.error_code(F.lit(None).cast("string"), {"parse": "bad_file"}, F.lit("other"), {"ingest": "failed"}, F.lit("ingest"))
+    sc = W.scope(F.array(F.lit("x"), F.lit("q")), F.array(F.lit("x"), F.lit("y")))
+    r = spark.range(1).select(code, sc, W.unwrap_fence(F.lit("```json\n{}\n```")), W.route(F.lit(7), F.lit(False)), W.route(F.lit(2), F.lit(False))).first()
+    assert r[0] == "failed" and (r[1]["ids"], r[1]["outside"]) == (["x"], ["q"]) and (r[2], r[3], r[4]) == ("{}", 5, 0)
+    a = spark.createDataFrame([(1, "see [E1] [E2] [E9]")], "answer_id long, text string")
+    src = spark.createDataFrame([("E1", 7), ("E2", 5)], "label string, paper_id long")
+    assert W.interactions(a, src).first()["papers"] == [5, 7]
