@@ -47,6 +47,9 @@ DROPPED_WORDS = frozenset(
     "sidebar aside rail footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments discussion disqus respond replies share sharing social related recommended recommendations pagination pager toolbar widget skip".split()
 )
+#: Those of them that count at the start or end of a name whatever else it says; words that tell of a layout.
+STRONG_WORDS = frozenset("ad ads advert advertisement comment comments sidebar footer cookie nav navigation disqus sponsored promo notice".split())
+LAYOUT_WORDS = frozenset("has with no without layout col cols column columns grid".split())
 #: Words of class or id that keep an element in spite of the list above.
 KEPT_WORDS = frozenset("article main content body post entry story".split())
 KEPT_TAGS = frozenset("html body main article".split())
@@ -79,10 +82,18 @@ def _is_dropped(tag: str, raw: str) -> tuple[bool, float]:
         at.setdefault(name.lower(), a or b or c)
     if at.get("role", "").lower() in DROPPED_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")):
         return tag not in KEPT_TAGS, 0.0
-    words = {w.lower() for w in _WORD.findall(f"{at.get('class', '')} {at.get('id', '')}")}
-    kept = bool(words & KEPT_WORDS) or tag in KEPT_TAGS
-    strong = {"ad", "ads", "advert", "advertisement", "comment", "comments", "sidebar", "footer", "cookie", "nav", "navigation", "disqus", "sponsored", "promo"}
-    return tag not in KEPT_TAGS and bool(words & strong or words & DROPPED_WORDS and not kept), 25.0 if kept else 0.0
+    names = [[w.lower() for w in _WORD.findall(n)] for n in f"{at.get('class', '')} {at.get('id', '')}".split()]
+    kept = tag in KEPT_TAGS or any(w in KEPT_WORDS for n in names for w in n)
+    return tag not in KEPT_TAGS and any(_names_boilerplate(n, kept) for n in names if n), 25.0 if kept else 0.0
+
+
+def _names_boilerplate(words: list[str], kept: bool) -> bool:
+    """`ad-box`, `page-sidebar` and `post-comments` do; `has-sidebar` tells of a layout, and `content-menu-space` of content."""
+    if words[0] in DROPPED_WORDS and not (kept and words[0] not in STRONG_WORDS):
+        return True
+    if set(words) & LAYOUT_WORDS:
+        return False
+    return words[-1] in STRONG_WORDS or not kept and bool(set(words) & DROPPED_WORDS)
 
 
 def parse(page: str) -> Node:

@@ -118,6 +118,12 @@ def test_html(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("name,stays", [("ad-box", 0), ("post-comments", 0), ("cookie-notice", 0), ("adContainer", 0), ("sidebar", 0), ("has-sidebar", 1), ("content-with-sidebar", 1), ("entry-content", 1), ("post", 1), ("badge", 1)])
+def test_html_names(name, stays):
+    page = f"<body><div class='{name}'><p>Text that stays, and stays, and stays here for long.</p></div></body>"
+    assert bool(html_text.extract(page)) == bool(stays)
+
+
 def test_html_table(spark, smallest):
     import html
     import re
