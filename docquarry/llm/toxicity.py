@@ -18,7 +18,7 @@ document's score is a logistic function of its two greatest margins, fitted on
 the same documents.
 
 Defined results: a null or empty text has no instance and gets the least score;
-margins below -1 count as -1; words longer than `WIDTH` characters are scored in
+margins below -1 count as -1, as do words of less than three characters; words longer than `WIDTH` characters are scored in
 overlapping windows; all of a text is read; rows are scored each, so repeated
 rows and null keys each give a result (a null key is never held out); labels that are
 null or whose document is missing are ignored; without both kinds of labels every
