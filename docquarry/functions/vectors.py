@@ -75,10 +75,13 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(_c(a), _c(b))) / both)
 
 
-def hybrid_score(query: Column | str, text: Column | str, dense: Column | str, bm25: Column | str) -> Column:
+def hybrid_score(query: Column | str, text: Column | str, dense: Column | str, bm25: Column | str, query_tokens: Column | str | None = None, text_tokens: Column | str | None = None) -> Column:
+    """Weighted sum of the dense, sparse and lexical scores; tokens can be given if they are at hand."""
     q, t = _c(query), _c(text)
+    qt = X.search_tokens(q) if query_tokens is None else query_tokens
+    tt = X.search_tokens(t) if text_tokens is None else text_tokens
     phrase = F.when(F.contains(F.lower(t), F.trim(F.lower(q))), F.lit(1.0)).otherwise(F.lit(0.0))
-    lexical = F.least(F.lit(1.0), overlap(X.search_tokens(q), X.search_tokens(t)) * 0.85 + phrase * 0.15)
+    lexical = F.least(F.lit(1.0), overlap(qt, tt) * 0.85 + phrase * 0.15)
     d = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_c(dense), F.lit(0.0))))
     s = 1.0 - F.exp(-F.greatest(F.lit(0.0), F.coalesce(_c(bm25), F.lit(0.0))) / 3.0)
     return F.least(F.lit(1.0), d * 0.45 + s * 0.25 + lexical * 0.30)

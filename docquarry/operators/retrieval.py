@@ -112,8 +112,8 @@ def fuse(dense_rows: DataFrame, sparse_rows: DataFrame, keys: list[str]) -> Data
     return dense_rows.join(sparse_rows, keys, "full_outer")
 
 
-def rerank(candidates: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
-    return candidates.withColumn("relevance", V.hybrid_score(query, text, "dense", "bm25"))
+def rerank(candidates: DataFrame, query: str = "query", text: str = "text", query_tokens: str | None = None, text_tokens: str | None = None) -> DataFrame:
+    return candidates.withColumn("relevance", V.hybrid_score(query, text, "dense", "bm25", query_tokens, text_tokens))
 
 
 def select_diverse(candidates: DataFrame, limit: int, similarity: float = 0.85, query_id: str = "query_id", paper_id: str = "paper_id", chunk_id: str = "chunk_id") -> DataFrame:
@@ -121,7 +121,8 @@ def select_diverse(candidates: DataFrame, limit: int, similarity: float = 0.85,
 
     A query's candidates are a bounded list (the sizes of the dense and sparse lists).
     """
-    schema = candidates.schema
+    have = "_tokens" in candidates.columns
+    schema = candidates.drop("_tokens").schema
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_b=pdf["bm25"].fillna(0.0)).sort_values(["relevance", "_b", chunk_id], ascending=[False, False, True]).drop(columns="_b")
@@ -138,7 +139,8 @@ def select_diverse(candidates: DataFrame, limit: int, similarity: float = 0.85,
                 break
         return pdf.loc[taken].drop(columns="_tokens")
 
-    return candidates.withColumn("_tokens", X.search_tokens("text")).groupBy(query_id).applyInPandas(choose, schema)
+    tokens = F.col("_tokens") if have else X.search_tokens("text")
+    return candidates.withColumn("_tokens", F.array_distinct(tokens)).groupBy(query_id).applyInPandas(choose, schema)
 
 
 def neighbors(seeds: DataFrame, chunks: DataFrame, radius: int = 1, group: list[str] | None = None, order: str = "chunk_order", decay: float = 0.8) -> DataFrame:
@@ -166,9 +168,12 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int
     """
     near = dense(queries, vectors, k, target="chunk_id")
     words = top_k(bm25(queries, chunks, doc_id="chunk_id").where("bm25 > 0"), k, [F.desc("bm25"), F.asc("chunk_id")], ["query_id"])
-    both = fuse(near, words, ["query_id", "chunk_id"]).join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    ranked = rerank(both).where(F.col("relevance") >= least)
-    chosen = select_diverse(ranked, limit) if diverse else top_k(ranked, limit, [F.desc("relevance"), F.desc_nulls_last("bm25"), F.asc("chunk_id")], ["query_id"])
+    # each chunk and each query is tokenised once, before they meet
+    split = chunks.withColumn("_tokens", F.array_distinct(X.search_tokens("text")))
+    asked = queries.select("query_id", "query", F.array_distinct(X.search_tokens("query")).alias("_query_tokens"))
+    both = fuse(near, words, ["query_id", "chunk_id"]).join(split, "chunk_id").join(asked, "query_id")
+    ranked = rerank(both, query_tokens="_query_tokens", text_tokens="_tokens").where(F.col("relevance") >= least).drop("_query_tokens")
+    chosen = select_diverse(ranked.drop("text").withColumn("text", F.lit("")), limit) if diverse else top_k(ranked.drop("_tokens"), limit, [F.desc("relevance"), F.desc_nulls_last("bm25"), F.asc("chunk_id")], ["query_id"])
     found = chosen.select("query_id", "chunk_id", "paper_id", "dense", "bm25", "relevance", evidence_id().alias("evidence_id"))
     return (
         queries.select("query_id").join(found, "query_id", "left")
