@@ -92,14 +92,13 @@ def title_score(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.94, length: int = 18) -> DataFrame:
     """Pairs (a < b) of near-equal titles, both long enough.
 
-    A matching ratio r over lengths m and n needs min(m, n) >= r / (2 - r) * max(m, n) and, over
-    character counts, enough common characters; titles meet on rare character runs: two
-    strings with ratio r leave at most (1 - r) * (m + n) / 2 unmatched characters in each, so
-    of q + 1 equal pieces of one, one stands unchanged in the other.
+    A ratio r leaves at most (1 - r) * (m + n) characters unmatched in both, and m + n is at most
+    2 * m / r for the shorter length m. Each of them breaks one piece of the shorter title at
+    most, so of one piece more than that, one stands unchanged in the longer title: titles meet
+    on pieces, and the ratio itself decides.
     """
     rows = titles.select(F.col(key).alias("id"), F.col(title).alias("t")).where(F.length("t") >= length)
-    # unmatched characters of the shorter title are at most (1 - r) / r of its length
-    q = F.ceil(F.length("t") * (1 - least) / least).cast("int")
+    q = F.ceil(F.length("t") * (2 * (1 - least) / least)).cast("int")
     step = F.greatest(F.lit(1), F.floor(F.length("t") / (q + 1)).cast("int"))
     pieces = rows.select("id", "t", F.explode(F.transform(F.sequence(F.lit(0), q), lambda i: F.struct(F.substring("t", i * step + 1, step).alias("p"), step.alias("s")))).alias("_p")).select("id", "t", "_p.*")
     sizes = pieces.select("s").distinct()
