@@ -629,3 +629,69 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sid"""
 )
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.sessions(table(spark, d, "events")).select("user_id", "start", "n")
+
+
+# ---- filters, recency, best matches
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND lower(source) IN ('src0', 'src3') AND n_chars BETWEEN 500 AND 5000")
+def scoped_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Scope and range filters, which reach the scan."""
+    found = R.filtered(table(spark, d, "documents"), lang=["en", "de"])
+    return found.where(F.lower("source").isin("src0", "src3") & F.col("n_chars").between(500, 5000)).select("doc_id", "lang", "source")
+
+
+@query(
+    """
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE props ILIKE '%"k": 1%' OR event_type ILIKE '%err%')
+SELECT user_id, event_id FROM r WHERE r <= 5"""
+)
+def recent_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword filter over several columns without regard to case, newest five of each user."""
+    e = table(spark, d, "events")
+    hit = e.where(F.contains(F.lower("props"), F.lit('"k": 1')) | F.contains(F.lower("event_type"), F.lit("err")))
+    return R.top_k(hit, 5, [F.desc("ts"), F.desc("event_id")], ["user_id"]).select("user_id", "event_id")
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 20 AND p_size + 5 >= 10) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"""
+)
+def either_end(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a matching end on either side: a union of keys, then one semi join; ranges overlap [10, 20]."""
+    x = table(spark, d, "lineitem").withColumn("ends", F.array(F.struct(F.lit("part").alias("t"), F.col("l_partkey").alias("k")), F.struct(F.lit("supplier").alias("t"), F.col("l_suppkey").alias("k"))))
+    parts = table(spark, d, "part").where("p_size <= 20 and p_size + 5 >= 10").select(F.lit("part").alias("t"), F.col("p_partkey").alias("k"))
+    both = parts.unionByName(table(spark, d, "supplier").where("s_nationkey = 3").select(F.lit("supplier").alias("t"), F.col("s_suppkey").alias("k")))
+    ends = x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode("ends").alias("e")).join(both, (F.col("e.t") == both.t) & (F.col("e.k") == both.k), "left_semi")
+    return x.join(ends, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """
+SELECT c_nationkey AS nation, max_by(c_custkey, (c_acctbal, -c_custkey)) AS best, round(max(c_acctbal), 2) AS balance, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS segments, round(min(c_acctbal), 2) AS least
+FROM customer GROUP BY 1"""
+)
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Argmax with a tie-break, distinct values in order, least confidence."""
+    c = table(spark, d, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(
+        F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"), F.round(F.max("c_acctbal"), 2).alias("balance"),
+        F.array_join(F.sort_array(F.collect_set("c_mktsegment")), " | ").alias("segments"), F.round(F.min("c_acctbal"), 2).alias("least"),
+    )
+
+
+@query(
+    """
+WITH u AS (SELECT conv_id AS task_id, turn, role, conv_id || ':' || turn AS unit_id FROM conversations)
+SELECT task_id, unit_id, CASE WHEN role = 'assistant' THEN turn ELSE 0 END AS dependencies FROM u"""
+)
+def unit_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns as verifiers, which wait for all earlier units."""
+    u = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("ordinal"), F.concat_ws(":", "conv_id", "turn").alias("unit_id"), F.when(F.col("role") == "assistant", "verify").otherwise("analyse").alias("work_type"))
+    return W.plan_units(u).select("task_id", "unit_id", F.size("dependency_ids").cast("long").alias("dependencies"))
+
+
+@query()
+def split_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """Smoke and regression sets of each language (sampling operators: their sizes are the feature)."""
+    return C.stratified_split(table(spark, d, "documents"), "doc_id", "lang", {"smoke": 5, "regression": 20}, [F.asc("n_chars"), F.asc("doc_id")]).select("doc_id", "lang", "split")
