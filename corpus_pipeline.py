@@ -11,7 +11,11 @@ near_copies keeps of each group of linked documents the one with the least
 repeats     removes byte strings of 400 that repeat, and what remains of a
             character that a removal cut; rewrites text and n_chars, keeps rows
 mixture     orders all rows so that sources keep to their target weights
-tokens      encodes and decodes: doc_id and the digests of op2
+tokens      encodes and decodes: doc_id and the digests of op2, in the order of
+            its input
+
+Spark reads files in an order of its own. The tokens stage and run() therefore
+rebuild each row's place from its file's part number and its row number there.
 
 SQL can't express the stages' models, so there is no ORACLE_SQL.
 """
@@ -47,6 +51,16 @@ def _with_place(docs: DataFrame) -> DataFrame:
         return written(docs, "pipeline-rows").withColumn("_place", F.struct(*place))
 
 
+def _in_written_order(docs: DataFrame, name: str) -> DataFrame:
+    """Rows of files that Spark wrote, with a key of their order when they were written."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+    place = F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn(name, place)
+    except AnalysisException:  # it doesn't come from files
+        return written(docs, "pipeline-rows").withColumn(name, place)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = _with_place(docs)
     found = partenum.jaccard_components(placed, key="_place")
@@ -67,7 +81,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(docs, vocabulary(), public_tokenizers.PATTERN)
+    rows = _in_written_order(docs, "_at").select(F.struct("_at", "doc_id").alias("_row"), "text")
+    # written first: a sort reads its input twice, for its borders and for the rows
+    told = written(bpe.encode_digests(rows, vocabulary(), public_tokenizers.PATTERN, key="_row"), "pipeline-encoded")
+    return told.orderBy("_row._at").select("_row.doc_id", *told.columns[1:])
 
 
 STAGES = [
@@ -85,4 +102,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return _in_written_order(docs, "_at").orderBy("_at").select(*docs.columns)

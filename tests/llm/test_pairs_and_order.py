@@ -328,3 +328,24 @@ def test_pipeline_runs_and_survives_odd_tables(spark, smallest, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, d, smallest)
             assert got.count() == d.count(), name
+
+
+def test_pipeline_rows_keep_the_mixed_order(spark, tmp_path, monkeypatch):
+    """Over many file splits and with long documents, run()'s rows come in the order of the mixture's slots."""
+    rnd = random.Random(8)
+    rows = [(i, "xyz "[rnd.randrange(4)] * rnd.choice((9, 4_000, 30_000)), rnd.choice("aaaabbc")) for i in range(240)] + [(900 + i, "long " * 60_000, "abc"[i]) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    mixed = {r["doc_id"]: r for r in mixing.mix(table(spark, str(tmp_path), "documents")).drop("text").collect()}
+    assert sorted(got) == sorted(mixed)
+    slots = [mixed[k]["mix_slot"] for k in got]
+    assert slots == sorted(slots) and len(set(slots)) > 10
+    # in every prefix a source's blocks lie within one of its weight's share: block j is due from release to deadline
+    assert all(mixed[k]["mix_release"] <= mixed[k]["mix_slot"] < mixed[k]["mix_deadline"] for k in got)
+    assert {mixed[k]["source"] for k in got[: len(got) // 2]} == set("abc")
