@@ -192,6 +192,30 @@ def test_kneser_ney_equals_plain(spark):
     assert abs(np.exp(table.reshape(-1, 8).astype(float)).sum(axis=1) - 1).max() < 1e-5
 
 
+def test_kneser_ney_tells_all_characters_apart(spark, monkeypatch):
+    """More than 47 characters, in several scripts; by broadcast and by joins."""
+    rnd = random.Random(4)
+    letters = [chr(c) for c in [*range(97, 123), *range(65, 91), *range(0x430, 0x450), 0x4E2D, 0x1F600, 0]]
+    texts = ["".join(rnd.choice(letters[: rnd.choice((8, 87))]) for _ in range(rnd.randint(0, 80))) for _ in range(60)]
+    others = ["Ab", "\u0416\u0416", "xyz\u4e2d", "\u3042\u3044", "\U0001f600a", ""]
+    rows = [(i, "en", t) for i, t in enumerate(texts + others)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    seen = sorted({ord(c) for t in texts + others for c in t})
+    p = plain_kneser_ney(texts, seen, 0x110000)
+    of = {chr(c): i for i, c in enumerate(seen, 1)}
+    want = {}
+    for i, _, t in rows:
+        s = [0, 0, 0] + [of[c] for c in t]
+        want[i] = np.exp(-np.mean([np.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))])) if t else None
+    trusted = spark.range(len(texts)).withColumnRenamed("id", "doc_id")
+    for name, value in ((None, 0), ("BROADCAST_GRAMS", 0), ("CHUNK", 50), ("RANKED", 0)):
+        if name:
+            monkeypatch.setattr(quality, name, value)
+        got = {r["doc_id"]: r["perplexity"] for r in quality.classify(docs, trusted).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] is None if w is None else abs(got[i] / w - 1) < 1e-6 for i, w in want.items())
+
+
 def test_quality_separates(spark, smallest):
     labels = spark.read.parquet(f"{smallest}/labels.parquet")
     got = queries.op1_quality(spark, smallest).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
