@@ -239,9 +239,14 @@ def extract(page: str) -> str:
     final = {n: (s + n.hint) * (1 - density(n)) for n, s in scores.items()}
     order = {n: i for i, n in enumerate(final)}
     best = max(final, key=lambda n: (final[n], -order[n]))
+    enough = max(10.0, 0.2 * final[best])
+    # a section of an article has won: the article stays whole
+    around = best
+    while around is not None and not (around.tag in ("article", "main") and density(around) < 0.25):
+        around = around.parent
+    best = around or best
     keep = {best}
     if best.parent is not None:
-        enough = max(10.0, 0.2 * final[best])
         for x in best.parent.items:
             if isinstance(x, Node) and x is not best and x in length:
                 prose = x.tag in ("p", "blockquote", "pre") and density(x) < 0.25 and length[x] >= 80

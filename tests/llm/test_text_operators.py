@@ -141,6 +141,18 @@ def test_html_odd_rows(spark):
     assert html_text.extract_pages(df.where("false")).count() == 0
 
 
+def test_html_article_of_one_long_and_short_sections():
+    long = "".join(f"<p>Paragraph {i} of the long part, with commas, and clauses, and many more words, so that it weighs more than the others do by far, as it should.</p>" for i in range(12))
+    short = "<section><h3>Short</h3><p>Brief words.</p><ul><li>one item</li></ul><table><tr><td>a cell</td></tr></table></section>"
+    for tag in ("article", "main"):
+        page = f"<body><nav><a href='/'>Home</a></nav><{tag}>{short}<section>{long}</section><section><h3>End</h3><p>A last remark.</p></section></{tag}><footer>Imprint</footer></body>"
+        got = html_text.extract(page).split("\n")
+        assert got[:4] == ["Short", "Brief words.", "one item", "a cell"] and got[-2:] == ["End", "A last remark."] and len(got) == 18
+    links = "".join(f"<a href='/{i}'>a long link to another page of this site, number {i}</a><br>" for i in range(80))
+    page = f"<body><main><div>{links}</div><section>{long}</section></main></body>"
+    assert len(html_text.extract(page).split("\n")) == 12
+
+
 # ---- quality
 
 
