@@ -1,7 +1,9 @@
-"""Exact removal of repeated byte strings by a range-partitioned, sparse suffix array.
+"""Exact removal of repeated strings by a range-partitioned, sparse suffix array.
 
 A byte is removed if it lies in a string of `length` bytes that also starts
-anywhere else. Every such string contains the position whose 64-byte prefix has
+anywhere else. With `unit="words"` strings are sequences of `length` words: each
+word stands as the eight bytes of its hash, strings start at words only, and a
+removal takes the white space after its words along. Every such string contains the position whose 64-byte prefix has
 the least hash within it; equal strings choose it at the same offset. So only
 the suffixes that start at chosen positions are kept (about one in 170), and of
 these only those whose leading 64 bytes occur more than once. Splitters sampled
@@ -13,20 +15,25 @@ strings of `length` bytes at equal offsets are compared (by two independent
 buckets' borders in a second step, so a frequent passage may fill many buckets.
 
 Equal texts are one class: of a class of several rows every byte of a text of at
-least `length` bytes is removed, and one text stands for it elsewhere.
+least `length` units is removed, and one text stands for it elsewhere.
 
 Defined results: a null text counts as empty; shorter texts lose nothing; each
 row gives a result, so repeated rows and null or repeated keys do as well, and
 repeated rows make each other's text repeated; matches never cross documents;
-overlaps within a text count; extra columns are ignored.
+overlaps within a text count; all copies of a repeated string go, the first one
+too; extra columns are ignored. Words are runs of bytes other than ASCII white
+space, case and marks included; a text without words is left as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,43 @@ GRAM, BUCKET, BUFFER, WINDOWS = 64, 2048, 1 << 17, 1 << 16
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_word = re.compile(_WORD.encode())
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: bytes as they are, or words as the bytes of their hashes."""
+
+    words: bool
+    #: number of units of a string, and its bytes in the coded text
+    length: int
+
+    @property
+    def step(self) -> int:
+        return 8 if self.words else 1
+
+    @property
+    def size(self) -> int:
+        return self.length * self.step
+
+    @property
+    def least(self) -> int:
+        """A text that holds a string has at least so many bytes."""
+        return 2 * self.length - 1 if self.words else self.length
+
+    def code(self, text: str) -> bytes:
+        raw = text.encode()
+        if not self.words:
+            return raw
+        return b"".join([xxhash.xxh3_64_digest(w) for w in raw.split()])
+
+    def spans(self, raw: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Places in the coded text as places in the text."""
+        if not self.words or not coded:
+            return coded
+        starts = [m.start() for m in _word.finditer(raw)] + [len(raw)]
+        return [(starts[a // 8], starts[b // 8]) for a, b in coded]
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +112,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def segments(texts: list[bytes], length: int):
+def segments(texts: list[bytes], length: int, step: int = 1):
     """Lists of (text, offset, bytes) that hold every window of the texts once, up to a buffer's size each."""
     held, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(0, len(t) - length + 1), BUFFER):
-            part = t[at : at + BUFFER + length - 1]
+            part = t[at : at + BUFFER + length - step]
             held.append((i, at, part))
             size += len(part)
             if size >= BUFFER:
@@ -83,7 +127,7 @@ def segments(texts: list[bytes], length: int):
         yield held
 
 
-def choose(held: list[tuple[int, int, bytes]], length: int):
+def choose(held: list[tuple[int, int, bytes]], length: int, step: int = 1):
     """The chosen positions of a buffer: text, first and last window (in the text), position (in the text), position in the buffer, hash; and the buffer."""
     data = np.frombuffer(b"".join([p for *_, p in held]) + bytes(GRAM), np.uint8)
     sizes = np.array([len(p) for *_, p in held], np.int64)
@@ -93,15 +137,17 @@ def choose(held: list[tuple[int, int, bytes]], length: int):
     n = int(sizes.sum())
     # the least hash in each window, the leftmost of equals: hash above, place below
     key = (g[:n] & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+    if step > 1:  # parts begin at a unit, so units begin at multiples of the step
+        key = np.where(np.arange(n) % step == 0, key, np.iinfo(np.uint64).max)
     rows = -(-n // span)
     grid = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
     grid[:n] = key
     grid = grid.reshape(rows, span)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = np.concatenate([np.arange(b, b + s - length + 1) for b, s in zip(base, sizes, strict=True)])
+    windows = np.concatenate([np.arange(b, b + s - length + 1, step) for b, s in zip(base, sizes, strict=True)])
     at = (np.minimum(behind[windows], ahead[windows + span - 1]) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    owner = np.arange(len(held)).repeat(sizes - length + 1)
+    owner = np.arange(len(held)).repeat((sizes - length) // step + 1)
     first = np.nonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])])[0]
     last = np.r_[first[1:] - 1, len(windows) - 1]
     owner, place = owner[first], at[first]
@@ -136,7 +182,7 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 _FOUND = "t1 long, t2 long, start long, end long, w1 long, w2 long"
 
 
-def compare(bucket: pa.Table, length: int, cut: np.ndarray) -> pa.RecordBatch:
+def compare(bucket: pa.Table, length: int, cut: np.ndarray, step: int = 1) -> pa.RecordBatch:
     """Repeated windows of a bucket as intervals; windows of leads in `cut` also by hash, for a comparison with other buckets."""
     bucket = bucket.combine_chunks()
     t1, t2, low, off = (bucket.column(c).to_numpy() for c in ("t1", "t2", "low", "off"))
@@ -153,7 +199,7 @@ def compare(bucket: pa.Table, length: int, cut: np.ndarray) -> pa.RecordBatch:
     bordering = np.isin(leads(data, base + off)[order], cut)
     order, run, bordering = order[many | bordering], run[many | bordering], bordering[many | bordering]
     told = []
-    count = size[order] - length + 1
+    count = (size[order] - length) // step + 1
     i = 0
     while i < len(order):
         # whole runs, up to so many windows
@@ -161,7 +207,7 @@ def compare(bucket: pa.Table, length: int, cut: np.ndarray) -> pa.RecordBatch:
         j = i + max(1, int(np.searchsorted(total, WINDOWS, side="right")))
         while j < len(order) and run[j] == run[j - 1]:
             j += 1
-        told += _repeated(data, base, order[i:j], run[i:j], bordering[i:j], count[i:j], off, low, t1, t2, length)
+        told += _repeated(data, base, order[i:j], run[i:j], bordering[i:j], count[i:j], off, low, t1, t2, length, step)
         i = j
     if not told:
         return pa.RecordBatch.from_pylist([], schema=pa.schema([(c, pa.int64()) for c in ("t1", "t2", "start", "end", "w1", "w2")]))
@@ -169,11 +215,11 @@ def compare(bucket: pa.Table, length: int, cut: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(parts, names=["t1", "t2", "start", "end", "w1", "w2"])
 
 
-def _repeated(data, base, who, run, bordering, count, off, low, t1, t2, length):
+def _repeated(data, base, who, run, bordering, count, off, low, t1, t2, length, unit):
     record = np.arange(len(who)).repeat(count)
-    step = np.arange(len(record)) - (np.cumsum(count) - count).repeat(count)
+    step = unit * (np.arange(len(record)) - (np.cumsum(count) - count).repeat(count))
     # only the bytes of these records
-    sizes = count + length - 1
+    sizes = unit * (count - 1) + length
     joined = np.concatenate([data[b : b + s] for b, s in zip(base[who], sizes, strict=True)])
     starts = (np.cumsum(sizes) - sizes)[record] + step
     offset = (off[who][record] - step).astype(np.uint64)
@@ -212,10 +258,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(t1, t2, text, spans) of the distinct texts that repeat a string within themselves or another text; the rows with t1, t2."""
+def repeated_spans(docs: DataFrame, text: str = "text", unit: Unit = Unit(False, 400)) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, text, spans in the coded text) of the distinct texts that repeat a string within themselves or another text; the rows with t1, t2."""
+    length, step = unit.size, unit.step
     if length < 2 * GRAM:
-        raise ValueError(f"strings of less than {2 * GRAM} bytes are not supported")
+        raise ValueError(f"strings of less than {2 * GRAM // step} units are not supported")
     small_batches(docs.sparkSession)
     keyed = docs.withColumn("_text", text_or_empty(text)).withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
     texts = keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text"))
@@ -223,9 +270,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     def anchors(batches):
         for batch in sliced(batches):
             a, b = (batch.column(c).to_numpy() for c in ("t1", "t2"))
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            for held in segments(raw, length):
-                text, _, _, at, place, g, data = choose(held, length)
+            raw = [unit.code(t) for t in batch.column("text").to_pylist()]
+            for held in segments(raw, length, step):
+                text, _, _, at, place, g, data = choose(held, length, step)
                 # one row for each text and hash; a hash at two places of a text is repeated as it is
                 order = np.lexsort((at, g, text))
                 text, at, place, g = text[order], at[order], place[order], g[order]
@@ -235,7 +282,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
                     [pa.array(g.view(np.int64)), pa.array(a[text]), pa.array(b[text]), pa.array(at), pa.array(leads(data, place)), pa.array(twice)], names=["h", "t1", "t2", "at", "lead", "twice"]
                 )
 
-    chosen = written(texts.where(F.octet_length("text") >= length).mapInArrow(anchors, "h long, t1 long, t2 long, at long, lead long, twice boolean"), "suffix-anchors")
+    chosen = written(texts.where(F.octet_length("text") >= unit.least).mapInArrow(anchors, "h long, t1 long, t2 long, at long, lead long, twice boolean"), "suffix-anchors")
     # a long text's buffers don't see each other: count its places as well
     live = chosen.groupBy("h").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("twice").alias("t"), F.min("at").alias("c"), F.max("at").alias("d")).where("a <> b or t or c <> d").select("h")
     # written, so that both sides of the join are dealt anew and large parts can be split
@@ -249,16 +296,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     sample = sample[np.lexsort((sample[:, 1], sample[:, 0]))]
     splitters = sample[[len(sample) * k // buckets for k in range(1, buckets)]] if len(sample) else sample
     places = kept.groupBy("t1", "t2").agg(F.collect_list("at").alias("places"))
-    one = texts.where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    one = texts.where(F.octet_length("text") >= unit.least).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     holding = written(one.join(places, ["t1", "t2"]), "suffix-texts")
 
     def contexts(batches):
         for batch in sliced(batches):
             a, b = (batch.column(c).to_numpy() for c in ("t1", "t2"))
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            raw = [unit.code(t) for t in batch.column("text").to_pylist()]
             alive = np.concatenate([np.array(p, np.int64) + (i << 40) for i, p in enumerate(batch.column("places").to_pylist())])
-            for held in segments(raw, length):
-                text, first, last, at, place, _, data = choose(held, length)
+            for held in segments(raw, length, step):
+                text, first, last, at, place, _, data = choose(held, length, step)
                 some = np.nonzero(np.isin(at + (text << 40), alive))[0]
                 text, first, last, at, place = text[some], first[some], last[some], at[some], place[some]
                 lead = leads(data, place)
@@ -274,7 +321,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
 
     cut = np.unique(splitters[:, 0]) if len(splitters) else np.zeros(0, np.int64)
     records = holding.mapInArrow(contexts, "bucket long, t1 long, t2 long, low long, off long, context binary")
-    found = written(records.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([compare(t, length, cut)]), _FOUND), "suffix-found")
+    found = written(records.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([compare(t, length, cut, step)]), _FOUND), "suffix-found")
     across = found.where("w1 is not null")
     again = across.groupBy("w1", "w2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).where("a <> b or c <> d").select("w1", "w2")
     spans = found.where("w1 is null").select("t1", "t2", "start", "end").unionByName(across.join(again, ["w1", "w2"], "left_semi").select("t1", "t2", "start", "end"))
@@ -282,19 +329,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400) -> tu
     return holding.select("t1", "t2", "text").join(spans, ["t1", "t2"]), keyed
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, texts: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, texts: bool = False, unit: str = "bytes") -> DataFrame:
+    """key, n_bytes, n_removed (both in bytes), n_spans, kept_sha256 of every row.
 
-    If texts are asked for, also `kept`: what is left as a string, without the bytes of characters that a removal cut.
+    Strings are of `length` bytes, or of `length` words with `unit="words"`. If texts are asked for, also `kept`:
+    what is left as a string, without the bytes of characters that a removal cut.
     """
-    found, keyed = repeated_spans(docs, text, length)
+    if unit not in ("bytes", "words"):
+        raise ValueError(f"no unit: {unit}")
+    of = Unit(unit == "words", length)
+    found, keyed = repeated_spans(docs, text, of)
 
     def apply(batches):
         for batch in sliced(batches):
             out = []
             for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = t.encode()
-                gone = merged([(s["start"], s["end"]) for s in spans])
+                gone = of.spans(raw, merged([(s["start"], s["end"]) for s in spans]))
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(raw[at:a])
@@ -307,9 +358,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     told = found.mapInArrow(apply, "_t1 long, _t2 long, removed long, pieces long, sha string, _kept string")
     copies = keyed.groupBy("_t1", "_t2").agg(F.count("*").alias("copies")).where("copies > 1")
-    light = keyed.select(key, "_t1", "_t2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("whole"), *(["_text"] if texts else []))
+    enough = F.regexp_count("_text", F.lit(_WORD)) >= length if of.words else F.octet_length("_text") >= length
+    light = keyed.select(key, "_t1", "_t2", F.octet_length("_text").cast("long").alias("n_bytes"), enough.alias("enough"), F.sha2("_text", 256).alias("whole"), *(["_text"] if texts else []))
     rows = light.join(copies, ["_t1", "_t2"], "left").join(told, ["_t1", "_t2"], "left")
-    gone = (F.col("n_bytes") >= length) & F.col("copies").isNotNull()
+    gone = F.col("enough") & F.col("copies").isNotNull()
     columns = {
         "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long"),
         "n_spans": F.when(gone, F.lit(1)).otherwise(F.coalesce("pieces", F.lit(0))).cast("long"),
