@@ -8,8 +8,8 @@ toxicity    drops the documents that the classifier rejects
 near_copies keeps of each group of linked documents the one with the least
             doc_id (rows without a doc_id last, then by place in the input);
             documents without words are all kept
-repeats     removes byte strings of 400 that repeat, and what remains of a
-            character that a removal cut; rewrites text and n_chars, keeps rows
+repeats     removes all copies of sequences of 50 words that repeat, within a
+            text or elsewhere; rewrites text and n_chars, keeps rows
 mixture     orders all rows so that sources keep to their target weights
 tokens      encodes and decodes: doc_id and the digests of op2, in the order of
             its input
@@ -33,6 +33,8 @@ from docquarry.llm.queries import vocabulary
 
 #: Up to so many keys of dropped rows are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
+#: Words of a repeated passage.
+REPEAT_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.struct(*rest).alias("_row"), "text")
-    kept = suffixdup.remove_repeats(rows, key="_row", texts=True).select("_row.*", F.col("kept").alias("text"))
+    kept = suffixdup.remove_repeats(rows, key="_row", texts=True, length=REPEAT_WORDS, unit="words").select("_row.*", F.col("kept").alias("text"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
