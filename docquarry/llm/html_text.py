@@ -1,8 +1,10 @@
 """Main-text extraction from HTML by tree scoring.
 
 A tolerant parser builds a tree of block elements. Every paragraph-like block
-passes points for its length and its commas to its ancestors, the share shrinking
-with the distance, and each candidate's sum is discounted by its link density.
+passes points for its length and its commas to its ancestors, in full to the
+first two and halved at each further level, and each candidate's sum is
+discounted by its link density. Both steps read a page about once, however its
+tags are nested or left open.
 The best container is kept with those siblings that score enough of its points
 or read like prose. Navigation, headers, footers, sidebars, notices, adverts,
 forms, comments and code never enter the tree.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +57,7 @@ LAYOUT_WORDS = frozenset("has with no without layout col cols column columns gri
 KEPT_WORDS = frozenset("article main content body post entry story".split())
 KEPT_TAGS = frozenset("html body main article".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -62,13 +65,20 @@ _COMMAS = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "link", "score", "hint")
+    """An element: `first` and `last` bound the blocks inside it, in page order."""
+
+    __slots__ = ("tag", "parent", "up", "items", "dropped", "link", "hint", "first", "last", "own", "below")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool, hint: float = 0.0):
         self.tag, self.parent, self.dropped, self.hint = tag, parent, dropped, hint
         #: strings, nodes in page order
         self.items: list = []
-        self.link, self.score = tag == "a", 0.0
+        self.link = tag == "a"
+        #: the nearest element around that isn't inline
+        self.up: "Node | None" = None
+        self.first = self.last = 0
+        #: points of the blocks directly inside; of those further below, halved at each level after the first
+        self.own = self.below = 0.0
 
 
 def _is_dropped(tag: str, raw: str) -> tuple[bool, float]:
@@ -96,50 +106,128 @@ def _names_boilerplate(words: list[str], kept: bool) -> bool:
     return words[-1] in STRONG_WORDS or not kept and bool(set(words) & DROPPED_WORDS)
 
 
+class _Tags:
+    """Ends of tags in a page. Each call starts after the last one's end, so a page is read about once.
+
+    A quote that is never closed is no quote from there on, as in a tag left open
+    by an editor; a tag without an end takes in the rest of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, re.compile("[>\"']")
+
+    def end(self, at: int) -> int:
+        while True:
+            m = self.quotes.search(self.page, at)
+            if m is None:
+                return len(self.page)
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end())
+            if close < 0:
+                # none of its kind follows anywhere: from now on it doesn't count
+                kinds = self.quotes.pattern.replace(m[0], "")
+                self.quotes = re.compile(kinds)
+                at = m.end()
+            else:
+                at = close + 1
+
+
+class _Open:
+    """The open elements from the root down, with the places of each tag, so closing one looks at no others."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def close(self, tag: str) -> None:
+        place = self.last(tag)
+        if place and not (tag in INLINE and any(self.last(t) > place for t in ("article", "main", "section", "table"))):
+            self.cut(place)
+
+    def close_within(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Close the outermost open element of `tags` that is inside the nearest element of `scope`."""
+        border = max(self.last(t) for t in scope)
+        inside = [found[i] for found in (self.places.get(t, []) for t in tags) if (i := bisect_right(found, border)) < len(found)]
+        if inside:
+            self.cut(min(inside))
+
+
 def parse(page: str) -> Node:
     root = Node("html", None, False)
-    at, here = root, 0
-    n = len(page)
+    opened, tags, here, n = _Open(root), _Tags(page), 0, len(page)
     while here < n:
-        m = _TOKEN.search(page, here)
-        if m is None:
-            _add_text(at, page[here:])
+        start = page.find("<", here)
+        if start < 0 or start == n - 1:
+            _add_text(opened.top, page[here:])
             break
-        if m.start() > here:
-            _add_text(at, page[here : m.start()])
-        here = m.end()
-        if m[2] is None:
+        closing = page[start + 1] == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = n if end < 0 else end + 3
+        elif page[start + 1] in "!?":
+            end = page.find(">", start)
+            end = n if end < 0 else end + 1
+        elif name is None:  # no tag
+            _add_text(opened.top, page[here : start + 1])
+            here = start + 1
+            continue
+        else:
+            stop = tags.end(name.end())
+            raw, end = page[name.end() : stop], min(n, stop + 1)
+        if start > here:
+            _add_text(opened.top, page[here:start])
+        here = end
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            at = _close(at, tag)
+        tag = name[0].lower()
+        if closing:
+            opened.close(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, here)
-            here = end.end() if end else n
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, here)
+            here = n if found is None else min(n, tags.end(found.end()) + 1)
             continue
         if tag in ("html", "body", "head"):
-            if tag == "body" and at.tag == "head":
-                at = at.parent
+            if tag == "body" and opened.top.tag == "head":
+                opened.cut(len(opened.stack) - 1)
             if tag == "head":
-                node = Node("head", at, True)
-                at.items.append(node)
-                at = node
+                node = Node("head", opened.top, True)
+                opened.top.items.append(node)
+                opened.push(node)
             continue
-        if at.tag == "head" and tag not in ("meta", "link", "base"):
-            at = at.parent
+        if opened.top.tag == "head" and tag not in ("meta", "link", "base"):
+            opened.cut(len(opened.stack) - 1)
         if tag in CLOSES_P:
-            at = _close_within(at, ("p",), ("td", "th", "table", "button", "object"))
+            opened.close_within(("p",), ("td", "th", "table", "button", "object"))
         elif tag in IMPLIED:
-            at = _close_within(at, *IMPLIED[tag])
+            opened.close_within(*IMPLIED[tag])
+        at = opened.top
         if tag in VOID:
             at.items.append(" " if tag in ("br", "wbr") else Node(tag, at, True))
             continue
-        dropped, hint = _is_dropped(tag, m[3])
+        dropped, hint = _is_dropped(tag, raw)
         node = Node(tag, at, dropped, hint)
         at.items.append(node)
-        if not m[3].rstrip().endswith("/") or tag not in ("path", "circle", "rect", "use", "line"):
-            at = node
+        if not raw.rstrip().endswith("/") or tag not in ("path", "circle", "rect", "use", "line"):
+            opened.push(node)
     return root
 
 
@@ -147,35 +235,17 @@ def _add_text(at: Node, raw: str) -> None:
     at.items.append(html.unescape(raw) if "&" in raw else raw)
 
 
-def _close(at: Node, tag: str) -> Node:
-    node = at
-    while node is not None and node.tag != tag:
-        if node.tag in ("article", "main", "section", "table") and tag in INLINE:
-            return at
-        node = node.parent
-    return at if node is None or node.parent is None else node.parent
-
-
-def _close_within(at: Node, tags: tuple[str, ...], scope: tuple[str, ...]) -> Node:
-    """Close the outermost open element of `tags` that is inside the nearest element of `scope`."""
-    node, found = at, None
-    while node is not None and node.tag not in scope:
-        if node.tag in tags:
-            found = node
-        node = node.parent
-    return at if found is None else found.parent
-
-
 class Block:
-    __slots__ = ("text", "links", "node", "place")
+    __slots__ = ("text", "links", "node")
 
-    def __init__(self, text: str, links: int, node: Node, place: int):
-        self.text, self.links, self.node, self.place = text, links, node, place
+    def __init__(self, text: str, links: int, node: Node):
+        self.text, self.links, self.node = text, links, node
 
 
-def blocks(root: Node) -> list[Block]:
-    """Runs of inline content between block borders, in page order, boilerplate left out."""
+def blocks(root: Node) -> tuple[list[Block], list[Node]]:
+    """Runs of inline content between block borders, in page order, boilerplate left out; the elements, inner ones first."""
     out: list[Block] = []
+    closed: list[Node] = []
     parts: list[str] = []
     links = 0
 
@@ -184,7 +254,7 @@ def blocks(root: Node) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, min(links, len(text)), node, len(out)))
+                out.append(Block(text, min(links, len(text)), node))
             parts.clear()
         links = 0
 
@@ -205,62 +275,60 @@ def blocks(root: Node) -> list[Block]:
                 inline = item.tag in INLINE
                 if not inline:
                     flush(block)
+                    item.first, item.up = len(out), block
                 stack.append((node, block, i, linked))
                 stack.append((item, block if inline else item, 0, linked or item.link))
                 break
         else:
             if node is block:
                 flush(block)
-    return out
+                node.last = len(out)
+                closed.append(node)
+    return out, closed
 
 
 def extract(page: str) -> str:
     """The main text: blocks joined by newlines, white space inside them by blanks."""
-    found = blocks(parse(page))
+    found, closed = blocks(parse(page))
     if not found:
         return ""
-    length: dict[Node, int] = {}
-    linked: dict[Node, int] = {}
-    scores: dict[Node, float] = {}
+    length, linked = [0], [0]
     for b in found:
-        points = 1.0 + len(_COMMAS.findall(b.text)) + min(len(b.text) / 100.0, 3.0)
-        prose = len(b.text) >= 25 and b.node.tag not in ("li", "dt", "dd", "option")
-        node, far = b.node, 0
-        while node is not None:
-            length[node] = length.get(node, 0) + len(b.text)
-            linked[node] = linked.get(node, 0) + b.links
-            if prose and (far or node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")):
-                scores[node] = scores.get(node, 0.0) + points / (1 if far <= 1 else 2 if far == 2 else far * 3)
-            node, far = node.parent, far + 1
-    if not scores:
+        length.append(length[-1] + len(b.text))
+        linked.append(linked[-1] + b.links)
+    size = lambda n: length[n.last] - length[n.first]
+    density = lambda n: (linked[n.last] - linked[n.first]) / max(1, size(n))
+    prose = [b for b in found if len(b.text) >= 25 and b.node.tag not in ("li", "dt", "dd", "option")]
+    for b in prose:
+        b.node.own += 1.0 + len(_COMMAS.findall(b.text)) + min(len(b.text) / 100.0, 3.0)
+    if not prose:
         for b in found:
-            scores[b.node.parent or b.node] = scores.get(b.node.parent or b.node, 0.0) + len(b.text) / 100.0
-    density = lambda n: linked[n] / max(1, length[n])
-    final = {n: (s + n.hint) * (1 - density(n)) for n, s in scores.items()}
-    order = {n: i for i, n in enumerate(final)}
-    best = max(final, key=lambda n: (final[n], -order[n]))
+            b.node.own += len(b.text) / 100.0
+    # inner elements come first, so one pass carries all points up
+    final = {}
+    for node in closed:
+        if node.up is not None:
+            node.up.below += node.own + node.below / 2
+        if node.own + node.below > 0 and node.last > node.first:
+            own = 0.0 if prose and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else node.own
+            if own + node.below > 0:
+                final[node] = (own + node.below + node.hint) * (1 - density(node))
+    best = max(final, key=final.get)
     enough = max(10.0, 0.2 * final[best])
     # a section of an article has won: the article stays whole
     around = best
     while around is not None and not (around.tag in ("article", "main") and density(around) < 0.25):
         around = around.parent
     best = around or best
-    keep = {best}
+    keep = [best]
     if best.parent is not None:
         for x in best.parent.items:
-            if isinstance(x, Node) and x is not best and x in length:
-                prose = x.tag in ("p", "blockquote", "pre") and density(x) < 0.25 and length[x] >= 80
+            if isinstance(x, Node) and x is not best and x.last > x.first:
+                said = x.tag in ("p", "blockquote", "pre") and density(x) < 0.25 and size(x) >= 80
                 title = x.tag in ("h1", "h2") and density(x) < 0.25
-                if final.get(x, 0.0) >= enough or prose or title:
-                    keep.add(x)
-    chosen = []
-    for b in found:
-        node = b.node
-        while node is not None and node not in keep:
-            node = node.parent
-        if node is not None:
-            chosen.append(b.text)
-    return "\n".join(chosen)
+                if final.get(x, 0.0) >= enough or said or title:
+                    keep.append(x)
+    return "\n".join(b.text for x in sorted(keep, key=lambda x: x.first) for b in found[x.first : x.last])
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
