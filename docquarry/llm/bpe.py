@@ -6,8 +6,10 @@ pre-token boundary inside their overlap they agree on all that follows, because
 the pattern looks ahead but never back; there they are stitched. The stitched
 pre-tokens are then encoded one by one, and decoding concatenates the bytes of
 the ids. Texts up to `long_chars` go through all steps inside one map task with
-no shuffle; the chunks of longer ones are dealt over the cluster and meet again
-by row, so no task pre-tokenises more than its chunks.
+no shuffle. Longer ones are written with a number, their chunks are dealt over
+the cluster for their boundaries and meet again by that number to be stitched,
+and the stitched pre-tokens are dealt once more, in parts, to be encoded; only
+stitching and the last concatenation see a long text whole.
 
 Defined results: a null text counts as empty and gives no ids; rows are never
 merged, so repeated rows (and null or repeated keys) each give a result; columns
@@ -19,21 +21,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import partitions, remembers, small_batches, text_or_empty
+from .common import partitions, remembers, small_batches, text_or_empty, written
 
 #: Matches that end this close to a chunk's end may still change with what follows.
 GUARD = 8
-#: Pre-tokens that a task remembers with their ids.
-REMEMBERED = 300_000
+#: Pre-tokens that a task remembers with their ids; pre-tokens of a part of a long text.
+REMEMBERED, PART = 300_000, 50_000
 
 
 def boundaries(pattern: "regex.Pattern", text: str) -> list[int]:
@@ -169,10 +172,13 @@ class Encoder(dict):
             self[piece] = found
         return found
 
-    def digests(self, pieces: list[str]) -> tuple[int, str, str]:
+    def told(self, pieces: list[str]) -> tuple[str, bytes]:
         found = [self[p] for p in pieces]
-        ids, raw = " ".join([a for a, _ in found]), b"".join([b for _, b in found])
-        return (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+        return " ".join([a for a, _ in found]), b"".join([b for _, b in found])
+
+
+def digests(ids: str, raw: bytes) -> tuple[int, str, str]:
+    return (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -188,7 +194,7 @@ def encoder(content: bytes, pattern: str) -> Encoder:
 
 
 def _per_text(docs: DataFrame, key: str, text: str, make, fields: str, long_chars: int, chunk: int, overlap: int, content, pattern: str) -> DataFrame:
-    """make(encoder, pieces) -> values of `fields`, for each row."""
+    """make(decimal ids, decoded bytes) -> values of `fields`, for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(content)
@@ -200,15 +206,15 @@ def _per_text(docs: DataFrame, key: str, text: str, make, fields: str, long_char
     def whole(batches):
         enc = encoder(held.value, pattern)
         for batch in batches:
-            got = [make(enc, pretokens(enc.pattern, t, chunk, overlap)) for t in batch.column(1).to_pylist()]
+            got = [make(*enc.told(pretokens(enc.pattern, t, chunk, overlap))) for t in batch.column(1).to_pylist()]
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*got), list(arrow)[1:]))], schema=arrow)
 
     def dealt(batches):
         for batch in batches:
-            for k, row, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, t in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 for n, (at, piece) in enumerate(cut(t, chunk, overlap)):
-                    yield pa.RecordBatch.from_pylist([{"_key": k, "_row": row, "_n": n, "_at": at, "_chunk": piece}], schema=cut_schema)
+                    yield pa.RecordBatch.from_pylist([{"_row": row, "_n": n, "_at": at, "_chunk": piece}], schema=cut_schema)
 
     def split(batches):
         found = regex.compile(pattern)
@@ -216,37 +222,50 @@ def _per_text(docs: DataFrame, key: str, text: str, make, fields: str, long_char
             starts = [boundaries(found, t) for t in batch.column("_chunk").to_pylist()]
             yield batch.append_column("_starts", pa.array(starts, pa.list_(pa.int32())))
 
-    def joined(group: pa.Table) -> pa.Table:
-        enc = encoder(held.value, pattern)
+    def stitched(group: pa.Table) -> pa.Table:
         got = sorted(zip(*(group.column(c).to_pylist() for c in ("_at", "_chunk", "_starts")), strict=True))
-        pieces = list(stitch(enc.pattern, [(a, c) for a, c, _ in got], [s for *_, s in got]))
-        return pa.table([group.column("_key").slice(0, 1), *(pa.array([v], f.type) for v, f in zip(make(enc, pieces), list(arrow)[1:]))], schema=arrow)
+        pieces = stitch(regex.compile(pattern), [(a, c) for a, c, _ in got], [s for *_, s in got])
+        parts = [list(p) for p in itertools.batched(pieces, PART)]
+        row = pa.array([group.column("_row")[0].as_py()] * len(parts), pa.int64())
+        return pa.table([row, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.string()))], names=["_row", "_n", "_pieces"])
+
+    def encoded(batches):
+        enc = encoder(held.value, pattern)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, raw = enc.told(batch.column("_pieces")[r].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(r, 1), batch.column("_n").slice(r, 1), pa.array([ids]), pa.array([raw], pa.binary())], names=["_row", "_n", "_ids", "_raw"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        parts = sorted(zip(*(group.column(c).to_pylist() for c in ("_n", "_ids", "_raw")), strict=True))
+        values = make(" ".join(i for _, i, _ in parts), b"".join(r for *_, r in parts))
+        return pa.table([group.column("_row").slice(0, 1), *(pa.array([v], f.type) for v, f in zip(values, list(arrow)[1:]))], names=["_row", *arrow.names[1:]])
 
-    cut_schema = pa.schema([("_key", to_arrow_type(rows.schema["_key"].dataType)), ("_row", pa.int64()), ("_n", pa.int32()), ("_at", pa.int64()), ("_chunk", pa.string())])
     short = rows.where(F.length("_text") <= long_chars).mapInArrow(whole, schema)
+    # numbered and written, so that a task that runs again finds the same numbers
+    long = written(rows.where(F.length("_text") > long_chars).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
+    if long.isEmpty():
+        return short
+    cut_schema = pa.schema([("_row", pa.int64()), ("_n", pa.int32()), ("_at", pa.int64()), ("_chunk", pa.string())])
     chunks = (
-        rows.where(F.length("_text") > long_chars)
-        .select("_key", F.monotonically_increasing_id().alias("_row"), "_text")
-        .mapInArrow(dealt, f"_key {key_type}, _row long, _n int, _at long, _chunk string")
-        .repartition(partitions(spark), "_row", "_n")
-        .mapInArrow(split, f"_key {key_type}, _row long, _n int, _at long, _chunk string, _starts array<int>")
-    )
-    return short.unionByName(chunks.groupBy("_row").applyInArrow(joined, schema))
+        long.select("_row", "_text").mapInArrow(dealt, "_row long, _n int, _at long, _chunk string")
+        .repartition(partitions(spark), "_row", "_n").mapInArrow(split, "_row long, _n int, _at long, _chunk string, _starts array<int>")
+    )
+    pieces = chunks.groupBy("_row").applyInArrow(stitched, "_row long, _n int, _pieces array<string>")
+    parts = pieces.repartition(partitions(spark), "_row", "_n").mapInArrow(encoded, "_row long, _n int, _ids string, _raw binary")
+    told = parts.groupBy("_row").applyInArrow(joined, f"_row long, {fields}")
+    return short.unionByName(long.join(told, "_row").select(F.col("_key").alias(key), *arrow.names[1:]))
 
 
 def encode_digests(docs: DataFrame, content: bytes, pattern: str, key: str = "doc_id", text: str = "text", long_chars: int = 262_144, chunk: int = 65_536, overlap: int = 2_048) -> DataFrame:
     """Per row: number of ids, sha-256 of the decimal ids, sha-256 of the decoded bytes."""
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _per_text(docs, key, text, lambda enc, pieces: enc.digests(pieces), fields, long_chars, chunk, overlap, content, pattern)
+    return _per_text(docs, key, text, digests, fields, long_chars, chunk, overlap, content, pattern)
 
 
 def encode(docs: DataFrame, content: bytes, pattern: str, key: str = "doc_id", text: str = "text", long_chars: int = 262_144, chunk: int = 65_536, overlap: int = 2_048) -> DataFrame:
     """Per row: the ids themselves."""
-
-    def make(enc, pieces):
-        return ([int(i) for p in pieces for i in enc[p][0].split()],)
-
-    return _per_text(docs, key, text, make, "ids array<int>", long_chars, chunk, overlap, content, pattern)
+    return _per_text(docs, key, text, lambda ids, _: ([int(i) for i in ids.split()],), "ids array<int>", long_chars, chunk, overlap, content, pattern)
 
 
 def decode(encoded: DataFrame, content: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
