@@ -17,7 +17,12 @@ Defined results: every row is kept; a null text counts as empty and takes part;
 a null source is a source of its own; rows that repeat a key share a block and
 are ordered by text; sources without a given weight get the least integer
 weight, weights that are null or not above zero count likewise; extra columns
-stay as they are; an empty table stays empty.
+stay as they are, and where one has the name of an added column the added ones
+get a leading underscore (`added`); an empty table stays empty.
+
+The deviation is counted in blocks, whose code points vary: a block is a bucket
+of a hash, and a document is never cut. The schedule's fold costs slots times
+sources, on one row, so sources are meant to be thousands and not millions.
 """
 
 from __future__ import annotations
@@ -29,10 +34,25 @@ from .common import text_or_empty, written
 
 #: Beyond so many slots in a period, the schedule is joined without a broadcast.
 BROADCAST_SLOTS = 200_000
-#: Columns that are added; `_mix_` names are used in between.
+#: Columns that are added.
 ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot")
 
 
+def _free(prefix: str, names: list[str]) -> str:
+    """The prefix with as many leading underscores as no name begins with it."""
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix = "_" + prefix
+    return prefix
+
+
+def added(columns: list[str]) -> tuple[str, ...]:
+    """The names of the added columns beside the given ones."""
+    names, taken = ADDED, {c.lower() for c in columns}
+    while taken & set(names):
+        names = tuple("_" + n for n in names)
+    return names
+
+
 def _source(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(name).cast("string")))
 
@@ -79,9 +99,8 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, power:
     `targets`: weight by source; without it a source's weight is its number of
     code points to the power of `power`. `slots`: about the length of a period.
     """
-    clash = [c for c in docs.columns if c.startswith("_mix_") or c in ADDED]
-    if clash:
-        docs = docs.drop(*clash)
+    names = added(docs.columns)
+    p = _free("_m_", [*docs.columns, *names])
     size = F.length(text_or_empty(text)).cast("long")
     totals = docs.groupBy(_source(source).alias("_mix_source")).agg(F.sum(size).alias("_mix_chars"))
     if targets is None:
@@ -97,15 +116,17 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, power:
     plan = written(schedule(weights.select("_mix_source", "_mix_weight")), "mix-schedule")
     period = int(weights.agg(F.sum("_mix_weight")).first()[0] or 0)
     small = (lambda d: F.broadcast(d)) if period <= BROADCAST_SLOTS else (lambda d: d)
-    rows = docs.withColumns({"_mix_source": _source(source), "_mix_hash": _hash(key)}).join(small(weights), "_mix_source")
-    rows = rows.withColumn("_mix_block", F.pmod("_mix_hash", "_mix_blocks"))
-    rows = rows.withColumn("_mix_place", F.pmod("_mix_block", "_mix_weight") + 1).drop("_mix_blocks")
-    rows = rows.join(small(plan.drop("_mix_weight")), ["_mix_source", "_mix_place"])
-    round_ = F.floor(F.col("_mix_block") / F.col("_mix_weight")).cast("long") * F.col("_mix_period")
-    mixed = rows.withColumns({"mix_block": F.col("_mix_block") + 1, "mix_release": round_ + F.col("_mix_from"), "mix_deadline": round_ + F.col("_mix_by"), "mix_slot": round_ + F.col("_mix_at")})
+    own = lambda d: d.withColumnsRenamed({c: p + c.removeprefix("_mix_") for c in d.columns})
+    c = lambda name: F.col(p + name)
+    rows = docs.withColumns({p + "source": _source(source), p + "hash": _hash(key)}).join(small(own(weights)), p + "source")
+    rows = rows.withColumn(p + "block", F.pmod(c("hash"), c("blocks")))
+    rows = rows.withColumn(p + "place", F.pmod(c("block"), c("weight")) + 1).drop(p + "blocks")
+    rows = rows.join(small(own(plan.drop("_mix_weight"))), [p + "source", p + "place"])
+    round_ = F.floor(c("block") / c("weight")).cast("long") * c("period")
+    told = (c("block") + 1, round_ + c("from"), round_ + c("by"), round_ + c("at"))
     # the tie-breaker is computed before the rows move, so texts move only if they are asked for
-    mixed = mixed.withColumn("_mix_tie", F.xxhash64(text_or_empty(text)))
-    return mixed.orderBy("mix_slot", "_mix_hash", "_mix_tie").select(*docs.columns, *ADDED)
+    mixed = rows.withColumns(dict(zip(names, told))).withColumn(p + "tie", F.xxhash64(text_or_empty(text)))
+    return mixed.orderBy(names[-1], p + "hash", p + "tie").select(*docs.columns, *names)
 
 
 def schedule_sql(docs: str, power: float = 0.5, slots: int = 1000, block_chars: int = 65_536) -> str:

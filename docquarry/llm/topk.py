@@ -118,10 +118,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, k
             order = np.argsort(ci)
             cut = cut[order][np.searchsorted(ci[order], qi)]
             parts = _lists(q, v, lists)
-            share = cut[:, None] / len(parts)
             enough = np.zeros(parts[0].shape, bool)
             for part in parts:
-                enough |= part >= share
+                enough |= part * len(parts) >= cut[:, None]
             a, b = np.nonzero(enough & (qi[:, None] != vi[None, :]))
             score = sum(part[a, b] for part in parts).astype(np.int64)
             reach = score >= cut[a]
