@@ -30,12 +30,29 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again."""
+    """Cut the lineage: write a table in the shared folder and read it again. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: all that came of them has been written."""
+    for t in tables:
+        files, at = _files(t.sparkSession, t.written_at)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
 
 
 def text_or_empty(name: str) -> Column:
@@ -50,11 +67,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let Arrow batches hold fewer rows than the default of 10,000: rows here are whole texts and vectors of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Let Arrow batches hold fewer bytes than the default of 64 MB: rows here are whole texts, and tasks hold much more for each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > size:
+        spark.conf.set(name, f"{size}b")
 
 
 def sliced(batches, rows: int = 512):

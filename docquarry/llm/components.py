@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -22,18 +22,23 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     live = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     result = written(live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
-    live = live.where("u <> v")
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("to")), "hooks")
+    while not live.where("u <> v").isEmpty():
+        arcs = live.where("u <> v")
+        both = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = table = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("to")), "hooks")
         while True:  # follow the hooks to their roots; they always lead to a lesser vertex
-            jump = hook.join(hook.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", "to", F.coalesce("next", "to").alias("next"))
-            jump = written(jump, "jumps")
-            hook = jump.select("id", F.col("next").alias("to"))
-            if jump.where("next <> to").isEmpty():
+            jump = hook.join(hook.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
+            jump = written(jump.select("id", "to", F.coalesce("next", "to").alias("next")), "jumps")
+            done = jump.where("next <> to").isEmpty()
+            discard(table)
+            table, hook = jump, jump.select("id", F.col("next").alias("to"))
+            if done:
                 break
-        result = written(result.join(hook.withColumnsRenamed({"id": "component", "to": "_to"}), "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "labels")
+        named = hook.withColumnsRenamed({"id": "component", "to": "_to"})
+        before, result = result, written(result.join(named, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "labels")
         a, b = hook.withColumnsRenamed({"id": "u", "to": "a"}), hook.withColumnsRenamed({"id": "v", "to": "b"})
-        next_edges = live.join(a, "u").join(b, "v").where("a <> b")
-        live = written(next_edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        left = arcs.join(a, "u").join(b, "v").where("a <> b")
+        last, live = live, written(left.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        discard(before, last, table)
+    discard(live)
     return result

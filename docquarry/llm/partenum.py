@@ -1,28 +1,36 @@
 """Exact Jaccard links between sets of word n-grams by PartEnum signatures.
 
-Sets are put into bands of sizes that grow fourfold; a set close enough to the
-next band's least size joins that band too, so any two sets that may link meet in
-one. A band cuts the feature domain into partitions of two cells by the
-features' hash, and the enumerated subsets of each partition are its single
-cells: a signature is the content of one non-empty cell. Two linked sets differ
-in at most k features and so in at most k of either's signatures.
-
-First, signatures whose hash is low are counted: a set with more than k that no
-other set has links with nothing and goes. The sets that are left order all their
-signatures from rare to frequent, and two linked ones share one of their first
-k + 1 in this order, which any order of signatures would give; the rare ones keep
-common passages from bringing unlike sets together. Sets with k or fewer
-non-empty cells add the features of their Jaccard prefix, which covers pairs of
-two such sets. Sets that share a signature are chained, in salted groups where it
-is frequent, and the connected sets of the chains are compared once, in blocks of
-bounded size, with exact intersections. Blocks return a spanning forest of the
-links that hold, never pairs. Equal sets are one vertex.
+Sets are put into bands of sizes; a set close enough to the next band's least
+size joins that band too, so any two sets that may link meet in one. A band cuts
+the domain of the features' hashes into partitions of three cells and enumerates
+the three pairs of cells of each: a signature is the content of one pair. Two
+linked sets differ in at most k features, so of k // 2 + 1 partitions at least
+one has a single differing cell at most, and its other two are a signature that
+both sets have. Only partitions with at most one empty cell count, so that no
+signature stands for nothing, and a set uses the first k // 2 + 1 of these.
+
+First, every distinct set gives its signatures, and those that share none leave:
+they link with nothing. Tasks look at their own signatures together before they
+send them, so a signature of many sets leaves a task twice at most. The sets
+that are left then use some partitions more than they need. Linked sets share
+one signature for each spare partition beyond the first, so frequent signatures
+(of common passages, of large families of copies) are left out wherever a set
+has no more of them than it can spare. Sets that have more, small sets, and sets
+near a small set's size meet by their Jaccard prefix as well, features ordered
+from rare to frequent.
+
+Sets that share a signature are chained. A chain that is small in features is
+compared as a whole, in one task. In a larger one only sets that share a
+signature are compared: neighbours in each signature's order, then all members
+with the one that has most links, then, for signatures whose members aren't all
+connected yet, all members, in salted blocks of bounded size. Tasks return
+spanning forests of the links that hold, never pairs.
 
 Defined results: null and empty texts and texts without words have the empty set
 (n_shingles 0) and link with nothing; texts of fewer words than the n-gram are
 one feature; repeated rows and rows with equal sets share a component; a
 component's id is its least non-null key (null if it has none); extra columns are
-ignored. Features and sets are told apart by 64-bit hashes.
+ignored. Features are told apart by 64-bit hashes, sets by two.
 """
 
 from __future__ import annotations
@@ -33,91 +41,154 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, remembers, sliced, small_batches, text_or_empty, written
+from .common import discard, partitions, sliced, small_batches, text_or_empty, written
 from .components import components
 from .covertree import forest
 from .suffixdup import mixed
 
-#: Share of the signatures that is counted first; sets below the size count all.
-SHARE, SMALL = 0.45, 64
-#: Sets in a part of a frequent signature's group; features in a block of sets; keys that are broadcast at most.
-GROUP, BLOCK, BROADCAST_KEYS = 5_000, 1_000_000, 200_000
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+#: Sets of up to so many features meet by their Jaccard prefix.
+SMALL = 32
+#: Least sizes of the bands: each is five eighths more than the one before.
+BANDS = [SMALL + 1]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(BANDS[-1] * 13 // 8)
+#: A signature of more sets is frequent; sets in a part of a frequent signature's chain.
+FREQUENT, PART = 48, 5_000
+#: Features that are compared together, where a set counts as some features more; signatures that a task looks at
+#: together; keys that are broadcast at most.
+BLOCK, EACH, TOGETHER, BROADCAST_KEYS = 250_000, 100, 400_000, 200_000
+#: Bytes of texts that are cut into words together; longer words are hashed one by one.
+TEXTS, WORD = 2_000_000, 4096
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = np.full(WORD, _K[0], np.uint64)
+_POWERS[0] = 1
+_POWERS = np.multiply.accumulate(_POWERS)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of lowered bytes that end with white space."""
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    place = np.arange(len(data)) - starts[np.maximum(np.searchsorted(starts, np.arange(len(data)), side="right") - 1, 0)]
+    value = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[place % WORD]
+    value[space] = 0
+    found = mixed(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64) * _K[1])
+    for i in np.flatnonzero(ends - starts >= WORD):
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return found, starts
+
+
+def features(texts: list[str], width: int):
+    """The sorted distinct hashes of each text's n-grams of words; A-Z are lowered, only ASCII white space parts words."""
+    raw, i = [t.encode() for t in texts], 0
+    while i < len(raw):
+        j, size = i, 0
+        while j < len(raw) and (j == i or size + len(raw[j]) < TEXTS):
+            size += len(raw[j]) + 1
+            j += 1
+        data = _LOWER[np.frombuffer(b" ".join(raw[i:j]) + b" ", np.uint8)]
+        h, starts = word_hashes(data)
+        borders = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw[i:j])]))
+        total = h.copy()
+        for k in range(1, width):
+            total = total[:-1] * _K[0] + h[k:] if len(total) > 1 else total[:0]
+        total = mixed(total)
+        for a, b in zip(borders, borders[1:]):
+            if b - a >= width:
+                yield np.unique(total[a : b - width + 1])
+            elif b > a:
+                one = np.full(1, b - a, np.uint64)
+                for x in h[a:b]:
+                    one = one * _K[0] + x
+                yield mixed(one ^ _K[1])
+            else:
+                yield np.zeros(0, np.uint64)
+        i = j
+
+
+def set_keys(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set: of its features, and of their second hashes."""
+    both = np.array([x.sum(dtype=np.uint64), y.sum(dtype=np.uint64)]) + np.full(2, len(x), np.uint64) * _K[2]
+    return tuple(mixed(both).view(np.int64).tolist())
+
+
+def second(x: np.ndarray) -> np.ndarray:
+    return mixed(x ^ _K[3])
 
 
-class _Words(dict):
-    """Hashes of words, remembered."""
+def allowed(n: int, percent: int) -> int:
+    """Most features in which a set of n and one that is linked with it and no smaller may differ."""
+    return n * (100 - percent) // percent
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = found
-        return found
 
+def needed(n: int, percent: int) -> int:
+    """Partitions of which at least one must be shared."""
+    return allowed(n, percent) // 2 + 1
 
-_words = _Words()
 
+def spare(n: int, percent: int) -> int:
+    return needed(n, percent) // 4 + 1
 
-def features(text: str, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams of words; A-Z are lowered, only ASCII white space parts words."""
-    remembers("partenum", _words.clear)
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
-    if len(h) < width:
-        total = np.full(1, len(h), np.uint64)
-        for x in h:
-            total = total * _K[0] + x
-        return mixed(total ^ _K[1])
-    total = h[: len(h) - width + 1].copy()
-    for i in range(1, width):
-        total *= _K[0]
-        total += h[i : len(h) - width + 1 + i]
-    return np.unique(mixed(total))
 
+def parts_of(band: int, percent: int) -> int:
+    """Partitions of a band: what its largest set uses, and some more in place of those with empty cells."""
+    most = BANDS[band + 1] - 1
+    return needed(most, percent) + spare(most, percent) + 2
 
-def set_key(x: np.ndarray) -> int:
-    return int(mixed(x.sum(dtype=np.uint64, keepdims=True) + np.full(1, len(x), np.uint64) * _K[2]).view(np.int64)[0]) if len(x) else 0
 
+def bands(n: int, percent: int) -> list[int]:
+    """The band of a set's size, and the next one if a set of it may be linked; none for a size below all."""
+    own = int(np.searchsorted(BANDS, n, side="right")) - 1
+    return [own] * (own >= 0) + [own + 1] * (100 * n >= percent * BANDS[own + 1])
 
-def cells(x: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of the non-empty cells of a band's partitions."""
-    cell = x & np.uint64(4 * 4**band - 1)
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order]
-    first = np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0]
-    return mixed(np.add.reduceat(mixed(x[order] ^ _K[3]), first) + cell[first] * _K[0] + np.full(1, band, np.uint64) * _K[1])
 
+def by_prefix(n: int, percent: int) -> bool:
+    """Whether a set of n may be linked with a small one."""
+    return percent * n <= 100 * SMALL
 
-def bands(n: int, percent: int) -> list[int]:
-    own = 0
-    while 4 ** (own + 1) <= n:
-        own += 1
-    return [own, own + 1] if 100 * n >= percent * 4 ** (own + 1) else [own]
 
+def prefix(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1
 
-def allowed(n: int, percent: int) -> int:
-    """Most features in which a set of n and one linked with it may differ."""
-    return n * (100 - percent) // percent
 
+def signatures(x: np.ndarray, y: np.ndarray, band: int, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The signatures of the first partitions of which `most` are full, and their partitions; whether there are so many.
 
-def counted(x: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The signatures that are counted first, for each band of the set."""
-    found = [cells(x, b) for b in bands(len(x), percent)]
-    return found if len(x) < SMALL else [c[c < np.uint64(int(SHARE * 2.0**64))] for c in found]
+    A full partition has one empty cell at most. Partitions before the last that aren't give what pairs they have,
+    as they may be full in another set.
+    """
+    cells = 3 * parts_of(band, percent)
+    cell = ((x >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    at = np.searchsorted(cell, np.arange(cells + 1, dtype=np.uint64))
+    sums = np.zeros(len(y) + 1, np.uint64)
+    np.cumsum(y, out=sums[1:])
+    empty = (np.diff(at) == 0).reshape(-1, 3)
+    full = np.flatnonzero(empty.sum(axis=1) <= 1)
+    last = full[most - 1] + 1 if len(full) >= most else len(empty)
+    content, empty = (sums[at[1:]] - sums[at[:-1]]).reshape(-1, 3)[:last], empty[:last]
+    mark = np.arange(3 * last, dtype=np.uint64).reshape(-1, 3) + np.full(1, band + 1, np.uint64) * _K[4]
+    found = mixed(content[:, [0, 0, 1]] * _K[0] + mixed(content[:, [1, 2, 2]] + _K[1]) + mark * _K[2])
+    use = ~(empty[:, [0, 0, 1]] & empty[:, [1, 2, 2]])
+    return found[use], np.nonzero(use)[0], len(full) >= most
 
 
-def signatures(x: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
-    """All signatures by band, each with the number of those that must be used at least (in one shared order)."""
-    n = len(x)
-    k = allowed(n, percent)
-    out = [(c, k + 1) for c in (cells(x, b) for b in bands(n, percent))]
-    if any(len(c) <= k for c, _ in out):
-        prefix = mixed(x[: n - -(-n * percent // 100) + 1] + _K[2])
-        out.append((prefix, len(prefix)))
-    return out
+def screened(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
+    """Signatures of which two linked sets share one; True if the set has too few, so that it can't leave."""
+    n, out, sure = len(x), [], False
+    for band in bands(n, percent):
+        found, _, enough = signatures(x, y, band, needed(n, percent), percent)
+        out.append(found)
+        sure |= not enough
+    if by_prefix(n, percent):
+        out.append(mixed(x[: prefix(n, percent)] + _K[2]))
+    return np.concatenate(out), sure
 
 
 def links(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +239,212 @@ def _streamed(batches, keys: tuple[str, ...]):
         yield now, pa.Table.from_batches(held)
 
 
+def _arrays(column) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in column]
+
+
+def _told(sig: list, s: list, sure: list) -> pa.RecordBatch:
+    columns = [np.concatenate([np.asarray(c, np.int64) for c in told]) if told else np.zeros(0, np.int64) for told in (sig, s)]
+    flags = np.concatenate([np.full(len(c), f) for c, f in zip(s, sure)]) if s else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(flags)], names=["sig", "s", "sure"])
+
+
+def together(sig: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures with at most two of their sets each (the least and the greatest); the sets of those that have two."""
+    order = np.lexsort((s, sig))
+    sig, s = sig[order], s[order]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(sig)] - 1 if len(sig) else first
+    many = s[first] != s[last]
+    met = np.unique(s[np.repeat(many, last - first + 1)])
+    return np.concatenate([sig[first], sig[last[many]]]), np.concatenate([s[first], s[last[many]]]), met
+
+
+def _screen(batches, width: int, percent: int):
+    sig, own, seen, sure, size = [], [], set(), [], 0
+
+    def flush():
+        a, b, met = together(np.concatenate(sig).view(np.int64), np.concatenate(own))
+        # a set that surely stays is its own signature
+        stays = np.union1d(met, np.array(sure, np.int64))
+        return _told([a, stays], [b, stays], [False, True])
+
+    for batch in sliced(batches):
+        for x in features(batch.column(0).to_pylist(), width):
+            if not len(x):
+                continue
+            y = second(x)
+            s, _ = set_keys(x, y)
+            if s in seen:
+                continue
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.add(s)
+            found, must = screened(x, y, percent)
+            sig.append(found)
+            own.append(np.full(len(found), s))
+            sure += [s] * must
+            size += len(found)
+            if size >= TOGETHER:
+                yield flush()
+                sig, own, sure, size = [], [], [], 0
+    if sig:
+        yield flush()
+
+
+def _meeting(batches):
+    """Of rows in order of (sig, s): the sets of signatures that have several, and those that surely stay."""
+    end = (None, None)
+    for batch in batches:
+        sig, s = batch.column("sig").to_numpy(), batch.column("s").to_numpy()
+        if not len(sig):
+            continue
+        sure = batch.column("sure").to_numpy(zero_copy_only=False)
+        same = np.r_[end[0] is not None and sig[0] == end[0], sig[1:] == sig[:-1]]
+        before = np.r_[s[0] if end[0] is None else end[1], s[:-1]]
+        met = same & (s != before)
+        out = [s[met], before[met], s[sure]]
+        found = np.unique(np.concatenate(out))
+        end = (sig[-1], s[-1])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["s"])
+
+
+def _chains(batches):
+    """Each set with the one before it in its group; the least set of each part of a frequent signature's group."""
+    end = (None, None, None)
+    for batch in batches:
+        sig, salt, s = (batch.column(c).to_numpy() for c in ("sig", "salt", "id"))
+        salted = batch.column("salted").to_numpy(zero_copy_only=False)
+        if not len(sig):
+            continue
+        before_sig, before_salt, before = np.r_[sig[0], sig[:-1]], np.r_[salt[0], salt[:-1]], np.r_[s[0], s[:-1]]
+        same = (sig == before_sig) & (salt == before_salt)
+        same[0] = False
+        if end[0] is not None and (end[0], end[1]) == (sig[0], salt[0]):
+            same[0], before[0] = True, end[2]
+        end = (sig[-1], salt[-1], s[-1])
+        link = same & (s != before)
+        head = salted & ~same
+        u, v, w = np.r_[s[link], s[head]], np.r_[before[link], s[head]], pa.concat_arrays([pa.nulls(int(link.sum()), pa.int64()), pa.array(sig[head], pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), w], names=["u", "v", "sig"])
+
+
+def _chained(groups: DataFrame) -> DataFrame:
+    """(u, v): neighbours in each signature's order of sets. `groups`: sig, id, df."""
+    spark = groups.sparkSession
+    salted = groups.withColumns({"salt": F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / PART).cast("long")), "salted": F.col("df") > PART})
+    dealt = salted.select("sig", "salt", "id", "salted").repartition(partitions(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id")
+    chained = written(dealt.mapInArrow(_chains, "u long, v long, sig long").distinct(), "partenum-chains")
+    heads = chained.where("sig is not null").select("sig", "u")
+    joined = heads.join(heads.groupBy("sig").agg(F.min("u").alias("v")), "sig").where("u <> v").select("v", "u")
+    return chained.where("sig is null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(joined.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+
+
+def _compared(met: DataFrame, keys: tuple[str, ...], percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the links in each block. `met`: the keys, id, x; with `a`, `b` and `block` among them, only between a and b."""
+    spark = met.sparkSession
+    two = "block" in met.columns
+    dealt = met.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, *(["block"] if two else []), "id")
+
+    def compare(batches):
+        for key, rows in _streamed(batches, keys):
+            s = rows.column("id").to_numpy()
+            split = int((rows.column("block").to_numpy() == key[-2]).sum()) if two and key[-1] != key[-2] else None
+            p, q = links(_arrays(rows.column("x")), percent, split)
+            root = forest(len(s), p, q)
+            some = np.nonzero(root != np.arange(len(s)))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(s[some]), pa.array(s[root[some]])], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u long, v long")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are linked."""
+    both = pairs.join(held.select(F.col("id").alias("u"), F.col("x").alias("xu")), "u").join(held.select(F.col("id").alias("v"), F.col("x").alias("xv")), "v")
+
+    def check(batches):
+        for batch in batches:
+            ok = []
+            for a, b in zip(_arrays(batch.column("xu")), _arrays(batch.column("xv"))):
+                inner = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(100 * inner >= percent * (len(a) + len(b) - inner))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("u", "v", "xu", "xv").mapInArrow(check, "u long, v long")
+
+
+def _large_chains(groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect all linked sets which share a signature. `groups`: sig, id, df, n."""
+    near = written(_verified(_chained(groups), held, percent), "partenum-near")
+    open_ = _unresolved(groups, near)
+    # the member with most links so far, against all of the others
+    degree = near.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    star = open_.join(degree, "id", "left").groupBy("sig").agg(F.max_by("id", F.struct(F.coalesce("links", F.lit(0)), "id")).alias("hub"))
+    spokes = open_.join(star, "sig").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+    near = written(near.unionByName(_verified(spokes.join(near, ["u", "v"], "left_anti"), held, percent)), "partenum-hubs")
+    open_ = _unresolved(open_, near)
+    # groups with the same members are one; so many members that they aren't listed stay as they are
+    small = open_.where(F.col("df") <= FREQUENT).groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids")).groupBy("ids").agg(F.min("sig").alias("sig")).select("sig")
+    kept = written(open_.join(small.unionByName(open_.where(F.col("df") > FREQUENT).select("sig").distinct()), "sig", "left_semi"), "partenum-open")
+    sized = kept.groupBy("sig").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).cast("int").alias("blocks"))
+    dealt = kept.join(sized, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "id")
+    return near.unionByName(_compared(met.join(held, "id"), ("sig", "a", "b"), percent))
+
+
+def _unresolved(groups: DataFrame, near: DataFrame) -> DataFrame:
+    """Groups whose members aren't all connected, with three members or more (of two, the pair has been compared)."""
+    joined = components(near).withColumnRenamed("component", "root")
+    placed = groups.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    some = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2").select("sig")
+    return written(groups.join(some, "sig", "left_semi"), "partenum-unresolved")
+
+
+def _grouped(held: DataFrame, percent: int) -> DataFrame:
+    """(sig, id, df, n): groups in which any two linked sets meet. `held`: id, x."""
+
+    def spread(batches):
+        for batch in sliced(batches):
+            told = []
+            for i, x in zip(batch.column("id").to_pylist(), _arrays(batch.column("x"))):
+                n, y = len(x), second(x)
+                for level, band in enumerate(bands(n, percent)):
+                    found, part, _ = signatures(x, y, band, needed(n, percent) + spare(n, percent), percent)
+                    told.append((found.view(np.int64), i, n, level, part))
+            if told:
+                sizes = [len(t[0]) for t in told]
+                columns = [np.repeat(np.array([t[k] for t in told], np.int64), sizes) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[0] for t in told])), *map(pa.array, columns), pa.array(np.concatenate([t[4] for t in told]))], names=["sig", "id", "n", "level", "part"])
+
+    every = held.mapInArrow(spread, "sig long, id long, n long, level long, part long")
+    frequency = every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    shared = written(every.join(frequency, "sig"), "partenum-shared")
+    # sets that have more frequent signatures than they can spare, by the least size of a linked set
+    n = F.col("n")
+    least = F.ceil(n * percent / 100)
+    spares = F.floor((F.floor(F.floor(least * (100 - percent) / percent) / 2) + 1) / 4) + 1
+    crowded = shared.where(F.col("df") > FREQUENT).groupBy("id", "level", "n").agg(F.count_distinct("part").alias("h")).where(F.col("h") > spares).select("id")
+
+    def short(batches):
+        for batch in sliced(batches):
+            some = []
+            for x in _arrays(batch.column("x")):
+                n = len(x)
+                most = needed(n, percent) + spare(n, percent)
+                some.append(by_prefix(n, percent) or not all(signatures(x, x, b, most, percent)[2] for b in bands(n, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("id")], names=["id"]).filter(pa.array(some, pa.bool_()))
+
+    by_features = written(held.mapInArrow(short, "id long").unionByName(crowded).distinct(), "partenum-prefixed")
+    sets = held.join(by_features, "id", "left_semi").select("id", F.size("x").cast("long").alias("n"), F.explode("x").alias("f"))
+    counts = sets.groupBy("f").agg(F.count("*").alias("df"))
+    ranked = sets.join(counts, "f").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "f")))
+    rare = ranked.where((F.col("rank") <= n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select(F.xxhash64("f").alias("sig"), "id", "n")
+    met = rare.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    groups = shared.where(F.col("df") <= FREQUENT).select("sig", "id", "df", "n").unionByName(rare.join(met, "sig").select("sig", "id", "df", "n"))
+    return written(groups, "partenum-groups")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id of every row; linked: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -177,105 +454,45 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def light(batches):
         for batch in sliced(batches):
-            found = [features(t, width) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_t1"), batch.column("_t2"), pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())], names=["_key", "_t1", "_t2", "s", "n"])
-
-    def count(batches):
-        for batch in sliced(batches):
-            s, up, sig = [], [], []
-            for t in batch.column(0).to_pylist():
-                x = features(t, width)
-                if len(x):
-                    for i, found in enumerate(counted(x, percent)):
-                        sig.append(found)
-                        s.append(np.full(len(found), set_key(x)))
-                        up.append(np.full(len(found), i, np.int32))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(up))], names=["sig", "s", "up"])
-
-    made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(light, f"_key {key_type}, _t1 long, _t2 long, s long, n long"), "partenum-sets")
-    owned = picked.select("_text").mapInArrow(count, "sig long, s long, up int").groupBy("sig").agg(F.min("s").alias("s"), F.max("s").alias("other"), F.min("up").alias("up")).where("s = other")
-    alone = owned.groupBy("s").agg(F.sum(1 - F.col("up")).alias("own"), F.sum("up").alias("above"))
-    sets = made.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("_t1").alias("_t1"), F.count("*").alias("rows"))
-    k = F.floor(F.col("n") * (100 - percent) / percent)
-    # in the upper band too, if the size is near enough to its least
-    nearly = F.expr(f"100 * n >= {percent} * pow(4, floor(log(4, n) + 1e-9) + 1)")
-    hopeful = (F.coalesce("own", F.lit(0)) <= k) | (nearly & (F.coalesce("above", F.lit(0)) <= k))
-    hopes = written(sets.join(alone, "s", "left").where(hopeful).select("s", "_t1"), "partenum-hopes")
+            found = [(*set_keys(x, second(x)), len(x)) for x in features(batch.column("_text").to_pylist(), width)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_t1"), batch.column("_t2"), *columns], names=["_key", "_t1", "_t2", "s1", "s2", "n"])
+
+    made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(light, f"_key {key_type}, _t1 long, _t2 long, s1 long, s2 long, n long"), "partenum-sets")
+    screen = picked.select("_text").mapInArrow(lambda batches: _screen(batches, width, percent), "sig long, s long, sure boolean")
+    met = screen.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "s").mapInArrow(_meeting, "s long")
+    stay = written(met.distinct(), "partenum-stay")
+    hopes = made.where("n > 0").join(stay, F.col("s1") == F.col("s"), "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("_t1", "_t2")).alias("_t"))
+    # numbered and written: from here on a set is its number
+    hopes = written(hopes.select("s1", "s2", "_t.*").withColumn("id", F.monotonically_increasing_id()), "partenum-hopes")
     few = hopes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    mark = hopes.select("_t1").distinct()
-    texts = picked.select("_t1", "_text").join(F.broadcast(mark) if few else mark, "_t1", "left_semi").groupBy("_t1").agg(F.first("_text").alias("_text"))
+    mark = hopes.select("_t1", "_t2", "id")
+    texts = picked.select("_t1", "_t2", "_text").join(F.broadcast(mark) if few else mark, ["_t1", "_t2"]).groupBy("id").agg(F.first("_text").alias("_text"))
 
     def again(batches):
         for batch in sliced(batches):
-            found = [features(t, width) for t in batch.column("_text").to_pylist()]
+            found = list(features(batch.column("_text").to_pylist(), width))
             ends = np.cumsum([0, *(len(x) for x in found)])
             told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), told], names=["s", "x"])
-
-    held = written(texts.mapInArrow(again, "s long, x array<long>"), "partenum-features")
-
-    def all_signatures(batches):
-        for batch in sliced(batches):
-            rows = []
-            for s, x in zip(batch.column("s").to_pylist(), batch.column("x"), strict=True):
-                rows += [(s, i, len(c), least, c) for i, (c, least) in enumerate(signatures(x.values.to_numpy().view(np.uint64), percent))]
-            if rows:
-                sizes = [len(r[4]) for r in rows]
-                columns = [np.repeat(np.array([r[i] for r in rows], np.int64), sizes) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[4] for r in rows]).view(np.int64)), *map(pa.array, columns)], names=["sig", "s", "band", "cells", "least"])
-
-    every = held.mapInArrow(all_signatures, "sig long, s long, band long, cells long, least long")
-    shared = every.join(every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
-    own = Window.partitionBy("s", "band")
-    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("df", "sig")), "of": F.count("*").over(own)})
-    # signatures of one set alone come first in the order and meet nothing
-    used = ranked.where("rank + cells - of <= least").withColumns({"salt": F.pmod(F.xxhash64("s"), F.ceil(F.col("df") / GROUP).cast("long")), "hot": F.col("df") > GROUP})
-    dealt = used.select("sig", "salt", "s", "hot").repartition(partitions(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "s")
-
-    def chains(batches):
-        """Each set with the one before it in its group; the least set of each part of a frequent signature's group."""
-        end = (None, None, None)
-        for batch in batches:
-            sig, salt, s = (batch.column(c).to_numpy() for c in ("sig", "salt", "s"))
-            hot = batch.column("hot").to_numpy(zero_copy_only=False)
-            if not len(sig):
-                continue
-            before_sig, before_salt, before = np.r_[sig[0], sig[:-1]], np.r_[salt[0], salt[:-1]], np.r_[s[0], s[:-1]]
-            same = (sig == before_sig) & (salt == before_salt)
-            same[0] = False
-            if end[0] is not None and (end[0], end[1]) == (sig[0], salt[0]):
-                same[0], before[0] = True, end[2]
-            end = (sig[-1], salt[-1], s[-1])
-            link = same & (s != before)
-            head = hot & ~same
-            u, v, w = np.r_[s[link], s[head]], np.r_[before[link], s[head]], pa.concat_arrays([pa.nulls(int(link.sum()), pa.int64()), pa.array(sig[head], pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), w], names=["u", "v", "sig"])
-
-    chained = written(dealt.mapInArrow(chains, "u long, v long, sig long").distinct(), "partenum-chains")
-    heads = chained.where("sig is not null").select("sig", "u")
-    joined_heads = heads.join(heads.groupBy("sig").agg(F.min("u").alias("v")), "sig").where("u <> v").select("u", "v")
-    near = components(chained.where("sig is null").select("u", "v").unionByName(joined_heads)).withColumnsRenamed({"id": "s", "component": "chain"})
-    one = held.join(near, "s")
-    sized = one.groupBy("chain").agg(F.ceil(F.sum(F.size("x")) / BLOCK).cast("int").alias("blocks"))
-    held_sets = one.join(sized, "chain").withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = held_sets.withColumn("_o", other).select("chain", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "s", "x")
-    met = met.repartition(partitions(spark), "chain", "a", "b").sortWithinPartitions("chain", "a", "b", "block", "s")
-
-    def compare(batches):
-        for (_, a, b), rows in _streamed(batches, ("chain", "a", "b")):
-            s, block = rows.column("s").to_numpy(), rows.column("block").to_numpy()
-            x = [v.values.to_numpy().view(np.uint64) for v in rows.column("x")]
-            p, q = links(x, percent, None if a == b else int((block == a).sum()))
-            root = forest(len(s), p, q)
-            some = np.nonzero(root != np.arange(len(s)))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(s[some]), pa.array(s[root[some]])], names=["u", "v"])
-
-    found = components(written(met.mapInArrow(compare, "u long, v long"), "partenum-links")).withColumnsRenamed({"id": "s", "component": "root"})
-    light = made.select("_key", "s", "n").where("n > 0").join(found, "s", "left").withColumn("root", F.coalesce("root", "s"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), told], names=["id", "x"])
+
+    held = written(texts.mapInArrow(again, "id long, x array<long>"), "partenum-features")
+    groups = _grouped(held, percent)
+    chain = components(_chained(groups)).withColumnRenamed("component", "chain")
+    one = written(held.select("id", F.size("x").alias("n")).join(chain, "id"), "partenum-chained")
+    large = written(one.groupBy("chain").agg(F.sum(F.col("n") + EACH).alias("size")).where(F.col("size") > BLOCK).select("chain"), "partenum-large")
+    alone = held.join(one.select("id", "chain").join(large, "chain", "left_anti"), "id")
+    found = _compared(alone, ("chain",), percent)
+    if not large.isEmpty():
+        some = one.join(large, "chain", "left_semi").select("id")
+        found = found.unionByName(_large_chains(written(groups.join(some, "id", "left_semi"), "partenum-crowds"), held, percent))
+    joined = components(written(found, "partenum-links"))
+    name = hopes.select("id", "s1", "s2")
+    roots = joined.join(name, "id").join(name.select(F.col("id").alias("component"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "component").select("s1", "s2", "r1", "r2")
+    rows = made.select("_key", "s1", "s2", "n").where("n > 0").join(roots, ["s1", "s2"], "left").withColumns({"r1": F.coalesce("r1", "s1"), "r2": F.coalesce("r2", "s2")})
     # written, so that both sides of the join are dealt anew and large parts can be split
-    least = written(light.groupBy("root").agg(F.min("_key").alias("component_id")), "partenum-least")
-    linked = light.join(least, "root").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    least = written(rows.groupBy("r1", "r2").agg(F.min("_key").alias("component_id")), "partenum-least")
+    linked = rows.join(least, ["r1", "r2"]).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     empty = made.where("n = 0").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.col("_key").alias("component_id"))
+    discard(stay, held, groups, one, large)
     return linked.unionByName(empty)
