@@ -8,18 +8,25 @@ occurrence weighted by `decay` to the power of the length it spans (at most
 punctuation, only widen gaps, so spaced or starred insults stay close to the plain
 word.
 
-Training takes labelled documents up to a documented number. Words much more
-frequent in toxic than in other documents are the toxic instances, frequent and
-hashed words of other documents the rest; the kernel matrix of landmarks among
-them gives the Nyström features of a linear machine with squared hinge loss.
-Because the machine is linear in the kernel, its landmarks fold into one table
-with a weight for each subsequence, and a word's margin is a sum of look-ups. A
-document's score is a logistic function of its two greatest margins, fitted on
-the same documents.
+Training takes labelled documents up to a documented number and cuts them into
+sentences, which take their document's label (one of both kinds isn't toxic;
+copies count once). The sentences of a toxic document hold some toxic instance,
+but it isn't known which, so each toxic document names a few witnesses: first by
+the evidence of the sentences' counts, in further turns by the machine's
+margins. Others of its instances, explained by these, aren't learnt. The machine
+is trained on the witnesses against the instances of all sentences that aren't
+toxic. Of these it needs those within its margin only:
+each round scores them all and adds what the machine gets wrong, until nothing
+much is wrong. The kernel with landmarks among the instances gives the Nyström features
+of a linear machine with squared hinge loss. Because the machine is linear in
+the kernel, its landmarks fold into one table with a weight for each
+subsequence, and a word's margin is a sum of look-ups. A document's score is a
+logistic function of its two greatest margins, fitted on the same documents.
 
 Defined results: a null or empty text has no instance and gets the least score;
-margins below -1 count as -1, as do words of less than three characters; words longer than `WIDTH` characters are scored in
-overlapping windows; all of a text is read; rows are scored each, so repeated
+margins below -1 count as -1, as do words of less than three characters; words
+longer than `WIDTH` characters are learnt and scored in overlapping windows; all
+of a text is read; rows are scored each, so repeated
 rows and null keys each give a result (a null key is never held out); labels that are
 null or whose document is missing are ignored; without both kinds of labels every
 score is that of the share of toxic labels (0.5 if there are none); extra columns are ignored.
@@ -27,6 +34,7 @@ score is that of the share of toxic labels (0.5 if there are none); extra column
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -44,6 +52,7 @@ SYMBOLS = 64
 #: Words that a task remembers; characters of the texts it looks at together.
 REMEMBERED, TOGETHER = 400_000, 1_000_000
 
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _STEPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 
 
@@ -245,70 +254,173 @@ def _scorer(model: Model, mark: int) -> Scorer:
     return _scorers[mark]
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, landmarks: int = 256, decay: float = 0.6, words: int = 512) -> Model:
-    """Learn from at most `sample` labelled documents (those of least key hash) and at most `words` toxic words."""
-    small_batches(docs.sparkSession)
+def cut_sentences(text: str) -> list[str]:
+    return [x for x in (" ".join(s.split()) for s in _SENTENCE.split(text)) if x]
+
+
+def _pieces(text: str) -> set[str]:
+    """The instances of a text that can be learnt."""
+    return {p for w in set(instances(text)) for p in windows(w) if len(p) > 2}
+
+
+def _flat(toxic: int, clean: int, decay: float) -> Model:
+    """Without instances of both kinds every score is the share of toxic texts."""
+    share = (toxic + 0.5) / (clean + toxic + 1) if clean + toxic else 0.5
+    return Model("abc", decay, np.zeros(SYMBOLS**3, np.float32), -1.0, np.array([0.0, 0.0, np.log(share / (1 - share))]))
+
+
+class _Machine:
+    """Landmarks, and the linear machine over their Nyström features."""
+
+    def __init__(self, kernel: Kernel, landmarks: list[str]):
+        self.kernel = kernel
+        self.base, self.codes = kernel.features(landmarks)
+        values, vectors = np.linalg.eigh(self.base @ self.base.T)
+        some = values > 1e-6 * values[-1]
+        self.root = vectors[:, some] / np.sqrt(values[some])
+
+    def nystroem(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros((0, self.root.shape[1]))
+        return np.concatenate([self.kernel.similar(words[i : i + 128], self.base, self.codes) @ self.root for i in range(0, len(words), 128)])
+
+    def trained(self, good: np.ndarray, bad: np.ndarray, weight: np.ndarray, others: int) -> tuple[Model, float]:
+        """The model of toxic instances `bad` with weights of sum 1 and `good` ones, `others` in all; its loss."""
+        y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
+        x, w = np.concatenate([bad, good]), np.r_[weight, np.full(len(good), 1.0 / others)]
+        machine = squared_hinge(x, y, w)
+        table = np.zeros(SYMBOLS**3)
+        table[self.codes] = self.base.T @ (self.root @ machine[:-1])
+        table[0] = 0
+        loss = (w * np.maximum(0, 1 - y * (x @ machine[:-1] + machine[-1])) ** 2).sum()
+        return Model(self.kernel.alphabet, self.kernel.decay, table.astype(np.float32), float(machine[-1]), np.zeros(3)), float(loss)
+
+
+def _wrong(ordinary: DataFrame, machine: _Machine, model: Model, known: set[str]) -> pa.Table:
+    """Of the ordinary instances that aren't known: those within the margin, their excess over -1 and features."""
+    held = ordinary.sparkSession.sparkContext.broadcast((machine, model, known))
+
+    def run(batches):
+        machine, model, known = held.value
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if w not in known]
+            over = machine.kernel.margins(words, model.table, model.bias) + 1 if words else np.zeros(0)
+            some = np.flatnonzero(over > 1e-3)
+            x = machine.nystroem([words[i] for i in some]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(over[some]), lists], names=["w", "over", "x"])
+
+    found = ordinary.mapInArrow(run, "w string, over double, x array<float>").toArrow()
+    held.unpersist()
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, landmarks: int = 256, decay: float = 0.6, lift: float = 4.0, named: int = 3, turns: int = 1, tolerance: float = 0.02) -> Model:
+    """Learn from the sentences of at most `sample` labelled documents (those of least key hash).
+
+    `landmarks` is the size of the model; `lift`: how many times as often a first witness stands in toxic sentences
+    as in others, at least; `named`: how many witnesses a toxic document names; `turns`: how often witnesses are named; `tolerance`: the share of the loss
+    that instances which the machine hasn't seen may have when a turn's training ends.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     # bounded: `sample` ids
     chosen = written(chosen.orderBy(F.xxhash64(key), key).limit(sample), "toxic-sample")
     texts = written(docs.select(key, text_or_empty(text).alias("_text")).join(F.broadcast(chosen), key).groupBy("_text").agg(F.max("_y").alias("_y")).select("_text", "_y"), "toxic-texts")
+    clean_texts, toxic_texts = (int(texts.where(F.col("_y") == y).count()) for y in (0, 1))
+    if not clean_texts or not toxic_texts:
+        return _flat(toxic_texts, clean_texts, decay)
+
+    def split(batches):
+        for batch in batches:
+            told = [(x, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in cut_sentences(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in told], pa.string()), pa.array([y for _, y in told], pa.int32())], names=["x", "y"])
+
+    said = written(texts.mapInArrow(split, "x string, y int").groupBy("x").agg(F.min("y").alias("y")), "toxic-sentences")
+    clean, toxic = (max(1, int(said.where(F.col("y") == y).count())) for y in (0, 1))
 
     def count(batches):
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in set(instances(t)):
-                    if len(w) <= WIDTH:
-                        seen.setdefault(w, [0, 0])[y] += 1
+                for w in _pieces(t):
+                    seen.setdefault(w, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([a for a, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], names=["w", "clean", "toxic"])
 
-    counts = written(texts.mapInArrow(count, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
-    clean, toxic = (int(texts.where(F.col("_y") == y).count()) for y in (0, 1))
-    if not clean or not toxic:
-        share = (toxic + 0.5) / (clean + toxic + 1) if clean + toxic else 0.5
-        return Model("abc", decay, np.zeros(SYMBOLS**3, np.float32), -1.0, np.array([0.0, 0.0, np.log(share / (1 - share))]))
-    least = max(3, -(-toxic // 100))
-    ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
-    hopes = counts.where((F.col("toxic") >= least) & (ratio >= 10) & (F.length("w") > 2)).orderBy(F.desc(ratio), F.desc("toxic"), "w").limit(2 * words)
-    order = {r["w"]: i for i, r in enumerate(hopes.collect())}
-
-    def witness(batches):
+    counts = written(said.mapInArrow(count, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
+    # the log-likelihood gained by an instance's rate in toxic sentences over `lift` times that in others; beyond what
+    # the luckiest of all instances would gain by chance
+    evidence = lambda n: F.col(n) * F.log((F.col(n) / toxic) / ((F.col("clean") + 0.5) / clean) / lift)
+    bar = float(np.log(max(1, counts.count()))) + 3
+    told = counts.where(evidence("toxic") >= bar)
+    hopes = {r["w"]: 0.0 for r in told.select("w").collect()}
+
+    def neighbours(batches):
         for batch in batches:
-            told = [w for t in batch.column(0).to_pylist() for w in sorted({w for w in instances(t) if w in order}, key=order.get)[:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(told, pa.string())], names=["w"])
-
-    # a toxic document vouches for its three most telling words only, so that what else is copied along with them isn't learnt
-    vouched = texts.where("_y = 1").mapInArrow(witness, "w string").groupBy("w").agg(F.count("*").alias("n"))
-    bad_rows = [(r["w"], r["n"]) for r in vouched.where(F.col("n") >= max(2, least // 2)).orderBy(F.desc("n"), "w").limit(words).collect()]
-    bad = [w for w, _ in bad_rows]
-    ordinary = counts.where((F.col("clean") > 0) & (ratio < 4) & (F.length("w") > 2))
-    good = [r["w"] for r in ordinary.orderBy(F.desc("clean"), "w").limit(1500).collect()] + [r["w"] for r in ordinary.orderBy(F.xxhash64("w"), "w").limit(2500).collect()]
-    good = sorted(set(good) - set(bad))
-    if not bad or not good:
-        share = toxic / (clean + toxic)
-        return Model("abc", decay, np.zeros(SYMBOLS**3, np.float32), -1.0, np.array([0.0, 0.0, np.log(share / (1 - share))]))
+            told = []
+            for t in batch.column(0).to_pylist():
+                words = ["", *t.lower().split(), ""]
+                found = {p: (a, b) for a, w, b in zip(words, words[1:], words[2:]) for p in windows(w) if p in hopes}
+                told += [(p, side, x) for p, n in found.items() for side, x in enumerate(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], (pa.string(), pa.int32(), pa.string())[i]) for i in range(3)], names=["w", "side", "x"])
+
+    # a document counts once; near copies count little, as an instance has the same neighbours in them: the number of
+    # equally frequent neighbours that would meet by chance as often as an instance's do, on the side where it is less
+    near = texts.where("_y = 1").select("_text").mapInArrow(neighbours, "w string, side int, x string").groupBy("w", "side", "x").agg(F.count("*").alias("n"))
+    apart = near.groupBy("w", "side").agg((F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n") * F.col("n"))).alias("k")).groupBy("w").agg(F.min("k").alias("places"))
+    hopes = {r["w"]: r["e"] for r in told.join(apart, "w").withColumn("e", evidence("places")).where(F.col("e") >= bar).select("w", "e").collect()}
+
+    def witnesses(best) -> dict[str, int]:
+        """How many toxic documents name each instance; `best`: those that one names."""
+
+        def run(batches):
+            for batch in batches:
+                told = [w for t in batch.column(0).to_pylist() for w in best(_pieces(t))]
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.string())], names=["w"])
+
+        found = texts.where("_y = 1").select("_text").mapInArrow(run, "w string").groupBy("w").agg(F.count("*").alias("n"))
+        return {r["w"]: r["n"] for r in found.orderBy("w").collect()}
+
+    bad = witnesses(lambda words: sorted((w for w in words if w in hopes), key=lambda w: (-hopes[w], w))[:named])
+    # seen in a sentence that isn't toxic
+    ordinary = counts.where("clean > 0").select("w")
+    others = ordinary.count()
+    if not bad or not others:
+        return _flat(toxic_texts, clean_texts, decay)
+    start = [r["w"] for r in ordinary.orderBy(F.xxhash64("w"), "w").limit(8 * landmarks).collect()]
     seen: dict[str, int] = {}
-    for w in bad + good:
+    for w in [*bad, *start]:
         for c in w:
             if c.isalnum():
                 seen[c] = seen.get(c, 0) + 1
     kernel = Kernel("".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 1])), decay)
-    all_words = bad + good
-    y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-    spread = lambda ws, n, at: at + np.array(sorted(range(len(ws)), key=lambda i: zlib.crc32(ws[i].encode()))[:n])
-    marks = np.concatenate([spread(bad, landmarks // 2, 0), spread(good, landmarks - landmarks // 2, len(bad))])
-    base, codes = kernel.features([all_words[i] for i in marks])
-    similar = np.concatenate([kernel.similar(all_words[i : i + 128], base, codes) for i in range(0, len(all_words), 128)])
-    values, vectors = np.linalg.eigh(base @ base.T)
-    some = values > 1e-6 * values[-1]
-    root = vectors[:, some] / np.sqrt(values[some])
-    # a toxic word weighs as the documents that it explains
-    weight = np.r_[np.array([n for _, n in bad_rows], float) / sum(n for _, n in bad_rows), np.full(len(good), 1.0 / len(good))]
-    machine = squared_hinge(similar @ root, y, weight)
-    table = np.zeros(SYMBOLS**3)
-    table[codes] = base.T @ (root @ machine[:-1])
-    table[0] = 0
-    model = Model(kernel.alphabet, decay, table.astype(np.float32), float(machine[-1]), np.zeros(3))
+    spread = lambda ws, n: sorted(ws, key=lambda w: (zlib.crc32(w.encode()), w))[:n]
+    known = sorted(set(start) - set(bad))
+    marks = spread(bad, landmarks // 2)
+    machine = _Machine(kernel, marks + spread(known, landmarks - len(marks)))
+    good = machine.nystroem(known)
+    for turn in range(turns):
+        weight = np.array(list(bad.values()), float)
+        told = machine.nystroem(list(bad))
+        while True:
+            model, loss = machine.trained(good, told, weight / weight.sum(), others)
+            # instances that a witness is one of are no counterexamples
+            wrong = _wrong(ordinary, machine, model, {*known, *bad})
+            missed = (np.asarray(wrong.column("over")) ** 2).sum() / others
+            if missed <= tolerance * loss:
+                break
+            x = wrong.column("x").combine_chunks()
+            x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).values.to_numpy().reshape(wrong.num_rows, -1)
+            most = np.argsort(-np.asarray(wrong.column("over")), kind="stable")[: 32 * landmarks]
+            words = wrong.column("w").to_pylist()
+            known = [*known, *(words[i] for i in most)]
+            good = np.concatenate([good, x[most].astype(np.float64)])
+        if turn + 1 < turns:
+            scorer = spark.sparkContext.broadcast(model)
+            bad = witnesses(_by_margin(scorer, named)) or bad
+            gone = np.array([w not in bad for w in known])
+            known, good = [w for w in known if w not in bad], good[gone]
 
     def margins(batches):
         scorer = Scorer(model)
@@ -322,6 +434,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
+def _by_margin(held, named: int):
+    """The instances of the greatest margins that the machine calls toxic."""
+    kept: list[Scorer] = []
+
+    def best(words: set[str]) -> list[str]:
+        if not kept:
+            kept.append(Scorer(held.value))
+        kept[0].learn(words)
+        high = kept[0].high
+        return sorted((w for w in words if high.get(w, 0.0) > 0), key=lambda w: (-high[w], w))[:named]
+
+    return best
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The kept columns, score and predicted."""
     small_batches(docs.sparkSession)

@@ -150,9 +150,13 @@ def test_schedule_is_pfair(spark):
 def test_mixing_keeps_all_rows_in_order(spark):
     rnd = random.Random(2)
     rows = [(i, "x" * rnd.randint(0, 60), rnd.choice(["hot"] * 6 + ["b", "c", None])) for i in range(500)] + [(None, None, None), (3, "same", "hot"), (3, "same", "hot")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_slot", F.lit("clash")).withColumn("_mix_x", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("MIX_SLOT", F.col("doc_id") * 2).withColumn("_mix_block", F.lit("clash")).withColumn("_m_hash", F.lit(0))
+    names = mixing.added(df.columns)
+    assert names[0] == "__mix_block" and mixing.added(["a"]) == mixing.ADDED
     mixed = mixing.mix(df, {"hot": 2, "b": 1, "c": 1, None: 1}, block_chars=100, slots=10)
-    got = mixed.collect()
+    assert mixed.columns == [*df.columns, *names]
+    assert mixed.where("not (MIX_SLOT <=> doc_id * 2) or _mix_block <> 'clash' or _m_hash <> 0").count() == 0
+    got = mixed.select("doc_id", "text", "source", *(F.col(n).alias(m) for n, m in zip(names, mixing.ADDED))).collect()
     key = lambda r: str((r["doc_id"], r["text"], r["source"]))
     assert sorted(map(key, got)) == sorted(str(r) for r in rows)
     assert [r["mix_slot"] for r in got] == sorted(r["mix_slot"] for r in got)
@@ -316,24 +320,52 @@ def test_jaccard_brute(spark, monkeypatch):
     want = brute_jaccard(rows)
     take = lambda d: sorted((tuple(r) for r in d.select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert take(partenum.jaccard_components(df)) == want
-    for name, value in (("SHARE", 0.3), ("GROUP", 20), ("BLOCK", 3000), ("BROADCAST_KEYS", 0)):
-        monkeypatch.setattr(partenum, name, value)
-    assert take(partenum.jaccard_components(df)) == want
+    for values in ({"BLOCK": 3000, "TOGETHER": 500, "BROADCAST_KEYS": 0}, {"PART": 20, "BLOCK": 1500, "EACH": 0, "FREQUENT": 4, "TEXTS": 2000}):
+        for name, value in values.items():
+            monkeypatch.setattr(partenum, name, value)
+        assert take(partenum.jaccard_components(df)) == want
     assert partenum.jaccard_components(df.where("false")).count() == 0
 
 
 def test_signatures_of_linked_sets_meet():
-    """In any shared order, linked sets have one of their first signatures in common."""
-    rnd = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(rnd.integers(1, 90))
-        a = np.unique(rnd.integers(0, 2**63, size=n, dtype=np.uint64))
-        keep = a[rnd.random(len(a)) > 0.1]
-        b = np.unique(np.concatenate([keep, rnd.integers(0, 2**63, size=int(rnd.integers(0, 1 + n // 8)), dtype=np.uint64)]))
+    """Linked sets share a signature of the screen, and one more for each partition that they can spare."""
+    rnd = np.random.default_rng(4)
+    own = lambda x: {int(s) for s in partenum.screened(x, partenum.second(x), 80)[0]}
+    met = 0
+    for _ in range(1500):
+        n = int(rnd.integers(1, 40)) if rnd.random() < 0.3 else int(rnd.integers(30, 700))
+        a = np.unique(rnd.integers(0, 2**63, size=n, dtype=np.uint64) * np.uint64(2))
+        keep = a[rnd.random(len(a)) > rnd.choice((0.05, 0.1, 0.2))]
+        b = np.unique(np.concatenate([keep, rnd.integers(0, 2**63, size=int(rnd.integers(0, 1 + n // 8)), dtype=np.uint64) * np.uint64(2)]))
         inner = len(np.intersect1d(a, b))
-        if len(b) and 100 * inner >= 80 * (len(a) + len(b) - inner):
-            first = lambda x: {int(s) for c, k in partenum.signatures(x, 80) for s in np.sort(c)[:k]}  # noqa: B023, E731
-            assert first(a) & first(b)
+        if not len(b) or 100 * inner < 80 * (len(a) + len(b) - inner):
+            continue
+        met += 1
+        sure = [partenum.screened(x, partenum.second(x), 80)[1] for x in (a, b)]
+        assert own(a) & own(b) or all(sure)
+        assert all(sure) or all(len(partenum.bands(len(x), 80)) > 0 or partenum.by_prefix(len(x), 80) for x in (a, b))
+        if not (partenum.by_prefix(len(a), 80) and partenum.by_prefix(len(b), 80)):
+            told = []
+            for x in (a, b):
+                most = partenum.needed(len(x), 80) + partenum.spare(len(x), 80)
+                told.append([partenum.signatures(x, partenum.second(x), band, most, 80) for band in partenum.bands(len(x), 80)])
+            if all(t[2] for side in told for t in side):
+                parts = [{int(s): int(p) for f, at, _ in side for s, p in zip(f, at)} for side in told]
+                shared = {parts[0][s] for s in parts[0].keys() & parts[1].keys()}
+                assert len(shared) > min(partenum.spare(len(x), 80) for x in (a, b))
+    assert met > 300
+
+
+def test_word_hashes_see_words_only():
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abAB \t\né日") for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", "x" * 9000 + " y", "X" * 9000 + "  Y", "x" * 8999 + " y"]
+    got = [tuple(x.tolist()) for x in partenum.features(texts, 3)]
+    sets = defaultdict(set)
+    for t, g in zip(texts, got):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+        sets[frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])].add(g)
+    assert all(len(v) == 1 and len(next(iter(v))) == len(k) for k, v in sets.items())
+    assert len({next(iter(v)) for v in sets.values()}) == len(sets)
 
 
 # ---- pipeline

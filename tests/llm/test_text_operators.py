@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,20 @@ def test_bpe_long_texts_meet_again(spark):
     assert sorted(r["bytes"].decode() for r in bpe.decode(ids, CONTENT).collect()) == sorted(t or "" for _, t in rows)
 
 
+def test_bpe_long_texts_are_encoded_in_parts(spark, monkeypatch):
+    """Long texts among short ones, repeated and without a key, over many chunks and parts."""
+    monkeypatch.setattr(bpe, "PART", 40)
+    rnd = random.Random(5)
+    long = ["".join(rnd.choice(("word ", "né ", "日本", "  \n", "x" * 90, "1234")) for _ in range(900)) for _ in range(3)]
+    rows = [(1, long[0]), (1, long[0]), (None, long[1]), (2, long[2]), (3, "short"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((tuple(r) for r in bpe.encode_digests(df, CONTENT, public_tokenizers.PATTERN, long_chars=500, chunk=300, overlap=64).collect()), key=str)
+    want = sorted((tuple(r) for r in bpe.encode_digests(df, CONTENT, public_tokenizers.PATTERN).collect()), key=str)
+    assert got == want and len(got) == 7
+    ids = bpe.encode(df.where("doc_id = 2"), CONTENT, public_tokenizers.PATTERN, long_chars=500, chunk=300, overlap=64)
+    assert bytes(bpe.decode(ids, CONTENT).first()["bytes"]).decode() == long[2]
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode_digests(spark.createDataFrame([], "doc_id long, text string"), CONTENT, public_tokenizers.PATTERN).count() == 0
 
@@ -141,6 +156,18 @@ def test_html_odd_rows(spark):
     assert html_text.extract_pages(df.where("false")).count() == 0
 
 
+def test_html_odd_pages_take_linear_time():
+    """A page of a megabyte, nested, unclosed or both, is read in seconds."""
+    said = "some words, and some more of them. "
+    for page in ("<div>text here, and more " * 40_000, '<a "' * 250_000, "<a '\"> " * 140_000, "<b><article>" + "<i>" * 100_000 + "</b>" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 100_000 + f"<p>{said}</p>" * 15_000, "<" * 1_000_000):
+        start = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - start < 5
+    assert html_text.extract(f'<p class="a>{said}</p>') == said.strip()
+    deep = "<div>" * 3_000 + f"<p>{said * 9}</p>" + "</div>" * 3_000
+    assert html_text.extract(deep) == (said * 9).strip()
+
+
 def test_html_article_of_one_long_and_short_sections():
     long = "".join(f"<p>Paragraph {i} of the long part, with commas, and clauses, and many more words, so that it weighs more than the others do by far, as it should.</p>" for i in range(12))
     short = "<section><h3>Short</h3><p>Brief words.</p><ul><li>one item</li></ul><table><tr><td>a cell</td></tr></table></section>"
@@ -311,6 +338,18 @@ def test_toxicity_holds_out_and_tolerates_gaps(spark, insults):
     assert told[None] == told[5] and all(0 <= s <= 1 for _, s in told.values())
 
 
+def test_toxicity_query_on_held_out_labels(spark):
+    """The whole query: what it never learnt from is told apart, and clean documents are left alone."""
+    folder = "/root/testdata/sf0.01"
+    got = queries.op10_toxicity(spark, folder)
+    assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    rows = got.where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    hits = [r for r in rows if r["predicted"]]
+    assert len(hits) >= 5 and sum(r["toxic"] for r in hits) >= 0.9 * len(hits)
+    assert sum(r["toxic"] for r in hits) >= 0.6 * sum(r["toxic"] for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
 def test_toxicity_without_examples(spark, insults):
     few = insults.limit(5).drop("toxic")
     labels = insults.select("doc_id", F.lit(0).alias("toxic"))
