@@ -9,22 +9,23 @@ one has a single differing cell at most, and its other two are a signature that
 both sets have. Only partitions with at most one empty cell count, so that no
 signature stands for nothing, and a set uses the first k // 2 + 1 of these.
 
-First, every distinct set gives its signatures, and those that share none leave:
-they link with nothing. Tasks look at their own signatures together before they
-send them, so a signature of many sets leaves a task twice at most. The sets
-that are left then use some partitions more than they need. Linked sets share
-one signature for each spare partition beyond the first, so frequent signatures
-(of common passages, of large families of copies) are left out wherever a set
-has no more of them than it can spare. Sets that have more, small sets, and sets
+First, every distinct set gives its signatures, of some partitions more than it
+needs. Linked sets share one partition more than that margin, so sets that share
+fewer signatures, as by a common passage, leave: they link with nothing. Tasks
+look at their own signatures together before they send them, so a signature of
+many sets leaves a task twice at most. The sets that are left then use half as
+many partitions again as they need, leave likewise, and leave out frequent
+signatures wherever they have no more of them than they can spare. Sets that have more, small sets, and sets
 near a small set's size meet by their Jaccard prefix as well, features ordered
 from rare to frequent.
 
-Sets that share a signature are chained. A chain that is small in features is
-compared as a whole, in one task. In a larger one only sets that share a
-signature are compared: neighbours in each signature's order, then all members
-with the one that has most links, then, for signatures whose members aren't all
-connected yet, all members, in salted blocks of bounded size. Tasks return
-spanning forests of the links that hold, never pairs.
+Sets that share a signature are chained. A chain is cut into blocks of bounded
+size by the sets' hash, and its blocks are compared pair by pair, while that
+moves fewer sets than its signatures have members. In a larger chain only sets
+that share a signature are compared: neighbours in each signature's order, then
+all members with the one that has most links, then, for signatures whose members
+aren't all connected yet, all members, in salted blocks. Tasks return spanning
+forests of the links that hold, never pairs.
 
 Defined results: null and empty texts and texts without words have the empty set
 (n_shingles 0) and link with nothing; texts of fewer words than the n-gram are
@@ -48,22 +49,25 @@ from .suffixdup import mixed
 
 #: Sets of up to so many features meet by their Jaccard prefix.
 SMALL = 32
-#: Least sizes of the bands: each is five eighths more than the one before.
+#: Least sizes of the bands: each is twice the one before.
 BANDS = [SMALL + 1]
 while BANDS[-1] < 1 << 40:
-    BANDS.append(BANDS[-1] * 13 // 8)
-#: A signature of more sets is frequent; sets in a part of a frequent signature's chain.
-FREQUENT, PART = 48, 5_000
+    BANDS.append(BANDS[-1] * 2)
+#: A signature of more sets is frequent; sets in a part of a frequent signature's chain; rounds of leaving out sets that share too little.
+FREQUENT, PART, ROUNDS = 48, 5_000, 2
+#: More than any set has signatures.
+SURELY = 1 << 40
 #: Features that are compared together, where a set counts as some features more; signatures that a task looks at
 #: together; keys that are broadcast at most.
 BLOCK, EACH, TOGETHER, BROADCAST_KEYS = 250_000, 100, 400_000, 200_000
 #: Bytes of texts that are cut into words together; longer words are hashed one by one.
-TEXTS, WORD = 2_000_000, 4096
+TEXTS, WORD = 200_000, 4096
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUES = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
 _POWERS = np.full(WORD, _K[0], np.uint64)
 _POWERS[0] = 1
 _POWERS = np.multiply.accumulate(_POWERS)
@@ -72,14 +76,15 @@ _POWERS = np.multiply.accumulate(_POWERS)
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of lowered bytes that end with white space."""
     space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    place = np.arange(len(data)) - starts[np.maximum(np.searchsorted(starts, np.arange(len(data)), side="right") - 1, 0)]
-    value = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[place % WORD]
-    value[space] = 0
-    found = mixed(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64) * _K[1])
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    value = _VALUES[data[starts[0] :]] * _POWERS[place & (WORD - 1)]
+    found = mixed(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64) * _K[1])
     for i in np.flatnonzero(ends - starts >= WORD):
         found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return found, starts
@@ -102,7 +107,8 @@ def features(texts: list[str], width: int):
         total = mixed(total)
         for a, b in zip(borders, borders[1:]):
             if b - a >= width:
-                yield np.unique(total[a : b - width + 1])
+                x = np.sort(total[a : b - width + 1])
+                yield x[np.r_[True, x[1:] != x[:-1]]]
             elif b > a:
                 one = np.full(1, b - a, np.uint64)
                 for x in h[a:b]:
@@ -134,7 +140,12 @@ def needed(n: int, percent: int) -> int:
 
 
 def spare(n: int, percent: int) -> int:
-    return needed(n, percent) // 4 + 1
+    return needed(n, percent) // 2 + 1
+
+
+def _needed(n, percent: int):
+    """The same as a Column."""
+    return F.floor(F.floor(n * (100 - percent) / percent) / 2) + 1
 
 
 def parts_of(band: int, percent: int) -> int:
@@ -165,25 +176,31 @@ def signatures(x: np.ndarray, y: np.ndarray, band: int, most: int, percent: int)
     as they may be full in another set.
     """
     cells = 3 * parts_of(band, percent)
-    cell = ((x >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-    at = np.searchsorted(cell, np.arange(cells + 1, dtype=np.uint64))
+    cell = (((x >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+    size = np.bincount(cell, minlength=cells)
+    at = np.cumsum(size)
     sums = np.zeros(len(y) + 1, np.uint64)
     np.cumsum(y, out=sums[1:])
-    empty = (np.diff(at) == 0).reshape(-1, 3)
+    empty = (size == 0).reshape(-1, 3)
     full = np.flatnonzero(empty.sum(axis=1) <= 1)
     last = full[most - 1] + 1 if len(full) >= most else len(empty)
-    content, empty = (sums[at[1:]] - sums[at[:-1]]).reshape(-1, 3)[:last], empty[:last]
+    content, empty = (sums[at] - sums[at - size]).reshape(-1, 3)[:last], empty[:last]
     mark = np.arange(3 * last, dtype=np.uint64).reshape(-1, 3) + np.full(1, band + 1, np.uint64) * _K[4]
     found = mixed(content[:, [0, 0, 1]] * _K[0] + mixed(content[:, [1, 2, 2]] + _K[1]) + mark * _K[2])
     use = ~(empty[:, [0, 0, 1]] & empty[:, [1, 2, 2]])
     return found[use], np.nonzero(use)[0], len(full) >= most
 
 
+def margin(n: int, percent: int) -> int:
+    """Partitions that the screen looks at beyond those of which one must be shared."""
+    return needed(n, percent) // 5
+
+
 def screened(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
-    """Signatures of which two linked sets share one; True if the set has too few, so that it can't leave."""
+    """Signatures of which a linked set shares more than the lesser margin; True if the set has too few, so that it can't leave."""
     n, out, sure = len(x), [], False
     for band in bands(n, percent):
-        found, _, enough = signatures(x, y, band, needed(n, percent), percent)
+        found, _, enough = signatures(x, y, band, needed(n, percent) + margin(n, percent), percent)
         out.append(found)
         sure |= not enough
     if by_prefix(n, percent):
@@ -243,21 +260,16 @@ def _arrays(column) -> list[np.ndarray]:
     return [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in column]
 
 
-def _told(sig: list, s: list, sure: list) -> pa.RecordBatch:
-    columns = [np.concatenate([np.asarray(c, np.int64) for c in told]) if told else np.zeros(0, np.int64) for told in (sig, s)]
-    flags = np.concatenate([np.full(len(c), f) for c, f in zip(s, sure)]) if s else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(flags)], names=["sig", "s", "sure"])
-
-
 def together(sig: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures with at most two of their sets each (the least and the greatest); the sets of those that have two."""
+    """Signatures with at most two of their sets each (the least and the greatest); the sets between, once for each signature."""
     order = np.lexsort((s, sig))
     sig, s = sig[order], s[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
     last = np.r_[first[1:], len(sig)] - 1 if len(sig) else first
     many = s[first] != s[last]
-    met = np.unique(s[np.repeat(many, last - first + 1)])
-    return np.concatenate([sig[first], sig[last[many]]]), np.concatenate([s[first], s[last[many]]]), met
+    run = np.repeat(np.arange(len(first)), last - first + 1)
+    between = (s != s[first][run]) & (s != s[last][run])
+    return np.concatenate([sig[first], sig[last[many]]]), np.concatenate([s[first], s[last[many]]]), s[between]
 
 
 def _screen(batches, width: int, percent: int):
@@ -265,9 +277,10 @@ def _screen(batches, width: int, percent: int):
 
     def flush():
         a, b, met = together(np.concatenate(sig).view(np.int64), np.concatenate(own))
-        # a set that surely stays is its own signature
-        stays = np.union1d(met, np.array(sure, np.int64))
-        return _told([a, stays], [b, stays], [False, True])
+        # what is known to be shared, or surely stays, travels as a count
+        known, n = np.unique(met, return_counts=True)
+        known, n = np.r_[known, np.array(sure, np.int64)], np.r_[n, np.full(len(sure), SURELY)]
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[a, known]), pa.array(np.r_[b, known]), pa.array(np.r_[np.zeros(len(a), np.int64), n])], names=["sig", "s", "n"])
 
     for batch in sliced(batches):
         for x in features(batch.column(0).to_pylist(), width):
@@ -293,21 +306,28 @@ def _screen(batches, width: int, percent: int):
 
 
 def _meeting(batches):
-    """Of rows in order of (sig, s): the sets of signatures that have several, and those that surely stay."""
-    end = (None, None)
+    """Of rows in order of (sig, s): how many signatures each set shares, in parts to be added."""
+    end, open_ = (None, None), False
     for batch in batches:
-        sig, s = batch.column("sig").to_numpy(), batch.column("s").to_numpy()
+        sig, s, n = (batch.column(c).to_numpy() for c in ("sig", "s", "n"))
         if not len(sig):
             continue
-        sure = batch.column("sure").to_numpy(zero_copy_only=False)
         same = np.r_[end[0] is not None and sig[0] == end[0], sig[1:] == sig[:-1]]
         before = np.r_[s[0] if end[0] is None else end[1], s[:-1]]
-        met = same & (s != before)
-        out = [s[met], before[met], s[sure]]
-        found = np.unique(np.concatenate(out))
+        met = np.flatnonzero(same & (s != before) & (n == 0))
+        run = np.cumsum(~same)
+        # the first set of a signature is told when a second one shows
+        _, first = np.unique(run[met], return_index=True)
+        first = met[first]
+        if open_ and len(first) and not run[first[0]]:
+            first = first[1:]
+        counted = n > 0
+        found, which = np.unique(np.concatenate([s[met], before[first], s[counted]]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([np.ones(len(met) + len(first)), n[counted]]), len(found)).astype(np.int64)
+        open_ = bool(len(met) and run[met[-1]] == run[-1]) or (open_ and not run[-1])
         end = (sig[-1], s[-1])
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["s", "n"])
 
 
 def _chains(batches):
@@ -419,11 +439,18 @@ def _grouped(held: DataFrame, percent: int) -> DataFrame:
 
     every = held.mapInArrow(spread, "sig long, id long, n long, level long, part long")
     frequency = every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(every.join(frequency, "sig"), "partenum-shared")
-    # sets that have more frequent signatures than they can spare, by the least size of a linked set
+    # what a set can spare, by the least size of a linked set
     n = F.col("n")
-    least = F.ceil(n * percent / 100)
-    spares = F.floor((F.floor(F.floor(least * (100 - percent) / percent) / 2) + 1) / 4) + 1
+    spares = F.floor(_needed(F.ceil(n * percent / 100), percent) / 2) + 1
+    shared = written(every.join(frequency, "sig"), "partenum-shared")
+    for _ in range(ROUNDS):
+        # who shares no more partitions than that, in a band, meets no linked set there; what is left of others may fall below
+        enough = shared.groupBy("id", "level", "n").agg(F.count_distinct("part").alias("p")).where(F.col("p") > spares).select("id", "level")
+        rest = shared.drop("df").join(enough, ["id", "level"])
+        fewer = written(rest.join(rest.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig"), "partenum-shared")
+        discard(shared)
+        shared = fewer
+    # sets that have more frequent signatures than they can spare
     crowded = shared.where(F.col("df") > FREQUENT).groupBy("id", "level", "n").agg(F.count_distinct("part").alias("h")).where(F.col("h") > spares).select("id")
 
     def short(batches):
@@ -459,10 +486,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_t1"), batch.column("_t2"), *columns], names=["_key", "_t1", "_t2", "s1", "s2", "n"])
 
     made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(light, f"_key {key_type}, _t1 long, _t2 long, s1 long, s2 long, n long"), "partenum-sets")
-    screen = picked.select("_text").mapInArrow(lambda batches: _screen(batches, width, percent), "sig long, s long, sure boolean")
-    met = screen.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "s").mapInArrow(_meeting, "s long")
-    stay = written(met.distinct(), "partenum-stay")
-    hopes = made.where("n > 0").join(stay, F.col("s1") == F.col("s"), "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("_t1", "_t2")).alias("_t"))
+    screen = picked.select("_text").mapInArrow(lambda batches: _screen(batches, width, percent), "sig long, s long, n long")
+    met = screen.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "s").mapInArrow(_meeting, "s long, n long")
+    stay = written(met.groupBy("s").agg(F.sum("n").alias("shared")), "partenum-stay")
+    n = F.col("n")
+    lesser = F.floor(_needed(F.ceil(n * percent / 100), percent) / 5)
+    staying = made.where("n > 0").join(stay, F.col("s1") == F.col("s")).where((F.col("shared") > lesser) | (n * percent <= 100 * SMALL))
+    hopes = staying.groupBy("s1", "s2").agg(F.min(F.struct("_t1", "_t2")).alias("_t"))
     # numbered and written: from here on a set is its number
     hopes = written(hopes.select("s1", "s2", "_t.*").withColumn("id", F.monotonically_increasing_id()), "partenum-hopes")
     few = hopes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -480,11 +510,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     groups = _grouped(held, percent)
     chain = components(_chained(groups)).withColumnRenamed("component", "chain")
     one = written(held.select("id", F.size("x").alias("n")).join(chain, "id"), "partenum-chained")
-    large = written(one.groupBy("chain").agg(F.sum(F.col("n") + EACH).alias("size")).where(F.col("size") > BLOCK).select("chain"), "partenum-large")
-    alone = held.join(one.select("id", "chain").join(large, "chain", "left_anti"), "id")
-    found = _compared(alone, ("chain",), percent)
-    if not large.isEmpty():
-        some = one.join(large, "chain", "left_semi").select("id")
+    sized = one.groupBy("chain").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).alias("blocks"), F.count("*").alias("sets"))
+    # what a chain's sets cost block by block, as each is compared with all; and signature by signature, at most
+    long = one.join(sized.where("blocks > 1"), "chain")
+    rows = groups.join(long.select("id", "chain"), "id").groupBy("chain").agg(F.count("*").alias("rows"))
+    plan = written(sized.join(rows, "chain", "left").withColumn("whole", F.coalesce(F.col("blocks") * F.col("sets") <= F.col("rows"), F.lit(True))), "partenum-plan")
+    dealt = one.select("id", "chain").join(plan.where("whole").select("chain", "blocks"), "chain").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("chain", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "id")
+    found = _compared(met.join(held, "id"), ("chain", "a", "b"), percent)
+    crowds = plan.where("not whole")
+    if not crowds.isEmpty():
+        some = one.join(crowds, "chain", "left_semi").select("id")
         found = found.unionByName(_large_chains(written(groups.join(some, "id", "left_semi"), "partenum-crowds"), held, percent))
     joined = components(written(found, "partenum-links"))
     name = hopes.select("id", "s1", "s2")
@@ -494,5 +530,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = written(rows.groupBy("r1", "r2").agg(F.min("_key").alias("component_id")), "partenum-least")
     linked = rows.join(least, ["r1", "r2"]).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
     empty = made.where("n = 0").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.col("_key").alias("component_id"))
-    discard(stay, held, groups, one, large)
+    discard(stay, held, groups, one, plan)
     return linked.unionByName(empty)

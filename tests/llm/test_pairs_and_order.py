@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,7 +321,7 @@ def test_jaccard_brute(spark, monkeypatch):
     want = brute_jaccard(rows)
     take = lambda d: sorted((tuple(r) for r in d.select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert take(partenum.jaccard_components(df)) == want
-    for values in ({"BLOCK": 3000, "TOGETHER": 500, "BROADCAST_KEYS": 0}, {"PART": 20, "BLOCK": 1500, "EACH": 0, "FREQUENT": 4, "TEXTS": 2000}):
+    for values in ({"BLOCK": 3000, "TOGETHER": 500, "BROADCAST_KEYS": 0}, {"PART": 20, "BLOCK": 150, "EACH": 0, "FREQUENT": 4, "TEXTS": 2000}):
         for name, value in values.items():
             monkeypatch.setattr(partenum, name, value)
         assert take(partenum.jaccard_components(df)) == want
@@ -328,7 +329,7 @@ def test_jaccard_brute(spark, monkeypatch):
 
 
 def test_signatures_of_linked_sets_meet():
-    """Linked sets share a signature of the screen, and one more for each partition that they can spare."""
+    """Linked sets share more signatures of the screen than its margin, and one partition more than they can spare."""
     rnd = np.random.default_rng(4)
     own = lambda x: {int(s) for s in partenum.screened(x, partenum.second(x), 80)[0]}
     met = 0
@@ -342,7 +343,8 @@ def test_signatures_of_linked_sets_meet():
             continue
         met += 1
         sure = [partenum.screened(x, partenum.second(x), 80)[1] for x in (a, b)]
-        assert own(a) & own(b) or all(sure)
+        small = all(partenum.by_prefix(len(x), 80) for x in (a, b))
+        assert all(sure) or len(own(a) & own(b)) > (0 if small else min(partenum.margin(len(x), 80) for x in (a, b)))
         assert all(sure) or all(len(partenum.bands(len(x), 80)) > 0 or partenum.by_prefix(len(x), 80) for x in (a, b))
         if not (partenum.by_prefix(len(a), 80) and partenum.by_prefix(len(b), 80)):
             told = []
@@ -356,6 +358,33 @@ def test_signatures_of_linked_sets_meet():
     assert met > 300
 
 
+def test_sets_are_counted_once_a_signature():
+    """What tasks and the meeting count together, over all cuts into tasks and batches."""
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(30), rnd.randrange(12)) for _ in range(400)]
+    members = defaultdict(set)
+    for sig, s in rows:
+        members[sig].add(s)
+    want = defaultdict(int)
+    for group in members.values():
+        for s in group:
+            want[s] += len(group) > 1
+    for tasks in (1, 3):
+        sent = []
+        for t in range(tasks):
+            own = sorted(set(rows[t::tasks]))  # a task looks at a set once
+            a, b, between = partenum.together(*(np.array([r[i] for r in own], np.int64) for i in (0, 1)))
+            sent += [(int(x), int(y), 0) for x, y in zip(a, b)] + [(1000 + int(y), int(y), 1) for y in between]
+        sent.sort()
+        for size in (1, 7, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in sent[k : k + size]], pa.int64()) for i in range(3)], names=["sig", "s", "n"]) for k in range(0, len(sent), size)]
+            got = defaultdict(int)
+            for batch in partenum._meeting(batches):
+                for s, n in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist()):
+                    got[s] += n
+            assert all(got[s] >= want[s] for s in want) and (tasks > 1 or dict(got) == {s: n for s, n in want.items() if n})
+
+
 def test_word_hashes_see_words_only():
     rnd = random.Random(6)
     texts = ["".join(rnd.choice("abAB \t\né日") for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", "x" * 9000 + " y", "X" * 9000 + "  Y", "x" * 8999 + " y"]
