@@ -13,13 +13,12 @@ First, every distinct set gives its signatures, of some partitions more than it
 needs. Linked sets share one partition more than that margin, so sets that share
 fewer signatures, as by a common passage, leave: they link with nothing. Tasks
 look at their own signatures together before they send them, so a signature of
-many sets leaves a task twice at most. The sets that are left then use half as
-many partitions again as they need, leave likewise, and leave out frequent
-signatures wherever they have no more of them than they can spare. Sets that have more, small sets, and sets
-near a small set's size meet by their Jaccard prefix as well, features ordered
-from rare to frequent.
+many sets leaves a task twice at most. The sets that are left then use half as many partitions again as they need, leave
+likewise, and leave out the most frequent signatures of as many partitions as
+they can spare. Small sets, and sets near a small set's size, meet by their
+Jaccard prefix, features ordered from rare to frequent.
 
-Sets that share a signature are chained. A chain is cut into blocks of bounded
+Sets that share a signature are chained, in each band. A chain is cut into blocks of bounded
 size by the sets' hash, and its blocks are compared pair by pair, while that
 moves fewer sets than its signatures have members. In a larger chain only sets
 that share a signature are compared: neighbours in each signature's order, then
@@ -53,8 +52,8 @@ SMALL = 32
 BANDS = [SMALL + 1]
 while BANDS[-1] < 1 << 40:
     BANDS.append(BANDS[-1] * 2)
-#: A signature of more sets is frequent; sets in a part of a frequent signature's chain; rounds of leaving out sets that share too little.
-FREQUENT, PART, ROUNDS = 48, 5_000, 2
+#: Groups of up to so many sets are told apart by their members; sets in a part of a frequent signature's chain.
+FEW, PART = 48, 5_000
 #: More than any set has signatures.
 SURELY = 1 << 40
 #: Features that are compared together, where a set counts as some features more; signatures that a task looks at
@@ -306,30 +305,73 @@ def _screen(batches, width: int, percent: int):
 
 
 def _meeting(batches):
-    """Of rows in order of (sig, s): how many signatures each set shares, in parts to be added."""
-    end, open_ = (None, None), False
+    """Of rows in order of sig: how many signatures each set shares, in parts to be added."""
+    last, first, open_ = None, 0, False
     for batch in batches:
         sig, s, n = (batch.column(c).to_numpy() for c in ("sig", "s", "n"))
         if not len(sig):
             continue
-        same = np.r_[end[0] is not None and sig[0] == end[0], sig[1:] == sig[:-1]]
-        before = np.r_[s[0] if end[0] is None else end[1], s[:-1]]
-        met = np.flatnonzero(same & (s != before) & (n == 0))
-        run = np.cumsum(~same)
-        # the first set of a signature is told when a second one shows
-        _, first = np.unique(run[met], return_index=True)
-        first = met[first]
-        if open_ and len(first) and not run[first[0]]:
-            first = first[1:]
+        starts = np.flatnonzero(np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]])
+        goes_on = bool(not len(starts) or starts[0] > 0)
+        run = np.cumsum(np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]]) - (0 if goes_on else 1)
+        heads = np.r_[np.array([first] * goes_on, np.int64), s[starts]]
         counted = n > 0
-        found, which = np.unique(np.concatenate([s[met], before[first], s[counted]]), return_inverse=True)
-        total = np.bincount(which, np.concatenate([np.ones(len(met) + len(first)), n[counted]]), len(found)).astype(np.int64)
-        open_ = bool(len(met) and run[met[-1]] == run[-1]) or (open_ and not run[-1])
-        end = (sig[-1], s[-1])
+        met = np.flatnonzero((s != heads[run]) & ~counted)
+        # the first set of a signature is told when another one shows
+        shown = np.unique(run[met])
+        told = heads[shown[1:] if goes_on and open_ and len(shown) and shown[0] == 0 else shown]
+        found, which = np.unique(np.concatenate([s[met], told, s[counted]]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([np.ones(len(met) + len(told)), n[counted]]), len(found)).astype(np.int64)
+        end = len(heads) - 1
+        open_ = bool(len(shown) and shown[-1] == end) or (open_ and goes_on and end == 0)
+        last, first = sig[-1], heads[-1]
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["s", "n"])
 
 
+def _trimmed(batches, percent: int):
+    """Of signatures in order of (id, level): those that a set uses.
+
+    A set that shares no more partitions than it can spare, in a band, meets no linked set there. The others leave out
+    the most frequent signatures of as many partitions as they can spare: the rarest signature that two linked sets
+    share has all others that they share above it, and these are of more partitions than that.
+    """
+
+    def some(rows: pa.Table) -> pa.RecordBatch:
+        sig, i, pack, df = (rows.column(c).to_numpy() for c in ("sig", "id", "pack", "df"))
+        part, level, n = pack & 0xFFFFF, pack >> 20 & 3, pack >> 22
+        # each partition by its most frequent signature, from the most to the least frequent one
+        order = np.lexsort((sig, df, part, level, i))
+        group = i * 4 + level
+        top = order[np.r_[(group[order[1:]] != group[order[:-1]]) | (part[order[1:]] != part[order[:-1]]), True]]
+        top = top[np.lexsort((sig[top], df[top], group[top]))]
+        ends = np.flatnonzero(np.r_[group[top[1:]] != group[top[:-1]], True])
+        size = np.diff(np.r_[-1, ends])
+        least = -(-n[top[ends]] * percent // 100)
+        spares = (least * (100 - percent) // percent // 2 + 1) // 2 + 1
+        enough = size > spares
+        border = top[np.maximum(ends - spares, 0)]
+        at = np.searchsorted(group[top[ends]], group)
+        use = enough[at] & ((df < df[border][at]) | (df == df[border][at]) & (sig <= sig[border][at]))
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (sig, i, group, df, n)], names=["sig", "id", "v", "df", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= TOGETHER:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            i = rows.column("id").to_numpy()
+            cut = int(np.searchsorted(i, i[-1]))  # the last set may go on
+            if cut:
+                yield some(rows.slice(0, cut))
+            held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
+    if held:
+        yield some(pa.Table.from_batches(held).combine_chunks())
+
+
 def _chains(batches):
     """Each set with the one before it in its group; the least set of each part of a frequent signature's group."""
     end = (None, None, None)
@@ -350,10 +392,10 @@ def _chains(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), w], names=["u", "v", "sig"])
 
 
-def _chained(groups: DataFrame) -> DataFrame:
-    """(u, v): neighbours in each signature's order of sets. `groups`: sig, id, df."""
+def _chained(groups: DataFrame, by: str = "id") -> DataFrame:
+    """(u, v): neighbours in each signature's order of sets. `groups`: sig, by, df."""
     spark = groups.sparkSession
-    salted = groups.withColumns({"salt": F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / PART).cast("long")), "salted": F.col("df") > PART})
+    salted = groups.select("sig", F.col(by).alias("id"), "df").withColumns({"salt": F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / PART).cast("long")), "salted": F.col("df") > PART})
     dealt = salted.select("sig", "salt", "id", "salted").repartition(partitions(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id")
     chained = written(dealt.mapInArrow(_chains, "u long, v long, sig long").distinct(), "partenum-chains")
     heads = chained.where("sig is not null").select("sig", "u")
@@ -405,8 +447,8 @@ def _large_chains(groups: DataFrame, held: DataFrame, percent: int) -> DataFrame
     near = written(near.unionByName(_verified(spokes.join(near, ["u", "v"], "left_anti"), held, percent)), "partenum-hubs")
     open_ = _unresolved(open_, near)
     # groups with the same members are one; so many members that they aren't listed stay as they are
-    small = open_.where(F.col("df") <= FREQUENT).groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids")).groupBy("ids").agg(F.min("sig").alias("sig")).select("sig")
-    kept = written(open_.join(small.unionByName(open_.where(F.col("df") > FREQUENT).select("sig").distinct()), "sig", "left_semi"), "partenum-open")
+    small = open_.where(F.col("df") <= FEW).groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids")).groupBy("ids").agg(F.min("sig").alias("sig")).select("sig")
+    kept = written(open_.join(small.unionByName(open_.where(F.col("df") > FEW).select("sig").distinct()), "sig", "left_semi"), "partenum-open")
     sized = kept.groupBy("sig").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).cast("int").alias("blocks"))
     dealt = kept.join(sized, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "id")
@@ -422,7 +464,8 @@ def _unresolved(groups: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _grouped(held: DataFrame, percent: int) -> DataFrame:
-    """(sig, id, df, n): groups in which any two linked sets meet. `held`: id, x."""
+    """(sig, id, v, df, n): groups in which any two linked sets meet; v is a set in one of its bands. `held`: id, x."""
+    spark = held.sparkSession
 
     def spread(batches):
         for batch in sliced(batches):
@@ -431,27 +474,15 @@ def _grouped(held: DataFrame, percent: int) -> DataFrame:
                 n, y = len(x), second(x)
                 for level, band in enumerate(bands(n, percent)):
                     found, part, _ = signatures(x, y, band, needed(n, percent) + spare(n, percent), percent)
-                    told.append((found.view(np.int64), i, n, level, part))
+                    told.append((found.view(np.int64), i, part + (level << 20) + (n << 22)))
             if told:
-                sizes = [len(t[0]) for t in told]
-                columns = [np.repeat(np.array([t[k] for t in told], np.int64), sizes) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[0] for t in told])), *map(pa.array, columns), pa.array(np.concatenate([t[4] for t in told]))], names=["sig", "id", "n", "level", "part"])
+                ids = np.repeat(np.array([t[1] for t in told], np.int64), [len(t[0]) for t in told])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[0] for t in told])), pa.array(ids), pa.array(np.concatenate([t[2] for t in told]))], names=["sig", "id", "pack"])
 
-    every = held.mapInArrow(spread, "sig long, id long, n long, level long, part long")
-    frequency = every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
-    # what a set can spare, by the least size of a linked set
-    n = F.col("n")
-    spares = F.floor(_needed(F.ceil(n * percent / 100), percent) / 2) + 1
-    shared = written(every.join(frequency, "sig"), "partenum-shared")
-    for _ in range(ROUNDS):
-        # who shares no more partitions than that, in a band, meets no linked set there; what is left of others may fall below
-        enough = shared.groupBy("id", "level", "n").agg(F.count_distinct("part").alias("p")).where(F.col("p") > spares).select("id", "level")
-        rest = shared.drop("df").join(enough, ["id", "level"])
-        fewer = written(rest.join(rest.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig"), "partenum-shared")
-        discard(shared)
-        shared = fewer
-    # sets that have more frequent signatures than they can spare
-    crowded = shared.where(F.col("df") > FREQUENT).groupBy("id", "level", "n").agg(F.count_distinct("part").alias("h")).where(F.col("h") > spares).select("id")
+    every = held.mapInArrow(spread, "sig long, id long, pack long")
+    shared = every.join(every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
+    dealt = shared.select("sig", "id", "pack", "df").repartition(partitions(spark), "id").sortWithinPartitions("id")
+    kept = dealt.mapInArrow(lambda batches: _trimmed(batches, percent), "sig long, id long, v long, df long, n long")
 
     def short(batches):
         for batch in sliced(batches):
@@ -462,14 +493,13 @@ def _grouped(held: DataFrame, percent: int) -> DataFrame:
                 some.append(by_prefix(n, percent) or not all(signatures(x, x, b, most, percent)[2] for b in bands(n, percent)))
             yield pa.RecordBatch.from_arrays([batch.column("id")], names=["id"]).filter(pa.array(some, pa.bool_()))
 
-    by_features = written(held.mapInArrow(short, "id long").unionByName(crowded).distinct(), "partenum-prefixed")
+    by_features = written(held.mapInArrow(short, "id long"), "partenum-prefixed")
     sets = held.join(by_features, "id", "left_semi").select("id", F.size("x").cast("long").alias("n"), F.explode("x").alias("f"))
     counts = sets.groupBy("f").agg(F.count("*").alias("df"))
     ranked = sets.join(counts, "f").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "f")))
-    rare = ranked.where((F.col("rank") <= n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select(F.xxhash64("f").alias("sig"), "id", "n")
-    met = rare.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
-    groups = shared.where(F.col("df") <= FREQUENT).select("sig", "id", "df", "n").unionByName(rare.join(met, "sig").select("sig", "id", "df", "n"))
-    return written(groups, "partenum-groups")
+    n = F.col("n")
+    rare = ranked.where((F.col("rank") <= n - F.ceil(n * percent / 100) + 1) & (F.col("df") > 1)).select(F.xxhash64("f").alias("sig"), "id", (F.col("id") * 4 + 2).alias("v"), "df", "n")
+    return written(kept.unionByName(rare), "partenum-groups")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -487,7 +517,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     made = written(picked.select("_key", "_t1", "_t2", "_text").mapInArrow(light, f"_key {key_type}, _t1 long, _t2 long, s1 long, s2 long, n long"), "partenum-sets")
     screen = picked.select("_text").mapInArrow(lambda batches: _screen(batches, width, percent), "sig long, s long, n long")
-    met = screen.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "s").mapInArrow(_meeting, "s long, n long")
+    met = screen.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_meeting, "s long, n long")
     stay = written(met.groupBy("s").agg(F.sum("n").alias("shared")), "partenum-stay")
     n = F.col("n")
     lesser = F.floor(_needed(F.ceil(n * percent / 100), percent) / 5)
@@ -508,20 +538,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     held = written(texts.mapInArrow(again, "id long, x array<long>"), "partenum-features")
     groups = _grouped(held, percent)
-    chain = components(_chained(groups)).withColumnRenamed("component", "chain")
-    one = written(held.select("id", F.size("x").alias("n")).join(chain, "id"), "partenum-chained")
+    chain = components(_chained(groups, "v")).withColumnsRenamed({"id": "v", "component": "chain"})
+    one = written(groups.select("v", "id", "n").distinct().join(chain, "v"), "partenum-chained")
     sized = one.groupBy("chain").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).alias("blocks"), F.count("*").alias("sets"))
     # what a chain's sets cost block by block, as each is compared with all; and signature by signature, at most
     long = one.join(sized.where("blocks > 1"), "chain")
-    rows = groups.join(long.select("id", "chain"), "id").groupBy("chain").agg(F.count("*").alias("rows"))
+    rows = groups.join(long.select("v", "chain"), "v").groupBy("chain").agg(F.count("*").alias("rows"))
     plan = written(sized.join(rows, "chain", "left").withColumn("whole", F.coalesce(F.col("blocks") * F.col("sets") <= F.col("rows"), F.lit(True))), "partenum-plan")
     dealt = one.select("id", "chain").join(plan.where("whole").select("chain", "blocks"), "chain").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("chain", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "id")
     found = _compared(met.join(held, "id"), ("chain", "a", "b"), percent)
     crowds = plan.where("not whole")
     if not crowds.isEmpty():
-        some = one.join(crowds, "chain", "left_semi").select("id")
-        found = found.unionByName(_large_chains(written(groups.join(some, "id", "left_semi"), "partenum-crowds"), held, percent))
+        some = one.join(crowds, "chain", "left_semi").select("v")
+        found = found.unionByName(_large_chains(written(groups.join(some, "v", "left_semi"), "partenum-crowds"), held, percent))
     joined = components(written(found, "partenum-links"))
     name = hopes.select("id", "s1", "s2")
     roots = joined.join(name, "id").join(name.select(F.col("id").alias("component"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "component").select("s1", "s2", "r1", "r2")
