@@ -116,7 +116,7 @@ def sentences(x: Column | str) -> Column:
 
 def evidence_sentences(x: Column | str) -> Column:
     """Sentences that also end at line breaks, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(_c(x), r"(?<=[.!?。！？])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_c(x), r"(?<=[.!?。！？])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def citations(x: Column | str) -> Column:
@@ -128,7 +128,7 @@ def citation_label(kind: str, hex_id: Column | str) -> Column:
 
 
 def keywords(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(x), "[,;]"), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(_c(x), "[,;]"), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def split_authors(x: Column | str) -> Column:

@@ -34,6 +34,60 @@ METHODS = [
     ("fully_supervised", r"(?i)\bfully[- ]supervised\b|\bstrongly[- ]supervised\b"),
 ]
 PARADIGMS = ["llm_based", "zero_shot", "weakly_supervised", "fully_supervised"]
+#: Topics and exclusions by pattern, in order.
+TOPICS = [
+    ("video_temporal_grounding", r"(?i)\bvideo temporal grounding\b"),
+    ("temporal_sentence_grounding", r"(?i)\btemporal sentence grounding\b"),
+    ("video_moment_localization", r"(?i)\bvideo moment locali[sz]ation\b"),
+    ("video_moment_retrieval", r"(?i)\bvideo moment retrieval\b"),
+    ("natural_language_video_localization", r"(?i)\bnatural language video locali[sz]ation\b"),
+    ("temporal_language_grounding", r"(?i)\btemporal(?:ly)? language grounding\b"),
+    ("sentence_grounding_in_video", r"(?i)\bsentence grounding in videos?\b"),
+    ("moment_localization_nl", r"(?i)\bmoment locali[sz]ation (?:with|of|via) natural language\b"),
+    ("temporal_activity_localization_language", r"(?i)\btemporal activity locali[sz]ation via language\b"),
+    ("query_based_video_localization", r"(?i)\bquery[- ]based video locali[sz]ation\b"),
+    ("natural_language_query_video", r"(?i)\b(?:temporal|moment) locali[sz]ation of (?:a )?natural[- ]language quer(?:y|ies) in video"),
+    ("language_based_temporal_localization", r"(?i)\blanguage[- ]based temporal locali[sz]ation\b"),
+    ("video_sentence_grounding", r"(?i)\bvideo sentence grounding\b"),
+    ("video_grounding", r"(?i)\bvideo grounding\b"),
+]
+EXCLUSIONS = [
+    ("workshop", r"(?i)\b(?:WORKSHOP|ICCVW|CVPRW)\b"),
+    ("pure_text_video_retrieval", r"(?i)\btext[- ]to[- ]video retrieval\b|\btext video retrieval\b"),
+    ("video_qa", r"(?i)\bvideo question answering\b|\bvideo QA\b"),
+    ("pure_visual_grounding", r"(?i)\bvisual grounding\b"),
+    ("anomaly_detection", r"(?i)\bvideo anomaly\b|\blocali[sz]ing anomalies\b"),
+]
+#: Labels by which a title is left out, in order.
+TITLE_EXCLUSIONS = [
+    ("survey", r"(?i)\bsurvey\b|elements of temporal sentence grounding"),
+    ("video_question_grounding", r"(?i)video question grounding|question answering"),
+    ("generic_video_reasoning", r"(?i)video-skill-cot"),
+    ("generic_video_description", r"(?i)comprehensive visual grounding for video description"),
+    ("spatial_only", r"(?i)open-vocabulary visual grounding"),
+    ("non_ccf_a_wacv", r"(?i)\bmac mining activity concepts for language based temporal locali[sz]ation\b"),
+]
+#: The class's venues by their short names in one registry, and by patterns of full names in another.
+SHORT_NAMES = {
+    "AAAI": "AAAI", "NeurIPS": "NEURIPS", "NIPS": "NEURIPS", "CVPR": "CVPR", "ICCV": "ICCV", "ICML": "ICML", "ICLR": "ICLR", "ACM Multimedia": "ACM MM",
+    "IEEE Trans. Pattern Anal. Mach. Intell.": "TPAMI", "Int. J. Comput. Vis.": "IJCV", "IEEE Trans. Image Process.": "TIP", "IEEE Trans. Multim.": "TMM",
+}
+FULL_NAMES = [
+    ("TPAMI", r"(?i)IEEE Transactions on Pattern Analysis and Machine Intelligence"),
+    ("IJCV", r"(?im)^International Journal of Computer Vision$"),
+    ("TIP", r"(?i)IEEE Transactions on Image Processing"),
+    ("TMM", r"(?i)IEEE Transactions on Multimedia"),
+    ("ACM MM", r"(?i)(?:Proceedings of )?(?:the )?ACM International Conference on Multimedia"),
+    ("NEURIPS", r"(?i)(?:Advances in|Conference on) Neural Information Processing Systems"),
+    ("CVPR", r"(?i)(?:IEEE/CVF |IEEE )?Conference on Computer Vision and Pattern Recognition|\bCVPR\b"),
+    ("ICCV", r"(?i)International Conference on Computer Vision|\bICCV\b"),
+    ("ICML", r"(?i)International Conference on Machine Learning|\bICML\b"),
+    ("ICLR", r"(?i)International Conference on Learning Representations|\bICLR\b"),
+    ("AAAI", r"(?i)AAAI Conference on Artificial Intelligence"),
+    ("ACL", r"(?i)Annual Meeting of the Association for Computational Linguistics"),
+]
+#: A title without one of these is longer than a placeholder.
+PLACEHOLDERS = ["untitled", "microsoft word"]
 
 
 def matches(text: Column | str, patterns: list[tuple[str, str]]) -> Column:
@@ -70,6 +124,97 @@ def exclusion(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*(F.when(c, F.lit(n)) for n, c in rules))
 
 
+def venue_class(name: Column | str) -> Column:
+    """The class's venue that a registry's short name stands for, volumes of proceedings included."""
+    c = X.collapse(name)
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in SHORT_NAMES.items() for x in p)), c), F.when(c.rlike(r"^ACL(?: \(\d+\))?$"), "ACL"))
+
+
+def venue_of_names(names: Column | str) -> Column:
+    """The class's venue of the first pattern that some of the full names matches."""
+    c = F.col(names) if isinstance(names, str) else names
+    return F.get(matches(F.array_join(c, "\n"), FULL_NAMES), F.lit(0))
+
+
+def title_exclusion(title: Column, venue: Column, signals: Column, scope: str, allowed: str | None = None) -> Column:
+    """Why a record is left out: a workshop, the first label of its title, no venue of the class, a title out of scope.
+
+    `scope` and `allowed` are patterns of titles; each pattern is tried on the title and on its normal form.
+    """
+    plain = X.curated_title(title)
+    hit = lambda p: title.rlike(p) | plain.rlike(p)
+    inside = hit(scope) | hit(allowed) if allowed else hit(scope)
+    venues = sorted({v for v, _ in FULL_NAMES})
+    rules = [("workshop_or_non_regular_track", F.coalesce(F.array_contains(signals, "workshop"), F.lit(False))), *((n, hit(p)) for n, p in TITLE_EXCLUSIONS)]
+    return exclusion([*rules, ("not_of_the_class", ~F.coalesce(venue.isin(*venues), F.lit(False))), ("outside_title_scope", ~inside)])
+
+
+def pdf_evidence(text: Column | str, expected: Column | str, pages: Column | str, most: int = 3) -> Column:
+    """struct(dois, venues, expected_found, pages_examined) of a document's first pages."""
+    t, e, p = (F.col(c) if isinstance(c, str) else c for c in (text, expected, pages))
+    dois = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(X.DOI), 1), lambda d: F.regexp_replace(d, r"[.,;:)\]}]+$", "")))
+    venues = matches(t, VENUES)
+    return F.struct(dois.alias("dois"), venues.alias("venues"), F.coalesce(F.array_contains(venues, e), F.lit(False)).alias("expected_found"), F.least(F.lit(most), F.coalesce(p, F.lit(most))).alias("pages_examined"))
+
+
+def candidates(records: DataFrame) -> DataFrame:
+    """Records with the title, venue, proof and paradigm that stand for them. Needs registry (title, score), title, venue_verified, venue."""
+    title = F.when(F.coalesce(F.col("registry.score"), F.lit(0.0)) >= 0.86, F.coalesce(F.col("registry.title"), F.col("title"))).otherwise(F.col("title"))
+    tags = paradigm_tags(title)
+    return records.withColumns({
+        "title_chosen": title, "venue_chosen": F.coalesce("venue_verified", "venue"), "venue_proof": F.when(F.col("venue_verified").isNotNull(), "registry").otherwise("inferred"),
+        "paradigm_tags": tags, "paradigm_primary": primary_paradigm(tags),
+    })
+
+
+def plausible_title(title: Column | str) -> Column:
+    """A file's own title, if it looks like one."""
+    c = X.collapse(title)
+    return F.when((F.length(c) >= 18) & ~F.lower(c).isin(*PLACEHOLDERS), c)
+
+
+def release(records: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Records with the title, year and authors of the release.
+
+    Needs first and second (registry matches: title, score, year, authors), file_title, title, year; `corrections`:
+    key (a record title), title, year. A registry's title counts from a score of .86 on, the first before the second;
+    then the file's own, then the inferred one; corrections come last.
+    """
+    trusted = lambda r: F.when(F.coalesce(F.col(f"{r}.score"), F.lit(0.0)) >= 0.86, F.col(f"{r}.title"))
+    out = records.withColumn("release_title", F.coalesce(trusted("first"), trusted("second"), plausible_title("file_title"), F.col("title")))
+    year = F.coalesce(F.nullif(F.col("first.year"), F.lit(0)), F.nullif(F.col("second.year"), F.lit(0)), F.nullif(F.col("year"), F.lit(0)))
+    listed = lambda r: F.when(F.size(f"{r}.authors") > 0, F.col(f"{r}.authors"))
+    out = out.withColumns({"release_year": year, "release_authors": F.coalesce(listed("first"), listed("second"), F.array().cast("array<string>"))})
+    if corrections is None:
+        return out
+    key = F.trim(F.regexp_replace(F.replace(F.lower("release_title"), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+    fixed = out.withColumn("_key", key).join(corrections.select(F.col("key").alias("_key"), F.col("title").alias("_title"), F.col("year").alias("_year")), "_key", "left")
+    return fixed.withColumns({"release_title": F.coalesce("_title", "release_title"), "release_year": F.coalesce("_year", "release_year")}).drop("_key", "_title", "_year")
+
+
+def venue_proofs(first: Column, first_verified: Column, second: Column, second_verified: Column, pdf: Column, manual: Column) -> Column:
+    """Kinds of proof that a record's venue has, in order: two registries, the published file, an official page."""
+    kinds = (("first_registry", first.isNotNull() & F.coalesce(first_verified, F.lit(False))), ("second_registry", second.isNotNull() & F.coalesce(second_verified, F.lit(False))), ("published_marker", F.coalesce(pdf, F.lit(False))), ("official_page", manual.isNotNull()))
+    return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in kinds)), lambda x: x.isNotNull())
+
+
+def gated(records: DataFrame, proofs: str = "venue_proofs", title: str = "release_title") -> DataFrame:
+    """The records; reading one without a proof is an error that names it."""
+    return records.where(F.when(F.size(proofs) > 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no proof of the venue: "), F.coalesce(title, F.lit(""))))))
+
+
+def doi_union(*sources: Column) -> Column:
+    """Distinct identifiers of arrays and single values, in order, empty ones left out."""
+    return F.array_distinct(F.filter(F.flatten(F.array(*(F.coalesce(s, F.array().cast("array<string>")) for s in sources))), lambda d: d.isNotNull() & (d != "")))
+
+
+def corpus_summary(records: DataFrame, digest: str = "file_hash") -> DataFrame:
+    """One row of counters: files, distinct contents, records of the class, on topic, both, groups of copies."""
+    on_topic, of_class = F.size("topics") > 0, F.col("venue").isNotNull()
+    per = records.groupBy(digest).agg(F.count("*").alias("n"), F.count_if(of_class).alias("c"), F.count_if(on_topic).alias("t"), F.count_if(of_class & on_topic).alias("b"))
+    return per.agg(F.sum("n").alias("files"), F.count("*").alias("contents"), F.sum("c").alias("of_class"), F.sum("t").alias("on_topic"), F.sum("b").alias("both"), F.count_if(F.col("n") > 1).alias("copy_groups"))
+
+
 def verification(score: Column | str, venue: Column | str, published: Column | str, queried: Column | str) -> Column:
     s, v, p, q = (F.col(c) if isinstance(c, str) else c for c in (score, venue, published, queried))
     good = F.coalesce(s >= 0.86, F.lit(False)) & v.isNotNull() & F.coalesce(p, F.lit(True))
@@ -156,16 +301,42 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, quotas: dict[str,
     return out
 
 
+def nested_splits(rows: DataFrame, key: str, stratum: str, small: dict[str, int], large: dict[str, int], by: list[Column]) -> DataFrame:
+    """(key, in_small, in_large): two stratified samples of which the small one is part of the large one.
+
+    `small` and `large`: number of rows by stratum, taken at even distances. Rows of the small sample that the large one
+    lacks take the places of its last rows that the small one lacks, so the large one keeps its size.
+    """
+    own = Window.partitionBy(stratum)
+    ranked = rows.withColumns({"_i": F.row_number().over(own.orderBy(*by)) - 1, "_of": F.count("*").over(own)}).select(key, stratum, "_i", "_of")
+
+    def picked(quotas: dict[str, int]) -> Column:
+        out = F.lit(False)
+        for name, n in quotas.items():
+            steps = F.transform(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda k: F.bround(k * (F.col("_of") - 1) / max(1, n - 1)).cast("int"))  # noqa: B023
+            out = F.when(F.col(stratum) == name, F.lit(n > 0) & ((F.col("_of") <= n) | F.array_contains(steps, F.col("_i")))).otherwise(out)
+        return out
+
+    told = ranked.withColumns({"in_small": picked(small), "in_large": picked(large)}).where(F.col("in_small") | F.col("in_large"))
+    # both lists are as short as the samples: the k-th row to add meets the k-th from the end to remove
+    adds = told.where("in_small and not in_large").withColumn("_k", F.row_number().over(Window.orderBy("_i", key)))
+    drops = told.where("in_large and not in_small").withColumn("_k", F.row_number().over(Window.orderBy(F.desc("_i"), F.desc(key))))
+    swapped = adds.select(F.col(key).alias("_in"), "_k").join(drops.select(F.col(key).alias("_out"), "_k"), "_k")
+    gone = told.join(swapped.select(F.col("_out").alias(key)), key, "left_anti")
+    return gone.select(key, "in_small", (F.col("in_large") | F.col("in_small")).alias("in_large"))
+
+
 def hard_negatives(excluded: DataFrame, reasons: list[str], by: list[Column], most: int = 20) -> DataFrame:
     """The excluded rows that come nearest to belonging (a report of fixed length)."""
     return excluded.where(F.col("reason").isin(*reasons)).orderBy(*by).limit(most)
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """One row for each file with what its name and first pages tell. `files`: file_name, text, file_hash, file_size, pages."""
+def inventory(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each file with what its name and first pages tell. `files`: file_name, text, file_hash, file_size, pages and the columns to keep."""
     title = X.venue_title("file_name")
     both = F.concat_ws("\n", "file_name", title)
     return files.select(
-        F.substring("file_hash", 1, 16).alias("paper_key"), "file_name", "file_hash", "file_size", "pages", title.alias("title"), X.record_title(title).alias("title_normalized"), infer_year("file_name", "text").alias("year"),
-        infer_venue("file_name", "text").alias("venue"), matches(F.concat_ws("\n", both, F.col("text")), METHODS).alias("methods"), F.lit("pending").alias("review_status"),
+        *keep, F.substring("file_hash", 1, 16).alias("paper_key"), "file_name", "file_hash", "file_size", "pages", title.alias("title"), X.record_title(title).alias("title_normalized"), infer_year("file_name", "text").alias("year"),
+        infer_venue("file_name", "text").alias("venue"), matches(F.concat_ws("\n", both, F.col("text")), METHODS).alias("methods"),
+        matches(F.concat_ws("\n", both, F.col("text")), TOPICS).alias("topics"), matches(F.concat_ws("\n", both, F.col("text")), EXCLUSIONS).alias("exclusions"), F.lit("pending").alias("review_status"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vectors as V
+from ..sources.staging import small
 
 #: Cues of profile fields in sentences.
 FIELD_CUES = {
@@ -140,16 +142,85 @@ def merge_entities(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.withColumn("aliases", F.filter("aliases", lambda a: a != F.col("canonical_name")))
 
 
+def verify_claims(claims: DataFrame, evidence: DataFrame, claim_id: str = "claim_id") -> DataFrame:
+    """Claims with entailment_status and review_status: verified if their evidence supports them. `evidence`: claim_id, evidence_text."""
+    texts = evidence.groupBy(claim_id).agg(F.collect_list("evidence_text").alias("_texts"))
+    judged = claims.join(texts, claim_id, "left").withColumn("entailment_status", V.entailment("statement", F.coalesce("_texts", F.array().cast("array<string>"))))
+    return judged.withColumn("review_status", F.when(F.col("entailment_status") == "supported", "verified").otherwise("unreviewed")).drop("_texts")
+
+
+def remap_endpoints(relations: DataFrame, stored: DataFrame) -> DataFrame:
+    """Relations whose entity ends point to the stored entities; other ends, and entities that aren't stored, stay.
+
+    `relations`: source_type, source_id, target_type, target_id; `stored`: entity_id (as extracted), stored_id.
+    """
+    out = relations
+    for end in ("source", "target"):
+        known = stored.select(F.col("entity_id").alias(f"{end}_id"), F.col("stored_id").alias("_to"))
+        out = out.join(known, f"{end}_id", "left").withColumn(f"{end}_id", F.when(F.col(f"{end}_type") == "entity", F.coalesce("_to", f"{end}_id")).otherwise(F.col(f"{end}_id"))).drop("_to")
+    return out.select(*relations.columns)
+
+
+def evidence_links(rows: DataFrame, chunks: DataFrame, target_type: str, target_id: str, relation: str = "supports") -> DataFrame:
+    """Links from extracted rows to the chunks they came from, with a key that follows from both; repeats are one.
+
+    `rows`: the target, chunk_id, confidence; `chunks`: chunk_id, paper_id, version_id, section_id, page_start, page_end, text.
+    """
+    made = rows.select(F.lit(target_type).alias("target_type"), F.col(target_id).cast("string").alias("target_id"), "chunk_id", "confidence").join(chunks.select("chunk_id", "paper_id", "version_id", "section_id", "page_start", "page_end", F.col("text").alias("evidence_text")), "chunk_id")
+    key = X.key_hash("target_type", "target_id", "chunk_id", F.lit(relation))
+    own = Window.partitionBy("evidence_key").orderBy(F.desc("confidence"))
+    return made.withColumns({"relation_to_target": F.lit(relation), "evidence_key": key}).withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
+
+def retarget(links: DataFrame, moved: DataFrame) -> DataFrame:
+    """Links of targets that became others, under new keys. `moved`: target_type, target_id, new_id."""
+    out = links.join(moved, ["target_type", "target_id"], "left").withColumn("target_id", F.coalesce("new_id", "target_id")).drop("new_id")
+    return out.withColumn("evidence_key", X.key_hash("target_type", "target_id", "chunk_id", "relation_to_target")).dropDuplicates(["evidence_key"]).select(*links.columns)
+
+
+def latest_profiles(profiles: DataFrame) -> DataFrame:
+    """The newest active profile of each paper."""
+    own = Window.partitionBy("paper_id").orderBy(F.desc("updated_at"), F.desc("profile_id"))
+    return profiles.where("is_active").withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
+
+def flatten_comparison(cells: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(dimension, paper_id, chunk_id, evidence_text): the evidence of comparison cells, each chunk once a cell.
+
+    `cells`: dimension, paper_id, evidence (chunk ids); `evidence`: chunk_id, evidence_text.
+    """
+    each = cells.select("dimension", "paper_id", F.explode(F.array_distinct("evidence")).alias("chunk_id"))
+    return each.join(evidence.select("chunk_id", "evidence_text"), "chunk_id").dropDuplicates(["dimension", "paper_id", "chunk_id"]).select("dimension", "paper_id", "chunk_id", "evidence_text")
+
+
+def find_entities(entities: DataFrame, aliases: DataFrame, words: str, kinds: list[str] | None = None, most: int = 20) -> DataFrame:
+    """Entities whose name or some alias contains the words, without regard to case, by name. `aliases`: entity_id, alias."""
+    low = F.lit(words.lower())
+    named = entities.where(F.contains(F.lower("canonical_name"), low)).select("entity_id")
+    also = aliases.where(F.contains(F.lower("alias"), low)).select("entity_id")
+    found = entities.join(named.unionByName(also).distinct(), "entity_id", "left_semi")
+    return (found.where(F.col("entity_type").isin(*kinds)) if kinds else found).orderBy("canonical_name", "entity_id").limit(most)
+
+
+def find_relations(relations: DataFrame, end_type: str, end_ids: list, kinds: list[str] | None = None) -> DataFrame:
+    """Active relations of which either end is one of the given."""
+    at = lambda end: (F.col(f"{end}_type") == end_type) & F.col(f"{end}_id").isin(*end_ids)
+    found = relations.where(F.col("is_active") & (at("source") | at("target")))
+    return found.where(F.col("relation_type").isin(*kinds)) if kinds else found
+
+
 def compare(papers: DataFrame, dimensions: DataFrame, values: DataFrame) -> DataFrame:
     """The grid of dimensions and papers with joined values, least confidence, distinct evidence, and each dimension's and the whole's status.
 
     `papers` and `dimensions` are what a user asks for; `values`: paper_id, dimension, ordinal, value, confidence, chunk_id.
     """
-    asked = papers.select("paper_id").distinct().join(F.broadcast(dimensions.select("dimension").distinct()), F.lit(True))
+    # the grid is what is asked for; its dimensions are sent to the papers if they are few
+    asked = papers.select("paper_id").distinct().crossJoin(small(dimensions.select("dimension").distinct()))
     parts = values.groupBy("paper_id", "dimension").agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).alias("_v"), F.min("confidence").alias("confidence"), F.sort_array(F.collect_set("chunk_id")).alias("evidence"))
     cells = asked.join(parts, ["paper_id", "dimension"], "left").select("dimension", "paper_id", F.array_join(F.array_distinct(F.transform("_v", lambda v: v["value"])), " | ").alias("value"), "confidence", F.coalesce("evidence", F.array().cast("array<bigint>") if values.schema["chunk_id"].dataType.simpleString() == "bigint" else F.array().cast("array<string>")).alias("evidence"))
     own = Window.partitionBy("dimension")
     backed = (F.size("evidence") > 0).cast("int")
     cells = cells.withColumn("comparable", F.sum(backed).over(own) >= 2)
     overall = cells.groupBy("dimension").agg(F.first("comparable").alias("c")).agg(F.bool_and("c").alias("_all"), F.bool_or("c").alias("_any"))
+    # one row
     return cells.join(F.broadcast(overall), F.lit(True)).withColumn("status", F.when(F.col("_all"), "complete").when(F.col("_any"), "partial").otherwise("insufficient_evidence")).drop("_all", "_any")

@@ -95,4 +95,7 @@ def expired(df: DataFrame, now: Column, status: str = "status", at: str = "expir
 
 
 def exact_duplicates(df: DataFrame, digest: str, member: str) -> DataFrame:
-    return df.groupBy(digest).agg(F.count("*").alias("copies"), F.sort_array(F.collect_list(member)).alias("members")).where("copies > 1")
+    """Rows (digest, copies, member) of the contents that several members have; a group isn't gathered."""
+    rows = df.where(F.col(digest).isNotNull())
+    many = rows.groupBy(digest).agg(F.count("*").alias("copies")).where("copies > 1")
+    return rows.select(digest, member).join(many, digest).select(digest, "copies", member)

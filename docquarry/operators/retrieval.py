@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources.staging import staged
 
 
 def top_k(df: DataFrame, k: int, by: list[Column], within: list[str] | None = None) -> DataFrame:
@@ -23,6 +24,14 @@ def top_k(df: DataFrame, k: int, by: list[Column], within: list[str] | None = No
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("_rank") <= k).drop("_rank")
 
 
+def tail(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """(keys, kept, dropped): the last values of each group in order, and how many went before them."""
+    own = Window.partitionBy(*keys)
+    last = rows.withColumns({"_n": F.row_number().over(own.orderBy(F.desc(order)))})
+    held = last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.col(order)))).alias("kept"), F.count("*").alias("_c"))
+    return held.select(*keys, "kept", F.greatest(F.lit(0), F.col("_c") - most).cast("long").alias("dropped"))
+
+
 def filtered(df: DataFrame, **allowed) -> DataFrame:
     """Rows whose columns have one of the given values; None means no limit. Stays a pushed-down filter."""
     for column, values in allowed.items():
@@ -34,15 +43,18 @@ def filtered(df: DataFrame, **allowed) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, bm25) of the documents with a term in common; statistics are those of `docs`.
 
-    Documents are tokenised once for all queries; only tokens that some query
-    asks for leave the map side, counted by document.
+    Documents are tokenised once: what is written is each document's length and its counts of the terms that some
+    query asks for, and all statistics come from there.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(X.search_tokens(query))).alias("term"))
+    terms = asked.select("term").distinct()
     words = docs.select(doc_id, X.search_tokens(text).alias("_tokens"))
-    sizes = words.select(doc_id, F.size("_tokens").alias("_length"))
+    # a document's length rides along as the count of a term that no text has
+    each = words.select(doc_id, F.size("_tokens").alias("_length"), F.explode(F.concat(F.array(F.lit("")), "_tokens")).alias("term"))
+    held = each.join(terms.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
+    counted = staged(held.groupBy(doc_id, "term").agg(F.count("*").alias("_tf"), F.first("_length").alias("_length")), "term-counts")
+    sizes, tf = counted.where("term = ''"), counted.where("term <> ''")
     stats = sizes.agg(F.count("*").alias("_n"), F.when(F.avg("_length") > 0, F.avg("_length")).otherwise(1.0).alias("_mean"))
-    terms = asked.select("term").distinct()
-    tf = words.select(doc_id, F.size("_tokens").alias("_length"), F.explode("_tokens").alias("term")).join(terms, "term", "left_semi").groupBy(doc_id, "term").agg(F.count("*").alias("_tf"), F.first("_length").alias("_length"))
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
     # stats is an aggregate of one row
     scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats), F.lit(True))
@@ -87,26 +99,88 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
                 a, b = np.nonzero(score >= least - 1e-9)
                 yield pa.RecordBatch.from_arrays([qi.take(pa.array(a)), vi.take(pa.array(b)), pa.array(score[a, b])], schema=arrow)
 
-    return top_k(met.mapInArrow(multiply, schema), k, [F.desc("dense"), F.asc(target)], [query_id])
+    # products of doubles differ in their last digits with the shape of a block: scores are told apart by nine digits
+    return top_k(met.mapInArrow(multiply, schema).withColumn("dense", F.round("dense", 9)), k, [F.desc("dense"), F.asc(target)], [query_id])
 
 
 def resolve_papers(queries: DataFrame, papers: DataFrame, k: int = 5, scope: str | None = None) -> DataFrame:
     """(query_id, paper_id, score): exact name 1.0, acronym contained .98, name contained .92, explicit scope 1.0.
 
-    `papers`: paper_id, names array, acronym; `scope`: a column of `queries` with an array of paper ids.
+    `papers`: paper_id, names array, acronym; `scope`: a column of `queries` with an array of paper ids. A name counts
+    wherever it stands in the question, inside a word too. Questions are short and names repeat, so both meet on
+    strings: a question gives its substrings of the lengths that names have, and a name itself.
     """
     q = X.collapse(F.lower("query"))
-    # a query names a paper by a word of its own, so they meet on words
-    ask = queries.select("query_id", q.alias("_q"), *([F.col(scope).alias("_scope")] if scope else []), F.explode(F.array_distinct(F.split(q, r"[^\p{L}\p{N}]+"))).alias("_word")).where("_word <> ''")
-    known = papers.select("paper_id", F.explode(F.concat(F.transform("names", lambda n: F.struct(X.collapse(F.lower(n)).alias("n"), F.lit(False).alias("a"))), F.filter(F.array(F.struct(F.lower("acronym").alias("n"), F.lit(True).alias("a"))), lambda s: s["n"].isNotNull()))).alias("_k")).select("paper_id", F.col("_k.n").alias("_name"), F.col("_k.a").alias("_acronym"))
-    known = known.withColumn("_word", F.get(F.filter(F.split("_name", r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0)))
-    score = F.when(F.col("_name") == F.col("_q"), 1.0).when(F.col("_acronym") & F.contains("_q", "_name"), 0.98).when(~F.col("_acronym") & F.contains("_q", "_name"), 0.92)
-    found = ask.join(known, "_word").select("query_id", "paper_id", score.alias("score")).where("score is not null")
+    ask = queries.select("query_id", q.alias("_q"))
+    spelled = lambda c, acronym: F.struct(X.collapse(F.lower(c)).alias("n"), F.lit(acronym).alias("a"))
+    both = F.concat(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: spelled(n, False)), F.array(spelled(F.col("acronym"), True)))
+    known = papers.select("paper_id", F.explode(both).alias("_k")).select("paper_id", F.col("_k.n").alias("_name"), F.col("_k.a").alias("_acronym")).where("_name <> ''")
+    # at most as many lengths as the longest question has characters
+    lengths = known.select(F.length("_name").alias("_size")).distinct().join(ask.agg(F.max(F.length("_q")).alias("_most")).hint("broadcast"), F.col("_size") <= F.col("_most")).agg(F.collect_set("_size").alias("_sizes"))
+    windows = ask.join(F.broadcast(lengths), F.lit(True)).withColumn("_size", F.explode(F.filter("_sizes", lambda n: n <= F.length("_q"))))
+    names = F.transform(F.sequence(F.lit(1), F.length("_q") - F.col("_size") + 1), lambda i: F.substring("_q", i, F.col("_size")))
+    parts = windows.select("query_id", "_q", F.explode(F.array_distinct(names)).alias("_name"))
+    score = F.when(F.col("_name") == F.col("_q"), 1.0).when(F.col("_acronym"), 0.98).otherwise(0.92)
+    found = parts.join(known, "_name").select("query_id", "paper_id", score.alias("score"))
     if scope:
         found = found.unionByName(queries.select("query_id", F.explode(scope).alias("paper_id"), F.lit(1.0).alias("score")))
     return top_k(found.groupBy("query_id", "paper_id").agg(F.max("score").alias("score")), k, [F.desc("score"), F.asc("paper_id")], ["query_id"])
 
 
+def narrowed(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, row) for the rows that stand below a query's chosen parents."""
+    return chosen.select("query_id", *keys).distinct().join(rows, keys)
+
+
+def resolved_or_near(queries: DataFrame, papers: DataFrame, vectors: DataFrame, k: int = 5, scope: str | None = None) -> DataFrame:
+    """(query_id, paper_id, score): papers by name, and by nearness for the queries that name none. `vectors`: paper_id, embedding."""
+    named = staged(resolve_papers(queries, papers, k, scope), "resolved")
+    rest = queries.join(named.select("query_id").distinct(), "query_id", "left_anti")
+    return named.unionByName(dense(rest, vectors, k, target="paper_id").withColumnRenamed("dense", "score"))
+
+
+def search_narrowed(queries: DataFrame, papers: DataFrame, paper_vectors: DataFrame, section_vectors: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, sizes: tuple[int, int, int] = (5, 8, 30), limit: int = 8, least: float = 0.22, scope: str | None = None) -> DataFrame:
+    """Evidence by papers (named, else near), then their nearest sections, then dense and sparse chunks in those.
+
+    `section_vectors`: section_id, paper_id, embedding; `chunks`: chunk_id, section_id, paper_id, text; `chunk_vectors`:
+    chunk_id, embedding. Each level looks below the last one's choice only, so its pairs are few.
+    """
+    near = staged(resolved_or_near(queries, papers, paper_vectors, sizes[0], scope), "papers")
+    asked = queries.select("query_id", "query", "query_vector")
+    closest = lambda rows, keys, k, target: top_k(
+        narrowed(rows, keys[0], keys[1]).join(asked.select("query_id", "query_vector"), "query_id").withColumn("dense", V.dense_score("query_vector", "embedding")).where("dense is not null"),
+        k, [F.desc("dense"), F.asc(target)], ["query_id"],
+    )
+    sections = staged(closest(section_vectors, (near, ["paper_id"]), sizes[1], "section_id").select("query_id", "section_id"), "sections")
+    dense_rows = closest(chunks.select("chunk_id", "section_id").join(chunk_vectors, "chunk_id"), (sections, ["section_id"]), sizes[2], "chunk_id").select("query_id", "chunk_id", "dense")
+    below = narrowed(chunks, sections, ["section_id"]).select("query_id", "chunk_id", "text")
+    sparse_rows = top_k(bm25_within(asked, below).where("bm25 > 0"), sizes[2], [F.desc("bm25"), F.asc("chunk_id")], ["query_id"])
+    return _judged_evidence(asked, chunks, fuse(dense_rows, sparse_rows, ["query_id", "chunk_id"]), limit, least, True)
+
+
+def bm25_within(queries: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, bm25) where each query has candidates of its own; counts and lengths are those of its candidates."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(X.search_tokens("query"))).alias("term"))
+    words = staged(candidates.select("query_id", "chunk_id", X.search_tokens("text").alias("_tokens")), "candidate-tokens")
+    sizes = words.select("query_id", "chunk_id", F.size("_tokens").alias("_length"))
+    stats = sizes.groupBy("query_id").agg(F.count("*").alias("_n"), F.when(F.avg("_length") > 0, F.avg("_length")).otherwise(1.0).alias("_mean"))
+    tf = words.select("query_id", "chunk_id", F.size("_tokens").alias("_length"), F.explode("_tokens").alias("term")).join(asked, ["query_id", "term"]).groupBy("query_id", "chunk_id", "term").agg(F.count("*").alias("_tf"), F.first("_length").alias("_length"))
+    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("_df"))
+    scored = tf.join(df, ["query_id", "term"]).join(stats, "query_id")
+    idf = F.log(1.0 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
+    return scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+
+
+def full_text(queries: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc) of the documents that hold some word of the query; a query without words finds nothing."""
+    words = lambda c: F.filter(F.array_distinct(X.search_tokens(c)), lambda w: w.rlike(r"(?U)^\w+$"))
+    asked = queries.select("query_id", F.explode(words("query")).alias("term"))
+    terms = asked.select("term").distinct()
+    held = docs.select(doc_id, F.explode(words(text)).alias("term")).join(terms, "term", "left_semi")
+    return held.join(asked, "term").select("query_id", doc_id).distinct()
+
+
 def fuse(dense_rows: DataFrame, sparse_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join of the two lists; each keeps its score."""
     return dense_rows.join(sparse_rows, keys, "full_outer")
@@ -167,13 +241,21 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int
     `queries`: query_id, query, query_vector; `chunks`: chunk_id, paper_id, text; `vectors`: chunk_id, embedding.
     """
     near = dense(queries, vectors, k, target="chunk_id")
-    words = top_k(bm25(queries, chunks, doc_id="chunk_id").where("bm25 > 0"), k, [F.desc("bm25"), F.asc("chunk_id")], ["query_id"])
-    # each chunk and each query is tokenised once, before they meet
-    split = chunks.withColumn("_tokens", F.array_distinct(X.search_tokens("text")))
+    words = top_k(bm25(queries, chunks, doc_id="chunk_id").withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
+    return _judged_evidence(queries, chunks, fuse(near, words, ["query_id", "chunk_id"]), limit, least, diverse)
+
+
+def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFrame, limit: int, least: float, diverse: bool) -> DataFrame:
+    """Evidence rows of the fused candidates (query_id, chunk_id, dense, bm25), or a row that tells there is none."""
+    few = staged(candidates, "candidates")
+    # each candidate's text and each query is tokenised once, before they meet
+    wanted = few.select("chunk_id").distinct()
+    split = staged(chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "paper_id", F.lower("text").alias("text"), F.array_distinct(X.search_tokens("text")).alias("_tokens")), "candidate-texts")
     asked = queries.select("query_id", "query", F.array_distinct(X.search_tokens("query")).alias("_query_tokens"))
-    both = fuse(near, words, ["query_id", "chunk_id"]).join(split, "chunk_id").join(asked, "query_id")
-    ranked = rerank(both, query_tokens="_query_tokens", text_tokens="_tokens").where(F.col("relevance") >= least).drop("_query_tokens")
-    chosen = select_diverse(ranked.drop("text").withColumn("text", F.lit("")), limit) if diverse else top_k(ranked.drop("_tokens"), limit, [F.desc("relevance"), F.desc_nulls_last("bm25"), F.asc("chunk_id")], ["query_id"])
+    both = few.join(split, "chunk_id").join(asked, "query_id")
+    # sums of doubles differ in their last digits with the order of rows: scores are told apart by nine digits
+    ranked = rerank(both, query_tokens="_query_tokens", text_tokens="_tokens").withColumn("relevance", F.round("relevance", 9)).where(F.col("relevance") >= least).drop("_query_tokens")
+    chosen = select_diverse(ranked.drop("text").withColumn("text", F.lit("")), limit) if diverse else top_k(ranked.drop("_tokens"), limit, [F.desc("relevance"), F.asc("chunk_id")], ["query_id"])
     found = chosen.select("query_id", "chunk_id", "paper_id", "dense", "bm25", "relevance", evidence_id().alias("evidence_id"))
     return (
         queries.select("query_id").join(found, "query_id", "left")
@@ -210,10 +292,16 @@ def round_robin(rows: DataFrame, per_paper: int, limit: int | None = None, budge
         ordered = ordered.where(F.col("position") <= limit)
     if budget is None:
         return ordered
-    kept = ordered.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("position", F.col(tokens).cast("long").alias("t")))).alias("_all"))
-    fits = F.aggregate(
-        "_all",
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("at")),
-        lambda s, x: F.when(s["used"] + x["t"] <= budget, F.struct((s["used"] + x["t"]).alias("used"), F.concat(s["at"], F.array(x["position"])).alias("at"))).otherwise(s),
-    )["at"]
-    return ordered.join(kept.select(query_id, F.explode(fits).alias("position")), [query_id, "position"])
+    kind = ordered.schema[query_id].dataType.simpleString()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, used, kept = pdf.sort_values("position"), 0, []
+        for p, t in zip(pdf["position"], pdf["t"], strict=True):
+            if used + t <= budget:
+                used += t
+                kept.append(p)
+        return pd.DataFrame({query_id: pdf[query_id].iloc[: len(kept)].to_numpy(), "position": kept})
+
+    # at most `per_paper` of each paper, by position and size only
+    fits = ordered.select(query_id, "position", F.col(tokens).cast("long").alias("t")).groupBy(query_id).applyInPandas(fit, f"{query_id} {kind}, position int")
+    return ordered.join(fits, [query_id, "position"])

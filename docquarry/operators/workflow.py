@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -36,15 +37,20 @@ def read_status(found: Column, expires: Column, stored_hash: Column, hash_: Colu
 
 def page_by_budget(items: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
     """Items with the page they stand on: a page is filled in order up to the budget; an item beyond it has a page alone."""
-    kept = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("a"))
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("page"), F.array().cast(f"array<struct<o:{items.schema[order].dataType.simpleString()},page:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + x["t"] > budget)
-        page = s["page"] + new.cast("int")
-        return F.struct(F.when(new, x["t"]).otherwise(s["used"] + x["t"]).alias("used"), page.alias("page"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), page.alias("page")))).alias("out"))
-
-    pages = kept.select(group, F.explode(F.aggregate("a", state, step)["out"]).alias("p")).select(group, F.col("p.o").alias(order), F.col("p.page").alias("page"))
+    schema = f"{group} {items.schema[group].dataType.simpleString()}, {order} {items.schema[order].dataType.simpleString()}, page int"
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        used, page, pages = 0, 0, []
+        for t in pdf[tokens]:
+            if used and used + t > budget:
+                used, page = 0, page + 1
+            used += t
+            pages.append(page)
+        return pdf[[group, order]].assign(page=pages)
+
+    # only sizes meet in a group, the items stay where they are until the join
+    pages = items.select(group, order, F.col(tokens).cast("long").alias(tokens)).groupBy(group).applyInPandas(fill, schema)
     return items.join(pages, [group, order])
 
 
@@ -72,37 +78,246 @@ def route(papers: Column, explicit: Column) -> Column:
     return F.when(explicit | (papers >= 6), F.least(papers, F.lit(5))).otherwise(0)
 
 
+#: Kinds of work that check others; the plans of the kinds of task.
+VERIFIERS = ["verification", "evidence_verification", "novelty_check"]
+PLANS = {
+    "multi_paper_comparison": ["method", "datasets", "metrics", "results", "limitations", "verification"],
+    "literature_survey": ["retrieval", "screening", "classification", "relation_analysis", "synthesis", "verification"],
+    "cross_domain_exploration": ["target_problem_analysis", "source_domain_search", "mechanism_abstraction", "assumption_compatibility", "novelty_check", "evidence_verification"],
+}
+#: Kinds of work that tell what a task is; the rest are comparisons.
+TELLING = {
+    "cross_domain_exploration": ["source_domain_search", "mechanism_abstraction", "assumption_compatibility", "novelty_check"],
+    "literature_survey": ["retrieval", "screening", "classification", "relation_analysis", "synthesis"],
+}
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
+def task_type(workstreams: Column | str) -> Column:
+    """What a task is, by the kinds of work asked for."""
+    c = F.col(workstreams) if isinstance(workstreams, str) else workstreams
+    out = F.lit("multi_paper_comparison")
+    for name, kinds in reversed(TELLING.items()):
+        out = F.when(F.coalesce(F.arrays_overlap(c, _strings(kinds)), F.lit(False)), name).otherwise(out)
+    return out
+
+
+def default_plan(kind: Column | str) -> Column:
+    """The kinds of work of a task, in order."""
+    c = F.col(kind) if isinstance(kind, str) else kind
+    return F.coalesce(*(F.when(c == name, _strings(plan)) for name, plan in PLANS.items()), _strings(PLANS["cross_domain_exploration"]))
+
+
 def plan_units(tasks: DataFrame, task: str = "task_id", ordinal: str = "ordinal", kind: str = "work_type") -> DataFrame:
-    """Units with their dependencies: a verifier waits for all earlier units of its task."""
-    earlier = F.collect_list("unit_id").over(Window.partitionBy(task).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1))
-    return tasks.withColumn("_e", earlier).withColumn("dependency_ids", F.when(F.col(kind) == "verify", F.col("_e")).otherwise(F.array().cast("array<string>"))).drop("_e")
+    """Units with their dependencies: a verifier waits for all earlier units of its task.
+
+    The lists are a plan's own size; only verifiers get one, by a join of a task's verifiers with its units.
+    """
+    verifies = F.col(kind).isin("verify", *VERIFIERS)
+    late = tasks.where(verifies).select(F.col(task), F.col("unit_id").alias("_v"), F.col(ordinal).alias("_at"))
+    needs = late.join(tasks.select(task, "unit_id", ordinal), task).where(F.col(ordinal) < F.col("_at"))
+    needs = needs.groupBy(task, "_v").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col("unit_id").alias("u")))), lambda x: x["u"]).alias("_e"))
+    planned = tasks.join(needs.withColumnRenamed("_v", "unit_id"), [task, "unit_id"], "left")
+    return planned.withColumn("dependency_ids", F.coalesce("_e", F.array().cast("array<string>"))).drop("_e").select(*tasks.columns, "dependency_ids")
+
 
+#: A task of up to so many units is settled by one worker; larger ones are settled layer by layer over the cluster.
+UNITS_IN_ONE = 50_000
+_SETTLED = "layer int, state string, attempts int"
 
-def schedule(units: DataFrame, outcome: Column, rounds: int = 64) -> DataFrame:
-    """unit_id, layer, state: completed, failed or skipped (a dependency failed, is missing, or is part of a cycle).
 
-    `outcome`: whether a unit's run succeeds. Layers are relaxed one by one; units still waiting at the end are on a cycle.
+def schedule(units: DataFrame, outcome: Column, retry: Column | None = None) -> DataFrame:
+    """task_id, unit_id, layer, state, attempts: completed, failed or skipped (a dependency failed, is missing, or is on a cycle).
+
+    `outcome`: whether a unit's run succeeds; `retry`: whether its second run does, if the first fails. A unit's layer is
+    one more than the greatest of its dependencies' (0 without any, or with a missing one); units on a cycle or behind
+    one have none. Graphs of any depth are settled.
+    """
+    second = F.lit(False) if retry is None else F.coalesce(retry, F.lit(False))
+    good = F.coalesce(outcome, F.lit(False))
+    needs = F.array_distinct(F.coalesce("dependency_ids", F.array().cast("array<string>")))
+    held = units.select("task_id", "unit_id", needs.alias("dependency_ids"), (good | second).alias("_good"), F.when(good | F.lit(retry is None), 1).otherwise(2).alias("_tries"))
+    held = staged(held, "units")
+    large = staged(held.groupBy("task_id").agg(F.count("*").alias("n")).where(F.col("n") > UNITS_IN_ONE).select("task_id"), "large-tasks")
+    names = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in ("task_id", "unit_id"))
+    done = held.join(F.broadcast(large) if large.limit(1001).count() <= 1000 else large, "task_id", "left_anti").groupBy("task_id").applyInPandas(_settled, f"{names}, {_SETTLED}")
+    return done if large.isEmpty() else done.unionByName(_layered(staged(held.join(large, "task_id", "left_semi"), "units")))
+
+
+def _settled(units: pd.DataFrame) -> pd.DataFrame:
+    """A task's units in the order of their dependencies."""
+    needs = dict(zip(units["unit_id"], units["dependency_ids"], strict=True))
+    good, tries = (dict(zip(units["unit_id"], units[c], strict=True)) for c in ("_good", "_tries"))
+    behind: dict[str, list[str]] = {}
+    for u, wanted in needs.items():
+        for n in wanted:
+            behind.setdefault(n, []).append(u)
+    left = {u: len(w) for u, w in needs.items()}
+    out: dict[str, tuple[int, str, int]] = {}
+    ready = [(u, 0) for u, w in needs.items() if not len(w) or any(n not in needs for n in w)]
+    bad = {u for u, _ in ready if left[u]}
+    while ready:
+        after = []
+        for u, layer in ready:
+            out[u] = (layer, "skipped", 0) if u in bad else (layer, "completed" if good[u] else "failed", int(tries[u]))
+            for b in behind.get(u, ()):
+                left[b] -= 1
+                if out[u][1] != "completed":
+                    bad.add(b)
+                if not left[b] and b not in out:
+                    after.append((b, layer + 1))
+        ready = after
+    rows = [(t, u, *out.get(u, (None, "skipped", 0))) for t, u in zip(units["task_id"], units["unit_id"], strict=True)]
+    return pd.DataFrame(rows, columns=["task_id", "unit_id", "layer", "state", "attempts"]).astype({"layer": "Int32", "attempts": "int32"})
+
+
+def _layered(units: DataFrame) -> DataFrame:
+    """The same for tasks of any size: each round settles a layer, and the rounds end when one settles nothing."""
+    edges = staged(units.select("task_id", "unit_id", F.explode("dependency_ids").alias("need")), "unit-edges")
+    result = lambda rows, layer, skip: rows.select(
+        "task_id", "unit_id", F.lit(layer).cast("int").alias("layer"), F.when(skip, "skipped").when(F.col("_good"), "completed").otherwise("failed").alias("state"), F.when(skip, 0).otherwise(F.col("_tries")).alias("attempts")
+    )
+    lost = edges.join(units.select("task_id", F.col("unit_id").alias("need")), ["task_id", "need"], "left_anti").select("task_id", "unit_id").distinct().withColumn("_lost", F.lit(True))
+    first = units.join(lost, ["task_id", "unit_id"], "left").where((F.size("dependency_ids") == 0) | F.col("_lost"))
+    front = staged(result(first, 0, F.coalesce("_lost", F.lit(False))), "layer")
+    # a unit waits for so many; each layer takes off those that it settled
+    waiting = staged(edges.groupBy("task_id", "unit_id").agg(F.count("*").alias("left")).withColumn("bad", F.lit(False)).join(lost, ["task_id", "unit_id"], "left_anti"), "waiting")
+    done, layer = [front], 0
+    while not front.isEmpty():
+        layer += 1
+        told = edges.join(front.select("task_id", F.col("unit_id").alias("need"), "state"), ["task_id", "need"]).groupBy("task_id", "unit_id").agg(F.count("*").alias("n"), F.bool_or(F.col("state") != "completed").alias("b"))
+        now = waiting.join(told, ["task_id", "unit_id"], "left")
+        now = staged(now.select("task_id", "unit_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), (F.col("bad") | F.coalesce("b", F.lit(False))).alias("bad")), "waiting")
+        front = staged(result(units.join(now.where("left = 0"), ["task_id", "unit_id"]), layer, F.col("bad")), "layer")
+        done, waiting = [*done, front], now.where("left > 0")
+        if layer % 16 == 0:  # keep the plan short, however deep the graph is
+            done = [staged(functools.reduce(DataFrame.unionByName, done), "layers")]
+    rest = waiting.select("task_id", "unit_id", F.lit(None).cast("int").alias("layer"), F.lit("skipped").alias("state"), F.lit(0).alias("attempts"))
+    return functools.reduce(DataFrame.unionByName, done).unionByName(rest)
+
+
+def chunk_units(evidence: DataFrame, question: str = "query", worker: str = "chunk_analyst", tokens: int = 6000, tools: int = 4, seconds: int = 90) -> DataFrame:
+    """One unit of work for each evidence artifact: it may read that artifact and nothing else.
+
+    `evidence`: task_id, artifact_id, paper_id and the question. The unit's id and its generation key follow from
+    these, so a second plan of the same evidence is the same plan.
+    """
+    objective = F.concat(F.lit("Judge whether the artifact answers the question, and claim only what it supports. Question: "), F.col(question))
+    key = F.sha2(F.to_json(F.struct(F.col("task_id").cast("string").alias("task"), F.lit("chunk_analysis").alias("type"), objective.alias("objective"), F.array(F.col("paper_id").cast("string")).alias("papers"), F.array(F.col("artifact_id").cast("string")).alias("inputs"), F.lit(worker).alias("worker"))), 256)
+    return evidence.select(
+        "task_id", F.sha2(F.concat_ws(":", F.lit("chunk-analysis"), "task_id", "artifact_id"), 256).alias("unit_id"), F.lit("chunk_analysis").alias("work_type"), objective.alias("objective"),
+        F.lit(worker).alias("requested_worker"), F.lit("pending").alias("state"), key.alias("generation_key"), F.array("paper_id").alias("paper_ids"), F.array("artifact_id").alias("input_artifact_ids"),
+        _strings(["read_artifact"]).alias("allowed_tools"), F.lit(tokens).alias("token_budget"), F.lit(tools).alias("tool_budget"), F.lit(seconds).alias("timeout_seconds"),
+    ).dropDuplicates(["unit_id"])
+
+
+def evidence_artifacts(evidence: DataFrame, project: str = "project_id") -> DataFrame:
+    """Exactly one artifact for each piece of evidence: its citation, its canonical payload, and the ids that follow.
+
+    `evidence`: task_id, query, evidence_id (hex), paper_id, version_id, paper_title, section_id, section_path,
+    page_start, page_end, chunk_id, text, dense, bm25, relevance.
+    """
+    label = X.citation_label("E", "evidence_id")
+    told = ["chunk_id", "page_end", "page_start", "paper_id", "paper_title", "query", "section_id", "section_path", "text", "version_id"]
+    scores = F.struct("bm25", "dense", "relevance").alias("retrieval_scores")
+    rows = evidence.withColumn("citation", label)
+    payload = F.to_json(F.struct(*sorted([*told, "citation"]), scores))
+    title = F.concat(F.lit("["), F.col("citation"), F.lit("] "), F.concat_ws(" | ", "paper_title", "section_path", F.concat(F.lit("pp."), F.col("page_start"), F.lit("-"), F.col("page_end"))))
+    rows = rows.withColumns({"payload": payload, "summary": title, "evidence_hash": F.sha2("text", 256)}).withColumn("content_hash", F.sha2("payload", 256))
+    return rows.withColumn("artifact_id", F.sha2(F.concat_ws(":", F.col(project).cast("string"), F.lit("retrieved_evidence"), F.col("task_id").cast("string"), F.col("content_hash")), 256)).dropDuplicates(["artifact_id"])
+
+
+_REPORT = "struct<relevance:string,summary:string,claims:array<struct<text:string,citations:array<string>>>,unresolved_questions:array<string>>"
+
+
+def collect_reports(units: DataFrame, results: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reports, failures, manifest) of finished units, in which each unit is a report, a failure with its reason, or still open.
+
+    `units`: task_id, unit_id, state, error, output_artifact_id, input_artifact_ids; `results`: artifact_id, result (the
+    worker's JSON); `citations`: artifact_id, label and what else a citation has. The manifest holds the citations that
+    the claims of relevant reports use, once a label.
+    """
+    found = units.join(results.select(F.col("artifact_id").alias("output_artifact_id"), "result"), "output_artifact_id", "left")
+    report = F.from_json("result", _REPORT)
+    ended = F.col("state").isin("failed", "skipped")
+    sound = F.col("output_artifact_id").isNotNull() & (F.coalesce(F.size("input_artifact_ids"), F.lit(0)) == 1)
+    good = F.col("_r.relevance").isin("relevant", "partially_relevant", "irrelevant", "uncertain")
+    reason = (
+        F.when(ended, F.coalesce("error", "state"))
+        .when(F.col("state") != "completed", None)
+        .when(~sound, "invalid artifact provenance")
+        .when(F.col("result").isNull(), "result artifact is missing")
+        .when(~F.coalesce(good, F.lit(False)), "result is not a report")
+    )
+    judged = found.withColumn("_r", report).withColumn("reason", reason)
+    bare = F.transform(F.coalesce("_r.claims", F.array().cast("array<struct<text:string,citations:array<string>>>")), lambda c: F.struct(F.coalesce(c["text"], F.lit("")).alias("text"), F.transform(F.coalesce(c["citations"], F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", "")).alias("citations")))
+    reports = judged.where(F.col("reason").isNull() & (F.col("state") == "completed")).select(
+        "task_id", "unit_id", F.get("input_artifact_ids", F.lit(0)).alias("evidence_artifact_id"), "output_artifact_id", F.col("_r.relevance").alias("relevance"), F.coalesce("_r.summary", F.lit("")).alias("summary"),
+        bare.alias("claims"), F.coalesce("_r.unresolved_questions", F.array().cast("array<string>")).alias("unresolved_questions"),
+    )
+    failures = judged.where(F.col("reason").isNotNull()).select("task_id", "unit_id", "reason")
+    used = reports.where("relevance = 'relevant'").select("task_id", F.explode(F.flatten(F.transform("claims", lambda c: c["citations"]))).alias("label")).distinct()
+    cited = reports.select("task_id", "unit_id", F.col("output_artifact_id").alias("artifact_id")).join(citations, "artifact_id").join(used, ["task_id", "label"], "left_semi")
+    first = cited.withColumn("_n", F.row_number().over(Window.partitionBy("task_id", "label").orderBy("unit_id", "artifact_id")))
+    return reports, failures, first.where("_n = 1").drop("_n", "unit_id")
+
+
+def report_sufficient(reports: DataFrame, manifest: DataFrame, task: str = "task_id") -> DataFrame:
+    """(task, sufficient): a relevant report has a claim of which all citations are in the manifest."""
+    known = manifest.groupBy(task).agg(F.collect_set("label").alias("_known"))
+    claims = reports.join(known, task, "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
+    ok = (F.col("relevance") == "relevant") & F.exists("claims", lambda c: F.size(F.array_except(c["citations"], F.col("_known"))) == 0)
+    return claims.groupBy(task).agg(F.bool_or(ok).alias("sufficient"))
+
+
+def finalise(answers: DataFrame, allowed: DataFrame, answer_id: str = "answer_id", text: str = "text") -> DataFrame:
+    """Answers with status and issues: tool markup, citations without their namespace, unknown labels, none at all.
+
+    `allowed`: the answer's id and the labels of its evidence.
+    """
+    known = allowed.groupBy(answer_id).agg(F.collect_set("label").alias("_known"))
+    c = F.col(text)
+    unknown = F.array_except(X.citations(c), F.coalesce("_known", F.array().cast("array<string>")))
+    issues = F.filter(
+        F.array(
+            F.when(c.rlike(r"(?i)<\s*/?\s*(?:tool_call|function_call|invoke)\b"), "tool_markup"),
+            F.when(c.rlike(r"\[\d+\]"), "citation_without_namespace"),
+            F.when(F.size(unknown) > 0, "unknown_citation"),
+            F.when((F.size(X.citations(c)) == 0) & (F.size(F.coalesce("_known", F.array().cast("array<string>"))) > 0), "no_citation"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return answers.join(known, answer_id, "left").withColumns({"cited": X.citations(c), "unknown": unknown, "issues": issues}).drop("_known").withColumn("status", F.when(F.size("issues") == 0, "accepted").otherwise("rejected"))
+
+
+def collect_task(units: DataFrame, task: str = "task_id") -> DataFrame:
+    """A task's summaries in the order of its units, and its distinct citations, open questions and failed units.
+
+    `units`: ordinal, unit_id, state, summary, citations, unresolved_questions.
     """
-    units = staged(units.withColumn("_good", outcome), "units")
-    edges = units.select("task_id", "unit_id", F.explode("dependency_ids").alias("need"))
-    done = units.where(F.size("dependency_ids") == 0).select("task_id", "unit_id", F.lit(0).alias("layer"), F.when(F.col("_good"), "completed").otherwise("failed").alias("state"))
-    known = units.select("task_id", F.col("unit_id").alias("need"))
-    lost = edges.join(known, ["task_id", "need"], "left_anti").select("task_id", "unit_id").distinct()
-    done = done.unionByName(lost.withColumns({"layer": F.lit(0), "state": F.lit("skipped")}))
-    done = staged(done, "layer")
-    rest = units.join(done.select("task_id", "unit_id"), ["task_id", "unit_id"], "left_anti")
-    for layer in range(1, rounds):
-        if rest.isEmpty():
-            break
-        need = edges.join(rest.select("task_id", "unit_id"), ["task_id", "unit_id"], "left_semi").join(done.select("task_id", F.col("unit_id").alias("need"), "state"), ["task_id", "need"], "left")
-        ready = need.groupBy("task_id", "unit_id").agg(F.bool_and(F.col("state").isNotNull()).alias("all"), F.bool_and(F.coalesce(F.col("state") == "completed", F.lit(False))).alias("good")).where("all")
-        now = rest.join(ready, ["task_id", "unit_id"]).select("task_id", "unit_id", F.lit(layer).alias("layer"), F.when(~F.col("good"), "skipped").when(F.col("_good"), "completed").otherwise("failed").alias("state"))
-        now = staged(now, "layer")
-        if now.isEmpty():
-            break
-        done = done.unionByName(now)
-        rest = rest.join(now.select("task_id", "unit_id"), ["task_id", "unit_id"], "left_anti")
-    return done.unionByName(rest.select("task_id", "unit_id", F.lit(None).cast("int").alias("layer"), F.lit("skipped").alias("state")))
+    rows = units.groupBy(task).agg(F.sort_array(F.collect_list(F.struct("ordinal", "unit_id", "state", "summary", "citations", "unresolved_questions"))).alias("_u"))
+    done = F.filter("_u", lambda u: u["state"] == "completed")
+    each = lambda name: F.array_distinct(F.flatten(F.transform(done, lambda u: F.coalesce(u[name], F.array().cast("array<string>")))))
+    return rows.select(
+        task, F.filter(F.transform(done, lambda u: u["summary"]), lambda x: x.isNotNull() & (x != "")).alias("summaries"), each("citations").alias("citations"), each("unresolved_questions").alias("unresolved_questions"),
+        F.transform(F.filter("_u", lambda u: u["state"] == "failed"), lambda u: u["unit_id"]).alias("failed_units"),
+    )
+
+
+def contains_citation(content: Column | str, label: Column | str) -> Column:
+    """Whether a JSON text holds a label as a whole string value, at any depth, or quoted inside a string (not E1 in E10)."""
+    c, w = (F.col(x) if isinstance(x, str) else x for x in (content, label))
+    # a string value is quoted in JSON, and so is a quoted label inside one, with its quotes escaped
+    return F.contains(c, F.concat(F.lit('"'), w, F.lit('"'))) | F.contains(c, F.concat(F.lit('\\"'), w, F.lit('\\"')))
+
+
+def traces(events: DataFrame, at: str = "ts", kind: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Counts of trace events by window and kind; the same on a batch or a stream."""
+    held = events.withWatermark(at, late) if events.isStreaming else events
+    return held.groupBy(F.window(at, size), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
 def task_status(units: DataFrame, task: str = "task_id", state: str = "state") -> DataFrame:

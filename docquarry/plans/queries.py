@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import counts as K
 from ..operators import curation as C
 from ..operators import graph as G
 from ..operators import incremental as I
@@ -75,19 +76,16 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH q AS (SELECT label, min(vec_id) AS query_id FROM embeddings GROUP BY label),
-p AS (SELECT q.query_id, e.vec_id, round(greatest(0, list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 6) AS dense
-  FROM q JOIN embeddings s ON s.vec_id = q.query_id JOIN embeddings e ON e.label = q.label),
+WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 9) AS dense
+  FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS r FROM p)
-SELECT query_id, vec_id, dense FROM r WHERE r <= 30"""
+SELECT query_id, vec_id, round(dense, 6) AS dense FROM r WHERE r <= 30"""
 )
 def dense_top30(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vectors inside the scope of a label, for each label's first vector."""
+    """Nearest vectors inside the scope of a label, for every vector whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
-    q = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("query_vector"))
-    # one query a label: a scan with a bounded sort needs no blocks of queries
-    pairs = q.join(e, "label").select("query_id", "vec_id", F.round(V.dense_score("query_vector", "embedding"), 6).alias("dense"))
-    return R.top_k(pairs, 30, [F.desc("dense"), F.asc("vec_id")], ["query_id"])
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    return R.dense(q, e, 30, scope=["label"]).select("query_id", "vec_id", F.round("dense", 6).alias("dense"))
 
 
 @query(
@@ -148,17 +146,6 @@ def round_robin_sources(spark: SparkSession, d: str) -> DataFrame:
     return R.round_robin(docs, 4, 30, query_id="lang", paper_id="source", chunk_id="doc_id").select("lang", "source", "doc_id", "position")
 
 
-@query(
-    """
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents),
-q AS (SELECT item_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[?？。]+$', '') AS bare, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS asked FROM benchmark)
-SELECT item_id, asked, bare FROM q"""
-)
-def query_rewrites(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").withColumn("r", X.rewrites("text"))
-    return b.select("item_id", F.get("r", F.lit(0)).alias("asked"), F.regexp_replace(F.get("r", F.lit(0)), "[?？。]+$", "").alias("bare"))
-
-
 # ---- text
 
 
@@ -204,7 +191,16 @@ def page_registries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.extract_arxiv_id("html").alias("arxiv_id"), X.extract_doi("html").alias("doi"))
 
 
-@query()
+@query(
+    """
+WITH d AS (SELECT doc_id, string_split(text, chr(12)) AS ps FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS page FROM d),
+p AS (SELECT doc_id, page, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\n\\x0b\\f\\r]'), lambda v: lower(trim(regexp_replace(v, '\\s+', ' ', 'g')))), lambda v: v <> '') AS l FROM q),
+e AS (SELECT doc_id, page, unnest(list_distinct(list_concat(l[1:2], CASE WHEN len(l) > 2 THEN l[-2:] ELSE l END))) AS line FROM p), n AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1),
+r AS (SELECT e.doc_id, line FROM e JOIN n USING (doc_id) WHERE pages >= 2 GROUP BY 1, 2 HAVING count(*) >= greatest(2, (max(pages) + 1) // 2)),
+x AS (SELECT doc_id, page, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM p),
+k AS (SELECT x.* FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND r.line = x.line) AND NOT regexp_matches(x.line, '(?i)^(?:page\\s+)?\\d+(?:\\s+of\\s+\\d+)?$'))
+SELECT o.doc_id, sha256(string_agg(line, chr(10) ORDER BY page, i)) AS content_hash FROM documents o LEFT JOIN k ON k.doc_id = o.doc_id GROUP BY 1"""
+)
 def edge_clean_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.content_fingerprint("text").alias("content_hash"))
 
@@ -246,14 +242,10 @@ def classify_files(spark: SparkSession, d: str) -> DataFrame:
     return I.classify_files(h, known).select("doc_id", "state")
 
 
-@query(
-    """
-SELECT sha256(text) AS file_hash, count(*) AS copies, list_aggregate(list_sort(list(doc_id)), 'string_agg', ',') AS members
-FROM documents GROUP BY 1 HAVING count(*) > 1"""
-)
+@query("SELECT file_hash, copies, doc_id FROM (SELECT sha256(text) AS file_hash, doc_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL) WHERE copies > 1")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
-    return I.exact_duplicates(h, "file_hash", "doc_id").withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+    return I.exact_duplicates(h, "file_hash", "doc_id").select("file_hash", "copies", "doc_id")
 
 
 @query(
@@ -297,9 +289,8 @@ SELECT event_id, k, superseded_by IS NULL AS is_active, superseded_by FROM v"""
 )
 def supersession_chain(spark: SparkSession, d: str) -> DataFrame:
     """Each generation ends the one before; nested JSON properties are read by path."""
-    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("superseded_by", F.lead("event_id").over(own))
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("superseded_by").isNull().alias("is_active"), "superseded_by")
+    e = K.superseded(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "is_active", "superseded_by")
 
 
 @query(
@@ -394,7 +385,8 @@ FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_
 def status_counters(spark: SparkSession, d: str) -> DataFrame:
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return j.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    found = K.counters(j, ["n_name", "r_name"], {"customers": "o_custkey"}, {"finished": F.col("o_orderstatus") == "F"}, {"total": "o_totalprice"})
+    return found.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "customers", "finished", F.col("rows").alias("orders"), F.round("total", 2).alias("total"))
 
 
 @query(
@@ -403,15 +395,12 @@ WITH d AS (SELECT * FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(status))
 SELECT d.status, count(o.o_orderkey) AS n, coalesce(bool_or(o.o_totalprice > 400000), false) AS any_large FROM d LEFT JOIN orders o ON o.o_orderstatus = d.status GROUP BY 1"""
 )
 def zero_filled_counts(spark: SparkSession, d: str) -> DataFrame:
-    domain = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "status string")
-    o = table(spark, d, "orders")
-    return domain.join(o, domain.status == o.o_orderstatus, "left").groupBy("status").agg(F.count("o_orderkey").alias("n"), F.coalesce(F.bool_or(F.col("o_totalprice") > 400000), F.lit(False)).alias("any_large"))
+    return K.zero_filled(table(spark, d, "orders"), "o_orderstatus", list("FOPX"), F.col("o_totalprice") > 400000).withColumnRenamed("any", "any_large")
 
 
 @query("SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus='F') AS files_F, count(*) FILTER (o_orderstatus='O') AS files_O, count(*) FILTER (o_orderstatus='P') AS files_P FROM orders GROUP BY 1")
 def status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).count()
-    return o.select("priority", *(F.coalesce(s, F.lit(0)).alias(f"files_{s}") for s in "FOP"))
+    return K.by_status(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", list("FOP"), "files_").withColumnRenamed("o_orderpriority", "priority")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -427,37 +416,20 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"""
 )
 def nested_children(spark: SparkSession, d: str) -> DataFrame:
     """Children of a parent in order, and the digest of their sorted lines."""
-    o, x = table(spark, d, "orders"), table(spark, d, "lineitem")
-    line = F.concat_ws(":", "l_linenumber", "l_partkey")
-    g = o.join(x, o.o_orderkey == x.l_orderkey).groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"), F.sort_array(F.collect_list(line)).alias("b"))
-    return g.select("o_orderkey", "n_lines", F.array_join(F.transform("a", lambda v: F.concat_ws(":", v["l_linenumber"], v["l_partkey"])), ",").alias("lines"), F.sha2(F.array_join("b", "\n"), 256).alias("digest"))
-
-
-@query(
-    """
-WITH g AS (SELECT l.lang, s.source FROM (SELECT DISTINCT lang FROM documents) l, (SELECT DISTINCT source FROM documents) s),
-v AS (SELECT lang, source, count(*) AS n, avg(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
-SELECT g.lang, g.source, coalesce(v.n, 0) AS n, round(v.q, 6) AS quality, count(v.n) OVER (PARTITION BY g.lang) >= 2 AS comparable FROM g LEFT JOIN v USING (lang, source)"""
-)
-def comparison_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The full grid of two small domains with left-joined cells."""
-    docs = table(spark, d, "documents")
-    grid = docs.select("lang").distinct().join(F.broadcast(docs.select("source").distinct()), F.lit(True))
-    cells = docs.join(table(spark, d, "labels"), "doc_id").groupBy("lang", "source").agg(F.count("*").alias("n"), F.avg("quality").alias("q"))
-    j = grid.join(cells, ["lang", "source"], "left")
-    return j.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.round("q", 6).alias("quality"), (F.count("n").over(Window.partitionBy("lang")) >= 2).alias("comparable"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    g = K.nested(o, table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"])
+    lines = F.array_join(F.transform("children", lambda v: F.concat_ws(":", v["l_linenumber"], v["l_partkey"])), ",")
+    return g.select(F.col("l_orderkey").alias("o_orderkey"), F.size("children").cast("long").alias("n_lines"), lines.alias("lines"), "digest")
 
 
 @query(
     """
-SELECT conv_id, list_aggregate(list_distinct_order, 'string_agg', ',') AS roles, CAST(greatest(0, n - 20) AS BIGINT) AS dropped FROM (
-  SELECT conv_id, count(*) AS n, list_transform(list_sort(list_distinct(list(role))), lambda x: x) AS list_distinct_order FROM conversations GROUP BY 1)"""
+WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations)
+SELECT conv_id, string_agg(turn, ',' ORDER BY turn) FILTER (n <= 3) AS kept, CAST(greatest(0, max(c) - 3) AS BIGINT) AS dropped FROM r GROUP BY 1"""
 )
 def tail_retention(spark: SparkSession, d: str) -> DataFrame:
-    """The last 20 messages of a conversation stay."""
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m"))
-    kept = F.slice("m", -F.least(F.lit(20), F.size("m")), F.lit(20))
-    return g.select("conv_id", F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda v: v["role"]))), ",").alias("roles"), (F.size("m") - F.size(kept)).cast("long").alias("dropped"))
+    """The last messages of a conversation stay."""
+    return R.tail(table(spark, d, "conversations"), ["conv_id"], "turn", 3).select("conv_id", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"), "dropped")
 
 
 # ---- curation
@@ -535,39 +507,19 @@ def task_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE u AS (SELECT n_regionkey AS task_id, n_nationkey AS unit, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
-s(task_id, unit, i, layer, state) AS (
-  SELECT task_id, unit, i, 0, CASE WHEN unit % 7 = 5 THEN 'failed' ELSE 'completed' END FROM u WHERE i = 1
-  UNION ALL SELECT u.task_id, u.unit, u.i, s.layer + 1, CASE WHEN s.state <> 'completed' THEN 'skipped' WHEN u.unit % 7 = 5 THEN 'failed' ELSE 'completed' END FROM s JOIN u ON u.task_id = s.task_id AND u.i = s.i + 1)
-SELECT task_id, CAST(unit AS VARCHAR) AS unit_id, layer, state FROM s"""
+WITH RECURSIVE u AS (SELECT n_regionkey AS task_id, n_nationkey AS unit, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, n_nationkey % 7 = 5 AS bad FROM nation),
+s(task_id, unit, i, layer, state, attempts) AS (
+  SELECT task_id, unit, i, 0, CASE WHEN bad AND unit % 2 = 1 THEN 'failed' ELSE 'completed' END, CASE WHEN bad THEN 2 ELSE 1 END FROM u WHERE i = 1
+  UNION ALL SELECT u.task_id, u.unit, u.i, s.layer + 1, CASE WHEN s.state <> 'completed' THEN 'skipped' WHEN u.bad AND u.unit % 2 = 1 THEN 'failed' ELSE 'completed' END, CASE WHEN s.state <> 'completed' THEN 0 WHEN u.bad THEN 2 ELSE 1 END
+  FROM s JOIN u ON u.task_id = s.task_id AND u.i = s.i + 1)
+SELECT task_id, CAST(unit AS VARCHAR) AS unit_id, layer, state, attempts FROM s"""
 )
 def dag_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Nations of a region as a chain of units; one whose key leaves 5 on division by 7 fails."""
+    """Nations of a region as a chain of units; one whose key leaves 5 on division by 7 fails, an even one only at first."""
     own = Window.partitionBy("task_id").orderBy("k")
     u = table(spark, d, "nation").select(F.col("n_regionkey").alias("task_id"), F.col("n_nationkey").alias("k"))
     u = u.withColumns({"unit_id": F.col("k").cast("string"), "dependency_ids": F.filter(F.array(F.lag("k").over(own).cast("string")), lambda x: x.isNotNull())})
-    return W.schedule(u, F.col("k") % 7 != 5)
-
-
-@query()
-def citation_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Labels made from item ids, cited by answers made of the benchmark, checked against those of another set."""
-    b = table(spark, d, "benchmark").withColumn("label", X.citation_label("E", F.md5("text")))
-    answers = b.select(F.lit(1).alias("answer_id"), F.concat_ws("", F.col("text"), F.lit(" ["), F.col("label"), F.lit("]")).alias("text"))
-    allowed = b.select(F.lit(1).alias("answer_id"), "label", F.col("item_id").alias("identity"))
-    return W.check_citations(answers, allowed)
-
-
-@query()
-def artifact_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of a conversation's messages under a token budget."""
-    c = table(spark, d, "conversations").withColumn("tokens", X.count_tokens("text", X.ARTIFACT_TOKEN))
-    return W.page_by_budget(c.select("conv_id", "turn", "tokens"), "conv_id", "turn", "tokens", 400)
-
-
-@query("SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'labels', count(*) FROM labels")
-def lock_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return manifest({t: table(spark, d, t) for t in ("documents", "labels")}).select("name", "rows")
+    return W.schedule(u, F.col("k") % 7 != 5, F.col("k") % 2 == 0)
 
 
 @query("SELECT DISTINCT sha256(text) AS content_hash, length(text) AS n FROM documents")
@@ -599,20 +551,6 @@ def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", V.hashing_embedding()("text").alias("embedding"))
 
 
-def _as_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("version_id"), F.col("doc_id").alias("chunk_id"), F.lit(0).alias("chunk_order"), F.lit("Results").alias("section_path"), "text")
-
-
-@query()
-def profile_claims(spark: SparkSession, d: str) -> DataFrame:
-    return G.claims(G.profile(_as_chunks(spark, d)))
-
-
-@query()
-def named_relations(spark: SparkSession, d: str) -> DataFrame:
-    return G.relations(G.entities(_as_chunks(spark, d)))
-
-
 # ---- streaming forms, as a batch
 
 
@@ -648,8 +586,7 @@ SELECT user_id, event_id FROM r WHERE r <= 5"""
 )
 def recent_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Keyword filter over several columns without regard to case, newest five of each user."""
-    e = table(spark, d, "events")
-    hit = e.where(F.contains(F.lower("props"), F.lit('"k": 1')) | F.contains(F.lower("event_type"), F.lit("err")))
+    hit = K.mentioned(table(spark, d, "events"), {"props": '"k": 1', "event_type": "err"})
     return R.top_k(hit, 5, [F.desc("ts"), F.desc("event_id")], ["user_id"]).select("user_id", "event_id")
 
 
@@ -658,12 +595,11 @@ def recent_mentions(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 20 AND p_size + 5 >= 10) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"""
 )
 def either_end(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with a matching end on either side: a union of keys, then one semi join; ranges overlap [10, 20]."""
-    x = table(spark, d, "lineitem").withColumn("ends", F.array(F.struct(F.lit("part").alias("t"), F.col("l_partkey").alias("k")), F.struct(F.lit("supplier").alias("t"), F.col("l_suppkey").alias("k"))))
-    parts = table(spark, d, "part").where("p_size <= 20 and p_size + 5 >= 10").select(F.lit("part").alias("t"), F.col("p_partkey").alias("k"))
-    both = parts.unionByName(table(spark, d, "supplier").where("s_nationkey = 3").select(F.lit("supplier").alias("t"), F.col("s_suppkey").alias("k")))
-    ends = x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode("ends").alias("e")).join(both, (F.col("e.t") == both.t) & (F.col("e.k") == both.k), "left_semi")
-    return x.join(ends, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber")
+    """Rows with a chosen end on either side; ranges overlap [10, 20]."""
+    parts = table(spark, d, "part").where("p_size <= 20 and p_size + 5 >= 10").select(F.lit("part").alias("type"), F.col("p_partkey").alias("id"))
+    chosen = parts.unionByName(table(spark, d, "supplier").where("s_nationkey = 3").select(F.lit("supplier").alias("type"), F.col("s_suppkey").alias("id")))
+    ends = {"l_partkey": "part", "l_suppkey": "supplier"}
+    return K.edges_of(table(spark, d, "lineitem"), ends, chosen, ["l_orderkey", "l_linenumber", *ends]).select("l_orderkey", "l_linenumber")
 
 
 @query(
@@ -673,11 +609,10 @@ FROM customer GROUP BY 1"""
 )
 def best_matches(spark: SparkSession, d: str) -> DataFrame:
     """Argmax with a tie-break, distinct values in order, least confidence."""
-    c = table(spark, d, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(
-        F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"), F.round(F.max("c_acctbal"), 2).alias("balance"),
-        F.array_join(F.sort_array(F.collect_set("c_mktsegment")), " | ").alias("segments"), F.round(F.min("c_acctbal"), 2).alias("least"),
-    )
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation")
+    best = K.best_match(c, "nation", "c_acctbal", "c_custkey").withColumn("balance", F.round("score", 2)).drop("score")
+    also = c.groupBy("nation").agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), " | ").alias("segments"), F.round(F.min("c_acctbal"), 2).alias("least"))
+    return best.join(also, "nation")
 
 
 @query(
@@ -691,7 +626,4 @@ def unit_plan(spark: SparkSession, d: str) -> DataFrame:
     return W.plan_units(u).select("task_id", "unit_id", F.size("dependency_ids").cast("long").alias("dependencies"))
 
 
-@query()
-def split_by_language(spark: SparkSession, d: str) -> DataFrame:
-    """Smoke and regression sets of each language (sampling operators: their sizes are the feature)."""
-    return C.stratified_split(table(spark, d, "documents"), "doc_id", "lang", {"smoke": 5, "regression": 20}, [F.asc("n_chars"), F.asc("doc_id")]).select("doc_id", "lang", "split")
+from . import library  # noqa: E402,F401 - its queries join these

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -30,3 +31,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """With a broadcast hint if it has no more rows than that, by a bounded count; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -1,11 +1,17 @@
+import itertools
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from docquarry.operators import curation as C
 from docquarry.operators import graph as G
 from docquarry.operators import incremental as I
+from docquarry.operators import reading as D
 from docquarry.operators import retrieval as R
 from docquarry.operators import structure as S
+from docquarry.operators import views as V2
 from docquarry.operators import workflow as W
 from docquarry.sources import tables as T
 from docquarry.streaming import events as E
@@ -204,3 +210,150 @@ def test_state_and_validation(spark):
     a = spark.createDataFrame([(1, "see [E1] [E2] [E9]")], "answer_id long, text string")
     src = spark.createDataFrame([("E1", 7), ("E2", 5)], "label string, paper_id long")
     assert W.interactions(a, src).first()["papers"] == [5, 7]
+
+
+# ---- scheduling, plans, reports
+
+
+def test_schedule_of_any_depth(spark, monkeypatch):
+    """A chain of 150 units completes; small and large tasks are settled alike, with retries, failures and cycles."""
+    rows = [("deep", str(i), [str(i - 1)] if i else [], True, False) for i in range(150)]
+    rnd = random.Random(3)
+    for i in range(40):
+        rows.append(("wide", f"w{i}", sorted({f"w{rnd.randrange(i)}" for _ in range(rnd.randint(0, 3))}) if i else None, rnd.random() < 0.8, rnd.random() < 0.5))
+    rows += [("ring", "a", ["b"], True, True), ("ring", "b", ["a"], True, True), ("ring", "c", ["b", "zz"], True, True), ("ring", "d", ["c"], True, True), ("ring", "e", ["a"], True, True)]
+    units = spark.createDataFrame(rows, "task_id string, unit_id string, dependency_ids array<string>, good boolean, again boolean")
+    take = lambda: sorted(map(tuple, W.schedule(units, F.col("good"), F.col("again")).select("task_id", "unit_id", "layer", "state", "attempts").collect()), key=str)
+    small = take()
+    assert [r[3] for r in small if r[0] == "deep"] == ["completed"] * 150 and max(r[2] for r in small if r[0] == "deep") == 149
+    assert {(r[1], r[2], r[3]) for r in small if r[0] == "ring"} == {("a", None, "skipped"), ("b", None, "skipped"), ("c", 0, "skipped"), ("d", 1, "skipped"), ("e", None, "skipped")}
+    state = {u: (s, n) for t, u, _, s, n in small if t == "wide"}
+    for _, u, needs, good, again in (r for r in rows if r[0] == "wide"):
+        if any(state[n][0] != "completed" for n in needs or []):
+            assert state[u] == ("skipped", 0)
+        else:
+            assert state[u] == ("completed" if good or again else "failed", 1 if good else 2)
+    units = units.where("task_id <> 'deep' or cast(unit_id as int) < 12")
+    small = take()
+    monkeypatch.setattr(W, "UNITS_IN_ONE", 3)
+    assert take() == small
+    assert W.schedule(units.where("false"), F.lit(True)).count() == 0
+
+
+def test_plan_of_verifiers(spark):
+    rows = [("t", 0, "a", "method"), ("t", 1, "b", "verification"), ("t", 2, "c", "results"), ("t", 3, "d", "novelty_check"), ("u", 0, "e", "verify")]
+    units = spark.createDataFrame(rows, "task_id string, ordinal int, unit_id string, work_type string")
+    got = {r["unit_id"]: r["dependency_ids"] for r in W.plan_units(units).collect()}
+    assert got == {"a": [], "b": ["a"], "c": [], "d": ["a", "b", "c"], "e": []}
+
+
+def test_names_count_inside_words(spark):
+    papers = spark.createDataFrame([(1, ["Scene Codebook Network"], "SCANet"), (2, ["Other"], None), (3, None, "xy")], "paper_id int, names array<string>, acronym string")
+    asked = [(1, "how does preSCANet work"), (2, "scene  codebook network"), (3, "the Other one"), (4, "nothing"), (5, None), (6, "")]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    assert {(r["query_id"], r["paper_id"], r["score"]) for r in R.resolve_papers(q, papers).collect()} == {(1, 1, 0.98), (2, 1, 1.0), (3, 2, 0.92)}
+    assert R.resolve_papers(q, papers.where("false")).count() == 0
+
+
+def test_narrowed_search_goes_down_the_levels(spark):
+    """Papers by name, else by nearness; sections and chunks only below them."""
+    e = lambda *x: [float(v) for v in x]
+    papers = spark.createDataFrame([(1, ["Alpha"], None), (2, ["Beta"], None)], "paper_id int, names array<string>, acronym string")
+    pv = spark.createDataFrame([(1, e(1, 0)), (2, e(0, 1))], "paper_id int, embedding array<double>")
+    sv = spark.createDataFrame([(10, 1, e(1, 0)), (11, 1, e(0.5, 0.5)), (20, 2, e(0, 1))], "section_id int, paper_id int, embedding array<double>")
+    chunks = spark.createDataFrame([(100, 10, 1, "The codebook is built by clustering."), (101, 11, 1, "Training goes on."), (200, 20, 2, "The codebook is built by clustering here.")], "chunk_id int, section_id int, paper_id int, text string")
+    cv = spark.createDataFrame([(100, e(1, 0)), (101, e(0.4, 0.6)), (200, e(0.9, 0.1))], "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(1, "alpha: how is the codebook built?", e(1, 0)), (2, "how is the codebook built?", e(0, 1))], "query_id int, query string, query_vector array<double>")
+    near = {(r["query_id"], r["paper_id"]) for r in R.resolved_or_near(q, papers, pv, 1).collect()}
+    assert near == {(1, 1), (2, 2)}
+    found = R.search_narrowed(q, papers, pv, sv, chunks, cv, sizes=(1, 8, 30)).where("status = 'ok'").collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in found} >= {(1, 100), (2, 200)} and not any(r["query_id"] == 1 and r["chunk_id"] == 200 for r in found)
+
+
+# ---- reading, metadata
+
+
+def test_metadata_of_files(spark):
+    page = "A Study of Paper Agents in the Wild\nAlice Smith, Bob Li\nCVPR 2024 doi:10.1234/ABC.5, arXiv:2401.01234v2"
+    rows = [("d/x.pdf", {"title": "Paper Agents", "author": "Alice Smith; Bob Li", "keywords": "a, b;; c", "creationDate": "2023-05-01"}, page, page, 3), ("d/y.pdf", {}, page, page, 1), ("d/some name.pdf", None, "", None, 0)]
+    files = spark.createDataFrame(rows, "file_name string, meta map<string,string>, first_page string, text string, page_count int")
+    a, b, c = D.paper_metadata(files).orderBy(F.desc("page_count")).collect()
+    assert (a["title"], a["authors"], a["year"], a["doi"], a["arxiv_id"], a["keywords"]) == ("Paper Agents", ["Alice Smith", "Bob Li"], 2023, "10.1234/abc.5", "2401.01234", ["a", "b", "c"])
+    assert [(x["field"], x["source"], x["confidence"]) for x in a["evidence"]] == [("title", "pdf_metadata", 0.9), ("authors", "pdf_metadata", 0.85), ("doi", "document_text", 0.95), ("arxiv_id", "document_text", 0.95), ("year", "pdf_metadata", 0.7)]
+    assert b["title"].startswith("A Study of Paper Agents") and b["year"] == 2024 and b["evidence"][0]["confidence"] == 0.65
+    assert c["title"] == "some name" and c["evidence"][0]["source"] == "file_name" and c["doi"] is None
+
+
+def test_required_rows_and_gates(spark):
+    have, known = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert D.required(have.where("k = 1"), known, ["k"], "no v").first()["v"] == "x"
+    with pytest.raises(Exception, match="no v: 2"):
+        D.required(have, known, ["k"], "no v").collect()
+    records = spark.createDataFrame([("good", ["registry"]), ("bad", [])], "release_title string, venue_proofs array<string>")
+    assert C.gated(records.where("release_title = 'good'")).count() == 1
+    with pytest.raises(Exception, match="no proof of the venue: bad"):
+        C.gated(records).collect()
+
+
+def test_nested_splits(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i * 37 % 101) for i in range(60)], "k int, s string, x int")
+    got = C.nested_splits(rows, "k", "s", {"a": 3, "b": 2}, {"a": 7, "b": 5}, [F.asc("x"), F.asc("k")]).collect()
+    assert sum(r["in_small"] for r in got) == 5 and sum(r["in_large"] for r in got) == 12 and all(r["in_large"] for r in got if r["in_small"])
+
+
+# ---- stored results
+
+
+def test_previews_under_a_budget(spark):
+    evidence = [{"paper_id": p, "relevance": r, "citation": f"E{i}", "text": "word " * 30} for i, (p, r) in enumerate([("A", 0.9), ("A", 0.8), ("B", 0.7)])]
+    shown = V2.preview("knowledge_search", {"query": "q", "status": "ok", "evidence": evidence}, "a1", 130)
+    assert [x["citation"] for x in shown["selected_evidence"]] == ["E0", "E2"] and shown["omitted_evidence"] == 1
+    whole = {"summary": "x " * 400, "status": "ok", "artifact_ref": {"artifact_id": "a1", "more": "y " * 120}, "claims": [{"t": "z " * 20}] * 5}
+    cut = V2.within(whole, 90)
+    assert cut["artifact_ref"] == {"artifact_id": "a1"} and cut["status"] == "ok" and whole["summary"].startswith(cut["summary"]) and V2._tokens(cut) <= 90
+    assert V2.within({"status": "ok"}, 50) == {"status": "ok"}
+    kinds = [*V2.PREVIEWS, "knowledge_search", "paper_comparison", "worker_result", "other"]
+    rows = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(itertools.product(kinds, ['{"summary":"s","results":[{"a":1}],"count":3,"dimensions":[{"name":"d","directly_comparable":true,"cells":[]}]}', "not json", None, "[]"]))], "artifact_id int, kind string, payload string")
+    told = rows.select("kind", "payload", V2.compact("kind", "payload", F.col("artifact_id").cast("string"), 200).alias("c")).collect()
+    assert all(json.loads(r["c"])["artifact_ref"] for r in told)
+    assert any(json.loads(r["c"]).get("omitted_results") == 2 for r in told)
+    strings = rows.limit(1).select(V2.string_values(F.lit('{"a":["x",{"b":"y"}],"c":1}')).alias("s")).first()["s"]
+    assert strings == ["x", "y"]
+
+
+def test_views_of_unknown_kinds_are_empty(spark):
+    rows = spark.createDataFrame([(1, "worker_result", '{"evidence":[{"citation":"E1"}]}'), (2, "tool_result", "{}"), (3, "paper_read", None)], "artifact_id int, kind string, payload string")
+    assert [(r["artifact_id"], r["position"]) for r in V2.view_items(rows, "evidence").collect()] == [(1, 0)]
+    assert V2.view_items(rows, "full").count() == 3 and V2.view_items(rows, "paper:x").count() == 0 and V2.citation_manifest(rows.where("artifact_id > 1")).count() == 0
+
+
+# ---- sources
+
+
+def test_files_manifests_and_parsers(spark, tmp_path):
+    path = f"file://{tmp_path}/project.json"
+    first = T.project_manifest(spark, path, "p1", "one")
+    assert first == {"name": "one", "project_id": "p1", "schema_version": 1} and T.project_manifest(spark, path, "p2", "two") == first
+    a = spark.createDataFrame([("x", 1, 5), ("y", 2, 5), ("z", 3, 5)], "relative_path string, file_size int, modified int")
+    b = spark.createDataFrame([("x", 1, 5), ("y", 2, 6)], "relative_path string, file_size int, modified int")
+    assert {r["relative_path"]: r["issue"] for r in T.unchanged(a, b).collect()} == {"x": None, "y": "changed_while_read", "z": "changed_while_read"}
+    assert T.select_parser("auto", {"plain": T.plain_text}) == "plain"
+    for name, known in (("pdf", {"plain": 1}), ("auto", {})):
+        with pytest.raises(LookupError):
+            T.select_parser(name, known)
+
+    def parser(content):
+        if content == b"bad":
+            raise ValueError("no text")
+        return T.plain_text(content)
+
+    files = spark.createDataFrame([(1, bytearray(b"one\n\ntwo\fthree")), (2, bytearray(b"bad"))], "version_id int, content binary")
+    blocks = T.parse_documents(files, parser)
+    rows = sorted((r["version_id"], r["page_number"] or 0, r["text"] or r["error"]) for r in blocks.collect())
+    assert rows == [(1, 1, "one"), (1, 1, "two"), (1, 2, "three"), (2, 0, "ValueError: no text")]
+    good = blocks.where("error is null").drop("error")
+    saved = T.save_documents(good)
+    schema = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in good.schema if f.name != "version_id")
+    assert sorted(map(str, T.load_documents(saved, schema).select(*good.columns).collect())) == sorted(map(str, good.collect()))
+    with pytest.raises(Exception, match="corrupt document: 1"):
+        T.load_documents(saved.withColumn("digest", F.lit("x")), schema).collect()
