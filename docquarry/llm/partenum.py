@@ -539,12 +539,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     held = written(texts.mapInArrow(again, "id long, x array<long>"), "partenum-features")
     groups = _grouped(held, percent)
     chain = components(_chained(groups, "v")).withColumnsRenamed({"id": "v", "component": "chain"})
-    one = written(groups.select("v", "id", "n").distinct().join(chain, "v"), "partenum-chained")
-    sized = one.groupBy("chain").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).alias("blocks"), F.count("*").alias("sets"))
+    one = written(groups.groupBy("v", "id", "n").agg(F.count("*").alias("rows")).join(chain, "v"), "partenum-chained")
+    sized = one.groupBy("chain").agg(F.ceil(F.sum(F.col("n") + EACH) / BLOCK).alias("blocks"), F.count("*").alias("sets"), F.sum("rows").alias("rows"))
     # what a chain's sets cost block by block, as each is compared with all; and signature by signature, at most
-    long = one.join(sized.where("blocks > 1"), "chain")
-    rows = groups.join(long.select("v", "chain"), "v").groupBy("chain").agg(F.count("*").alias("rows"))
-    plan = written(sized.join(rows, "chain", "left").withColumn("whole", F.coalesce(F.col("blocks") * F.col("sets") <= F.col("rows"), F.lit(True))), "partenum-plan")
+    plan = written(sized.withColumn("whole", F.col("blocks") * F.col("sets") <= F.greatest("rows", "sets")), "partenum-plan")
     dealt = one.select("id", "chain").join(plan.where("whole").select("chain", "blocks"), "chain").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("chain", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b"), "block", "id")
     found = _compared(met.join(held, "id"), ("chain", "a", "b"), percent)

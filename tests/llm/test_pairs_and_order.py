@@ -321,7 +321,7 @@ def test_jaccard_brute(spark, monkeypatch):
     want = brute_jaccard(rows)
     take = lambda d: sorted((tuple(r) for r in d.select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert take(partenum.jaccard_components(df)) == want
-    for values in ({"BLOCK": 3000, "TOGETHER": 500, "BROADCAST_KEYS": 0}, {"PART": 20, "BLOCK": 150, "EACH": 0, "FREQUENT": 4, "TEXTS": 2000}):
+    for values in ({"BLOCK": 3000, "TOGETHER": 500, "BROADCAST_KEYS": 0}, {"PART": 20, "BLOCK": 150, "EACH": 0, "FEW": 4, "TEXTS": 2000}):
         for name, value in values.items():
             monkeypatch.setattr(partenum, name, value)
         assert take(partenum.jaccard_components(df)) == want
