@@ -1,10 +1,12 @@
 """Exact near-duplicate links of embeddings by dual traversal of cover trees.
 
-Rows of a label are dealt by hash into blocks, and each block holds one cover
-tree: farthest-first order gives nested levels whose radii halve, every point
-lies within the radius of a centre of each level, and each centre knows the
-greatest distance to a point below it. Pairs of blocks of a label are traversed
-together, level by level: a pair of nodes is dropped if its centres are farther
+Rows of a label are dealt to the centres of a global upper level, as blocks of
+bounded size (`balls`), and each block holds one cover tree: farthest-first order
+gives nested levels whose radii halve, every point lies within the radius of a
+centre of each level, and each centre knows the greatest distance to a point
+below it. Pairs of blocks of a label whose balls may hold points within the
+threshold, by their centres and covering radii, are traversed together, level by
+level: a pair of nodes is dropped if its centres are farther
 apart than the threshold and both covering radii allow, and the surviving pairs'
 children meet on the next level. Points that are left over are compared by
 cosine in double precision, so the links are exact.
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .balls import deal, farthest_first, unit
 from .common import partitions, written
 from .components import components
 from .topk import finite
@@ -37,21 +40,6 @@ from .topk import finite
 SLACK = 1e-6
 
 
-def farthest_first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the points, and each point's distance to those before it (the first: the greatest of all)."""
-    n = len(x)
-    order, radius = np.empty(n, np.int64), np.empty(n)
-    order[0], radius[0] = 0, 2.0
-    near = 2.0 - 2.0 * (x @ x[0])
-    near[0] = -np.inf
-    for i in range(1, n):
-        j = int(near.argmax())
-        order[i], radius[i] = j, np.sqrt(max(near[j], 0.0))
-        np.minimum(near, 2.0 - 2.0 * (x @ x[j]), out=near)
-        near[j] = -np.inf
-    return order, radius
-
-
 class CoverTree:
     """Levels of a block of unit vectors in farthest-first order."""
 
@@ -128,12 +116,6 @@ def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _unit(raw: np.ndarray, dim: int) -> np.ndarray:
-    x = raw.reshape(-1, dim).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-
-
 def near_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", block_rows: int = 2048) -> DataFrame:
     """key, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
@@ -144,39 +126,59 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     # one class for each label and vector; adding 0 has made -0.0 and 0.0 equal
     found = rows.groupBy("_label", "_x").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
     classes = written(found.withColumn("_class", F.monotonically_increasing_id()), "cover-classes")
-    sizes = classes.groupBy("_label", F.size("_x").alias("_dim")).agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
-    dealt = classes.withColumn("_dim", F.size("_x")).join(sizes, ["_label", "_dim"]).withColumn("_block", F.pmod(F.xxhash64("_class", F.lit(7)), F.col("_blocks")).cast("int"))
-    packed = dealt.groupBy("_label", "_dim", "_block").agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("_class", "_copies", "_x")).alias("_r"))
-    packed = packed.select("_label", "_dim", "_block", "_blocks", F.col("_r._class").alias("_ids"), F.col("_r._copies").alias("_copies"), F.flatten("_r._x").alias("_x"))
+    sized = classes.withColumn("_dim", F.size("_x"))
+    dealt = sized.join(deal(sized, ["_label", "_dim"], "_class", "_x", block_rows), "_class")
+    packed = dealt.groupBy("_label", "_dim", "_block").agg(F.collect_list(F.struct("_class", "_copies", "_x")).alias("_r"))
+    packed = packed.select("_label", "_dim", "_block", F.col("_r._class").alias("_ids"), F.col("_r._copies").alias("_copies"), F.flatten("_r._x").alias("_x"))
     value = vectors.schema[vector].dataType.elementType.simpleString()
-    block_schema = f"_label string, _dim int, _block int, _blocks int, _ids array<long>, _copies array<long>, _radius array<double>, _x array<{value}>"
+    block_schema = f"_label string, _dim int, _block long, _ids array<long>, _copies array<long>, _radius array<double>, _x array<{value}>, _centre array<double>"
 
     def build(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 dim = batch.column("_dim")[r].as_py()
                 raw = batch.column("_x")[r].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
-                order, radius = farthest_first(_unit(raw, dim))
+                x = unit(raw, dim)
+                order, radius = farthest_first(x)
+                # the ball: its centre, and last the greatest distance from there
+                centre = unit(x.mean(axis=0) + 1e-12, dim)[0]
+                ball = np.r_[centre, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ centre).min()))]
                 take = pa.array(order)
                 lists = [batch.column(c)[r].values.take(take) for c in ("_ids", "_copies")]
-                one = [batch.column(c).slice(r, 1) for c in ("_label", "_dim", "_block", "_blocks")]
-                made = [*lists, pa.array(radius), pa.array(raw[order].ravel(), batch.column("_x").type.value_type)]
+                one = [batch.column(c).slice(r, 1) for c in ("_label", "_dim", "_block")]
+                made = [*lists, pa.array(radius), pa.array(raw[order].ravel(), batch.column("_x").type.value_type), pa.array(ball)]
                 yield pa.RecordBatch.from_arrays([*one, *(pa.ListArray.from_arrays(pa.array([0, len(m)], pa.int32()), m) for m in made)], names=[c.split()[0] for c in block_schema.split(", ")])
 
     trees = written(packed.repartition(partitions(spark), "_label", "_dim", "_block").mapInArrow(build, block_schema), "cover-trees")
-    left = trees.withColumn("_other", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)))
+    limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+
+    def near(batches):
+        """Pairs of a label's blocks whose balls are near enough. A ball is a few numbers, so a label's fit in one task."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids = batch.column("_b")[r].values.to_numpy()
+                ball = batch.column("_c")[r].values.to_numpy().reshape(len(ids), -1)
+                centre, reach = ball[:, :-1], ball[:, -1]
+                for i in range(len(ids)):
+                    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centre[i:] @ centre[i])))
+                    j = i + np.flatnonzero(far <= limit + SLACK + reach[i] + reach[i:])
+                    one = [pa.array([batch.column(c)[r].as_py()] * len(j), batch.schema.field(c).type) for c in ("_label", "_dim")]
+                    yield pa.RecordBatch.from_arrays([*one, pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["_label", "_dim", "_block", "_other"])
+
+    balls = trees.groupBy("_label", "_dim").agg(F.collect_list(F.struct("_block", "_centre")).alias("_t"))
+    pairs = balls.select("_label", "_dim", F.col("_t._block").alias("_b"), F.flatten("_t._centre").alias("_c")).mapInArrow(near, "_label string, _dim int, _block long, _other long")
+    left = pairs.join(trees.drop("_centre"), ["_label", "_dim", "_block"])
     right = trees.select("_label", "_dim", F.col("_block").alias("_other"), *(F.col(c).alias(f"{c}2") for c in ("_ids", "_copies", "_radius", "_x")))
     met = left.join(right.hint("shuffle_hash"), ["_label", "_dim", "_other"]).repartition(partitions(spark), "_label", "_block", "_other")
     link_schema = "_id long, _links long, _to long"
-    limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
 
     def traverse(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, own = batch.column("_dim")[r].as_py(), batch.column("_block")[r].as_py() == batch.column("_other")[r].as_py()
                 get = lambda c: batch.column(c)[r].values  # noqa: B023, E731
-                a = CoverTree(_unit(get("_x").to_numpy(zero_copy_only=False), dim), get("_radius").to_numpy())
-                b = a if own else CoverTree(_unit(get("_x2").to_numpy(zero_copy_only=False), dim), get("_radius2").to_numpy())
+                a = CoverTree(unit(get("_x").to_numpy(zero_copy_only=False), dim), get("_radius").to_numpy())
+                b = a if own else CoverTree(unit(get("_x2").to_numpy(zero_copy_only=False), dim), get("_radius2").to_numpy())
                 p, q = dual(a, b, limit)
                 if own:
                     p, q = p[p < q], q[p < q]

@@ -73,7 +73,7 @@ WITH v AS (
   FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
+  FROM (SELECT vec_id, min((len(x), x))[2] AS x FROM v WHERE vec_id % 20 = 0 GROUP BY 1) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )

@@ -1,33 +1,35 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-Vectors are dealt by hash into blocks and their dimensions are split into lists,
-so a score is the sum of a vector's entries in the lists. Phase one gathers, from
-each block and list, the few best entries of each query and scores them; the k-th
-best of these is a cutoff that no true result lies below. Phase two sends each
-query's cutoff back to the blocks, which collect the entries of at least
-cutoff / lists: a vector whose total reaches the cutoff has one. Phase three
-resolves the collected vectors' scores exactly and ranks those at or above the
-cutoff, ties to the smaller id.
-
-The queries meet the vectors block by block; nothing is broadcast or collected.
+Vectors are dealt to balls of bounded size (`balls`), and their dimensions are
+split into lists, so a score is the sum of a vector's entries in the lists.
+Phase one gathers, for each query, the best entries of each list in its own ball,
+scores them, and takes the k-th best as a cutoff that no true result lies below;
+what reaches it in that ball is written. Phase two sends the cutoffs out: of the
+other balls, a query needs those whose bound, the score of the centre and the
+query's length times the radius, reaches its cutoff. Phase three collects, in
+each of these balls, the entries of at least cutoff / lists (a vector whose total
+reaches the cutoff has one), resolves their scores exactly and ranks those at or
+above the cutoff, ties to the smaller id; k a query leave a ball.
+
+The queries travel to the balls, each ball once; nothing is collected.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components, and rows with a null id, take no part; among rows of one id the
-least vector counts; vectors of unequal length are never compared; a query with
-fewer than k candidates gets all of them; components are taken as
+components, and rows with a null id, take no part; candidates are all rows but
+those of the query's own id, rows that repeat an id each; of a query id's rows
+the one of the least vector asks; vectors of unequal length are never compared; a
+query with fewer than k candidates gets all of them; components are taken as
 floor(scale * x) and sums must fit a long; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .balls import deal
+from .common import written
 
 _GATHERED = "query_id long, vec_id long, score long"
 
@@ -37,22 +39,6 @@ def finite(vector: str) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def _packed(rows: DataFrame, blocks: int, ids: str, values: str, block: str) -> DataFrame:
-    one = rows.groupBy("_dim", F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(blocks)).cast("int").alias(block)).agg(F.collect_list(F.struct("_id", "_x")).alias("_rows"))
-    return one.select("_dim", block, F.col("_rows._id").alias(ids), F.flatten("_rows._x").alias(values))
-
-
-def _matrix(ids: pa.ListScalar, values: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    i = ids.values.to_numpy(zero_copy_only=False)
-    x = values.values.to_numpy(zero_copy_only=False).reshape(len(i), -1)
-    if len(np.unique(i)) < len(i):
-        order = np.lexsort((*x.T[::-1], i))
-        i, x = i[order], x[order]
-        first = np.r_[True, i[1:] != i[:-1]]
-        i, x = i[first], x[first]
-    return i, x
-
-
 def _lists(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:
     """The queries' entries in each list, exact: in doubles while every sum is below 2**53."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
@@ -64,66 +50,115 @@ def _emit(q: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for r in range(batch.num_rows):
-            qi, q = _matrix(batch.column("q_ids")[r], batch.column("q_x")[r])
-            vi, v = _matrix(batch.column("v_ids")[r], batch.column("v_x")[r])
-            yield batch, r, qi, q, vi, v
+def _top(q: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query, ties to the smaller id."""
+    order = np.lexsort((v, -score, q))
+    starts = np.flatnonzero(np.r_[True, q[order[1:]] != q[order[:-1]]]) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < k]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding", lists: int = 2, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query row."""
     spark = vectors.sparkSession
-    rows = written(
-        vectors.where(F.col(key).isNotNull() & finite(vector)).select(
-            F.col(key).cast("long").alias("_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("_x"), F.size(vector).alias("_dim"), F.coalesce(is_query, F.lit(False)).alias("_q")
-        ),
-        "topk-rows",
-    )
-    n, nq = (int(x or 0) for x in rows.agg(F.count("*"), F.sum(F.col("_q").cast("long"))).first())
-    blocks, query_blocks = -(-n // block_rows) or 1, -(-nq // query_rows) or 1
-    vs = _packed(rows, blocks, "v_ids", "v_x", "_vb")
-    qs = _packed(rows.where("_q"), query_blocks, "q_ids", "q_x", "_qb")
-    # each vector block meets each block of queries
-    dealt = vs.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    met = dealt.join(qs.hint("shuffle_hash"), ["_dim", "_qb"]).repartition(max(partitions(spark), min(blocks * query_blocks, 4 * partitions(spark))), "_vb", "_qb")
-    few = -(-2 * k // blocks) + 1
+    part = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    rows = vectors.where(F.col(key).isNotNull() & finite(vector)).select(F.col(key).cast("long").alias("_id"), part.alias("_x"), F.size(vector).alias("_dim"), F.coalesce(is_query, F.lit(False)).alias("_q"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "topk-rows")
+    blocks = written(rows.select("_row", "_dim").join(deal(rows.select("_row", "_dim", "_x"), ["_dim"], "_row", "_x", block_rows), "_row"), "topk-blocks")
+    dealt = rows.join(blocks.select("_row", "_block"), "_row")
+    packed = dealt.groupBy("_dim", "_block").agg(F.collect_list(F.struct("_id", "_x")).alias("_r")).select("_dim", "_block", F.col("_r._id").alias("v_ids"), F.flatten("_r._x").alias("v_x"))
+
+    def ball(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = batch.column("v_x")[r].values.to_numpy(zero_copy_only=False).reshape(len(batch.column("v_ids")[r].values), -1).astype(float)
+                centre = x.mean(axis=0)
+                told = np.r_[centre, np.sqrt(((x - centre) ** 2).sum(axis=1).max())]
+                yield pa.RecordBatch.from_arrays([batch.column("_dim").slice(r, 1), batch.column("_block").slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), pa.array(told))], names=["_dim", "_block", "_ball"])
+
+    vs = written(packed, "topk-balls")
+    asks = dealt.where("_q").groupBy("_id", "_dim").agg(F.min(F.struct("_x", "_block")).alias("_m")).groupBy("_id").agg(F.min(F.struct("_dim", "_m")).alias("_m"))
+    asks = asks.select("_id", "_m._dim", F.col("_m._m._x").alias("_x"), F.col("_m._m._block").alias("_block"))
+    few = asks.groupBy("_dim", "_block").agg(F.ceil(F.count("*") / query_rows).alias("_parts"))
+    asks = asks.join(few, ["_dim", "_block"]).withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts"))
+    qs = asks.groupBy("_dim", "_block", "_part").agg(F.collect_list(F.struct("_id", "_x")).alias("_r")).select("_dim", "_block", "_part", F.col("_r._id").alias("q_ids"), F.flatten("_r._x").alias("q_x"))
+    qs = written(qs, "topk-queries")
+    least = -(2**62)
+    schema = "_dim int, _block long, _part long, _id long, _cut long, _v long, _s long"
 
     def gather(batches):
-        for _, _, qi, q, vi, v in _pairs(batches):
-            parts = _lists(q, v, lists)
-            total = sum(parts)
-            low = np.finfo(np.float64).min if total.dtype == np.float64 else np.iinfo(np.int64).min
-            same = qi[:, None] == vi[None, :]
-            chosen = np.zeros(total.shape, bool)
-            m = min(few, len(vi))
-            for part in parts:
-                part = np.where(same, low, part)
-                np.put_along_axis(chosen, np.argpartition(part, len(vi) - m, axis=1)[:, len(vi) - m :], True, axis=1)
-            a, b = np.nonzero(chosen & ~same)
-            yield _emit(qi[a], vi[b], total[a, b])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    gathered = met.mapInArrow(gather, _GATHERED)
-    cutoff = gathered.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id").agg(F.min("score").alias("_cut"), F.count("*").alias("_n"))
-    # a query that gathered fewer than k entries has no safe cutoff and collects everything
-    cuts = rows.where("_q").select("_id", "_dim").distinct().join(cutoff.where(F.col("_n") >= k).select(F.col("query_id").alias("_id"), "_cut"), "_id", "left")
-    cuts = cuts.groupBy("_dim", F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(query_blocks)).cast("int").alias("_qb")).agg(F.collect_list(F.struct("_id", F.coalesce("_cut", F.lit(-(2**62))).alias("_cut"))).alias("_c"))
-    told = met.join(cuts.select("_dim", "_qb", F.col("_c._id").alias("c_ids"), F.col("_c._cut").alias("c_cut")).hint("shuffle_hash"), ["_dim", "_qb"])
+        """Each query's cutoff by its own ball (rows without _v), and what reaches it there."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, vi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "v_ids"))
+                q, v = (batch.column(c)[r].values.to_numpy().reshape(len(i), -1) for c, i in (("q_x", qi), ("v_x", vi)))
+                parts = _lists(q, v, lists)
+                total = sum(parts)
+                low = np.finfo(np.float64).min if total.dtype == np.float64 else np.iinfo(np.int64).min
+                same = qi[:, None] == vi[None, :]
+                chosen = np.zeros(total.shape, bool)
+                m = min(k, len(vi))
+                for part in parts:
+                    part = np.where(same, low, part)
+                    np.put_along_axis(chosen, np.argpartition(part, len(vi) - m, axis=1)[:, len(vi) - m :], True, axis=1)
+                got = np.where(chosen & ~same, total, low)
+                # a query that gathered fewer than k entries has no safe cutoff and collects everything
+                cut = np.where((chosen & ~same).sum(axis=1) >= k, np.partition(got, len(vi) - m, axis=1)[:, len(vi) - m], low)
+                cut = np.maximum(cut, least).astype(np.int64)
+                a, b = np.nonzero((total >= cut[:, None]) & ~same)
+                top = _top(qi[a], vi[b], total[a, b], k)
+                a, b = a[top], b[top]
+                n = len(qi) + len(a)
+                one = [pa.array([batch.column(c)[r].as_py()] * n, t) for c, t in (("_dim", pa.int32()), ("_block", pa.int64()), ("_part", pa.int64()))]
+                none = pa.nulls(len(qi), pa.int64())
+                told = [np.r_[qi, qi[a]], np.r_[cut, cut[a]]]
+                yield pa.RecordBatch.from_arrays([*one, *(pa.array(c.astype(np.int64)) for c in told), pa.concat_arrays([none, pa.array(vi[b].astype(np.int64))]), pa.concat_arrays([none, pa.array(total[a, b].astype(np.int64))])], names=["_dim", "_block", "_part", "_id", "_cut", "_v", "_s"])
+
+    home = written(qs.join(vs.hint("shuffle_hash"), ["_dim", "_block"]).mapInArrow(gather, schema), "topk-gathered")
+    cuts = home.where("_v is null").groupBy("_dim", "_block", "_part").agg(F.collect_list(F.struct("_id", "_cut")).alias("_c")).select("_dim", "_block", "_part", F.col("_c._id").alias("c_ids"), F.col("_c._cut").alias("c_cut"))
+    # the balls in packs, which every part of the queries looks through
+    balls = vs.mapInArrow(ball, "_dim int, _block long, _ball array<double>").groupBy("_dim", F.pmod(F.xxhash64("_block"), F.lit(64)).alias("_pack")).agg(F.collect_list(F.struct("_block", "_ball")).alias("_b"))
+    balls = written(balls.select("_dim", F.col("_b._block").alias("b_ids"), F.flatten("_b._ball").alias("b_x")), "topk-bounds")
+    ask_schema = "_dim int, _other long, q_ids array<long>, q_x array<long>, q_cut array<long>"
+
+    def needed(batches):
+        """For each other ball, the queries whose cutoff its bound reaches."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, ci, cut, bi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "c_ids", "c_cut", "b_ids"))
+                order = np.argsort(ci)
+                cut = cut[order][np.searchsorted(ci[order], qi)]
+                q = batch.column("q_x")[r].values.to_numpy().reshape(len(qi), -1)
+                b = batch.column("b_x")[r].values.to_numpy().reshape(len(bi), -1)
+                f = q.astype(float)
+                bound = f @ b[:, :-1].T + np.sqrt((f * f).sum(axis=1))[:, None] * b[:, -1][None, :]
+                # bounds are sums of doubles: a little more than they could be off
+                need = bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= cut[:, None].astype(float)
+                need[:, bi == batch.column("_block")[r].as_py()] = False
+                for j in np.flatnonzero(need.any(axis=0)):
+                    some = np.flatnonzero(need[:, j])
+                    columns = [pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (qi[some], q[some], cut[some])]
+                    yield pa.RecordBatch.from_arrays([batch.column("_dim").slice(r, 1), pa.array([bi[j]]), *columns], names=["_dim", "_other", "q_ids", "q_x", "q_cut"])
+
+    asked = qs.join(cuts, ["_dim", "_block", "_part"]).join(balls, "_dim").mapInArrow(needed, ask_schema)
 
     def collect(batches):
-        for batch, r, qi, q, vi, v in _pairs(batches):
-            ci, cut = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("c_ids", "c_cut"))
-            order = np.argsort(ci)
-            cut = cut[order][np.searchsorted(ci[order], qi)]
-            parts = _lists(q, v, lists)
-            enough = np.zeros(parts[0].shape, bool)
-            for part in parts:
-                enough |= part * len(parts) >= cut[:, None]
-            a, b = np.nonzero(enough & (qi[:, None] != vi[None, :]))
-            score = sum(part[a, b] for part in parts).astype(np.int64)
-            reach = score >= cut[a]
-            yield _emit(qi[a[reach]], vi[b[reach]], score[reach])
-
-    return told.mapInArrow(collect, _GATHERED).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, cut, vi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "q_cut", "v_ids"))
+                q, v = (batch.column(c)[r].values.to_numpy().reshape(len(i), -1) for c, i in (("q_x", qi), ("v_x", vi)))
+                parts = _lists(q, v, lists)
+                enough = np.zeros(parts[0].shape, bool)
+                for part in parts:
+                    enough |= part * len(parts) >= cut[:, None]
+                a, b = np.nonzero(enough & (qi[:, None] != vi[None, :]))
+                score = sum(part[a, b] for part in parts).astype(np.int64)
+                reach = np.flatnonzero(score >= cut[a])
+                a, b, score = a[reach], b[reach], score[reach]
+                top = _top(qi[a], vi[b], score, k)
+                yield _emit(qi[a[top]], vi[b[top]], score[top])
+
+    found = asked.join(vs.withColumnRenamed("_block", "_other").hint("shuffle_hash"), ["_dim", "_other"]).mapInArrow(collect, _GATHERED)
+    near = home.where("_v is not null").select(F.col("_id").alias("query_id"), F.col("_v").alias("vec_id"), F.col("_s").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.unionByName(near).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import components, covertree, mixing, partenum, queries, suffixdup, topk
+from docquarry.llm import balls, components, covertree, mixing, partenum, queries, suffixdup, topk
 from docquarry.llm.common import table
 
 TABLES = "documents embeddings pages labels conversations".split()
@@ -110,10 +110,10 @@ def test_cover_tree_brute(spark, vectors):
 def test_dual_traversal_loses_nothing():
     rnd = np.random.default_rng(3)
     for n, m, spread in ((1, 1, 1.0), (50, 80, 0.2), (200, 3, 1.0), (120, 120, 0.02)):
-        a, b = (covertree._unit((rnd.normal(size=5) + spread * rnd.normal(size=(k, 5))).ravel(), 5) for k in (n, m))
+        a, b = (balls.unit((rnd.normal(size=5) + spread * rnd.normal(size=(k, 5))).ravel(), 5) for k in (n, m))
         trees = []
         for v in (a, b):
-            order, radius = covertree.farthest_first(v)
+            order, radius = balls.farthest_first(v)
             trees.append(covertree.CoverTree(v[order], radius))
         p, q = covertree.dual(*trees, 0.3)
         got = set(zip(p.tolist(), q.tolist()))
