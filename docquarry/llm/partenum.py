@@ -521,8 +521,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stay = written(met.groupBy("s").agg(F.sum("n").alias("shared")), "partenum-stay")
     n = F.col("n")
     lesser = F.floor(_needed(F.ceil(n * percent / 100), percent) / 5)
-    staying = made.where("n > 0").join(stay, F.col("s1") == F.col("s")).where((F.col("shared") > lesser) | (n * percent <= 100 * SMALL))
-    hopes = staying.groupBy("s1", "s2").agg(F.min(F.struct("_t1", "_t2")).alias("_t"))
+    # rows with equal sets are one before they meet anything
+    sets = made.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("_t1", "_t2")).alias("_t"), F.first("n").alias("n"))
+    hopes = sets.join(stay, F.col("s1") == F.col("s")).where((F.col("shared") > lesser) | (n * percent <= 100 * SMALL))
     # numbered and written: from here on a set is its number
     hopes = written(hopes.select("s1", "s2", "_t.*").withColumn("id", F.monotonically_increasing_id()), "partenum-hopes")
     few = hopes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

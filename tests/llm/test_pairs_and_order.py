@@ -428,12 +428,18 @@ def test_pipeline_runs_and_survives_odd_tables(spark, smallest, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeats", "mixture", "tokens"]
     out = corpus_pipeline.run(spark, smallest)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 200
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
-    odd = spark.createDataFrame([(1, None, None, None, None, 1.0, 2), (1, None, None, None, None, 1.0, 2), (None, "some words that are here now", "en", "s", 3, None, None), (2, "", "en", "s", 0, None, None)], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, _place string, _row int, mix_slot int, s1 int"
+    rest = (1.0, 2, "p", 3, 4, 5)
+    odd = [(1, None, None, None, None, *rest), (1, None, None, None, None, *rest), (None, "some words that are here now", "en", "s", 3, *(None,) * 6), (2, "", "en", "s", 0, *rest), (3, "é " * 150_000, "fr", "s", 300_000, *rest)]
+    odd = spark.createDataFrame(odd, schema)
     for d in (odd, odd.where("false")):
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, d, smallest)
             assert got.count() == d.count(), name
+            if name != "tokens":
+                assert got.columns == d.columns
+                kept = [c for c in d.columns if c not in ("text", "n_chars")]
+                assert plain(got.select(*kept).collect()) == plain(d.select(*kept).collect()), name
 
 
 def test_pipeline_rows_keep_the_mixed_order(spark, tmp_path, monkeypatch):
