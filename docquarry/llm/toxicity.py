@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembers, small_batches, text_or_empty, written
+from .common import discard, lean, partitions, remembers, small_batches, text_or_empty, written
 
 #: Greatest length that a subsequence may span, width of a word's window, its step.
 SPAN, WIDTH, STEP = 9, 32, 16
@@ -106,12 +106,13 @@ class Kernel:
         s = self.symbols(words, WIDTH)
         parts = list(self.subsequences(s))
         codes, where = np.unique(np.concatenate([c.ravel() for c, _ in parts]), return_inverse=True)
-        out, at = np.zeros((len(words), len(codes))), 0
+        out, at = np.zeros((len(words), len(codes)), np.float32), 0
         for c, weight in parts:
             np.add.at(out, (np.arange(len(words)).repeat(c.shape[1]), where[at : at + c.size]), weight)
             at += c.size
         out[:, codes == 0] = 0
-        return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12), codes
+        out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64)), 1e-12).astype(np.float32)[:, None]
+        return out, codes
 
     def similar(self, words: list[str], base: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Kernel of a few words with the landmarks whose features over `codes` are given."""
@@ -154,14 +155,19 @@ class Kernel:
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-6) -> np.ndarray:
-    """Newton's method for a linear machine; the last component is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), ridge * np.r_[np.ones(x.shape[1] - 1), 1e-3]
+    """Newton's method for a linear machine; the last component is the bias. Sums are in doubles, some rows at a time."""
+    n = x.shape[1]
+    w, keep = np.zeros(n + 1), ridge * np.r_[np.ones(n), 1e-3]
     for _ in range(50):
-        on = y * (x @ w) < 1
-        xo, co = x[on], weight[on]
-        gradient = keep * w + xo.T @ (co * (xo @ w - y[on]))
-        step = np.linalg.solve(np.diag(keep) + (xo * co[:, None]).T @ xo, gradient)
+        gradient, curve = keep * w, np.diag(keep)
+        for i in range(0, len(x), 2048):
+            part = np.hstack([x[i : i + 2048].astype(np.float64), np.ones((len(x[i : i + 2048]), 1))])
+            told = part @ w
+            on = y[i : i + 2048] * told < 1
+            xo, co = part[on], weight[i : i + 2048][on]
+            gradient += xo.T @ (co * (told[on] - y[i : i + 2048][on]))
+            curve += (xo * co[:, None]).T @ xo
+        step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -275,44 +281,54 @@ class _Machine:
     def __init__(self, kernel: Kernel, landmarks: list[str]):
         self.kernel = kernel
         self.base, self.codes = kernel.features(landmarks)
-        values, vectors = np.linalg.eigh(self.base @ self.base.T)
+        values, vectors = np.linalg.eigh((self.base @ self.base.T).astype(np.float64))
         some = values > 1e-6 * values[-1]
         self.root = vectors[:, some] / np.sqrt(values[some])
 
     def nystroem(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, self.root.shape[1]))
-        return np.concatenate([self.kernel.similar(words[i : i + 128], self.base, self.codes) @ self.root for i in range(0, len(words), 128)])
+        parts = [(self.kernel.similar(words[i : i + 128], self.base, self.codes) @ self.root).astype(np.float32) for i in range(0, len(words), 128)]
+        return np.concatenate([np.zeros((0, self.root.shape[1]), np.float32), *parts])
 
     def trained(self, good: np.ndarray, bad: np.ndarray, weight: np.ndarray, others: int) -> tuple[Model, float]:
         """The model of toxic instances `bad` with weights of sum 1 and `good` ones, `others` in all; its loss."""
         y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
         x, w = np.concatenate([bad, good]), np.r_[weight, np.full(len(good), 1.0 / others)]
         machine = squared_hinge(x, y, w)
-        table = np.zeros(SYMBOLS**3)
-        table[self.codes] = self.base.T @ (self.root @ machine[:-1])
+        table = np.zeros(SYMBOLS**3, np.float32)
+        table[self.codes] = self.base.T @ (self.root @ machine[:-1]).astype(np.float32)
         table[0] = 0
-        loss = (w * np.maximum(0, 1 - y * (x @ machine[:-1] + machine[-1])) ** 2).sum()
-        return Model(self.kernel.alphabet, self.kernel.decay, table.astype(np.float32), float(machine[-1]), np.zeros(3)), float(loss)
+        loss = (w * np.maximum(0, 1 - y * (x @ machine[:-1].astype(np.float32) + machine[-1])) ** 2).sum()
+        return Model(self.kernel.alphabet, self.kernel.decay, table, float(machine[-1]), np.zeros(3)), float(loss)
+
 
+def _wrong(ordinary: DataFrame, machine, model: Model, known: set[str], most: int) -> tuple[float, list[str], np.ndarray]:
+    """Of the ordinary instances that aren't known: the sum of squared excesses over the margin; the `most` worst and their features.
 
-def _wrong(ordinary: DataFrame, machine: _Machine, model: Model, known: set[str]) -> pa.Table:
-    """Of the ordinary instances that aren't known: those within the margin, their excess over -1 and features."""
-    held = ordinary.sparkSession.sparkContext.broadcast((machine, model, known))
+    `machine`: a broadcast.
+    """
+    seen = ordinary.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches):
-        machine, model, known = held.value
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w not in known]
-            over = machine.kernel.margins(words, model.table, model.bias) + 1 if words else np.zeros(0)
+            words = [w for w in batch.column(0).to_pylist() if w not in seen.value[1]]
+            model = seen.value[0]
+            over = machine.value.kernel.margins(words, model.table, model.bias) + 1 if words else np.zeros(0)
             some = np.flatnonzero(over > 1e-3)
-            x = machine.nystroem([words[i] for i in some]).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(over[some]), lists], names=["w", "over", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(over[some])], names=["w", "over"])
 
-    found = ordinary.mapInArrow(run, "w string, over double, x array<float>").toArrow()
-    held.unpersist()
-    return found
+    def told(batches):
+        for batch in batches:
+            x = machine.value.nystroem(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["w", "x"])
+
+    found = written(ordinary.mapInArrow(run, "w string, over double"), "toxic-wrong")
+    missed = found.agg(F.sum(F.col("over") * F.col("over"))).first()[0] or 0.0
+    worst = written(found.orderBy(F.desc("over"), "w").limit(most).select("w"), "toxic-worst")
+    got = worst.repartition(partitions(ordinary.sparkSession)).mapInArrow(told, "w string, x array<float>").orderBy("w").toArrow().combine_chunks()
+    seen.unpersist()
+    discard(found, worst)
+    x = got.column("x").chunk(0).values.to_numpy().reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, machine.value.root.shape[1]), np.float32)
+    return float(missed), got.column("w").to_pylist(), x
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, landmarks: int = 256, decay: float = 0.6, lift: float = 4.0, named: int = 3, turns: int = 1, tolerance: float = 0.02) -> Model:
@@ -400,22 +416,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = spread(bad, landmarks // 2)
     machine = _Machine(kernel, marks + spread(known, landmarks - len(marks)))
     good = machine.nystroem(known)
+    held = spark.sparkContext.broadcast(machine)
     for turn in range(turns):
         weight = np.array(list(bad.values()), float)
         told = machine.nystroem(list(bad))
         while True:
             model, loss = machine.trained(good, told, weight / weight.sum(), others)
             # instances that a witness is one of are no counterexamples
-            wrong = _wrong(ordinary, machine, model, {*known, *bad})
-            missed = (np.asarray(wrong.column("over")) ** 2).sum() / others
-            if missed <= tolerance * loss:
+            missed, words, x = _wrong(ordinary, held, model, {*known, *bad}, 16 * landmarks)
+            if missed / others <= tolerance * loss:
                 break
-            x = wrong.column("x").combine_chunks()
-            x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).values.to_numpy().reshape(wrong.num_rows, -1)
-            most = np.argsort(-np.asarray(wrong.column("over")), kind="stable")[: 32 * landmarks]
-            words = wrong.column("w").to_pylist()
-            known = [*known, *(words[i] for i in most)]
-            good = np.concatenate([good, x[most].astype(np.float64)])
+            known, good = [*known, *words], np.concatenate([good, x])
         if turn + 1 < turns:
             scorer = spark.sparkContext.broadcast(model)
             bad = witnesses(_by_margin(scorer, named)) or bad
@@ -428,6 +439,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             two = scorer.two(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), batch.column(1)], names=["a", "b", "y"])
 
+    held.unpersist()
+    del machine, good, told
+    lean()
     fit = texts.mapInArrow(margins, "a double, b double, y int").toArrow()
     a, b, y = (fit.column(c).to_numpy() for c in ("a", "b", "y"))
     model.logistic = logistic(np.stack([a, b], axis=1), y.astype(float))
