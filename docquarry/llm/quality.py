@@ -9,12 +9,15 @@ code points of Unicode are equally likely. A model of at most BROADCAST_GRAMS
 n-grams is sent to the executors; a larger one stays a sharded table, which is
 joined with the distinct n-grams of the scored texts, and these with the chunks
 of texts they are from. A document is kept if its perplexity is at most a
-quantile of the trusted documents' perplexities in its language.
+quantile of the trusted documents' perplexities in its language. For the
+quantiles, trusted documents are scored by a model that hasn't seen them: each
+half of them, by a hash of the id, by the model of the other half.
 
 Defined results: a null or empty text has no perplexity and isn't kept; a null
 language is a language of its own; a language without trusted texts takes the
-quantile over all trusted texts; if no text is trusted the model is uniform,
-there is no threshold and every text with a perplexity is kept; repeated rows are
+quantile over all trusted texts; if all trusted texts are in one half, the model of
+all of them scores them; if no text is trusted the model is uniform, there is no
+threshold and every text with a perplexity is kept; repeated rows are
 scored each; trusted ids that are null or unknown are ignored; extra columns are
 ignored. `symbols`, where given, tells only the `symbols - 1` most frequent code
 points of the trusted texts apart.
@@ -324,12 +327,18 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, key:
     ids = trusted.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
-    if symbols is None:
-        model = gather(texts, text)
-    else:
-        model = gather(texts, text, top_code_points(texts.select(text_or_empty(text).alias("_text")), symbols - 1), symbols)
+    texts = written(texts.select(key, lang, text_or_empty(text).alias("_text"), F.pmod(F.xxhash64(key, F.lit(41)), F.lit(2)).alias("_half")), "kn-trusted")
+    alphabet = None if symbols is None else top_code_points(texts.select("_text"), symbols - 1)
+    fitted = lambda rows: gather(rows, "_text", alphabet, CODE_POINTS if symbols is None else symbols)
+    model = fitted(texts)
     scored = written(perplexities(docs, model, (key, lang), text), "kn-scores")
-    reference = scored.join(ids, key, "left_semi").where("perplexity is not null")
+    halves = [texts.where(F.col("_half") == k) for k in (0, 1)]
+    if any(h.where("_text <> ''").isEmpty() for h in halves):
+        reference = scored.join(ids, key, "left_semi")
+    else:
+        one, other = (perplexities(halves[1 - k], fitted(halves[k]), (key, lang), "_text") for k in (0, 1))
+        reference = written(one.unionByName(other), "kn-reference")
+    reference = reference.where("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     own = reference.groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_lang")).agg(at.alias("_own"))
     own = written(own, "kn-thresholds")  # one row a language: its size is known when the join is planned
