@@ -101,22 +101,22 @@ class Kernel:
                 a, b, c = s[:, : n - d - e], s[:, d : n - e], s[:, d + e :]
                 yield np.where((a > 0) & (b > 0) & (c > 0), (a * SYMBOLS + b) * SYMBOLS + c, 0), self.decay ** (d + e + 1)
 
-    def features(self, words: list[str]) -> np.ndarray:
+    def features(self, words: list[str], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
         """Normalised features of a few words, dense over the codes that occur: (words, codes), the codes."""
         s = self.symbols(words, WIDTH)
         parts = list(self.subsequences(s))
         codes, where = np.unique(np.concatenate([c.ravel() for c, _ in parts]), return_inverse=True)
-        out, at = np.zeros((len(words), len(codes)), np.float32), 0
+        out, at = np.zeros((len(words), len(codes)), kind), 0
         for c, weight in parts:
             np.add.at(out, (np.arange(len(words)).repeat(c.shape[1]), where[at : at + c.size]), weight)
             at += c.size
         out[:, codes == 0] = 0
-        out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64)), 1e-12).astype(np.float32)[:, None]
+        out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64)), 1e-12).astype(kind)[:, None]
         return out, codes
 
     def similar(self, words: list[str], base: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Kernel of a few words with the landmarks whose features over `codes` are given."""
-        x, own = self.features(words)
+        x, own = self.features(words, base.dtype.type)
         _, i, j = np.intersect1d(own, codes, assume_unique=True, return_indices=True)
         return x[:, i] @ base[:, j].T
 
@@ -280,7 +280,7 @@ class _Machine:
 
     def __init__(self, kernel: Kernel, landmarks: list[str]):
         self.kernel = kernel
-        self.base, self.codes = kernel.features(landmarks)
+        self.base, self.codes = kernel.features(landmarks, np.float32)
         values, vectors = np.linalg.eigh((self.base @ self.base.T).astype(np.float64))
         some = values > 1e-6 * values[-1]
         self.root = vectors[:, some] / np.sqrt(values[some])
