@@ -142,10 +142,13 @@ def merge_entities(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.withColumn("aliases", F.filter("aliases", lambda a: a != F.col("canonical_name")))
 
 
-def verify_claims(claims: DataFrame, evidence: DataFrame, claim_id: str = "claim_id") -> DataFrame:
-    """Claims with entailment_status and review_status: verified if their evidence supports them. `evidence`: claim_id, evidence_text."""
+def verify_claims(claims: DataFrame, evidence: DataFrame, claim_id: str = "claim_id", judge=V.entailment) -> DataFrame:
+    """Claims with entailment_status and review_status: verified if their evidence supports them.
+
+    `evidence`: claim_id, evidence_text; `judge`: a Column function of a statement and an array of texts.
+    """
     texts = evidence.groupBy(claim_id).agg(F.collect_list("evidence_text").alias("_texts"))
-    judged = claims.join(texts, claim_id, "left").withColumn("entailment_status", V.entailment("statement", F.coalesce("_texts", F.array().cast("array<string>"))))
+    judged = claims.join(texts, claim_id, "left").withColumn("entailment_status", judge("statement", F.coalesce("_texts", F.array().cast("array<string>"))))
     return judged.withColumn("review_status", F.when(F.col("entailment_status") == "supported", "verified").otherwise("unreviewed")).drop("_texts")
 
 

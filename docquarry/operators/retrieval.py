@@ -186,8 +186,9 @@ def fuse(dense_rows: DataFrame, sparse_rows: DataFrame, keys: list[str]) -> Data
     return dense_rows.join(sparse_rows, keys, "full_outer")
 
 
-def rerank(candidates: DataFrame, query: str = "query", text: str = "text", query_tokens: str | None = None, text_tokens: str | None = None) -> DataFrame:
-    return candidates.withColumn("relevance", V.hybrid_score(query, text, "dense", "bm25", query_tokens, text_tokens))
+def rerank(candidates: DataFrame, query: str = "query", text: str = "text", query_tokens: str | None = None, text_tokens: str | None = None, scorer=V.hybrid_score) -> DataFrame:
+    """`scorer`: a Column function of query, text, dense and sparse score, and both sides' tokens; the port for other rankers."""
+    return candidates.withColumn("relevance", scorer(query, text, "dense", "bm25", query_tokens, text_tokens))
 
 
 def select_diverse(candidates: DataFrame, limit: int, similarity: float = 0.85, query_id: str = "query_id", paper_id: str = "paper_id", chunk_id: str = "chunk_id") -> DataFrame:
@@ -235,17 +236,18 @@ def evidence_id(query: str = "query", chunk_id: str = "chunk_id") -> Column:
     return F.sha2(F.concat_ws(":", F.lit("evidence"), F.sha2(F.trim(F.lower(F.col(query))), 256), F.col(chunk_id).cast("string")), 256)
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, k: int = 30, least: float = 0.22, diverse: bool = True) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, k: int = 30, least: float = 0.22, diverse: bool = True, scorer=V.hybrid_score) -> DataFrame:
     """Evidence rows of each query; a query without any gets one row of status no_evidence.
 
-    `queries`: query_id, query, query_vector; `chunks`: chunk_id, paper_id, text; `vectors`: chunk_id, embedding.
+    `queries`: query_id, query, query_vector; `chunks`: chunk_id, paper_id, text; `vectors`: chunk_id, embedding;
+    `scorer`: as for rerank.
     """
     near = dense(queries, vectors, k, target="chunk_id")
     words = top_k(bm25(queries, chunks, doc_id="chunk_id").withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
-    return _judged_evidence(queries, chunks, fuse(near, words, ["query_id", "chunk_id"]), limit, least, diverse)
+    return _judged_evidence(queries, chunks, fuse(near, words, ["query_id", "chunk_id"]), limit, least, diverse, scorer)
 
 
-def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFrame, limit: int, least: float, diverse: bool) -> DataFrame:
+def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFrame, limit: int, least: float, diverse: bool, scorer=V.hybrid_score) -> DataFrame:
     """Evidence rows of the fused candidates (query_id, chunk_id, dense, bm25), or a row that tells there is none."""
     few = staged(candidates, "candidates")
     # each candidate's text and each query is tokenised once, before they meet
@@ -254,7 +256,7 @@ def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFram
     asked = queries.select("query_id", "query", F.array_distinct(X.search_tokens("query")).alias("_query_tokens"))
     both = few.join(split, "chunk_id").join(asked, "query_id")
     # sums of doubles differ in their last digits with the order of rows: scores are told apart by nine digits
-    ranked = rerank(both, query_tokens="_query_tokens", text_tokens="_tokens").withColumn("relevance", F.round("relevance", 9)).where(F.col("relevance") >= least).drop("_query_tokens")
+    ranked = rerank(both, query_tokens="_query_tokens", text_tokens="_tokens", scorer=scorer).withColumn("relevance", F.round("relevance", 9)).where(F.col("relevance") >= least).drop("_query_tokens")
     chosen = select_diverse(ranked.drop("text").withColumn("text", F.lit("")), limit) if diverse else top_k(ranked.drop("_tokens"), limit, [F.desc("relevance"), F.asc("chunk_id")], ["query_id"])
     found = chosen.select("query_id", "chunk_id", "paper_id", "dense", "bm25", "relevance", evidence_id().alias("evidence_id"))
     return (
@@ -264,20 +266,21 @@ def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFram
     )
 
 
-def search_rewritten(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, limit: int = 8, most: int = 4, radius: int = 1, judge_at: float = 0.2) -> DataFrame:
+def search_rewritten(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, limit: int = 8, most: int = 4, radius: int = 1, judge_at: float = 0.2, rewriter=X.rewrites, judge=V.judged, scorer=V.hybrid_score) -> DataFrame:
     """All rewrites in one job, each chunk by its best, neighbours added, judged against the question as asked.
 
-    `embed`: a Column function for query vectors; `chunks` also has version_id, section_id, chunk_order.
+    `embed`: a Column function for query vectors; `chunks` also has version_id, section_id, chunk_order. `rewriter`
+    (query, most) gives an array of questions, `judge` (query, text, relevance) a score; the ports for others.
     """
-    asked = queries.select("query_id", "query", F.posexplode(X.rewrites("query", most)).alias("_n", "_rewrite"))
+    asked = queries.select("query_id", "query", F.posexplode(rewriter("query", most)).alias("_n", "_rewrite"))
     each = asked.select(F.struct("query_id", "_n").alias("query_id"), F.col("_rewrite").alias("query")).withColumn("query_vector", embed("query"))
-    found = search(each, chunks.select("chunk_id", "paper_id", "text"), vectors, limit).where("status = 'ok'")
+    found = search(each, chunks.select("chunk_id", "paper_id", "text"), vectors, limit, scorer=scorer).where("status = 'ok'")
     best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("relevance"), "_n")
     seeds = found.select("query_id.query_id", "query_id._n", "chunk_id", "relevance").withColumn("_k", F.row_number().over(best)).where("_k = 1")
     seeds = seeds.withColumn("seed_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_n", F.desc("relevance"), "chunk_id")))
     seeds = seeds.join(chunks.select("chunk_id", "version_id", "section_id", "chunk_order"), "chunk_id").drop("chunk_id", "_n", "_k")
     wide = neighbors(seeds, chunks, radius).join(queries.select("query_id", "query"), "query_id")
-    scored = wide.withColumn("relevance", V.judged("query", "text", "relevance")).where(F.col("relevance") >= judge_at)
+    scored = wide.withColumn("relevance", judge("query", "text", "relevance")).where(F.col("relevance") >= judge_at)
     return top_k(scored, limit, [F.desc("relevance"), F.asc("chunk_id")], ["query_id"])
 
 

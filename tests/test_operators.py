@@ -357,3 +357,21 @@ def test_files_manifests_and_parsers(spark, tmp_path):
     assert sorted(map(str, T.load_documents(saved, schema).select(*good.columns).collect())) == sorted(map(str, good.collect()))
     with pytest.raises(Exception, match="corrupt document: 1"):
         T.load_documents(saved.withColumn("digest", F.lit("x")), schema).collect()
+
+
+def test_states_expire_alike_on_a_stream(spark, tmp_path):
+    """A stream in three files ends the same states as the batch, but for those that its watermark hasn't passed."""
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    files = [[("a", 0), ("b", 5), ("a", 20)], [("a", 200), ("c", 210)], [("z", 900)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(k, at(m)) for k, m in rows], "session_id string, t string").select("session_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    paths = [f"{tmp_path}/in/f{i}" for i in range(3)]
+    batch = {(r["session_id"], str(r["ts"]), r["updates"]) for r in E.expired_states(spark.read.parquet(*paths), 3600).collect()}
+    assert batch == {("a", at(20), 2), ("a", at(200), 1), ("b", at(5), 1), ("c", at(210), 1)}
+    stream = spark.readStream.schema("session_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = E.expired_states(stream, 3600).writeStream.format("memory").queryName("expired").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {(r["session_id"], str(r["ts"]), r["updates"]) for r in spark.table("expired").collect()} == batch
