@@ -109,25 +109,30 @@ def _names_boilerplate(words: list[str], kept: bool) -> bool:
 class _Tags:
     """Ends of tags in a page. Each call starts after the last one's end, so a page is read about once.
 
-    A quote that is never closed is no quote from there on, as in a tag left open
-    by an editor; a tag without an end takes in the rest of the page.
+    A quote counts where a value begins. One that is never closed is none from
+    there on, as in a tag left open by an editor; a tag without an end takes in
+    the rest of the page.
     """
 
     def __init__(self, page: str):
-        self.page, self.quotes = page, re.compile("[>\"']")
+        self.page, self.quotes = page, "\"'"
+        self._look()
+
+    def _look(self) -> None:
+        self.next = re.compile(rf">|=\s*[{self.quotes}]" if self.quotes else ">")
 
     def end(self, at: int) -> int:
         while True:
-            m = self.quotes.search(self.page, at)
+            m = self.next.search(self.page, at)
             if m is None:
                 return len(self.page)
             if m[0] == ">":
                 return m.start()
-            close = self.page.find(m[0], m.end())
+            close = self.page.find(m[0][-1], m.end())
             if close < 0:
                 # none of its kind follows anywhere: from now on it doesn't count
-                kinds = self.quotes.pattern.replace(m[0], "")
-                self.quotes = re.compile(kinds)
+                self.quotes = self.quotes.replace(m[0][-1], "")
+                self._look()
                 at = m.end()
             else:
                 at = close + 1

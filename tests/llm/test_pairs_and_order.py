@@ -461,3 +461,23 @@ def test_pipeline_rows_keep_the_mixed_order(spark, tmp_path, monkeypatch):
     # in every prefix a source's blocks lie within one of its weight's share: block j is due from release to deadline
     assert all(mixed[k]["mix_release"] <= mixed[k]["mix_slot"] < mixed[k]["mix_deadline"] for k in got)
     assert {mixed[k]["source"] for k in got[: len(got) // 2]} == set("abc")
+
+
+# ---- balls
+
+
+def test_balls_hold_every_row_once(spark, monkeypatch):
+    """Blocks of bounded size; near vectors of a tight cluster share a block; groups and lengths stay apart."""
+    rnd = np.random.default_rng(8)
+    far = np.eye(16)
+    rows = [(i, int(i % 2), [float(x) for x in far[i % 5] + rnd.normal(size=16) * 0.02]) for i in range(400)] + [(1000 + i, 3, [1.0, 0.0]) for i in range(5)] + [(2000, 4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, g int, x array<double>").repartition(4)
+    monkeypatch.setattr(balls, "PACK", 37)
+    got = {r["k"]: r["_block"] for r in balls.deal(df, ["g"], "k", "x", 40).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    size = defaultdict(int)
+    for k, g, _ in rows:
+        size[g, got[k]] += 1
+    assert max(size.values()) <= 60 and len(size) < 20
+    assert all(len({i % 5 for i in range(400) if i % 2 == g and got[i] == b}) == 1 for g, b in size if g < 2)
+    assert balls.deal(df.where("false"), ["g"], "k", "x", 50).count() == 0

@@ -159,11 +159,12 @@ def test_html_odd_rows(spark):
 def test_html_odd_pages_take_linear_time():
     """A page of a megabyte, nested, unclosed or both, is read in seconds."""
     said = "some words, and some more of them. "
-    for page in ("<div>text here, and more " * 40_000, '<a "' * 250_000, "<a '\"> " * 140_000, "<b><article>" + "<i>" * 100_000 + "</b>" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 100_000 + f"<p>{said}</p>" * 15_000, "<" * 1_000_000):
+    for page in ("<div>text here, and more " * 40_000, '<a "' * 250_000, "<a '\"> " * 140_000, "<b><article>" + "<i>" * 100_000 + "</b>" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 100_000 + f"<p>{said}</p>" * 15_000, "<" * 1_000_000, "<a =" * 250_000, "<a ='" * 200_000 + "\"", "<a " + "= " * 400_000):
         start = time.process_time()
         html_text.extract(page)
         assert time.process_time() - start < 5
     assert html_text.extract(f'<p class="a>{said}</p>') == said.strip()
+    assert html_text.extract(f"<p class=it's>{said}They don't.</p><p title='a>b'>{said}</p>") == f"{said}They don't.\n{said.strip()}"
     deep = "<div>" * 3_000 + f"<p>{said * 9}</p>" + "</div>" * 3_000
     assert html_text.extract(deep) == (said * 9).strip()
 
