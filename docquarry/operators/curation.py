@@ -157,6 +157,23 @@ def pdf_evidence(text: Column | str, expected: Column | str, pages: Column | str
     return F.struct(dois.alias("dois"), venues.alias("venues"), F.coalesce(F.array_contains(venues, e), F.lit(False)).alias("expected_found"), F.least(F.lit(most), F.coalesce(p, F.lit(most))).alias("pages_examined"))
 
 
+_ANSWER = "struct<title:string,year:int,doi:string,authors:string,locations:array<struct<source:struct<display_name:string>>>>"
+
+
+def registry_answer(payload: Column | str) -> Column:
+    """struct(title, year, doi, authors, sources) of a registry's JSON answer.
+
+    Authors are one object, one text, or a list of either, by name or text; sources are the distinct names of all places
+    where the work appeared, in order.
+    """
+    c = F.from_json(payload, _ANSWER)
+    listed = F.coalesce(F.from_json(c["authors"], "array<string>"), F.array(c["authors"]))
+    name = lambda a: F.coalesce(F.get_json_object(a, "$.text"), F.get_json_object(a, "$.name"), F.when(~a.startswith("{"), a))
+    authors = F.filter(F.transform(listed, name), lambda a: a.isNotNull() & (a != ""))
+    sources = F.array_distinct(F.filter(F.transform(F.coalesce(c["locations"], F.array().cast("array<struct<source:struct<display_name:string>>>")), lambda x: x["source"]["display_name"]), lambda x: x.isNotNull()))
+    return F.struct(c["title"].alias("title"), c["year"].alias("year"), F.lower(c["doi"]).alias("doi"), authors.alias("authors"), sources.alias("sources"))
+
+
 def candidates(records: DataFrame) -> DataFrame:
     """Records with the title, venue, proof and paradigm that stand for them. Needs registry (title, score), title, venue_verified, venue."""
     title = F.when(F.coalesce(F.col("registry.score"), F.lit(0.0)) >= 0.86, F.coalesce(F.col("registry.title"), F.col("title"))).otherwise(F.col("title"))

@@ -199,6 +199,43 @@ def _layered(units: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, done).unionByName(rest)
 
 
+def generation_key(task: Column, kind: Column, objective: Column, papers: Column, inputs: Column, worker: Column) -> Column:
+    """The hash of what a unit of work is made of; the order of its papers and inputs doesn't matter."""
+    sorted_ = lambda ids: F.array_sort(ids.cast("array<string>"))
+    told = F.struct(task.cast("string").alias("task"), kind.alias("type"), objective.alias("objective"), sorted_(papers).alias("papers"), sorted_(inputs).alias("inputs"), worker.alias("worker"))
+    return F.sha2(F.to_json(told), 256)
+
+
+def visible_citations(slices: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The citations of a result that a slice of it shows, as whole labels. `slices`: artifact_id, content; `manifest`: artifact_id, label."""
+    return slices.join(manifest, "artifact_id").where(contains_citation("content", "label")).select("artifact_id", "content", *(c for c in manifest.columns if c != "artifact_id"))
+
+
+def check_reports(reports: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Reports with their labels brought to one form and what is wrong with them.
+
+    `reports`: unit_id, claims (text, citations), evidence_backed; `allowed`: unit_id, label, identity. A label is written
+    with or without brackets, in any case; an evidence-backed claim must have one; a label that stands for several
+    identities is ambiguous.
+    """
+    plain = lambda x: F.upper(F.regexp_replace(x, r"^[\s\[]+|[\s\]]+$", ""))
+    known = allowed.groupBy("unit_id", "label").agg(F.count_distinct("identity").alias("n")).groupBy("unit_id").agg(F.collect_list(F.struct("label", "n")).alias("_k"))
+    claims = F.transform("claims", lambda c: F.struct(c["text"].alias("text"), F.array_distinct(F.transform(c["citations"], plain)).alias("citations")))
+    rows = reports.withColumn("claims", claims).join(known, "unit_id", "left").withColumn("_k", F.coalesce("_k", F.array().cast("array<struct<label:string,n:bigint>>")))
+    labels = F.array_distinct(F.flatten(F.transform("claims", lambda c: c["citations"])))
+    names = F.transform("_k", lambda k: k["label"])
+    issues = F.filter(
+        F.array(
+            F.when(F.exists(labels, lambda x: ~x.rlike(r"^[EP]\d+$")), "label_syntax"),
+            F.when(F.size(F.array_except(F.filter(labels, lambda x: x.rlike(r"^[EP]\d+$")), names)) > 0, "unknown_label"),
+            F.when(F.exists("_k", lambda k: (k["n"] > 1) & F.array_contains(labels, k["label"])), "ambiguous_label"),
+            F.when(F.col("evidence_backed") & F.exists("claims", lambda c: F.size(c["citations"]) == 0), "claim_without_citation"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return rows.withColumn("issues", issues).drop("_k")
+
+
 def chunk_units(evidence: DataFrame, question: str = "query", worker: str = "chunk_analyst", tokens: int = 6000, tools: int = 4, seconds: int = 90) -> DataFrame:
     """One unit of work for each evidence artifact: it may read that artifact and nothing else.
 
@@ -206,7 +243,7 @@ def chunk_units(evidence: DataFrame, question: str = "query", worker: str = "chu
     these, so a second plan of the same evidence is the same plan.
     """
     objective = F.concat(F.lit("Judge whether the artifact answers the question, and claim only what it supports. Question: "), F.col(question))
-    key = F.sha2(F.to_json(F.struct(F.col("task_id").cast("string").alias("task"), F.lit("chunk_analysis").alias("type"), objective.alias("objective"), F.array(F.col("paper_id").cast("string")).alias("papers"), F.array(F.col("artifact_id").cast("string")).alias("inputs"), F.lit(worker).alias("worker"))), 256)
+    key = generation_key(F.col("task_id"), F.lit("chunk_analysis"), objective, F.array("paper_id"), F.array("artifact_id"), F.lit(worker))
     return evidence.select(
         "task_id", F.sha2(F.concat_ws(":", F.lit("chunk-analysis"), "task_id", "artifact_id"), 256).alias("unit_id"), F.lit("chunk_analysis").alias("work_type"), objective.alias("objective"),
         F.lit(worker).alias("requested_worker"), F.lit("pending").alias("state"), key.alias("generation_key"), F.array("paper_id").alias("paper_ids"), F.array("artifact_id").alias("input_artifact_ids"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import counts as K
 from ..operators import curation as C
 from ..operators import graph as G
 from ..operators import incremental as I
@@ -962,6 +963,61 @@ def marked_customers(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("c_custkey", "presence_status", I.source_type().alias("source"))
 
 
+@query(
+    """
+WITH f AS (SELECT c_nationkey AS project_id, o_orderkey AS file_id, o_orderkey % 700 AS paper_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 500 END AS version_id, o_orderstatus = 'F' AS canon, CASE o_orderkey % 4 WHEN 0 THEN 'indexed' WHEN 1 THEN 'parsed' WHEN 2 THEN 'failed' ELSE 'other' END AS status
+  FROM orders JOIN customer ON c_custkey = o_custkey), p AS (SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 3 = 0 THEN 'd' END AS doi, CASE WHEN p_partkey % 5 = 0 THEN 'a' END AS arxiv FROM part),
+v AS (SELECT DISTINCT project_id, version_id FROM f WHERE version_id IS NOT NULL), c AS (SELECT l_orderkey % 500 AS version_id, count(*) AS n FROM lineitem GROUP BY 1),
+k AS (SELECT project_id, CAST(sum(n) AS BIGINT) AS chunks FROM v JOIN c USING (version_id) GROUP BY 1), l AS (SELECT s_nationkey AS project_id, count(*) FILTER (s_acctbal < 0) AS missing FROM supplier GROUP BY 1)
+SELECT f.project_id, count(DISTINCT file_id) AS files, count(DISTINCT f.paper_id) AS papers, count(DISTINCT version_id) AS versions, count(*) FILTER (canon) AS canonical_files, count(*) FILTER (doi IS NOT NULL) AS files_with_doi, count(*) FILTER (arxiv IS NOT NULL) AS files_with_arxiv_id,
+  count(*) FILTER (status = 'discovered') AS files_discovered, count(*) FILTER (status = 'parsed') AS files_parsed, count(*) FILTER (status = 'indexed') AS files_indexed, count(*) FILTER (status = 'failed') AS files_failed, coalesce(max(l.missing), 0) AS missing_locations, coalesce(max(k.chunks), 0) AS chunks
+FROM f LEFT JOIN p USING (paper_id) LEFT JOIN l ON l.project_id = f.project_id LEFT JOIN k ON k.project_id = f.project_id GROUP BY 1"""
+)
+def project_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of each project's status."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    status = F.when(k % 4 == 0, "indexed").when(k % 4 == 1, "parsed").when(k % 4 == 2, "failed").otherwise("other")
+    files = o.select(F.col("c_nationkey").alias("project_id"), k.alias("file_id"), (k % 700).alias("paper_id"), F.when(k % 9 > 0, k % 500).alias("version_id"), (F.col("o_orderstatus") == "F").alias("is_canonical"), status.alias("status"))
+    p = F.col("p_partkey")
+    papers = table(spark, d, "part").select(p.alias("paper_id"), F.when(p % 3 == 0, "d").alias("doi"), F.when(p % 5 == 0, "a").alias("arxiv_id"))
+    places = table(spark, d, "supplier").select(F.col("s_nationkey").alias("project_id"), F.when(F.col("s_acctbal") < 0, "missing").otherwise("present").alias("presence_status"))
+    return K.project_status(files, papers, places, {"chunks": table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("version_id"))})
+
+
+@query(
+    """
+SELECT p_partkey, p_name AS title, CAST(1990 + p_size AS INTEGER) AS year, '10.1/x' || p_size AS doi, CASE p_partkey % 4 WHEN 0 THEN 'A|B' WHEN 1 THEN p_brand WHEN 2 THEN p_brand ELSE '' END AS authors, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type ELSE '' END AS sources FROM part"""
+)
+def registry_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Authors and sources out of registries' JSON, in all the forms that they come in."""
+    k, brand, kind = F.col("p_partkey"), F.col("p_brand"), F.col("p_type")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    authors = F.when(k % 4 == 0, F.lit('[{"text":"A"},{"name":"B"},{"id":1}]')).when(k % 4 == 1, F.concat(F.lit('{"text":'), quoted(brand), F.lit("}"))).when(k % 4 == 2, F.concat(F.lit("["), quoted(brand), F.lit("]"))).otherwise(F.lit("null"))
+    place = lambda x: F.concat(F.lit('{"source":{"display_name":'), quoted(x), F.lit("}}"))
+    places = F.when(k % 2 == 0, F.concat(F.lit("["), place(brand), F.lit(',{"source":null},'), place(kind), F.lit(","), place(brand), F.lit("]"))).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"title":'), quoted(F.col("p_name")), F.lit(',"year":'), 1990 + F.col("p_size"), F.lit(',"doi":"10.1/X'), F.col("p_size"), F.lit('","authors":'), authors, F.lit(',"locations":'), places, F.lit("}"))
+    a = table(spark, d, "part").select("p_partkey", C.registry_answer(text).alias("a"))
+    return a.select("p_partkey", "a.title", "a.year", "a.doi", F.array_join("a.authors", "|").alias("authors"), F.array_join("a.sources", "|").alias("sources"))
+
+
+@query(
+    """
+WITH r AS (SELECT conv_id * 1000 + turn AS unit_id, turn, [' [e' || (turn % 6) || ']', 'E1'] AS raw FROM conversations), l AS (SELECT *, CASE turn % 5 WHEN 0 THEN [] WHEN 1 THEN ['X9'] ELSE (CASE WHEN turn % 6 = 1 THEN ['E1'] ELSE ['E' || (turn % 6), 'E1'] END) END AS labels FROM r)
+SELECT unit_id, array_to_string(labels, ',') AS labels, array_to_string(list_filter([CASE WHEN turn % 5 = 1 THEN 'label_syntax' END, CASE WHEN turn % 5 > 1 AND turn % 6 > 3 THEN 'unknown_label' END, CASE WHEN turn % 5 > 1 AND turn % 6 = 3 THEN 'ambiguous_label' END,
+  CASE WHEN turn % 5 = 0 AND turn % 2 = 0 THEN 'claim_without_citation' END], lambda v: v IS NOT NULL), ',') AS issues FROM l"""
+)
+def checked_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of workers' claims in one form, and what is wrong with them."""
+    t = F.col("turn")
+    raw = F.when(t % 5 == 0, F.array().cast("array<string>")).when(t % 5 == 1, F.array(F.lit("x9"))).otherwise(F.array(F.concat(F.lit(" [e"), t % 6, F.lit("]")), F.lit("E1")))
+    unit = (F.col("conv_id") * 1000 + t).alias("unit_id")
+    c = table(spark, d, "conversations")
+    reports = c.select(unit, F.array(F.struct(F.lit("c").alias("text"), raw.alias("citations"))).alias("claims"), (t % 2 == 0).alias("evidence_backed"))
+    allowed = c.select(unit, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("unit_id", F.concat(F.lit("E"), "j").alias("label"), F.when(F.col("j") == 3, F.col("k")).otherwise(0).alias("identity"))
+    return W.check_reports(reports, allowed).select("unit_id", F.array_join(F.flatten(F.transform("claims", lambda c: c["citations"])), ",").alias("labels"), F.array_join("issues", ",").alias("issues"))
+
+
 # ---- stored results
 
 
@@ -1031,6 +1087,15 @@ def paper_cells(spark: SparkSession, d: str) -> DataFrame:
     return W2.view_items(_comparisons(spark, d), "paper:p2").select("artifact_id", "position", F.get_json_object("item", "$.normalized_value").alias("value"))
 
 
+@query(f"WITH {_STORED} SELECT lang AS artifact_id, 'E' || (doc_id % 50) AS label FROM d WHERE doc_id % 2 = 0 GROUP BY ALL")
+def shown_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The citations that slices of read papers show."""
+    p = _payloads(spark, d).where("kind = 'paper_read'")
+    manifest_ = W2.citation_manifest(p).select("artifact_id", "label")
+    even = table(spark, d, "documents").where("doc_id % 5 = 0 and doc_id % 2 = 0").groupBy(F.col("lang").alias("artifact_id")).agg(F.to_json(F.struct(F.collect_list(F.concat(F.lit("E"), F.col("doc_id") % 50)).alias("x"))).alias("content"))
+    return W.visible_citations(even, manifest_).select("artifact_id", "label").distinct()
+
+
 # ---- sources
 
 
