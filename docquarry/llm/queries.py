@@ -108,4 +108,21 @@ WITH RECURSIVE v AS (
 ), c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op8_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT r, i, md5(t[i + 1:i + 400]) AS h FROM (SELECT r, t, unnest(range(0, octet_length(t) - 399)) AS i FROM b)),
+g AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT w.r, w.i FROM w JOIN g USING (h)),
+f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM x),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS s FROM f), s AS (SELECT r, s, min(i) AS a, max(i) + 400 AS z FROM k GROUP BY 1, 2),
+q AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM s),
+o AS (SELECT b.r, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS n, string_agg(hex(b.t[was + 1:a]), '' ORDER BY a) || hex(first(b.t)[max(z) + 1:]) AS kept FROM q JOIN b USING (r) GROUP BY b.r)
+SELECT b.doc_id, octet_length(b.t) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(coalesce(unhex(kept), b.t)) AS kept_sha256 FROM b LEFT JOIN o USING (r)""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(1))] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT r, doc_id, len(g) AS n FROM s), e AS (SELECT r, unnest(g) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)), o AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS i, r AS j FROM n UNION SELECT reach.i, o.b FROM reach JOIN o ON o.a = reach.j)
+SELECT n.doc_id, n.n AS n_shingles, min(m.doc_id) AS component_id FROM n JOIN reach ON reach.i = n.r JOIN n m ON m.r = reach.j GROUP BY n.r, n.doc_id, n.n""",
 }
