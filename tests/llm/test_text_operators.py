@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import time
 
@@ -263,6 +264,26 @@ def test_quality_separates(spark, smallest):
     assert share[1] > 0.95 and share.get(0, 0) < 0.5
 
 
+def test_quality_thresholds_are_of_unseen_documents(spark, smallest):
+    """The whole query: thresholds are quantiles, by language, of trusted documents under the model of the other half."""
+    docs, labels = (spark.read.parquet(f"{smallest}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(2)))
+    seen, everywhere = {}, []
+    for half in (0, 1):
+        model = quality.gather(trusted.where(F.col("_half") == half))
+        for r in quality.perplexities(trusted.where(F.col("_half") != half), model, ("doc_id", "lang")).collect():
+            seen.setdefault(r["lang"], []).append(r["perplexity"])
+            everywhere.append(r["perplexity"])
+    rank = lambda values: sorted(values)[max(0, math.ceil(0.995 * len(values)) - 1)]
+    whole = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, quality.gather(trusted), ("doc_id",)).collect()}
+    got = queries.op1_quality(spark, smallest).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert abs(r["perplexity"] - whole[r["doc_id"]]) < 1e-9 * whole[r["doc_id"]]
+        assert abs(r["threshold"] - rank(seen.get(r["lang"], everywhere))) < 1e-9 * r["threshold"]
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, "en", "good text here"), (1, "en", "good text here"), (2, None, ""), (None, "de", None), (4, "xx", "zzz %%")], "doc_id long, lang string, text string").withColumn("perplexity", F.lit(0))
     trusted = spark.createDataFrame([(1,), (None,), (99,)], "doc_id long")
