@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.staging import small, staged
 
 #: Venues by pattern, in order.
 VENUES = [
@@ -251,39 +252,63 @@ def title_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.94, length: int = 18) -> DataFrame:
-    """Pairs (a < b) of near-equal titles, both long enough.
+@F.pandas_udf(T.DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of characters that the first text's matching blocks cover in both."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def _title_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(id, t, id2, t2): pairs of rows (id, t, within) that a matching ratio of `least` may hold, the shorter title first.
 
     A ratio r leaves at most (1 - r) * (m + n) characters unmatched in both, and m + n is at most
     2 * m / r for the shorter length m. Each of them breaks one piece of the shorter title at
     most, so of one piece more than that, one stands unchanged in the longer title: titles meet
     on pieces, and the ratio itself decides.
     """
-    rows = titles.select(F.col(key).alias("id"), F.col(title).alias("t")).where(F.length("t") >= length)
     q = F.ceil(F.length("t") * (2 * (1 - least) / least)).cast("int")
     step = F.greatest(F.lit(1), F.floor(F.length("t") / (q + 1)).cast("int"))
-    pieces = rows.select("id", "t", F.explode(F.transform(F.sequence(F.lit(0), q), lambda i: F.struct(F.substring("t", i * step + 1, step).alias("p"), step.alias("s")))).alias("_p")).select("id", "t", "_p.*")
-    sizes = pieces.select("s").distinct()
-    windows = rows.join(F.broadcast(sizes), F.lit(True)).select(F.col("id").alias("id2"), F.col("t").alias("t2"), "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - F.col("s") + 1)), lambda i: F.substring("t", i, F.col("s"))))).alias("p"))
-    pairs = pieces.join(windows, ["s", "p"]).where("id <> id2 and length(t) <= length(t2)").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(F.col("id") < F.col("id2"), F.col("t")).otherwise(F.col("t2")).alias("ta"), F.when(F.col("id") < F.col("id2"), F.col("t2")).otherwise(F.col("t")).alias("tb")).distinct()
+    pieces = rows.select("id", "t", "within", F.explode(F.transform(F.sequence(F.lit(0), q), lambda i: F.struct(F.substring("t", i * step + 1, step).alias("p"), step.alias("s")))).alias("_p")).select("id", "t", "within", "_p.*")
+    # piece lengths are at most a title's length
+    sizes = small(pieces.select("s").distinct())
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - F.col("s") + 1)), lambda i: F.substring("t", i, F.col("s"))))
+    windows = rows.crossJoin(sizes).select(F.col("id").alias("id2"), F.col("t").alias("t2"), "within", "s", F.explode(cuts).alias("p"))
+    return pieces.join(windows, ["within", "s", "p"]).where("id <> id2 and length(t) <= length(t2)").select("id", "t", "id2", "t2").distinct()
+
+
+def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.94, length: int = 18) -> DataFrame:
+    """Pairs (a < b) of near-equal titles, both long enough."""
+    rows = titles.select(F.col(key).alias("id"), F.col(title).alias("t"), F.lit(0).alias("within")).where(F.length("t") >= length)
+    first = F.col("id") < F.col("id2")
+    pairs = _title_pairs(rows, least).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(first, F.col("t")).otherwise(F.col("t2")).alias("ta"), F.when(first, F.col("t2")).otherwise(F.col("t")).alias("tb")).distinct()
     return pairs.withColumn("score", title_score("ta", "tb")).where(F.col("score") >= least).select("a", "b", "score")
 
 
 def leader_groups(rows: DataFrame, partition: str, key: str, title: str, least: float = 0.96, length: int = 24) -> DataFrame:
-    """(key, leader): each row joins the first earlier leader of its partition with an equal or near-equal title."""
+    """(key, leader): each row joins the first earlier leader of its partition with an equal or near-equal title.
+
+    Equal titles are one. Near-equal pairs are found by pieces, so what meets in a task for the greedy choice are the
+    pairs of a partition, and rows without one lead themselves.
+    """
     kind = rows.schema[key].dataType.simpleString()
+    named = rows.select(F.col(partition).alias("within"), F.col(key).alias("id"), F.coalesce(title, F.lit("")).alias("t"))
+    heads = staged(named.groupBy("within", "t").agg(F.min("id").alias("id")), "title-heads")
+    near = _title_pairs(heads.where(F.length("t") >= length).select("id", "t", "within"), least)
+    later = F.col("id") > F.col("id2")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    pairs = near.select(pick("id2", "id").alias("a"), pick("id", "id2").alias("b"), pick("t2", "t").alias("ta"), pick("t", "t2").alias("tb")).distinct()
+    pairs = pairs.where(matching_ratio("tb", "ta") >= least).select("a", "b").join(heads.select(F.col("id").alias("b"), "within"), "b")
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        leaders, out = [], []
-        for k, t in zip(pdf[key], pdf[title].fillna(""), strict=True):
-            found = next((lk for lk, lt in leaders if lt == t or min(len(lt), len(t)) >= length and SequenceMatcher(None, t, lt).ratio() >= least), None)
-            if found is None:
-                leaders.append((k, t))
-            out.append((k, k if found is None else found))
-        return pd.DataFrame(out, columns=[key, "leader"])
-
-    return rows.select(partition, key, title).groupBy(partition).applyInPandas(lead, f"{key} {kind}, leader {kind}")
+        told: dict = {}
+        for b, before in sorted((b, sorted(g["a"])) for b, g in pdf.groupby("b")):
+            told[b] = next((a for a in before if told.get(a, a) == a), b)
+        return pd.DataFrame({"head": list(told), "leader": list(told.values())})
+
+    joined = pairs.groupBy("within").applyInPandas(lead, f"head {kind}, leader {kind}")
+    same = F.col("n.within").eqNullSafe(F.col("h.within")) & (F.col("n.t") == F.col("h.t"))
+    own = named.alias("n").join(heads.withColumnRenamed("id", "head").alias("h"), same).select("id", "head")
+    return own.join(joined, "head", "left").select(F.col("id").alias(key), F.coalesce("leader", "head").alias("leader"))
 
 
 def best_record(rows: DataFrame, group: list[str], by: list[Column]) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -375,3 +376,25 @@ def test_states_expire_alike_on_a_stream(spark, tmp_path):
     finally:
         query.stop()
     assert {(r["session_id"], str(r["ts"]), r["updates"]) for r in spark.table("expired").collect()} == batch
+
+
+def test_leaders_equal_the_greedy_choice(spark):
+    rnd = random.Random(12)
+    base = ["temporal grounding of sentences in long videos %d" % i for i in range(6)]
+    rows = []
+    for i in range(160):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 2)):
+            t[rnd.randrange(len(t))] = rnd.choice("abcxyz ")
+        rows.append((i, "pq"[i % 2], "".join(t)))
+    rows += [(200, "p", "short"), (201, "p", "short"), (202, "p", None), (203, "p", None), (204, None, "short")]
+    want = []
+    for part in ("p", "q", None):
+        leaders = []
+        for k, t in ((k, t or "") for k, p, t in rows if p == part):
+            found = next((lk for lk, lt in leaders if lt == t or min(len(lt), len(t)) >= 24 and SequenceMatcher(None, t, lt).ratio() >= 0.96), None)
+            if found is None:
+                leaders.append((k, t))
+            want.append((k, k if found is None else found))
+    got = C.leader_groups(spark.createDataFrame(rows, "k int, p string, t string").repartition(3), "p", "k", "t")
+    assert sorted((r["k"], r["leader"]) for r in got.collect()) == sorted(want)
