@@ -40,11 +40,17 @@ def filtered(df: DataFrame, **allowed) -> DataFrame:
     return df
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+#: Terms of a larger share of documents are common: only documents that may still be among the best are scored by them.
+COMMON = 0.3
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, best: int | None = None) -> DataFrame:
     """(query_id, doc_id, bm25) of the documents with a term in common; statistics are those of `docs`.
 
     Documents are tokenised once: what is written is each document's length and its counts of the terms that some
-    query asks for, and all statistics come from there.
+    query asks for, and all statistics come from there. With `best`, only rows that may be among so many best of a
+    query come out: the scores by its rarer terms give a cutoff, and a document whose score by these can't reach it
+    with all common terms at their greatest is never met with them. Queries of common terms only are scored in full.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(X.search_tokens(query))).alias("term"))
     terms = asked.select("term").distinct()
@@ -56,11 +62,24 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query:
     sizes, tf = counted.where("term = ''"), counted.where("term <> ''")
     stats = sizes.agg(F.count("*").alias("_n"), F.when(F.avg("_length") > 0, F.avg("_length")).otherwise(1.0).alias("_mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    # stats is an aggregate of one row
-    scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats), F.lit(True))
     idf = F.log(1.0 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
-    return scored.groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))
+    # stats is an aggregate of one row
+    weights = asked.join(df.join(F.broadcast(stats), F.lit(True)).withColumn("_idf", idf), "term")
+    part = F.col("_idf") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
+    scored = lambda by: tf.join(by, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))
+    if best is None:
+        return scored(weights)
+    weights = staged(weights, "term-weights")
+    common = F.col("_df") > F.col("_n") * COMMON
+    rarer = staged(scored(weights.where(~common)), "rarer-scores")
+    kth = top_k(rarer, best, [F.desc("bm25"), F.asc(doc_id)], [query_id]).groupBy(query_id).agg(F.min("bm25").alias("_cut"), F.count("*").alias("_c")).where(F.col("_c") == best).select(query_id, "_cut")
+    more = weights.where(common).groupBy(query_id).agg(F.sum(F.col("_idf") * (k1 + 1)).alias("_more"))
+    limits = staged(weights.select(query_id).distinct().join(kth, query_id, "left").join(more, query_id, "left").withColumn("_more", F.coalesce("_more", F.lit(0.0))), "score-limits")
+    closed = F.coalesce(F.col("_more") < F.col("_cut"), F.lit(False))
+    near = rarer.join(limits.where(closed), query_id).where(F.col("bm25") + F.col("_more") >= F.col("_cut") - 1e-6).select(query_id, doc_id, "bm25")
+    wanted = near.select(query_id, doc_id).join(weights.where(common), query_id).join(tf, [doc_id, "term"])
+    added = near.unionByName(wanted.groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))).groupBy(query_id, doc_id).agg(F.sum("bm25").alias("bm25"))
+    return added.unionByName(scored(weights.join(limits.where(~closed).select(query_id), query_id)))
 
 
 def _blocks(rows: DataFrame, scope: list[str], size: int, name: str) -> DataFrame:
@@ -243,7 +262,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int
     `scorer`: as for rerank.
     """
     near = dense(queries, vectors, k, target="chunk_id")
-    words = top_k(bm25(queries, chunks, doc_id="chunk_id").withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
+    words = top_k(bm25(queries, chunks, doc_id="chunk_id", best=k).withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
     return _judged_evidence(queries, chunks, fuse(near, words, ["query_id", "chunk_id"]), limit, least, diverse, scorer)
 
 

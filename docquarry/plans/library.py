@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vectors as V
 from ..operators import counts as K
 from ..operators import curation as C
 from ..operators import graph as G
@@ -16,7 +15,8 @@ from ..operators import retrieval as R
 from ..operators import structure as S
 from ..operators import views as W2
 from ..operators import workflow as W
-from ..sources.tables import canonical_json, checksums, delete_blobs, get_blobs, look_up, manifest, put_blobs, save_documents, table
+from ..sources.staging import spread
+from ..sources.tables import checksums, delete_blobs, get_blobs, look_up, manifest, put_blobs, save_documents, table
 from ..streaming import events as E
 from .queries import _BM25, _tokens, query
 
@@ -142,7 +142,7 @@ p AS (SELECT doc_id, i // 40 + 1 AS page, '<!-- page ' || (i // 40 + 1) || ' -->
 SELECT doc_id, sha256(string_agg(p, chr(10) || chr(10) ORDER BY page)) AS markdown FROM p GROUP BY 1"""
 )
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return S.markdown(S.blocks_of(table(spark, d, "documents"))).select(F.col("version_id").alias("doc_id"), F.sha2("markdown", 256).alias("markdown"))
+    return S.markdown(S.blocks_of(spread(table(spark, d, "documents")))).select(F.col("version_id").alias("doc_id"), F.sha2("markdown", 256).alias("markdown"))
 
 
 @query(
@@ -504,7 +504,7 @@ SELECT query_id, count(*) AS found, CAST(sum(doc_id) AS BIGINT) AS ids FROM q JO
 def full_text_hits(spark: SparkSession, d: str) -> DataFrame:
     """How many documents hold a word of each benchmark item."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.full_text(q, table(spark, d, "documents")).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
+    return R.full_text(q, spread(table(spark, d, "documents"))).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
 
 
 _FUSED = (
@@ -526,7 +526,7 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     """Evidence for each benchmark item over given vectors: dense and sparse lists, fused, scored, above the threshold, or none."""
     b, e = table(spark, d, "benchmark"), table(spark, d, "embeddings")
     q = b.join(e, b.item_id == e.vec_id, "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
     found = R.search(q, docs, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), diverse=False)
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "status")
 

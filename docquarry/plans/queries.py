@@ -20,7 +20,7 @@ from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators import structure as S
 from ..operators import workflow as W
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 from ..sources.tables import canonical_json, manifest, put_blobs, table
 from ..streaming import events as E
 
@@ -70,7 +70,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm2
 @query(_BM25 + "SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM ranked WHERE r <= 10")
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the ten best documents of every benchmark item."""
-    scored = R.bm25(_asked(spark, d), table(spark, d, "documents")).withColumn("bm25", F.round("bm25", 6))
+    scored = R.bm25(_asked(spark, d), spread(table(spark, d, "documents")), best=10).withColumn("bm25", F.round("bm25", 6))
     return R.top_k(scored, 10, [F.desc("bm25"), F.asc("doc_id")], ["query_id"])
 
 
@@ -99,8 +99,8 @@ SELECT query_id, doc_id, round(least(1, (1 - exp(-bm25 / 3)) * 0.25 + least(1, o
   round(len(list_intersect(qt, xt)) / len(list_distinct(list_concat(qt, xt))), 6) AS jaccard FROM o"""
 )
 def rerank_and_judge(spark: SparkSession, d: str) -> DataFrame:
-    asked, docs = _asked(spark, d), table(spark, d, "documents")
-    scored = R.bm25(asked, docs).withColumn("_r", F.round("bm25", 6))
+    asked, docs = _asked(spark, d), spread(table(spark, d, "documents"))
+    scored = R.bm25(asked, docs, best=10).withColumn("_r", F.round("bm25", 6))
     top = R.top_k(scored, 10, [F.desc("_r"), F.asc("doc_id")], ["query_id"]).drop("_r")
     both = top.join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("dense", F.lit(None).cast("double"))
     ranked = R.rerank(both)
@@ -111,7 +111,7 @@ def rerank_and_judge(spark: SparkSession, d: str) -> DataFrame:
 def search_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Dense and sparse lists over hashed vectors, fused, reranked and made diverse, with explicit no_evidence."""
     embed = V.hashing_embedding()
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
     queries = staged(_asked(spark, d).withColumn("query_vector", embed("query")), "query-vectors")
     # vectors are an index: made once, written, then searched
     return R.search(queries, docs, staged(docs.select("chunk_id", embed("text").alias("embedding")), "vectors"))
@@ -156,7 +156,7 @@ SELECT doc_id, len({_tokens("text")}) AS n_tokens, len(list_distinct({_tokens("l
   len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')) AS n_context FROM documents"""
 )
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     counts = {"n_tokens": X.count_tokens("text"), "n_distinct": F.size(F.array_distinct(X.search_tokens("text"))), "n_entailment": F.size(X.entailment_tokens("text")), "n_context": X.count_tokens("text", X.CONTEXT_TOKEN)}
     return docs.select("doc_id", *(c.cast("long").alias(n) for n, c in counts.items()))
 
@@ -168,7 +168,7 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(lower(trim(text)), '[.!?。
   nullif(regexp_extract(text, '\\b((?:19|20)\\d{2})\\b', 1), '') AS year FROM documents"""
 )
 def statements_and_sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select("doc_id", F.sha2(X.normalize_statement("text"), 256).alias("statement"), F.size(X.sentences("text")).cast("long").alias("n_sentences"), X.extract_year("text").cast("string").alias("year"))
 
 
@@ -202,12 +202,12 @@ k AS (SELECT x.* FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc
 SELECT o.doc_id, sha256(string_agg(line, chr(10) ORDER BY page, i)) AS content_hash FROM documents o LEFT JOIN k ON k.doc_id = o.doc_id GROUP BY 1"""
 )
 def edge_clean_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.content_fingerprint("text").alias("content_hash"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.content_fingerprint("text").alias("content_hash"))
 
 
 @query()
 def exact_normal_forms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select("doc_id", F.sha2(X.normalize_title("text"), 256).alias("title"), F.sha2(X.casefold("text"), 256).alias("folded"), F.sha2(X.normalize_unicode("text"), 256).alias("nfkc"))
 
 
@@ -538,17 +538,17 @@ def generation_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return S.section_table(S.sections(S.blocks_of(table(spark, d, "documents"))))
+    return S.section_table(S.sections(S.blocks_of(spread(table(spark, d, "documents")))))
 
 
 @query()
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return S.chunks(S.groups(S.sections(S.blocks_of(table(spark, d, "documents")))))
+    return S.chunks(S.groups(S.sections(S.blocks_of(spread(table(spark, d, "documents"))))))
 
 
 @query()
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", V.hashing_embedding()("text").alias("embedding"))
+    return spread(table(spark, d, "documents")).select("doc_id", V.hashing_embedding()("text").alias("embedding"))
 
 
 # ---- streaming forms, as a batch

@@ -36,3 +36,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """With a broadcast hint if it has no more rows than that, by a bounded count; else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """Rows of a few small files dealt over all cores, before work that is heavy for each row; larger inputs as they are.
+
+    A file of one row group is read by one task, however many cores wait.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    at = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    conf = spark._jsc.hadoopConfiguration()
+    return df.repartition(cores) if sum(a.getFileSystem(conf).getFileStatus(a).getLen() for a in at) <= most else df

@@ -398,3 +398,19 @@ def test_leaders_equal_the_greedy_choice(spark):
             want.append((k, k if found is None else found))
     got = C.leader_groups(spark.createDataFrame(rows, "k int, p string, t string").repartition(3), "p", "k", "t")
     assert sorted((r["k"], r["leader"]) for r in got.collect()) == sorted(want)
+
+
+def test_pruned_scores_keep_the_best(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(59, int(rnd.expovariate(0.12)))] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rnd.randint(0, 40))) for i in range(300)] + [(900, None)], "doc_id int, text string")
+    q = spark.createDataFrame([(i, text(6)) for i in range(25)] + [(90, "w0 w1"), (91, "zzz"), (92, None), (93, "")], "query_id int, query string")
+    take = lambda df: sorted((r["query_id"], r["doc_id"], round(r["bm25"], 9)) for r in R.top_k(df, 5, [F.desc(F.round("bm25", 9)), F.asc("doc_id")], ["query_id"]).collect())
+    want = take(R.bm25(q, docs))
+    assert len(want) > 100
+    for share in (0.02, 0.3, 0.9):
+        monkeypatch.setattr(R, "COMMON", share)
+        pruned = R.bm25(q, docs, best=5)
+        assert take(pruned) == want
+        assert pruned.groupBy("query_id", "doc_id").count().where("count > 1").isEmpty()
