@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -164,36 +168,78 @@ def _pieces(text: str, most: int) -> list[str]:
     return told
 
 
-def chunks(grouped: DataFrame, target: int = 600, most: int = 800, fill: float = 0.6) -> DataFrame:
-    """Groups packed into chunks of a section: up to `target` tokens, or up to `most` while less than `fill` of the target is used."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group_order")
-        out: list[list] = []
-        for _, part in pdf.groupby("section_order", sort=True):
-            held, used, first = [], 0, True
-            for g in part.itertuples():
-                whole = g.dependency or g.token_count <= most
-                for piece in [g.text] if whole else _pieces(g.text, most):
-                    n = int(g.token_count) if whole else len(_TOKEN.findall(piece))
-                    if held and used + n > target and not (used + n <= most and used < target * fill):
-                        out.append(held)
-                        held, used = [], 0
-                    held.append((g, piece))
-                    used += n
-            if held:
+class _Group(NamedTuple):
+    version_id: object
+    section_order: int
+    section_path: str
+    group_order: int
+    text: str
+    token_count: int
+    page_start: int
+    page_end: int
+    dependency: bool
+    source_block_ids: list[str]
+    element_types: list[str]
+
+
+def _packed(groups: list[_Group], target: int, most: int, fill: float) -> list[tuple]:
+    """A document's chunks: its groups in order, packed within their sections."""
+    out: list[list[tuple[_Group, str]]] = []
+    held: list[tuple[_Group, str]] = []
+    used, section = 0, None
+    for g in groups:
+        if held and g.section_order != section:
+            out.append(held)
+            held, used = [], 0
+        section = g.section_order
+        whole = g.dependency or g.token_count <= most
+        for piece in [g.text] if whole else _pieces(g.text, most):
+            n = g.token_count if whole else len(_TOKEN.findall(piece))
+            if held and used + n > target and not (used + n <= most and used < target * fill):
                 out.append(held)
-        rows = []
-        for i, held in enumerate(out):
-            text = "\n\n".join(p for _, p in held)
-            gs = [g for g, _ in held]
-            kinds = list(dict.fromkeys(k for g in gs for k in g.element_types))
-            rows.append((gs[0].version_id, gs[0].section_order, gs[0].section_path, i, kinds[0] if len(kinds) == 1 else "mixed" if kinds else "text", text, len(_TOKEN.findall(text)), min(g.page_start for g in gs), max(g.page_end for g in gs), list(dict.fromkeys(int(g.group_order) for g in gs)), list(dict.fromkeys(b for g in gs for b in g.source_block_ids))))
-        return pd.DataFrame(rows, columns=["version_id", "section_order", "section_path", "chunk_order", "chunk_type", "text", "token_count", "page_start", "page_end", "group_orders", "source_block_ids"])
+                held, used = [], 0
+            held.append((g, piece))
+            used += n
+    if held:
+        out.append(held)
+    rows = []
+    for i, held in enumerate(out):
+        text, gs = "\n\n".join(p for _, p in held), [g for g, _ in held]
+        kinds = list(dict.fromkeys(k for g in gs for k in g.element_types))
+        kind = kinds[0] if len(kinds) == 1 else "mixed" if kinds else "text"
+        orders, blocks = list(dict.fromkeys(g.group_order for g in gs)), list(dict.fromkeys(b for g in gs for b in g.source_block_ids))
+        rows.append((gs[0].version_id, gs[0].section_order, gs[0].section_path, i, kind, text, len(_TOKEN.findall(text)), min(g.page_start for g in gs), max(g.page_end for g in gs), orders, blocks))
+    return rows
+
 
+def chunks(grouped: DataFrame, target: int = 600, most: int = 800, fill: float = 0.6) -> DataFrame:
+    """Groups packed into chunks of a section: up to `target` tokens, or up to `most` while less than `fill` of the target is used.
+
+    Documents stream through a task in order of their groups; a task holds one document at a time.
+    """
     kind = grouped.schema["version_id"].dataType.simpleString()
-    schema = f"version_id {kind}, section_order int, section_path string, chunk_order int, chunk_type string, text string, token_count int, page_start int, page_end int, group_orders array<int>, source_block_ids array<string>"
-    return grouped.groupBy("version_id").applyInPandas(pack, schema)
+    schema = T.StructType.fromDDL(
+        f"version_id {kind}, section_order int, section_path string, chunk_order int, chunk_type string, text string, token_count int, page_start int, page_end int, group_orders array<int>, source_block_ids array<string>"
+    )
+    arrow = to_arrow_schema(schema)
+
+    def pack(batches):
+        held: list[_Group] = []
+        told: list[tuple] = []
+        for batch in batches:
+            for g in map(_Group, *(batch.column(c).to_pylist() for c in _Group._fields)):
+                if held and g.version_id != held[0].version_id:
+                    told += _packed(held, target, most, fill)
+                    held = []
+                held.append(g)
+            if told:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), arrow)], schema=arrow)
+                told = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_packed(held, target, most, fill)), arrow)], schema=arrow)
+
+    rows = grouped.select(*_Group._fields).repartition("version_id").sortWithinPartitions("version_id", "section_order", "group_order")
+    return rows.mapInArrow(pack, schema)
 
 
 def blocks_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_per_page: int = 40) -> DataFrame:
