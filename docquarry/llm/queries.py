@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, html_text, mixing, partenum, quality, suffixdup, topk, toxicity
+from . import bpe, chat, codes, covertree, html_text, merkle, mixing, partenum, pii, quality, suffixdup, topk, toxicity
 from .common import table
 
 #: A further conversation whose texts hold the template's own control strings.
@@ -62,7 +62,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 parts, 64 entries, 2 rounds, components times 256."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered: rows whose doc_id has an even checksum, by the loss of line feeds."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (op1_quality, op2_byte_bpe, op3_topk_search, op4_chat_format, op5_html_text, op6_source_mixing, op7_embedding_dedup, op8_suffix_dedup, op9_ngram_jaccard, op10_toxicity, op11_vector_codes, op12_merkle_manifest, op13_pii)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
