@@ -189,9 +189,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     named = bootstrap(said, rounds, least)
     more = said.join(_few(named).withColumn("_named", F.lit(True)), ["_kind", "_match"], "left").where(F.col("_seed") | F.coalesce("_named", F.lit(False)))
     spans = base.withColumn("_base", F.lit(True)).unionByName(more.select("_row", "_kind", "_start", "_end", F.lit(False).alias("_base")))
-    near = Window.partitionBy("_row").orderBy("_start")
-    until = F.max(F.when(F.col("_base"), F.col("_end"))).over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    since = F.min(F.when(F.col("_base"), F.col("_start"))).over(near.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # both frames grow from their first row: one that shrinks is added up anew for every row
+    sofar, own = (Window.unboundedPreceding, Window.currentRow), Window.partitionBy("_row")
+    until = F.max(F.when(F.col("_base"), F.col("_end"))).over(own.orderBy("_start").rangeBetween(*sofar))
+    since = F.min(F.when(F.col("_base"), F.col("_start"))).over(own.orderBy(F.desc("_start")).rangeBetween(*sofar))
     met = (F.coalesce(until, F.lit(-1)) > F.col("_start")) | (F.coalesce(since, F.col("_end")) < F.col("_end"))
     spans = spans.withColumn("_met", met).where(F.col("_base") | ~F.col("_met"))
     number = F.lit(len(KINDS))
