@@ -81,6 +81,26 @@ QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
+#: The nearest entry of each part, ties to the lower index, and a round of new entries.
+_NEAREST = """a{k} AS MATERIALIZED (
+  SELECT r, p, min((f, e))[1] AS far, min((f, e))[2] AS e FROM (
+    SELECT p.r, p.p, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS f FROM p JOIN b{before} b ON b.p = p.p
+  ) GROUP BY r, p
+)"""
+_ROUND = (
+    _NEAREST
+    + """, m{k} AS (
+  SELECT p, e, list(s ORDER BY d) AS x FROM (
+    SELECT a.p, a.e, d, CAST(sum(p.x[d]) AS BIGINT) // count(*) - CASE WHEN CAST(sum(p.x[d]) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS s
+    FROM a{k} a JOIN p ON p.r = a.r AND p.p = a.p, d, range(1, d.w + 1) AS u(d) GROUP BY a.p, a.e, u.d
+  ) GROUP BY p, e
+), b{k} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{before} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)"""
+)
+#: Unsigned crc32 of a decimal number, a digit at a time.
+_CRC = """SELECT doc_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)"""
+
 ORACLES: dict[str, str] = {
     "op3_topk_search": f"""
 WITH v AS (
@@ -140,4 +160,48 @@ p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AN
 l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)), o AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT r AS i, r AS j FROM n UNION SELECT reach.i, o.b FROM reach JOIN o ON o.a = reach.j)
 SELECT n.doc_id, n.n AS n_shingles, min(m.doc_id) AS component_id FROM n JOIN reach ON reach.i = n.r JOIN n m ON m.r = reach.j GROUP BY n.r, n.doc_id, n.n""",
+    "op11_vector_codes": f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x
+  FROM embeddings WHERE {_FINITE}
+), d AS (SELECT len(x) // 16 AS w FROM v WHERE r = 1),
+p AS MATERIALIZED (SELECT r, p, x[p * w + 1:(p + 1) * w] AS x FROM v, d, range(16) AS t(p)),
+b0 AS (SELECT p, r - 1 AS e, x FROM p WHERE r <= 64),
+{_ROUND.format(k=1, before=0)},
+{_ROUND.format(k=2, before=1)},
+{_NEAREST.format(k=3, before=2)},
+g AS (SELECT v.r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a3 JOIN v USING (r) GROUP BY v.r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM g""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE c AS (
+  SELECT row_number() OVER () AS r, doc_id, source, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS v FROM documents
+), t AS (
+  SELECT r, doc_id, source, v, list_append(v[1:4], CASE WHEN crc % 2 = 0 THEN replace(v[5], chr(10), '') ELSE v[5] END) AS z FROM c LEFT JOIN (@CRC@) USING (doc_id)
+), h AS (
+  SELECT r, doc_id, source, sha256(array_to_string([coalesce(octet_length(encode(x)) || ':' || x, '-') for x in v], '')) AS leaf,
+    sha256(array_to_string([coalesce(octet_length(encode(x)) || ':' || x, '-') for x in z], '')) AS bad FROM t
+), n AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS size FROM h
+), up AS (
+  SELECT s, 0 AS l, i, size, leaf AS h FROM n
+  UNION ALL SELECT s, l + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE size > 1 GROUP BY s, l, i // 3, size
+), sub AS (SELECT s, h, count(*) OVER () AS size FROM up WHERE size = 1), top AS (
+  SELECT 0 AS l, s AS i, size, h FROM sub
+  UNION ALL SELECT l + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE size > 1 GROUP BY l, i // 3, size
+), step AS (
+  SELECT n.r, up.l, string_agg(up.h, '' ORDER BY up.i) FILTER (up.i < n.i // CAST(3 ** up.l AS BIGINT)) AS a, string_agg(up.h, '' ORDER BY up.i) FILTER (up.i > n.i // CAST(3 ** up.l AS BIGINT)) AS z
+  FROM n JOIN up ON up.s = n.s AND up.size > 1 AND up.i // 3 = n.i // CAST(3 ** (up.l + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT n.r, 1000 + top.l, string_agg(top.h, '' ORDER BY top.i) FILTER (top.i < n.s // CAST(3 ** top.l AS BIGINT)), string_agg(top.h, '' ORDER BY top.i) FILTER (top.i > n.s // CAST(3 ** top.l AS BIGINT))
+  FROM n JOIN top ON top.size > 1 AND top.i // 3 = n.s // CAST(3 ** (top.l + 1) AS BIGINT) GROUP BY ALL
+), o AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY l) AS k, coalesce(a, '') AS a, coalesce(z, '') AS z FROM step),
+fold AS (
+  SELECT r, 0 AS k, bad AS h FROM n
+  UNION ALL SELECT fold.r, fold.k + 1, sha256(o.a || fold.h || o.z) FROM fold JOIN o ON o.r = fold.r AND o.k = fold.k + 1
+), f AS (SELECT r, arg_max(h, k) AS folded_root FROM fold GROUP BY r),
+q AS (SELECT r, sha256(coalesce(string_agg(a || z, '' ORDER BY k), '')) AS proof_sha256 FROM n LEFT JOIN o USING (r) GROUP BY r)
+SELECT n.doc_id, n.leaf, sub.h AS subroot, root.h AS root, proof_sha256, folded_root, folded_root = root.h AS verified
+FROM n JOIN sub USING (s) JOIN f USING (r) JOIN q USING (r), (SELECT h FROM top WHERE size = 1) AS root""".replace("@CRC@", _CRC),
 }
