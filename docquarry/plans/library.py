@@ -49,14 +49,14 @@ def _sql_level(text: str, kind: str, level: str) -> str:
 #: Turns of conversations as blocks of documents: some numbered, some headings with a level, some captions.
 _BLOCKS = """
 b AS (SELECT conv_id AS version_id, CAST(turn // 3 + 1 AS INTEGER) AS page_number, 'b' || turn AS block_id, CASE WHEN turn % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type,
-  CASE turn % 4 WHEN 0 THEN '1.' || turn || ' ' || substr(text, 1, 30) WHEN 1 THEN 'Figure ' || turn || ': ' || substr(text, 1, 40) WHEN 2 THEN 'A) ' || substr(text, 1, 20) ELSE text END AS text,
+  CASE turn % 4 WHEN 0 THEN '1.' || turn || ' ' || text WHEN 1 THEN 'Figure ' || turn || ': ' || text WHEN 2 THEN 'A) ' || text ELSE text END AS text,
   CAST(turn AS INTEGER) AS reading_order, CASE WHEN turn % 6 = 0 THEN CAST(1 + turn % 4 AS INTEGER) END AS level FROM conversations)"""
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("turn")
-    text = F.when(t % 4 == 0, F.concat(F.lit("1."), t, F.lit(" "), F.substring("text", 1, 30))).when(t % 4 == 1, F.concat(F.lit("Figure "), t, F.lit(": "), F.substring("text", 1, 40)))
-    text = text.when(t % 4 == 2, F.concat(F.lit("A) "), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    text = F.when(t % 4 == 0, F.concat(F.lit("1."), t, F.lit(" "), F.col("text"))).when(t % 4 == 1, F.concat(F.lit("Figure "), t, F.lit(": "), F.col("text")))
+    text = text.when(t % 4 == 2, F.concat(F.lit("A) "), F.col("text"))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select(
         F.col("conv_id").alias("version_id"), (F.floor(t / 3) + 1).cast("int").alias("page_number"), F.concat(F.lit("b"), t).alias("block_id"), F.when(t % 3 == 0, "heading").otherwise("paragraph").alias("block_type"),
         text.alias("text"), t.cast("int").alias("reading_order"), F.when(t % 6 == 0, 1 + t % 4).cast("int").alias("level"),
@@ -663,7 +663,7 @@ def newest_profiles(spark: SparkSession, d: str) -> DataFrame:
     return G.latest_profiles(p).select("paper_id", "profile_id")
 
 
-_VALUES = "v AS (SELECT source AS paper_id, lang AS dimension, doc_id, 'v' || (n_chars % 7) AS value, 0.5 + quality / 4.0 AS confidence FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0)"
+_VALUES = "v AS (SELECT source AS paper_id, lang AS dimension, doc_id, 'v' || (n_chars % 7) AS value, 0.5 + quality / 4.0 AS confidence FROM documents JOIN labels USING (doc_id))"
 _CELLS = f"""
 {_VALUES}, g AS (SELECT * FROM (SELECT DISTINCT source AS paper_id FROM documents), (SELECT DISTINCT lang AS dimension FROM documents)),
 l AS (SELECT paper_id, dimension, list(value ORDER BY doc_id) AS vs, min(confidence) AS confidence, list(DISTINCT doc_id ORDER BY doc_id) AS ev FROM v GROUP BY 1, 2),
@@ -673,7 +673,7 @@ st AS (SELECT dimension, count(*) FILTER (len(ev) > 0) >= 2 AS comparable FROM c
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    v = docs.join(table(spark, d, "labels"), "doc_id").where("doc_id % 3 = 0")
+    v = docs.join(table(spark, d, "labels"), "doc_id")
     v = v.select(F.col("source").alias("paper_id"), F.col("lang").alias("dimension"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("v"), F.col("n_chars") % 7).alias("value"), (0.5 + F.col("quality") / 4.0).alias("confidence"), F.col("doc_id").alias("chunk_id"))
     return G.compare(docs.select(F.col("source").alias("paper_id")), docs.select(F.col("lang").alias("dimension")), v)
 
@@ -1023,7 +1023,7 @@ def checked_reports(spark: SparkSession, d: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Documents of a source as the evidence of one search each; those of a language as a paper that was read."""
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
+    docs = table(spark, d, "documents")
     cite = F.struct(F.concat(F.lit("E"), F.col("doc_id") % 50).alias("citation"), F.col("lang").alias("paper_id"), F.lit("v").alias("version_id"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.concat(F.lit("t"), "doc_id").alias("text"), F.col("doc_id").cast("string").alias("chunk_id"))
     found = docs.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", cite.alias("c")))).alias("e"))
     items = F.transform("e", lambda x: x["c"])
@@ -1034,7 +1034,7 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
     return search.unionByName(read)
 
 
-_STORED = "d AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 5 = 0)"
+_STORED = "d AS (SELECT doc_id, source, lang FROM documents)"
 
 
 @query(
@@ -1064,6 +1064,32 @@ def read_evidence(spark: SparkSession, d: str) -> DataFrame:
     return W2.read_evidence(_payloads(spark, d)).select("artifact_id", "position", "text", "page_end")
 
 
+_ITEM = """'{"chunk_id":"' || doc_id || '","citation":"E' || (doc_id % 50) || '","page_end":2,"page_start":1,"paper_id":"' || lang || '","text":"t' || doc_id || '","version_id":"v"}'"""
+
+
+@query(
+    f"""
+WITH {_STORED}, e AS (SELECT *, len(regexp_extract_all({_ITEM}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS cost FROM d),
+t AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY source, lang) AS first FROM e),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY source ORDER BY turn, first) AS used FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM t) WHERE turn <= 4),
+r AS (SELECT *, sum(cost) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM e)
+SELECT source AS artifact_id, string_agg('t' || doc_id, ',' ORDER BY turn, first) FILTER (used + k - 1 + 58 <= 600) AS shown, max(n) - count(*) AS omitted
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, first) AS k FROM s) WHERE used <= 600 GROUP BY source
+UNION ALL SELECT lang, string_agg('t' || doc_id, ',' ORDER BY doc_id) FILTER (used + k - 1 + 118 <= 600), max(n) - count(*)
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM r) WHERE used <= 600 GROUP BY lang"""
+)
+def stored_previews(spark: SparkSession, d: str) -> DataFrame:
+    """What previews of 600 tokens show of stored searches and papers: papers in turn, passages in order.
+
+    In the SQL, 58 and 118 are the tokens of the fields before the list.
+    """
+    shown = W2.previews(_payloads(spark, d), 600)
+    items = F.when(F.col("kind") == "knowledge_search", F.get_json_object("preview", "$.selected_evidence[*].text")).otherwise(F.get_json_object("preview", "$.passages[*].text"))
+    omitted = F.coalesce(F.get_json_object("preview", "$.omitted_evidence"), F.get_json_object("preview", "$.omitted_passages")).cast("long")
+    one = F.coalesce(F.from_json(items, "array<string>"), F.array(F.regexp_replace(items, '"', "")))
+    return shown.select("artifact_id", F.array_join(one, ",").alias("shown"), omitted.alias("omitted"))
+
+
 _COMPARED = "x AS (SELECT c_nationkey AS a, c_mktsegment AS name, count(*) > 12 AS ok, count(*) AS n FROM customer GROUP BY 1, 2)"
 
 
@@ -1087,13 +1113,13 @@ def paper_cells(spark: SparkSession, d: str) -> DataFrame:
     return W2.view_items(_comparisons(spark, d), "paper:p2").select("artifact_id", "position", F.get_json_object("item", "$.normalized_value").alias("value"))
 
 
-@query(f"WITH {_STORED} SELECT lang AS artifact_id, 'E' || (doc_id % 50) AS label FROM d WHERE doc_id % 2 = 0 GROUP BY ALL")
+@query(f"WITH {_STORED} SELECT lang AS artifact_id, 'E' || (doc_id % 50) AS label FROM d GROUP BY ALL")
 def shown_citations(spark: SparkSession, d: str) -> DataFrame:
     """The citations that slices of read papers show."""
     p = _payloads(spark, d).where("kind = 'paper_read'")
     manifest_ = W2.citation_manifest(p).select("artifact_id", "label")
-    even = table(spark, d, "documents").where("doc_id % 5 = 0 and doc_id % 2 = 0").groupBy(F.col("lang").alias("artifact_id")).agg(F.to_json(F.struct(F.collect_list(F.concat(F.lit("E"), F.col("doc_id") % 50)).alias("x"))).alias("content"))
-    return W.visible_citations(even, manifest_).select("artifact_id", "label").distinct()
+    slices = table(spark, d, "documents").groupBy(F.col("lang").alias("artifact_id")).agg(F.to_json(F.struct(F.collect_list(F.concat(F.lit("E"), F.col("doc_id") % 50)).alias("x"))).alias("content"))
+    return W.visible_citations(slices, manifest_).select("artifact_id", "label").distinct()
 
 
 # ---- sources

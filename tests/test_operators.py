@@ -1,11 +1,12 @@
-import itertools
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import text as X
 from docquarry.operators import curation as C
 from docquarry.operators import graph as G
 from docquarry.operators import incremental as I
@@ -183,8 +184,6 @@ def test_dense_equals_brute_force(spark):
 
 
 def test_splits_and_negatives(spark):
-    from docquarry.operators import curation as C
-
     rows = spark.createDataFrame([(i, "ab"[i % 2], ["x", "y", "z"][i % 3]) for i in range(60)], "id long, s string, reason string")
     got = C.stratified_split(rows, "id", "s", {"smoke": 3, "regression": 10}, [F.asc("id")])
     assert {(r["s"], r["split"]): r["count"] for r in got.groupBy("s", "split").count().collect()} == {("a", "smoke"): 3, ("b", "smoke"): 3, ("a", "regression"): 10, ("b", "regression"): 10, ("a", None): 17, ("b", None): 17}
@@ -305,20 +304,70 @@ def test_nested_splits(spark):
 # ---- stored results
 
 
-def test_previews_under_a_budget(spark):
-    evidence = [{"paper_id": p, "relevance": r, "citation": f"E{i}", "text": "word " * 30} for i, (p, r) in enumerate([("A", 0.9), ("A", 0.8), ("B", 0.7)])]
-    shown = V2.preview("knowledge_search", {"query": "q", "status": "ok", "evidence": evidence}, "a1", 130)
-    assert [x["citation"] for x in shown["selected_evidence"]] == ["E0", "E2"] and shown["omitted_evidence"] == 1
-    whole = {"summary": "x " * 400, "status": "ok", "artifact_ref": {"artifact_id": "a1", "more": "y " * 120}, "claims": [{"t": "z " * 20}] * 5}
-    cut = V2.within(whole, 90)
-    assert cut["artifact_ref"] == {"artifact_id": "a1"} and cut["status"] == "ok" and whole["summary"].startswith(cut["summary"]) and V2._tokens(cut) <= 90
-    assert V2.within({"status": "ok"}, 50) == {"status": "ok"}
-    kinds = [*V2.PREVIEWS, "knowledge_search", "paper_comparison", "worker_result", "other"]
-    rows = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(itertools.product(kinds, ['{"summary":"s","results":[{"a":1}],"count":3,"dimensions":[{"name":"d","directly_comparable":true,"cells":[]}]}', "not json", None, "[]"]))], "artifact_id int, kind string, payload string")
-    told = rows.select("kind", "payload", V2.compact("kind", "payload", F.col("artifact_id").cast("string"), 200).alias("c")).collect()
-    assert all(json.loads(r["c"])["artifact_ref"] for r in told)
-    assert any(json.loads(r["c"]).get("omitted_results") == 2 for r in told)
-    strings = rows.limit(1).select(V2.string_values(F.lit('{"a":["x",{"b":"y"}],"c":1}')).alias("s")).first()["s"]
+def _tokens(value):
+    return len(re.findall(X.ARTIFACT_TOKEN.removeprefix("(?U)"), value))
+
+
+def _shown(spark, budget, *told):
+    """The previews of (kind, payload) as objects, and which were cut."""
+    rows = [(i, k, p if p is None or isinstance(p, str) else json.dumps(p), "json") for i, (k, p) in enumerate(told)]
+    got = sorted(V2.previews(spark.createDataFrame(rows, "artifact_id int, kind string, payload string, media_type string"), budget).collect())
+    assert all(r["preview_tokens"] == _tokens(r["preview"]) and (r["preview_tokens"] <= budget or not r["truncated"]) for r in got)
+    return [json.loads(r["preview"]) for r in got], [r["truncated"] for r in got]
+
+
+def test_previews_fill_lists_in_order(spark):
+    evidence = [{"paper_id": p, "relevance": r, "citation": f"E{i}", "text": "word " * 30} for i, (p, r) in enumerate([("A", 0.9), ("A", 0.8), ("B", 0.7), ("A", 0.95), ("A", 0.1), ("A", 0.2)])]
+    search = {"query": "q", "status": "ok", "evidence": [*evidence, "no object"], "resolved_papers": list(range(30))}
+    read = {"paper_id": "p", "version_id": "v", "title": "T", "passages": [{"text": "x " * 50}, {"text": "y " * 300}, {"text": "z"}], "elements": [{"caption": "c"}] * 4}
+    (got, read_whole), cut = _shown(spark, 10_000, ("knowledge_search", search), ("paper_read", read))
+    # papers in turn, the best of each first, four of one at most
+    assert [x["citation"] for x in got["selected_evidence"]] == ["E3", "E2", "E0", "E1", "E5"] and got["omitted_evidence"] == 1
+    assert got["resolved_papers"] == list(range(20)) and got["artifact_ref"]["available_views"] == ["default", "evidence", "papers", "full"]
+    assert len(read_whole["passages"]) == 3 and read_whole["available_views"][-1] == "full" and cut == [False, False]
+    # a passage that doesn't fit ends the passages; elements may still fit
+    (got, read_part), cut = _shown(spark, 250, ("knowledge_search", search), ("paper_read", read))
+    assert read_part["passages"] == read["passages"][:1] and len(read_part["elements"]) == 4 and read_part["omitted_passages"] == 2 and not cut[1]
+    assert cut[0] and [x["citation"] for x in got["selected_evidence"]][:1] == ["E3"]
+
+
+def test_previews_of_every_kind(spark):
+    comparison = {
+        "status": "partial", "paper_ids": ["p1", "p2"], "dimensions": [{"name": "d", "directly_comparable": True, "cells": [{"paper_title": "One", "normalized_value": "1"}, {"paper_title": "Two"}]}, {"name": "e"}],
+        "evidence": [{"citation": "E1", "pages": [3, 4], "paper_title": "One"}, {"citation": "E1", "page_start": 9}, {"citation": ""}, {"citation": "E2", "page_start": 5, "page_end": 6}],
+    }
+    told = [
+        ("paper_comparison", comparison), ("worker_result", {"status": "ok", "summary": "s", "unresolved_questions": ["q"], "citations": [{"citation_label": "E7", "page_start": 1}]}),
+        ("search_artifact", {"results": [{"a": 1}], "count": 3}), ("delegate_research", {"task_id": "t", "delegated": True, "work_unit_ids": list(range(25))}),
+        ("collect_research_task", {"summary": "s", "artifact_refs": [{"id": 1}, 2], "failed_work_units": [{"id": 3}]}),
+        ("retrieve_and_analyze_knowledge", {"claims": [{"t": 1}], "reports": [{"r": 1}], "rounds_executed": 2, "citation_manifest": [{"citation_label": "E1"}]}),
+        ("other", "not json"), ("other", None), ("other", "[]"), ("other", "{}"), ("knowledge_search", None), ("paper_comparison", "{}"),
+    ]
+    got, cut = _shown(spark, 1000, *told)
+    assert not any(cut) and all(g["artifact_ref"]["media_type"] == "json" for g in got)
+    a, worker, listed, task, collected, loop, *plain, search, empty = got
+    assert a["comparable_dimensions"] == ["d"] and a["insufficient_dimensions"] == ["e"] and a["paper_count"] == 2
+    assert a["high_level_findings"] == [{"dimension": "d", "summary": "One: 1; Two: None"}]
+    assert [(c["label"], c["page_start"], c["page_end"]) for c in a["citations"]] == [("E1", 3, 4), ("E2", 5, 6)]
+    assert a["available_views"] == ["default", "all-cells", "evidence", "derivation", "dimension:d", "dimension:e", "paper:p1", "paper:p2"] == a["artifact_ref"]["available_views"]
+    assert worker["citations"][0]["label"] == "E7" and worker["unresolved_questions"] == ["q"] and worker["available_views"][1] == "result"
+    assert listed["omitted_results"] == 2 and listed["results"] == [{"a": 1}]
+    assert task["delegated"] is True and len(task["work_unit_ids"]) == 20 and task["assigned_workers"] == []
+    assert collected["artifact_refs"] == [{"id": 1}] and collected["omitted_artifact_refs"] == 1 and collected["failed_work_units"] == [{"id": 3}]
+    assert loop["claims"] == [{"t": 1}] and loop["rounds_executed"] == 2 and loop["citation_manifest"] == [{"citation_label": "E1"}]
+    assert all(p["summary"] == "tool result" and p["artifact_ref"]["available_views"] == [] for p in plain)
+    assert search["selected_evidence"] == [] and empty["citations"] == []
+
+
+def test_previews_are_cut_by_priority(spark):
+    whole = {"task_id": "t1", "status": "ok", "summary": 'x "y"\nü ' * 200, "claims": [{"t": "z " * 20}] * 5, "query": "q " * 500}
+    for budget in (20, 60, 90, 200):
+        (got,), (cut,) = _shown(spark, budget, ("retrieve_and_analyze_knowledge", whole))
+        assert cut and got["artifact_ref"]["artifact_id"] == "0" and whole["summary"].startswith(got.get("summary", ""))
+        if budget > 60:
+            assert got["status"] == "ok" and got["summary"] and "query" not in got
+    assert _tokens(json.dumps(got, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) >= 180
+    strings = spark.range(1).select(V2.string_values(F.lit('{"a":["x",{"b":"y"}],"c":1}')).alias("s")).first()["s"]
     assert strings == ["x", "y"]
 
 
