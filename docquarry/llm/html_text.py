@@ -5,14 +5,19 @@ passes points for its length and its commas to its ancestors, in full to the
 first two and halved at each further level, and each candidate's sum is
 discounted by its link density. Both steps read a page about once, however its
 tags are nested or left open.
-The best container is kept with those siblings that score enough of its points
-or read like prose. Navigation, headers, footers, sidebars, notices, adverts,
-forms, comments and code never enter the tree.
+The best container is kept with its siblings. Inside an article or main element
+of few links that element is the container, whole, and its siblings stay if they
+score enough of its points or read like prose. Elsewhere the container is the
+outermost element around the best one that has few links and holds no page
+furniture (boilerplate blocks) itself, and its siblings and the loose text between
+them stay unless they are mostly links: no block is judged by its length. Of equal
+containers the inner one, or else the first, is the best. Navigation, headers,
+footers, sidebars, notices, adverts, forms, comments and code never enter the tree.
 
 Defined results: a null page counts as empty; a page without readable text
 gives the empty string; rows are independent, so repeated rows and null keys
-each give a result; extra columns are ignored; pages of any length are read
-whole.
+each give a result; an empty table gives an empty one; extra columns are ignored;
+pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ IMPLIED = {
 }
 #: Never main text: by element, by role, by a word of class or id.
 DROPPED = frozenset("nav header footer aside form script style button select input textarea iframe noscript template svg canvas object embed menu dialog head title".split())
+#: Those of them that stand inside articles too.
+WIDGETS = frozenset("head title form script style button select input textarea iframe noscript template svg canvas object embed".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs "
@@ -67,7 +74,7 @@ _COMMAS = re.compile("[,،、，]")
 class Node:
     """An element: `first` and `last` bound the blocks inside it, in page order."""
 
-    __slots__ = ("tag", "parent", "up", "items", "dropped", "link", "hint", "first", "last", "own", "below")
+    __slots__ = ("tag", "parent", "up", "items", "dropped", "link", "hint", "first", "last", "own", "below", "furnished")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool, hint: float = 0.0):
         self.tag, self.parent, self.dropped, self.hint = tag, parent, dropped, hint
@@ -79,6 +86,8 @@ class Node:
         self.first = self.last = 0
         #: points of the blocks directly inside; of those further below, halved at each level after the first
         self.own = self.below = 0.0
+        #: whether boilerplate stands directly inside
+        self.furnished = False
 
 
 def _is_dropped(tag: str, raw: str) -> tuple[bool, float]:
@@ -276,6 +285,7 @@ def blocks(root: Node) -> tuple[list[Block], list[Node]]:
             elif item.dropped:
                 if item.tag not in INLINE and item.tag not in VOID:
                     flush(block)
+                    block.furnished |= item.tag not in WIDGETS
             else:
                 inline = item.tag in INLINE
                 if not inline:
@@ -325,15 +335,19 @@ def extract(page: str) -> str:
     while around is not None and not (around.tag in ("article", "main") and density(around) < 0.25):
         around = around.parent
     best = around or best
-    keep = [best]
-    if best.parent is not None:
-        for x in best.parent.items:
-            if isinstance(x, Node) and x is not best and x.last > x.first:
-                said = x.tag in ("p", "blockquote", "pre") and density(x) < 0.25 and size(x) >= 80
-                title = x.tag in ("h1", "h2") and density(x) < 0.25
-                if final.get(x, 0.0) >= enough or said or title:
-                    keep.append(x)
-    return "\n".join(b.text for x in sorted(keep, key=lambda x: x.first) for b in found[x.first : x.last])
+    if around is None:
+        while best.up is not None and not best.up.furnished and density(best.up) < 0.25:
+            best = best.up
+    keep = [(best.first, best.last)]
+    for x in best.parent.items if best.parent is not None else ():
+        if isinstance(x, Node) and x is not best and x.last > x.first:
+            said = x.tag in ("p", "blockquote", "pre") and density(x) < 0.25 and size(x) >= 80
+            title = x.tag in ("h1", "h2") and density(x) < 0.25
+            if final.get(x, 0.0) >= enough or said or title or around is None and density(x) < 0.25:
+                keep.append((x.first, x.last))
+    if around is None and best.up is not None:
+        keep += [(i, i + 1) for i in range(best.up.first, best.up.last) if found[i].node is best.up and found[i].links < 0.25 * len(found[i].text)]
+    return "\n".join(found[i].text for i in sorted({i for a, z in keep for i in range(a, z)}))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -378,3 +379,34 @@ def test_toxicity_without_examples(spark, insults):
     assert {r["predicted"] for r in toxicity.classify(few, labels).collect()} == {0}
     assert {r["score"] for r in toxicity.classify(few, labels.where("false")).collect()} == {0.5}
     assert toxicity.classify(few.where("false"), labels).count() == 0
+
+
+LONG = "This is a long paragraph, with commas, that tells of many things and goes on for more than eighty characters."
+FURNITURE = '<nav><a href="/">Home</a></nav><header>Site</header>{}<div class="sidebar">Side</div><div class="links"><a href="/a">One</a> <a href="/b">Two</a></div><footer>Foot</footer>'
+
+
+def _brute(page):
+    """All text of a page whose boilerplate is cut out by hand, a block a line."""
+    inner = re.sub(r"<head>.*?</head>|<nav>.*?</nav>|<header>.*?</header>|<footer>.*?</footer>|<div class=\"(?:sidebar|links|ad)\">.*?</div>", "\n", page, flags=re.S)
+    lines = re.sub(r"</?(?:div|p|h3|h2|ul|li|table|tr|td|section|body|html|pre|dl|dt|dd)\b[^>]*>", "\n", inner).split("\n")
+    return "\n".join(x for x in (" ".join(re.sub(r"<[^>]*>", "", line).split()) for line in lines) if x)
+
+
+CONTENT = [
+    '<div class="content"><div class="sec">' + f"<p>{LONG}</p>" * 10 + '</div><div class="sec"><p>Short.</p></div><div class="sec"><h3>Head</h3><ul><li>a</li><li>b</li></ul></div></div>',
+    '<div class="content"><div class="sec">' + f"<p>{LONG}</p>" * 10 + "</div><table><tr><td>1</td><td>2</td></tr></table><p>Tiny.</p></div>",
+    '<div class="sec">' + f"<p>{LONG}</p>" * 10 + "</div><p>Tiny.</p>loose text<h3>Head</h3><ul><li>x</li></ul>",
+    '<div class="content"><div>' + f"<p>{LONG}</p>" * 4 + '</div><div class="ad">Buy</div><div><p>After.</p></div><dl><dt>t</dt><dd>d</dd></dl></div>',
+    "<table><tr><td>" + f"<p>{LONG}</p>" * 3 + "</td><td>Short cell</td></tr></table>",
+    "<section><h2>One</h2>" + f"<p>{LONG}</p>" * 5 + "</section><section><h2>Two</h2><p>Few words.</p><pre>x = 1</pre></section>",
+    "<div>" + f"<div>{LONG}</div>" * 3 + "<div>End.</div></div>",
+    "<ul>" + f"<li>{LONG}</li>" * 3 + "<li>short</li></ul>",
+    "<p>Just one of some length.</p>",
+]
+
+
+@pytest.mark.parametrize("content", CONTENT)
+def test_html_keeps_whole_articles_without_an_article_element(content):
+    """Div-only, table, list and mixed pages, with furniture around and without."""
+    for page in (f"<html><head><title>T</title></head><body>{FURNITURE.format(content)}</body></html>", f"<body>{content}</body>", f"<div id=page>{FURNITURE.format(f'<div id=main-col><div>{content}</div></div>')}</div>"):
+        assert html_text.extract(page) == _brute(page)
