@@ -255,14 +255,15 @@ def evidence_id(query: str = "query", chunk_id: str = "chunk_id") -> Column:
     return F.sha2(F.concat_ws(":", F.lit("evidence"), F.sha2(F.trim(F.lower(F.col(query))), 256), F.col(chunk_id).cast("string")), 256)
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, k: int = 30, least: float = 0.22, diverse: bool = True, scorer=V.hybrid_score) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, k: int = 30, least: float = 0.22, diverse: bool = True, scorer=V.hybrid_score, index=None) -> DataFrame:
     """Evidence rows of each query; a query without any gets one row of status no_evidence.
 
     `queries`: query_id, query, query_vector; `chunks`: chunk_id, paper_id, text; `vectors`: chunk_id, embedding;
-    `scorer`: as for rerank.
+    `scorer`: as for rerank; `index`: a TextIndex of the chunks, else they are tokenised here.
     """
     near = dense(queries, vectors, k, target="chunk_id")
-    words = top_k(bm25(queries, chunks, doc_id="chunk_id", best=k).withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
+    sparse = index.bm25(queries, best=k, doc_id="chunk_id") if index is not None else bm25(queries, chunks, doc_id="chunk_id", best=k)
+    words = top_k(sparse.withColumn("_r", F.round("bm25", 9)).where("_r > 0"), k, [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
     return _judged_evidence(queries, chunks, fuse(near, words, ["query_id", "chunk_id"]), limit, least, diverse, scorer)
 
 

@@ -13,6 +13,7 @@ from ..operators import incremental as I
 from ..operators import reading as D
 from ..operators import retrieval as R
 from ..operators import structure as S
+from ..operators import text_index as N
 from ..operators import views as W2
 from ..operators import workflow as W
 from ..sources.staging import spread
@@ -504,7 +505,7 @@ SELECT query_id, count(*) AS found, CAST(sum(doc_id) AS BIGINT) AS ids FROM q JO
 def full_text_hits(spark: SparkSession, d: str) -> DataFrame:
     """How many documents hold a word of each benchmark item."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.full_text(q, spread(table(spark, d, "documents"))).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
+    return N.of_files(table(spark, d, "documents"), "documents-index").full_text(q).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
 
 
 _FUSED = (
@@ -527,7 +528,7 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     b, e = table(spark, d, "benchmark"), table(spark, d, "embeddings")
     q = b.join(e, b.item_id == e.vec_id, "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"))
     docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
-    found = R.search(q, docs, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), diverse=False)
+    found = R.search(q, docs, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), diverse=False, index=N.of_files(table(spark, d, "documents"), "documents-index"))
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "status")
 
 

@@ -19,6 +19,7 @@ from ..operators import graph as G
 from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators import structure as S
+from ..operators import text_index as N
 from ..operators import workflow as W
 from ..sources.staging import spread, staged
 from ..sources.tables import canonical_json, manifest, put_blobs, table
@@ -70,7 +71,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm2
 @query(_BM25 + "SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM ranked WHERE r <= 10")
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the ten best documents of every benchmark item."""
-    scored = R.bm25(_asked(spark, d), spread(table(spark, d, "documents")), best=10).withColumn("bm25", F.round("bm25", 6))
+    scored = N.of_files(table(spark, d, "documents"), "documents-index").bm25(_asked(spark, d), best=10).withColumn("bm25", F.round("bm25", 6))
     return R.top_k(scored, 10, [F.desc("bm25"), F.asc("doc_id")], ["query_id"])
 
 
@@ -100,7 +101,7 @@ SELECT query_id, doc_id, round(least(1, (1 - exp(-bm25 / 3)) * 0.25 + least(1, o
 )
 def rerank_and_judge(spark: SparkSession, d: str) -> DataFrame:
     asked, docs = _asked(spark, d), spread(table(spark, d, "documents"))
-    scored = R.bm25(asked, docs, best=10).withColumn("_r", F.round("bm25", 6))
+    scored = N.of_files(table(spark, d, "documents"), "documents-index").bm25(asked, best=10).withColumn("_r", F.round("bm25", 6))
     top = R.top_k(scored, 10, [F.desc("_r"), F.asc("doc_id")], ["query_id"]).drop("_r")
     both = top.join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("dense", F.lit(None).cast("double"))
     ranked = R.rerank(both)
@@ -114,7 +115,8 @@ def search_evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), "text")
     queries = staged(_asked(spark, d).withColumn("query_vector", embed("query")), "query-vectors")
     # vectors are an index: made once, written, then searched
-    return R.search(queries, docs, staged(docs.select("chunk_id", embed("text").alias("embedding")), "vectors"))
+    vectors = staged(docs.select("chunk_id", embed("text").alias("embedding")), "vectors")
+    return R.search(queries, docs, vectors, index=N.of_files(table(spark, d, "documents"), "documents-index"))
 
 
 @query(
