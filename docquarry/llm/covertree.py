@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .balls import deal, farthest_first, unit
+from .balls import deal, farthest_first, near_pairs, unit
 from .common import partitions, written
 from .components import components
 from .topk import finite
@@ -152,21 +152,7 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     trees = written(packed.repartition(partitions(spark), "_label", "_dim", "_block").mapInArrow(build, block_schema), "cover-trees")
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
 
-    def near(batches):
-        """Pairs of a label's blocks whose balls are near enough. A ball is a few numbers, so a label's fit in one task."""
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = batch.column("_b")[r].values.to_numpy()
-                ball = batch.column("_c")[r].values.to_numpy().reshape(len(ids), -1)
-                centre, reach = ball[:, :-1], ball[:, -1]
-                for i in range(len(ids)):
-                    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centre[i:] @ centre[i])))
-                    j = i + np.flatnonzero(far <= limit + SLACK + reach[i] + reach[i:])
-                    one = [pa.array([batch.column(c)[r].as_py()] * len(j), batch.schema.field(c).type) for c in ("_label", "_dim")]
-                    yield pa.RecordBatch.from_arrays([*one, pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["_label", "_dim", "_block", "_other"])
-
-    balls = trees.groupBy("_label", "_dim").agg(F.collect_list(F.struct("_block", "_centre")).alias("_t"))
-    pairs = balls.select("_label", "_dim", F.col("_t._block").alias("_b"), F.flatten("_t._centre").alias("_c")).mapInArrow(near, "_label string, _dim int, _block long, _other long")
+    pairs = near_pairs(trees.select("_label", "_dim", "_block", F.col("_centre").alias("_ball")), ["_label", "_dim"], limit + SLACK)
     left = pairs.join(trees.drop("_centre"), ["_label", "_dim", "_block"])
     right = trees.select("_label", "_dim", F.col("_block").alias("_other"), *(F.col(c).alias(f"{c}2") for c in ("_ids", "_copies", "_radius", "_x")))
     met = left.join(right.hint("shuffle_hash"), ["_label", "_dim", "_other"]).repartition(partitions(spark), "_label", "_block", "_other")

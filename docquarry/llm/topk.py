@@ -28,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .balls import deal
+from .balls import chunks, deal, packs
 from .common import written
 
+#: Groups of query parts that look at packs apart from one another.
+SALTS = 32
+
 _GATHERED = "query_id long, vec_id long, score long"
 
 
@@ -116,31 +119,48 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, k
 
     home = written(qs.join(vs.hint("shuffle_hash"), ["_dim", "_block"]).mapInArrow(gather, schema), "topk-gathered")
     cuts = home.where("_v is null").groupBy("_dim", "_block", "_part").agg(F.collect_list(F.struct("_id", "_cut")).alias("_c")).select("_dim", "_block", "_part", F.col("_c._id").alias("c_ids"), F.col("_c._cut").alias("c_cut"))
-    # the balls in packs, which every part of the queries looks through
-    balls = vs.mapInArrow(ball, "_dim int, _block long, _ball array<double>").groupBy("_dim", F.pmod(F.xxhash64("_block"), F.lit(64)).alias("_pack")).agg(F.collect_list(F.struct("_block", "_ball")).alias("_b"))
-    balls = written(balls.select("_dim", F.col("_b._block").alias("b_ids"), F.flatten("_b._ball").alias("b_x")), "topk-bounds")
-    ask_schema = "_dim int, _other long, q_ids array<long>, q_x array<long>, q_cut array<long>"
+    # the balls in packs; a part of the queries looks at packs by the balls around them, and through those that it needs
+    packed = packs(vs.mapInArrow(ball, "_dim int, _block long, _ball array<double>"), ["_dim"])
+    tops = chunks(packed, ["_dim"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = written(qs.join(cuts, ["_dim", "_block", "_part"]).join(tops.select("_dim", "_of").distinct(), "_dim"), "topk-asked")
+    dealt_out = known.withColumn("_salt", F.pmod(F.xxhash64("_block", "_part"), F.lit(SALTS)).cast("int")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+
+    def reached(q, b, cut):
+        """Which balls may hold a vector whose score with a query reaches its cutoff."""
+        f = q.astype(float)
+        bound = f @ b[:, :-1].T + np.sqrt((f * f).sum(axis=1))[:, None] * b[:, -1][None, :]
+        # bounds are sums of doubles: a little more than they could be off
+        return bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= cut[:, None].astype(float)
+
+    def some_of(batch, r, name, number, which, columns):
+        told = [pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (c[which] for c in columns)]
+        return pa.RecordBatch.from_arrays([batch.column("_dim").slice(r, 1), batch.column("_block").slice(r, 1), pa.array([number]), *told], names=["_dim", "_block", name, "q_ids", "q_x", "q_cut"])
+
+    def look(batches):
+        """For each pack, the queries of a part that need it."""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, ci, cut, pi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "c_ids", "c_cut", "_packs"))
+                order = np.argsort(ci)
+                cut = cut[order][np.searchsorted(ci[order], qi)]
+                q, b = (batch.column(c)[r].values.to_numpy().reshape(len(i), -1) for c, i in (("q_x", qi), ("_tops", pi)))
+                need = reached(q, b, cut)
+                for j in np.flatnonzero(need.any(axis=0)):
+                    yield some_of(batch, r, "_pack", pi[j], np.flatnonzero(need[:, j]), (qi, q, cut))
 
+    asking = dealt_out.join(tops.drop("_of").hint("shuffle_hash"), ["_dim", "_chunk", "_salt"]).mapInArrow(look, "_dim int, _block long, _pack long, q_ids array<long>, q_x array<long>, q_cut array<long>")
     def needed(batches):
         """For each other ball, the queries whose cutoff its bound reaches."""
         for batch in batches:
             for r in range(batch.num_rows):
-                qi, ci, cut, bi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "c_ids", "c_cut", "b_ids"))
-                order = np.argsort(ci)
-                cut = cut[order][np.searchsorted(ci[order], qi)]
-                q = batch.column("q_x")[r].values.to_numpy().reshape(len(qi), -1)
-                b = batch.column("b_x")[r].values.to_numpy().reshape(len(bi), -1)
-                f = q.astype(float)
-                bound = f @ b[:, :-1].T + np.sqrt((f * f).sum(axis=1))[:, None] * b[:, -1][None, :]
-                # bounds are sums of doubles: a little more than they could be off
-                need = bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= cut[:, None].astype(float)
+                qi, cut, bi = (batch.column(c)[r].values.to_numpy() for c in ("q_ids", "q_cut", "_ids"))
+                q, b = (batch.column(c)[r].values.to_numpy().reshape(len(i), -1) for c, i in (("q_x", qi), ("_balls", bi)))
+                need = reached(q, b, cut)
                 need[:, bi == batch.column("_block")[r].as_py()] = False
                 for j in np.flatnonzero(need.any(axis=0)):
-                    some = np.flatnonzero(need[:, j])
-                    columns = [pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (qi[some], q[some], cut[some])]
-                    yield pa.RecordBatch.from_arrays([batch.column("_dim").slice(r, 1), pa.array([bi[j]]), *columns], names=["_dim", "_other", "q_ids", "q_x", "q_cut"])
+                    yield some_of(batch, r, "_other", bi[j], np.flatnonzero(need[:, j]), (qi, q, cut))
 
-    asked = qs.join(cuts, ["_dim", "_block", "_part"]).join(balls, "_dim").mapInArrow(needed, ask_schema)
+    asked = asking.join(packed.drop("_top").hint("shuffle_hash"), ["_dim", "_pack"]).mapInArrow(needed, "_dim int, _block long, _other long, q_ids array<long>, q_x array<long>, q_cut array<long>").drop("_block")
 
     def collect(batches):
         for batch in batches:

@@ -481,3 +481,34 @@ def test_balls_hold_every_row_once(spark, monkeypatch):
     assert max(size.values()) <= 60 and len(size) < 20
     assert all(len({i % 5 for i in range(400) if i % 2 == g and got[i] == b}) == 1 for g, b in size if g < 2)
     assert balls.deal(df.where("false"), ["g"], "k", "x", 50).count() == 0
+
+
+def test_near_pairs_of_balls_equal_all_pairs(spark, monkeypatch):
+    """Many packs and chunks of balls, in several groups."""
+    monkeypatch.setattr(balls, "BALLS", 8)
+    monkeypatch.setattr(balls, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in (("a", 300), ("b", 1), ("c", 40)):
+        for i in range(n):
+            cell = int(rng.integers(0, 6))
+            rows.append((g, 3, cell * (1 << 32) + i, [float(x) for x in np.r_[rng.normal(cell, 0.3, 3), rng.uniform(0, 0.2)]]))
+    df = spark.createDataFrame(rows, "g string, d int, _block long, _ball array<double>").repartition(4)
+    got = [tuple(r) for r in balls.near_pairs(df, ["g", "d"], 0.5).select("g", "_block", "_other").collect()]
+    want = {(g, min(i, j), max(i, j)) for g, _, i, a in rows for h, _, j, b in rows if g == h and np.linalg.norm(np.array(a[:3]) - np.array(b[:3])) <= 0.5 + a[3] + b[3]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_search_over_many_packs_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(balls, "BALLS", 2)
+    monkeypatch.setattr(balls, "CHUNK", 2)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 1, (400, 6)) + 4 * rng.normal(0, 1, (8, 6))[rng.integers(0, 8, 400)], 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 7 == 0, k=5, block_rows=16, query_rows=8).collect()]
+    w = np.floor(64 * x).astype(np.int64)
+    want = []
+    for q in range(0, 400, 7):
+        order = sorted((-int(w[q] @ w[v]), v) for v in range(400) if v != q)[:5]
+        want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(order)]
+    assert sorted(got) == sorted(want)
