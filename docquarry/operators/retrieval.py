@@ -82,6 +82,10 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query:
     return added.unionByName(scored(weights.join(limits.where(~closed).select(query_id), query_id)))
 
 
+#: Blocks of a thousand queries each that are broadcast; beyond, groups of vector blocks that a query block meets apart.
+BROADCAST_BLOCKS, SALTS = 16, 32
+
+
 def _blocks(rows: DataFrame, scope: list[str], size: int, name: str) -> DataFrame:
     """Rows (_id, _v, scope) packed by hash into blocks of about `size` rows; a block's vectors lie end to end."""
     counts = rows.groupBy(*scope, F.size("_v").alias("_dim")).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_of"))
@@ -101,8 +105,14 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
     good = lambda c: F.coalesce(F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
     pick = lambda df, i, v: df.where(good(v)).select(*scope, F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("_v"))
     q, v = _blocks(pick(queries, query_id, query_vector), scope, 1024, "q"), _blocks(pick(vectors, target, vector), scope, block, "v")
-    parts = q.groupBy(*scope, "_dim").agg(F.first("q_of").alias("_of"))
-    met = v.join(parts, [*scope, "_dim"]).withColumn("q_n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).join(q.drop("q_of"), [*scope, "_dim", "q_n"])
+    q = staged(q, "query-blocks")
+    if q.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        met = v.join(F.broadcast(q.drop("q_of", "q_n")), [*scope, "_dim"])
+    else:
+        # a block of queries goes to each salt, and a block of vectors to its own: few query blocks are no few tasks
+        parts = q.groupBy(*scope, "_dim").agg(F.first("q_of").alias("_of"))
+        dealt = v.join(parts, [*scope, "_dim"]).withColumn("q_n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).withColumn("_salt", F.pmod("v_n", F.lit(SALTS)).cast("int"))
+        met = dealt.join(q.drop("q_of").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*scope, "_dim", "q_n", "_salt"])
     q_type, v_type = (df.schema[c].dataType for df, c in ((queries, query_id), (vectors, target)))
     schema = T.StructType([T.StructField(query_id, q_type), T.StructField(target, v_type), T.StructField("dense", T.DoubleType())])
     arrow = to_arrow_schema(schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from ..operators import structure as S
 from ..operators import text_index as N
 from ..operators import views as W2
 from ..operators import workflow as W
-from ..sources.staging import spread
+from ..sources import versions
+from ..sources.buckets import BucketTable
+from ..sources.staging import shared_folder, spread
 from ..sources.tables import checksums, delete_blobs, get_blobs, look_up, manifest, put_blobs, save_documents, table
 from ..streaming import events as E
 from .queries import _BM25, _tokens, query
@@ -1123,6 +1127,28 @@ def shown_citations(spark: SparkSession, d: str) -> DataFrame:
     return W.visible_citations(slices, manifest_).select("artifact_id", "label").distinct()
 
 
+# ---- tables merged in place
+
+
+@query(
+    """
+WITH o AS (SELECT o_custkey AS custkey, max(o_orderkey) AS orderkey FROM orders GROUP BY 1)
+SELECT coalesce(custkey, c_custkey) AS custkey, orderkey, c_name AS name, CAST((CASE WHEN custkey IS NULL THEN 0 ELSE 1 END) + (CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS seen
+FROM o FULL JOIN customer ON c_custkey = custkey WHERE c_nationkey IS DISTINCT FROM 3"""
+)
+def merged_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, then customers (a batch that comes twice), merged by key into buckets; then the keys of a nation go."""
+    t = BucketTable(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", "custkey long, orderkey long, name string, seen int", ["custkey"], 16)
+    files, at = versions.files(spark, t.path)
+    files.deleteOnExit(at)
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.lit(1).alias("seen"))
+    t.merge(table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.lit(1).alias("seen")), order=["orderkey"])
+    for _ in range(2):
+        t.merge(customers, {"name": F.col("new.name"), "seen": F.col("old.seen") + 1}, mark=("customers", 0))
+    t.delete(table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("custkey")))
+    return t.read()
+
+
 # ---- sources
 
 

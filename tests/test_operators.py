@@ -166,9 +166,12 @@ def test_stream_equals_batch(spark, smallest, tmp_path):
     assert {tuple(r) for r in rows} == batch
 
 
-def test_dense_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [16, -1])
+def test_dense_equals_brute_force(spark, monkeypatch, broadcast):
     import numpy as np
 
+    monkeypatch.setattr(R, "BROADCAST_BLOCKS", broadcast)
+
     rnd = np.random.default_rng(1)
     v = rnd.normal(size=(90, 6))
     rows = [(i, [float(x) for x in v[i]], i % 2) for i in range(90)] + [(200, None, 0), (201, [0.0] * 6, 0), (202, [1.0], 0)]
