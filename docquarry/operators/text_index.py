@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources import versions
-from ..sources.staging import small, staged
+from ..sources.staging import shared_folder, small, spread, staged
 from .retrieval import COMMON, top_k
 
 #: Documents of a range at most, about, and folders by hash of the term.
@@ -58,6 +58,9 @@ def _counted(batches):
 
 
 class TextIndex:
+    #: What a text is listed under.
+    tokens = staticmethod(X.search_tokens)
+
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path, self.id_type = spark, path, id_type
 
@@ -93,7 +96,7 @@ class TextIndex:
             if complete:
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
             rows = rows.join(live.select("_id", "_had"), "_id", "left").where(~F.col("_had").eqNullSafe(F.col("_digest"))).drop("_had")
-        split = rows.select("_id", "_digest", X.search_tokens("_text").alias("_tokens"))
+        split = rows.select("_id", "_digest", self.tokens("_text").alias("_tokens"))
         counted = staged(split.mapInArrow(_counted, f"_id {self.id_type}, _digest string, _length int, _terms array<string>, _counts array<int>"), "index-counts")
         once = counted.groupBy("_id").agg(F.max(F.struct("_digest", "_length")).alias("_m"), F.count("*").alias("_rows")).select("_id", "_m.*", "_rows")
         once.select("_id", "_digest", "_length").write.parquet(f"{self.path}/{name}/documents")
@@ -216,22 +219,62 @@ class TextIndex:
         return found if limit is None else top_k(found, limit, [F.asc(doc_id)], ["query_id"])
 
 
-def of_files(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text") -> TextIndex:
-    """The index of a table of files in the shared folder: made at the first call, brought up to date when the files change."""
-    from ..sources.staging import shared_folder
+def grams(text: Column | str) -> Column:
+    """The three characters from each place of a text in lower case, fewer at its end."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
+
+
+class SubstringIndex(TextIndex):
+    """Documents by the strings of three characters that they hold, for patterns inside words, without case.
+
+    An empty or null pattern finds nothing.
+    """
+
+    tokens = staticmethod(grams)
+    #: A pattern's rarest lists that are read.
+    LISTS = 4
 
+    def candidates(self, queries: DataFrame, pattern: str = "pattern") -> DataFrame:
+        """(query_id, pattern, id): documents that hold a pattern's rarest strings; every one with the pattern is among them.
+
+        Patterns shorter than three characters are found by the lists that begin with them, which is exact.
+        """
+        _, state = self._state()
+        asked = staged(queries.select("query_id", F.lower(pattern).alias("_pattern")).where(F.length("_pattern") > 0), "asked-patterns")
+        long = asked.where(F.length("_pattern") >= 3).select("query_id", "_pattern", F.explode(F.array_distinct(F.filter(grams("_pattern"), lambda g: F.length(g) == 3))).alias("_term"))
+        sizes = self._lists(long.select("_term").distinct(), state).groupBy("_term").agg(F.sum(F.size("_ids")).alias("_size"))
+        # a string without a list tells that nothing is found; it stays as the rarest of all
+        ranked = long.join(sizes, "_term", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
+        chosen = staged(top_k(ranked, self.LISTS, [F.asc("_size"), F.asc("_term")], ["query_id", "_pattern"]), "rarest-lists")
+        wanted = chosen.groupBy("query_id", "_pattern").agg(F.count("*").alias("_of"))
+        held = self._entries(self._lists(chosen.select("_term").distinct(), state), state).join(chosen, "_term").groupBy("query_id", "_pattern", "_id").agg(F.count("*").alias("_n"))
+        found = held.join(wanted, ["query_id", "_pattern"]).where("_n = _of").select("query_id", "_pattern", "_id")
+        short = asked.where(F.length("_pattern") < 3)
+        if short.isEmpty():
+            return found
+        begin = short.select("query_id", "_pattern", F.length("_pattern").alias("_long"))
+        lists = self._postings(state).withColumn("_long", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_pattern", F.left("_term", F.col("_long"))).where(F.length("_pattern") == F.col("_long"))
+        return found.unionByName(self._entries(lists.join(small(begin), ["_pattern", "_long"]), state).select("query_id", "_pattern", "_id").distinct())
+
+    def containing(self, queries: DataFrame, docs: DataFrame, pattern: str = "pattern", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """(query_id, doc_id) of the documents whose text holds the pattern; only the candidates' texts are looked at."""
+        near = staged(self.candidates(queries, pattern), "substring-candidates")
+        texts = docs.select(F.col(doc_id).alias("_id"), F.lower(text).alias("_text")).join(near.select("_id").distinct(), "_id", "left_semi")
+        return near.join(texts, "_id").where(F.contains("_text", "_pattern")).select("query_id", F.col("_id").alias(doc_id)).distinct()
+
+
+def of_files(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text", kind: type[TextIndex] = TextIndex) -> TextIndex:
+    """The index of a table of files in the shared folder: made at the first call, brought up to date when the files change."""
     spark = docs.sparkSession
     told = []
     for f in sorted(docs.inputFiles()):
         fs, at = versions.files(spark, f)
         status = fs.getFileStatus(at)
         told.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
-    index = TextIndex(spark, f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, ''.join(sorted(docs.inputFiles()))).hex}", docs.schema[doc_id].dataType.simpleString())
+    index = kind(spark, f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, ''.join(sorted(docs.inputFiles()))).hex}", docs.schema[doc_id].dataType.simpleString())
     source = uuid.uuid5(uuid.NAMESPACE_URL, "|".join(told)).hex
     version, state = index._state()
     if not version or state["source"] != source:
-        from ..sources.staging import spread
-
         index.add(spread(docs), doc_id, text, complete=True, source=source)
         if not version:
             fs, at = versions.files(spark, index.path)

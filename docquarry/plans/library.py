@@ -512,6 +512,19 @@ def full_text_hits(spark: SparkSession, d: str) -> DataFrame:
     return N.of_files(table(spark, d, "documents"), "documents-index").full_text(q).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
 
 
+@query(
+    """
+WITH q AS (SELECT item_id AS query_id, substr(text, 12, 7) AS p FROM benchmark UNION ALL SELECT -1, 'Q' UNION ALL SELECT -2, 'zz')
+SELECT query_id, count(*) AS found, CAST(sum(doc_id) AS BIGINT) AS ids FROM q JOIN documents d ON contains(lower(d.text), lower(p)) GROUP BY 1"""
+)
+def substring_hits(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold a string out of each benchmark item, and one and two letters, wherever it stands."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 12, 7).alias("pattern"))
+    q = q.unionByName(spark.createDataFrame([(-1, "Q"), (-2, "zz")], "query_id long, pattern string"))
+    docs = table(spark, d, "documents")
+    return N.of_files(docs, "documents-grams", kind=N.SubstringIndex).containing(q, docs).groupBy("query_id").agg(F.count("*").alias("found"), F.sum("doc_id").alias("ids"))
+
+
 _FUSED = (
     _BM25
     + f""", sp AS (SELECT query_id, doc_id AS chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS k FROM scored WHERE round(bm25, 9) > 0) WHERE k <= 30),

@@ -104,6 +104,21 @@ def test_empty_index(spark, tmp_path, asked):
     assert index.bm25(asked, best=3).count() == 0
 
 
+def test_substrings_equal_contains_on_all_rows(spark, tmp_path):
+    rows = [(i, _text(i)) for i in range(150)] + [(500, "ab"), (501, "b"), (502, ""), (503, None), (504, "ALPHA\nbeta.Ünï\U0001f600x"), (505, "aaaa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = [(1, "pha b"), (2, "A\nB"), (3, "aaa"), (4, "ünï\U0001f600"), (5, "b"), (6, "AB"), (7, "nothing"), (8, ""), (9, None), (10, "the"), (11, "aaaaa"), (12, "a (")]
+    index = N.SubstringIndex(spark, f"file://{tmp_path}/grams")
+    index.add(docs)
+    queries = spark.createDataFrame(asked, "query_id int, pattern string")
+    want = sorted((q, i) for q, p in asked if p for i, t in rows if p.lower() in (t or "").lower())
+    assert sorted(map(tuple, index.containing(queries, docs).collect())) == want
+    near = index.candidates(queries.where("query_id in (1, 7)"))
+    assert near.where("query_id = 7").count() == 0 and len([1 for q, _ in want if q == 1]) <= near.count() < 60
+    index.add(spark.createDataFrame([(505, "b b"), (506, "xaaax")], docs.schema))
+    assert [r["doc_id"] for r in index.containing(queries.where("query_id = 3"), docs.unionByName(spark.createDataFrame([(506, "xaaax")], docs.schema))).collect()] == [506]
+
+
 # ---- bucketed tables
 
 
