@@ -392,7 +392,7 @@ def _brute(page):
     return "\n".join(x for x in (" ".join(re.sub(r"<[^>]*>", "", line).split()) for line in lines) if x)
 
 
-CONTENT = [
+ARTICLES = [
     '<div class="content"><div class="sec">' + f"<p>{LONG}</p>" * 10 + '</div><div class="sec"><p>Short.</p></div><div class="sec"><h3>Head</h3><ul><li>a</li><li>b</li></ul></div></div>',
     '<div class="content"><div class="sec">' + f"<p>{LONG}</p>" * 10 + "</div><table><tr><td>1</td><td>2</td></tr></table><p>Tiny.</p></div>",
     '<div class="sec">' + f"<p>{LONG}</p>" * 10 + "</div><p>Tiny.</p>loose text<h3>Head</h3><ul><li>x</li></ul>",
@@ -405,7 +405,7 @@ CONTENT = [
 ]
 
 
-@pytest.mark.parametrize("content", CONTENT)
+@pytest.mark.parametrize("content", ARTICLES)
 def test_html_keeps_whole_articles_without_an_article_element(content):
     """Div-only, table, list and mixed pages, with furniture around and without."""
     for page in (f"<html><head><title>T</title></head><body>{FURNITURE.format(content)}</body></html>", f"<body>{content}</body>", f"<div id=page>{FURNITURE.format(f'<div id=main-col><div>{content}</div></div>')}</div>"):
