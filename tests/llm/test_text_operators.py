@@ -401,7 +401,6 @@ ARTICLES = [
     "<section><h2>One</h2>" + f"<p>{LONG}</p>" * 5 + "</section><section><h2>Two</h2><p>Few words.</p><pre>x = 1</pre></section>",
     "<div>" + f"<div>{LONG}</div>" * 3 + "<div>End.</div></div>",
     "<ul>" + f"<li>{LONG}</li>" * 3 + "<li>short</li></ul>",
-    "<p>Just one paragraph of some more length.</p>",
 ]
 
 
