@@ -86,6 +86,11 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query:
 BROADCAST_BLOCKS, SALTS = 16, 32
 
 
+def comparable(vector: Column | str) -> Column:
+    """Neither null nor zero, and without null or NaN components."""
+    return F.coalesce(F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+
 def _blocks(rows: DataFrame, scope: list[str], size: int, name: str) -> DataFrame:
     """Rows (_id, _v, scope) packed by hash into blocks of about `size` rows; a block's vectors lie end to end."""
     counts = rows.groupBy(*scope, F.size("_v").alias("_dim")).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_of"))
@@ -94,6 +99,16 @@ def _blocks(rows: DataFrame, scope: list[str], size: int, name: str) -> DataFram
     return packed.select(*scope, "_dim", f"{name}_n", f"{name}_of", F.col("_r._id").alias(f"{name}_ids"), F.flatten("_r._v").alias(f"{name}_v"))
 
 
+def _meet(q: DataFrame, v: DataFrame, keys: list[str]) -> DataFrame:
+    """Every block of queries with every block of the same keys."""
+    if q.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        return v.join(F.broadcast(q.drop("q_of", "q_n")), keys)
+    # a block of queries goes to each salt, and a block of vectors to its own: few query blocks are no few tasks
+    parts = q.groupBy(*keys).agg(F.first("q_of").alias("_of"))
+    dealt = v.join(parts, keys).withColumn("q_n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).withColumn("_salt", F.pmod("v_n", F.lit(SALTS)).cast("int"))
+    return dealt.join(q.drop("q_of").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "q_n", "_salt"])
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", target: str = "vec_id", vector: str = "embedding", scope: list[str] | None = None, block: int = 4096) -> DataFrame:
     """(query_id, target, dense) of each query's k nearest; `scope`: columns in which both sides must agree.
 
@@ -102,17 +117,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
     Vectors that are null, zero or of another length than the query's aren't compared.
     """
     scope = scope or []
-    good = lambda c: F.coalesce(F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
-    pick = lambda df, i, v: df.where(good(v)).select(*scope, F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("_v"))
+    pick = lambda df, i, v: df.where(comparable(v)).select(*scope, F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("_v"))
     q, v = _blocks(pick(queries, query_id, query_vector), scope, 1024, "q"), _blocks(pick(vectors, target, vector), scope, block, "v")
-    q = staged(q, "query-blocks")
-    if q.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        met = v.join(F.broadcast(q.drop("q_of", "q_n")), [*scope, "_dim"])
-    else:
-        # a block of queries goes to each salt, and a block of vectors to its own: few query blocks are no few tasks
-        parts = q.groupBy(*scope, "_dim").agg(F.first("q_of").alias("_of"))
-        dealt = v.join(parts, [*scope, "_dim"]).withColumn("q_n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).withColumn("_salt", F.pmod("v_n", F.lit(SALTS)).cast("int"))
-        met = dealt.join(q.drop("q_of").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*scope, "_dim", "q_n", "_salt"])
+    met = _meet(staged(q, "query-blocks"), v, [*scope, "_dim"])
     q_type, v_type = (df.schema[c].dataType for df, c in ((queries, query_id), (vectors, target)))
     schema = T.StructType([T.StructField(query_id, q_type), T.StructField(target, v_type), T.StructField("dense", T.DoubleType())])
     arrow = to_arrow_schema(schema)

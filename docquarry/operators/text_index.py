@@ -57,15 +57,12 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(lengths, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))], names=["_id", "_digest", "_length", "_terms", "_counts"])
 
 
-class TextIndex:
-    #: What a text is listed under.
-    tokens = staticmethod(X.search_tokens)
+class Segments:
+    """A folder of segments, their documents (id, digest, length) and lists of dead ones, and one state that names what is live."""
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path, self.id_type = spark, path, id_type
 
-    # ---- upkeep
-
     def _state(self) -> tuple[int, dict]:
         version, state = versions.current(self.spark, self.path)
         return version, state or {"segments": [], "dead": [], "documents": 0, "tokens": 0, "source": None}
@@ -84,14 +81,28 @@ class TextIndex:
     def _dead(self, state: dict) -> DataFrame:
         return small(self._read("dead", state["dead"], f"_of string, _id {self.id_type}").select(F.col("_of").alias("_segment"), "_id"), 1_000_000)
 
+    def clean(self) -> None:
+        """Delete folders that the state doesn't name: those of jobs that ended early, and those that were compacted."""
+        _, state = self._state()
+        for name in versions.names(self.spark, self.path):
+            if name != "state" and name not in state["segments"] and name not in state["dead"]:
+                versions.delete(self.spark, f"{self.path}/{name}")
+
+
+class TextIndex(Segments):
+    #: What a text is listed under.
+    tokens = staticmethod(X.search_tokens)
+
+    # ---- upkeep
+
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", complete: bool = False, source: str | None = None) -> dict:
         """Index the documents that are new or have another text; with `complete`, those that aren't among them are dead. Returns the numbers."""
         version, state = self._state()
         name = f"segment-{version + 1}-{uuid.uuid4().hex[:8]}"
         rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast(self.id_type).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
         rows = rows.withColumn("_digest", F.sha2("_text", 256))
-        gone = None
-        if state["segments"]:
+        gone, had = None, bool(state["segments"])
+        if had:
             live = self.documents(state).select("_id", F.col("_digest").alias("_had"), "_length", "_segment")
             if complete:
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
@@ -110,7 +121,7 @@ class TextIndex:
             listed = flat.groupBy("_term", "_range").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
             self._write(listed, f"{self.path}/{name}")
             state["segments"] = [*state["segments"], name]
-        if version:
+        if had:
             old = live.join(added.select("_id"), "_id", "left_semi")
             dead = staged(old.unionByName(gone) if gone is not None else old, "index-dead")
             lost, without = dead.agg(F.count("*"), F.coalesce(F.sum("_length"), F.lit(0))).first()
@@ -145,13 +156,6 @@ class TextIndex:
         self._write(listed, f"{self.path}/{name}")
         versions.commit(self.spark, self.path, version, state | {"segments": [name], "dead": []})
 
-    def clean(self) -> None:
-        """Delete folders that the state doesn't name: those of jobs that ended early, and those that were compacted."""
-        _, state = self._state()
-        for name in versions.names(self.spark, self.path):
-            if name != "state" and name not in state["segments"] and name not in state["dead"]:
-                versions.delete(self.spark, f"{self.path}/{name}")
-
     # ---- search
 
     def _postings(self, state: dict) -> DataFrame:
@@ -263,20 +267,30 @@ class SubstringIndex(TextIndex):
         return near.join(texts, "_id").where(F.contains("_text", "_pattern")).select("query_id", F.col("_id").alias(doc_id)).distinct()
 
 
-def of_files(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text", kind: type[TextIndex] = TextIndex) -> TextIndex:
-    """The index of a table of files in the shared folder: made at the first call, brought up to date when the files change."""
-    spark = docs.sparkSession
-    told = []
-    for f in sorted(docs.inputFiles()):
+def folder_of(table: DataFrame, name: str) -> str:
+    """A folder of this application for what is derived from a table's files."""
+    spark = table.sparkSession
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, ''.join(sorted(table.inputFiles()))).hex}"
+
+
+def kept_current(index: Segments, table: DataFrame, add) -> Segments:
+    """The index after `add` (rows, source), which runs if the table's files have changed since; it goes with the application."""
+    spark, told = table.sparkSession, []
+    for f in sorted(table.inputFiles()):
         fs, at = versions.files(spark, f)
         status = fs.getFileStatus(at)
         told.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
-    index = kind(spark, f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, ''.join(sorted(docs.inputFiles()))).hex}", docs.schema[doc_id].dataType.simpleString())
     source = uuid.uuid5(uuid.NAMESPACE_URL, "|".join(told)).hex
     version, state = index._state()
     if not version or state["source"] != source:
-        index.add(spread(docs), doc_id, text, complete=True, source=source)
+        add(spread(table), source)
         if not version:
             fs, at = versions.files(spark, index.path)
             fs.deleteOnExit(at)
     return index
+
+
+def of_files(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text", kind: type[TextIndex] = TextIndex) -> TextIndex:
+    """The index of a table of files in the shared folder: made at the first call, brought up to date when the files change."""
+    index = kind(docs.sparkSession, folder_of(docs, name), docs.schema[doc_id].dataType.simpleString())
+    return kept_current(index, docs, lambda rows, source: index.add(rows, doc_id, text, complete=True, source=source))

@@ -20,6 +20,7 @@ from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators import structure as S
 from ..operators import text_index as N
+from ..operators import vector_index as VI
 from ..operators import workflow as W
 from ..sources.staging import spread, staged
 from ..sources.tables import canonical_json, manifest, put_blobs, table
@@ -89,6 +90,20 @@ def dense_top30(spark: SparkSession, d: str) -> DataFrame:
     return R.dense(q, e, 30, scope=["label"]).select("query_id", "vec_id", F.round("dense", 6).alias("dense"))
 
 
+@query(
+    """
+WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 9) AS dense
+  FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS r FROM p)
+SELECT query_id, vec_id, round(dense, 6) AS dense FROM r WHERE r <= 10"""
+)
+def indexed_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors by the persisted index, for every vector whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return VI.of_files(e, "embeddings-index").search(q, 10).select("query_id", "vec_id", F.round("dense", 6).alias("dense"))
+
+
 @query(
     _BM25
     + f""", top AS (SELECT query_id, doc_id, bm25 FROM ranked WHERE r <= 10),

@@ -50,6 +50,7 @@ def test_index_equals_a_scan_and_keeps_old_files(spark, tmp_path, asked, monkeyp
     docs = spark.createDataFrame([(i, _text(i)) for i in range(120)] + [(None, "alpha"), (500, None), (501, ""), (502, "beta beta"), (502, "alpha")], "doc_id long, text string")
     one = [(502, max(("beta beta", "alpha"), key=lambda t: hashlib.sha256(t.encode()).hexdigest()))]
     index = N.TextIndex(spark, f"file://{tmp_path}/index")
+    assert index.add(docs.where("false")) == {"added": 0, "dead": 0}
     assert index.add(docs) == {"added": 123, "dead": 0}
     plain = spark.createDataFrame([(i, _text(i)) for i in range(120)] + [(500, ""), (501, "")] + one, "doc_id long, text string")
     assert _scores(index.bm25(asked)) == _scores(R.bm25(asked, plain))
