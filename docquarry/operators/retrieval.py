@@ -303,21 +303,23 @@ def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFram
     )
 
 
-def search_rewritten(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, limit: int = 8, most: int = 4, radius: int = 1, judge_at: float = 0.2, rewriter=X.rewrites, judge=V.judged, scorer=V.hybrid_score) -> DataFrame:
+def search_rewritten(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, limit: int = 8, most: int = 4, radius: int = 1, judge_at: float = 0.2, rewriter=X.rewrites, judge=V.judged, scorer=V.hybrid_score, diverse: bool = True, index=None) -> DataFrame:
     """All rewrites in one job, each chunk by its best, neighbours added, judged against the question as asked.
 
     `embed`: a Column function for query vectors; `chunks` also has version_id, section_id, chunk_order. `rewriter`
-    (query, most) gives an array of questions, `judge` (query, text, relevance) a score; the ports for others.
+    (query, most) gives an array of questions, `judge` (query, text, relevance) a score; the ports for others. `diverse`
+    and `index` as for search. A question without rewrites or evidence has no rows.
     """
     asked = queries.select("query_id", "query", F.posexplode(rewriter("query", most)).alias("_n", "_rewrite"))
     each = asked.select(F.struct("query_id", "_n").alias("query_id"), F.col("_rewrite").alias("query")).withColumn("query_vector", embed("query"))
-    found = search(each, chunks.select("chunk_id", "paper_id", "text"), vectors, limit, scorer=scorer).where("status = 'ok'")
+    each = staged(each, "rewritten")
+    found = staged(search(each, chunks.select("chunk_id", "paper_id", "text"), vectors, limit, diverse=diverse, scorer=scorer, index=index).where("status = 'ok'"), "rewritten-evidence")
     best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("relevance"), "_n")
     seeds = found.select("query_id.query_id", "query_id._n", "chunk_id", "relevance").withColumn("_k", F.row_number().over(best)).where("_k = 1")
     seeds = seeds.withColumn("seed_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_n", F.desc("relevance"), "chunk_id")))
     seeds = seeds.join(chunks.select("chunk_id", "version_id", "section_id", "chunk_order"), "chunk_id").drop("chunk_id", "_n", "_k")
     wide = neighbors(seeds, chunks, radius).join(queries.select("query_id", "query"), "query_id")
-    scored = wide.withColumn("relevance", judge("query", "text", "relevance")).where(F.col("relevance") >= judge_at)
+    scored = wide.withColumn("relevance", F.round(judge("query", "text", "relevance"), 9)).where(F.col("relevance") >= judge_at)
     return top_k(scored, limit, [F.desc("relevance"), F.asc("chunk_id")], ["query_id"])
 
 

@@ -549,6 +549,42 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "status")
 
 
+#: Vectors that both sides make of a text's length, so that SQL can follow them.
+_BY_LENGTH = "[length({0}) % 11 + 1.0, length({0}) % 5, length({0}) % 3, 1.0]"
+
+_REWRITTEN = f"""
+WITH a AS (SELECT item_id, {_sql_collapse("text")} AS asked FROM benchmark), b AS (SELECT *, regexp_replace(asked, '[?？。]+$', '') AS bare FROM a),
+f AS (SELECT item_id, list_filter([asked, bare, {_FOCUSED.format(_PHRASES)}], lambda v: v <> '') AS l FROM b), fl AS (SELECT item_id, ({_ordered_distinct("l")})[1:4] AS l FROM f),
+rw AS (SELECT item_id, n, q, item_id * 10 + n AS query_id FROM (SELECT item_id, unnest(l) AS q, generate_subscripts(l, 1) - 1 AS n FROM fl)),
+asked AS (SELECT DISTINCT query_id, unnest({_tokens("lower(q)")}) AS term FROM rw),
+""" + _BM25[_BM25.index("words AS"):] + f""", sp AS (SELECT query_id, doc_id AS chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS k FROM scored WHERE round(bm25, 9) > 0) WHERE k <= 30),
+nv AS (SELECT query_id, doc_id AS chunk_id, list_cosine_similarity(CAST({_BY_LENGTH.format("rw.q")} AS DOUBLE[]), CAST({_BY_LENGTH.format("d.text")} AS DOUBLE[])) AS dense FROM rw JOIN documents d ON true),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, chunk_id) AS k FROM nv) WHERE k <= 30),
+fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, round(dense, 9) AS dense, bm25 FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id),
+sc AS (SELECT f.*, rw.item_id, rw.n, rw.q, d.text AS x, list_distinct({_tokens("lower(rw.q)")}) AS qt, list_distinct({_tokens("lower(d.text)")}) AS xt FROM fu f JOIN rw USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id),
+rv AS (SELECT *, round(least(1, least(1, coalesce(dense, 0)) * 0.45 + (1 - exp(-coalesce(bm25, 0) / 3)) * 0.25 + least(1, len(list_intersect(qt, xt)) / len(qt) * 0.85 + CASE WHEN contains(lower(x), trim(lower(q))) THEN 0.15 ELSE 0 END) * 0.30), 9) AS relevance FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS k FROM rv WHERE relevance >= 0.22),
+sd AS (SELECT item_id, chunk_id, n, relevance, row_number() OVER (PARTITION BY item_id ORDER BY n, relevance DESC, chunk_id) AS seed_rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_id ORDER BY relevance DESC, n) AS b FROM rk WHERE k <= 8) WHERE b = 1),
+pl AS (SELECT sd.*, d.source, d.lang FROM sd JOIN documents d ON d.doc_id = sd.chunk_id),
+nb AS (SELECT * FROM (SELECT t.item_id, d.doc_id AS chunk_id, d.text, CASE WHEN d.doc_id = t.chunk_id THEN t.relevance ELSE t.relevance * 0.8 END AS r, row_number() OVER (PARTITION BY t.item_id, d.doc_id ORDER BY CASE WHEN d.doc_id = t.chunk_id THEN 0 ELSE 1 END, seed_rank) AS k
+  FROM pl t JOIN documents d ON d.source = t.source AND d.lang = t.lang AND d.doc_id BETWEEN t.chunk_id - 1 AND t.chunk_id + 1) WHERE k = 1),
+jd AS (SELECT nb.item_id AS query_id, chunk_id, CASE WHEN len({_tokens("b.text")}) = 0 THEN round(r, 9) ELSE round(least(1, r * 0.7 + len(list_intersect({_tokens("lower(b.text)")}, {_tokens("lower(nb.text)")})) / len(list_distinct({_tokens("lower(b.text)")})) * 0.3), 9) END AS relevance FROM nb JOIN benchmark b USING (item_id)),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS k FROM jd WHERE relevance >= 0.2)
+SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM tp WHERE k <= 8"""
+
+
+@query(_REWRITTEN)
+def rewritten_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every form of each benchmark item searched at once, the best of each document, its neighbours of the same source and language, judged."""
+    docs = table(spark, d, "documents")
+    by_length = lambda c: F.array((F.length(c) % 11 + 1).cast("double"), (F.length(c) % 5).cast("double"), (F.length(c) % 3).cast("double"), F.lit(1.0))
+    chunks = spread(docs).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), F.col("source").alias("version_id"), F.col("lang").alias("section_id"), F.col("doc_id").alias("chunk_order"), "text")
+    vectors = docs.select(F.col("doc_id").alias("chunk_id"), by_length("text").alias("embedding"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = R.search_rewritten(asked, chunks, vectors, by_length, diverse=False, index=N.of_files(docs, "documents-index"))
+    return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+
+
 @query(
     """
 WITH RECURSIVE m AS (SELECT conv_id, role, turn, round(length(text) % 97 / 97.0, 6) AS rel, length(text) % 50 AS t FROM conversations WHERE text IS NOT NULL),
