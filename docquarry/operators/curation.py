@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -261,19 +262,28 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def _title_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(id, t, id2, t2): pairs of rows (id, t, within) that a matching ratio of `least` may hold, the shorter title first.
 
-    A ratio r leaves at most (1 - r) * (m + n) characters unmatched in both, and m + n is at most
-    2 * m / r for the shorter length m. Each of them breaks one piece of the shorter title at
-    most, so of one piece more than that, one stands unchanged in the longer title: titles meet
-    on pieces, and the ratio itself decides.
+    Of lengths m <= n with M characters matched, a ratio r means M >= r * (m + n) / 2: n is at most
+    m * (2 - r) / r, and at most 2 * m * (1 - r) / r characters of both are unmatched. Each of them breaks one
+    piece of the shorter title at most, so of one piece more than that, one stands unchanged in the longer title,
+    earlier by the shorter's unmatched characters at most and later by the longer's. Titles meet on a piece with its
+    number, so a word that is common counts only where it stands at like places, and the ratio itself decides.
     """
-    q = F.ceil(F.length("t") * (2 * (1 - least) / least)).cast("int")
-    step = F.greatest(F.lit(1), F.floor(F.length("t") / (q + 1)).cast("int"))
-    pieces = rows.select("id", "t", "within", F.explode(F.transform(F.sequence(F.lit(0), q), lambda i: F.struct(F.substring("t", i * step + 1, step).alias("p"), step.alias("s")))).alias("_p")).select("id", "t", "within", "_p.*")
-    # piece lengths are at most a title's length
-    sizes = small(pieces.select("s").distinct())
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - F.col("s") + 1)), lambda i: F.substring("t", i, F.col("s"))))
-    windows = rows.crossJoin(sizes).select(F.col("id").alias("id2"), F.col("t").alias("t2"), "within", "s", F.explode(cuts).alias("p"))
-    return pieces.join(windows, ["within", "s", "p"]).where("id <> id2 and length(t) <= length(t2)").select("id", "t", "id2", "t2").distinct()
+    breaks = lambda m: F.ceil(m * (2 * (1 - least) / least)).cast("int")
+    step = lambda m: F.greatest(F.lit(1), F.floor(m / (breaks(m) + 1)).cast("int"))
+    m = F.length("t")
+    pieces = rows.select("id", "t", "within", step(m).alias("s"), F.posexplode(F.transform(F.sequence(F.lit(0), breaks(m)), lambda i: F.substring("t", i * step(m) + 1, step(m)))).alias("i", "p"))
+    # a longer title gives what stands around each place where a shorter one may have a piece
+    n = F.length("t2")
+    shorter = F.sequence(F.greatest(F.lit(1), F.floor(n * (least / (2 - least))).cast("int")), F.greatest(F.lit(1), n))
+    earlier, later = F.ceil(n * (1 - least)).cast("int"), F.ceil(n * ((2 - 2 * least) / (2 - least))).cast("int")
+    sizes = rows.select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("within").alias("within2")).withColumn("s2", F.explode(F.array_distinct(F.transform(shorter, step))))
+    numbered = sizes.withColumn("i2", F.explode(F.sequence(F.lit(0), breaks(n))))
+    first, last = F.greatest(F.lit(0), F.col("i2") * F.col("s2") - earlier), F.least(n - F.col("s2"), F.col("i2") * F.col("s2") + later)
+    cuts = F.array_distinct(F.transform(F.sequence(first, last), lambda j: F.substring("t2", j + 1, F.col("s2"))))
+    windows = numbered.where(first <= last).withColumn("p2", F.explode(cuts))
+    same = (F.col("s") == F.col("s2")) & (F.col("i") == F.col("i2")) & (F.col("p") == F.col("p2")) & F.col("within").eqNullSafe(F.col("within2"))
+    met = pieces.join(windows, same & (F.col("id") != F.col("id2")) & (m <= n) & (n <= m * ((2 - least) / least) + 1e-6))
+    return met.select("id", "t", "id2", "t2").distinct()
 
 
 def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.94, length: int = 18) -> DataFrame:
@@ -284,28 +294,50 @@ def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.94,
     return pairs.withColumn("score", title_score("ta", "tb")).where(F.col("score") >= least).select("a", "b", "score")
 
 
+#: Pairs that one task settles at once.
+LEAD_IN_ONE = 100_000
+
+
+def _followers(pairs: DataFrame) -> DataFrame:
+    """(b, leader) of pairs (a, b), a before b: who has an earlier neighbour that leads follows the first of these.
+
+    In each round those without an earlier neighbour left lead, and their neighbours follow and go; so a round
+    settles every place of the graph at once. Few pairs are settled in order by one task.
+    """
+    left, gone = pairs, []
+    kind = pairs.schema["b"].dataType.simpleString()
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        follows: set = set()
+        for b, before in sorted(pdf.groupby("b")["a"]):
+            if any(a not in follows for a in before):
+                follows.add(b)
+        return pd.DataFrame({"b": sorted(follows)})
+
+    while True:
+        if left.limit(LEAD_IN_ONE + 1).count() <= LEAD_IN_ONE:
+            gone.append(staged(left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(in_order, f"b {kind}"), "followers"))
+            break
+        later = left.select(F.col("b").alias("a")).distinct()
+        gone.append(staged(left.join(later, "a", "left_anti").select("b").distinct(), "followers"))
+        left = staged(left.join(gone[-1], "b", "left_anti").join(gone[-1].select(F.col("b").alias("a")), "a", "left_anti"), "open-pairs")
+    follows = functools.reduce(DataFrame.unionByName, gone)
+    return pairs.join(follows.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+
+
 def leader_groups(rows: DataFrame, partition: str, key: str, title: str, least: float = 0.96, length: int = 24) -> DataFrame:
     """(key, leader): each row joins the first earlier leader of its partition with an equal or near-equal title.
 
-    Equal titles are one. Near-equal pairs are found by pieces, so what meets in a task for the greedy choice are the
-    pairs of a partition, and rows without one lead themselves.
+    Keys are distinct. Equal titles are one; a null title is an empty one, a null partition a partition. Near-equal
+    pairs are found by pieces and settled in rounds, and rows without a pair lead themselves.
     """
-    kind = rows.schema[key].dataType.simpleString()
     named = rows.select(F.col(partition).alias("within"), F.col(key).alias("id"), F.coalesce(title, F.lit("")).alias("t"))
     heads = staged(named.groupBy("within", "t").agg(F.min("id").alias("id")), "title-heads")
     near = _title_pairs(heads.where(F.length("t") >= length).select("id", "t", "within"), least)
     later = F.col("id") > F.col("id2")
     pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
     pairs = near.select(pick("id2", "id").alias("a"), pick("id", "id2").alias("b"), pick("t2", "t").alias("ta"), pick("t", "t2").alias("tb")).distinct()
-    pairs = pairs.where(matching_ratio("tb", "ta") >= least).select("a", "b").join(heads.select(F.col("id").alias("b"), "within"), "b")
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        told: dict = {}
-        for b, before in sorted((b, sorted(g["a"])) for b, g in pdf.groupby("b")):
-            told[b] = next((a for a in before if told.get(a, a) == a), b)
-        return pd.DataFrame({"head": list(told), "leader": list(told.values())})
-
-    joined = pairs.groupBy("within").applyInPandas(lead, f"head {kind}, leader {kind}")
+    joined = _followers(staged(pairs.where(matching_ratio("tb", "ta") >= least).select("a", "b"), "title-pairs")).withColumnRenamed("b", "head")
     same = F.col("n.within").eqNullSafe(F.col("h.within")) & (F.col("n.t") == F.col("h.t"))
     own = named.alias("n").join(heads.withColumnRenamed("id", "head").alias("h"), same).select("id", "head")
     return own.join(joined, "head", "left").select(F.col("id").alias(key), F.coalesce("leader", "head").alias("leader"))

@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 import re
@@ -430,7 +431,9 @@ def test_states_expire_alike_on_a_stream(spark, tmp_path):
     assert {(r["session_id"], str(r["ts"]), r["updates"]) for r in spark.table("expired").collect()} == batch
 
 
-def test_leaders_equal_the_greedy_choice(spark):
+@pytest.mark.parametrize("at_once", [100_000, 3])
+def test_leaders_equal_the_greedy_choice(spark, monkeypatch, at_once):
+    monkeypatch.setattr(C, "LEAD_IN_ONE", at_once)
     rnd = random.Random(12)
     base = ["temporal grounding of sentences in long videos %d" % i for i in range(6)]
     rows = []
@@ -438,7 +441,7 @@ def test_leaders_equal_the_greedy_choice(spark):
         t = list(rnd.choice(base))
         for _ in range(rnd.randint(0, 2)):
             t[rnd.randrange(len(t))] = rnd.choice("abcxyz ")
-        rows.append((i, "pq"[i % 2], "".join(t)))
+        rows.append((i, ("p", "q", None)[i % 3], "".join(t)))
     rows += [(200, "p", "short"), (201, "p", "short"), (202, "p", None), (203, "p", None), (204, None, "short")]
     want = []
     for part in ("p", "q", None):
@@ -452,6 +455,46 @@ def test_leaders_equal_the_greedy_choice(spark):
     assert sorted((r["k"], r["leader"]) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("at_once", [1_000, 40])
+def test_followers_equal_the_greedy_choice_on_any_graph(spark, monkeypatch, at_once):
+    """Random pairs, a chain, and a star whose first leader is settled after another one."""
+    monkeypatch.setattr(C, "LEAD_IN_ONE", at_once)
+    rnd = random.Random(5)
+    pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(9)} | {(200, 201), (201, 202), (202, 210), (203, 210)}
+    lead, want = {}, set()
+    for b in sorted({b for _, b in pairs}):
+        first = next((a for a in sorted(a for a, x in pairs if x == b) if a not in lead), None)
+        if first is not None:
+            lead[b] = first
+            want.add((b, first))
+    got = C._followers(spark.createDataFrame(sorted(pairs), "a long, b long"))
+    assert {(r["b"], r["leader"]) for r in got.collect()} == want
+    assert C._followers(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_title_pairs_hold_all_near_ones_and_few_others(spark):
+    """Titles that share their words at other places, and lengths that no near title has, don't meet."""
+    rnd = random.Random(8)
+    words = "temporal grounding language video moment retrieval learning dense caption network".split()
+    titles = [" ".join(rnd.choices(words, k=rnd.randint(3, 9))) for _ in range(150)]
+    for t in titles[:60]:
+        c = list(t)
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.randrange(len(c))
+            c[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "zz"])
+        titles.append("".join(c))
+    titles = sorted({t for t in titles if len(t) >= 18})
+    want = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(titles), 2):
+        inside = min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0.0
+        if max(SequenceMatcher(None, a, b).ratio(), inside) >= 0.94:
+            want.add((i, j))
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, t string")
+    assert {(r["a"], r["b"]) for r in C.similar_titles(df, "id", "t").collect()} == want and len(want) > 30
+    met = C._title_pairs(df.withColumn("within", F.lit(0)), 0.94).count()
+    assert met < len(titles) ** 2 / 2 / 5
+
+
 def test_pruned_scores_keep_the_best(spark, monkeypatch):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(60)]
