@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import counters as C2
 from ..operators import counts as K
 from ..operators import curation as C
 from ..operators import graph as G
@@ -549,6 +550,23 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "status")
 
 
+@query(
+    """
+SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders
+FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL"""
+)
+def merged_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of lines that came in three batches, the second one twice, less the seventh lines, taken away by a fourth."""
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_orderkey")
+    kept = C2.Counters(spark, f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}", ["l_returnflag", "l_linestatus"], ("l_linenumber",), ("l_partkey", "l_orderkey"))
+    for batch in (0, 1, 1, 2):
+        kept.add(x.where(F.pmod("l_orderkey", F.lit(3)) == batch), str(batch))
+    kept.add(x.where("l_linenumber = 7"), "gone", F.lit(-1))
+    fs, at = versions.files(spark, kept.path)
+    fs.deleteOnExit(at)
+    return kept.read().select("l_returnflag", "l_linestatus", "n", F.col("l_linenumber").alias("lines"), F.col("l_partkey_distinct").alias("parts"), F.col("l_orderkey_distinct").alias("orders"))
+
+
 #: Vectors that both sides make of a text's length, so that SQL can follow them.
 _BY_LENGTH = "[length({0}) % 11 + 1.0, length({0}) % 5, length({0}) % 3, 1.0]"
 
