@@ -21,7 +21,7 @@ Defined results: rows whose vector is null, zero or holds null or non-finite
 components, and rows with a null label or of another length, link with nothing
 and form their own component; rows that repeat an id count as rows (each links
 with the other) and get the same component; a null id is its own component
-(null) and isn't linked; extra columns are ignored.
+(null) and isn't linked; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

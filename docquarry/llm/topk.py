@@ -18,7 +18,8 @@ components, and rows with a null id, take no part; candidates are all rows but
 those of the query's own id, rows that repeat an id each; of a query id's rows
 the one of the least vector asks; vectors of unequal length are never compared; a
 query with fewer than k candidates gets all of them; components are taken as
-floor(scale * x) and sums must fit a long; extra columns are ignored.
+floor(scale * x) and sums must fit a long; without queries or candidates the
+result is empty; extra columns are ignored.
 """
 
 from __future__ import annotations
