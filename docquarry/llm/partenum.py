@@ -29,8 +29,8 @@ forests of the links that hold, never pairs.
 Defined results: null and empty texts and texts without words have the empty set
 (n_shingles 0) and link with nothing; texts of fewer words than the n-gram are
 one feature; repeated rows and rows with equal sets share a component; a
-component's id is its least non-null key (null if it has none); extra columns are
-ignored. Features are told apart by 64-bit hashes, sets by two.
+component's id is its least non-null key (null if it has none); texts of any length are
+read whole; an empty table gives an empty one; extra columns are ignored. Features are told apart by 64-bit hashes, sets by two.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ language is a language of its own; a language without trusted texts takes the
 quantile over all trusted texts; if all trusted texts are in one half, the model of
 all of them scores them; if no text is trusted the model is uniform, there is no
 threshold and every text with a perplexity is kept; repeated rows are
-scored each; trusted ids that are null or unknown are ignored; extra columns are
-ignored. `symbols`, where given, tells only the `symbols - 1` most frequent code
+scored each; trusted ids that are null or unknown are ignored; texts of any length are
+read whole; an empty table gives an empty one; extra columns are ignored. `symbols`, where given, tells only the `symbols - 1` most frequent code
 points of the trusted texts apart.
 """
 

@@ -21,7 +21,7 @@ Defined results: a null text counts as empty; shorter texts lose nothing; each
 row gives a result, so repeated rows and null or repeated keys do as well, and
 repeated rows make each other's text repeated; matches never cross documents;
 overlaps within a text count; all copies of a repeated string go, the first one
-too; extra columns are ignored. Words are runs of bytes other than ASCII white
+too; texts of any length are read whole; an empty table gives an empty one; extra columns are ignored. Words are runs of bytes other than ASCII white
 space, case and marks included; a text without words is left as it is.
 """
 

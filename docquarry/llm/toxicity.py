@@ -29,7 +29,8 @@ longer than `WIDTH` characters are learnt and scored in overlapping windows; all
 of a text is read; rows are scored each, so repeated
 rows and null keys each give a result (a null key is never held out); labels that are
 null or whose document is missing are ignored; without both kinds of labels every
-score is that of the share of toxic labels (0.5 if there are none); extra columns are ignored.
+score is that of the share of toxic labels (0.5 if there are none); an empty table of documents
+gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
