@@ -175,7 +175,7 @@ def resolved_or_near(queries: DataFrame, papers: DataFrame, vectors: DataFrame,
     return named.unionByName(dense(rest, vectors, k, target="paper_id").withColumnRenamed("dense", "score"))
 
 
-def search_narrowed(queries: DataFrame, papers: DataFrame, paper_vectors: DataFrame, section_vectors: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, sizes: tuple[int, int, int] = (5, 8, 30), limit: int = 8, least: float = 0.22, scope: str | None = None) -> DataFrame:
+def search_narrowed(queries: DataFrame, papers: DataFrame, paper_vectors: DataFrame, section_vectors: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, sizes: tuple[int, int, int] = (5, 8, 30), limit: int = 8, least: float = 0.22, scope: str | None = None, diverse: bool = True) -> DataFrame:
     """Evidence by papers (named, else near), then their nearest sections, then dense and sparse chunks in those.
 
     `section_vectors`: section_id, paper_id, embedding; `chunks`: chunk_id, section_id, paper_id, text; `chunk_vectors`:
@@ -184,25 +184,30 @@ def search_narrowed(queries: DataFrame, papers: DataFrame, paper_vectors: DataFr
     near = staged(resolved_or_near(queries, papers, paper_vectors, sizes[0], scope), "papers")
     asked = queries.select("query_id", "query", "query_vector")
     closest = lambda rows, keys, k, target: top_k(
-        narrowed(rows, keys[0], keys[1]).join(asked.select("query_id", "query_vector"), "query_id").withColumn("dense", V.dense_score("query_vector", "embedding")).where("dense is not null"),
+        narrowed(rows, keys[0], keys[1]).join(asked.select("query_id", "query_vector"), "query_id").withColumn("dense", F.round(V.dense_score("query_vector", "embedding"), 9)).where("dense is not null"),
         k, [F.desc("dense"), F.asc(target)], ["query_id"],
     )
     sections = staged(closest(section_vectors, (near, ["paper_id"]), sizes[1], "section_id").select("query_id", "section_id"), "sections")
     dense_rows = closest(chunks.select("chunk_id", "section_id").join(chunk_vectors, "chunk_id"), (sections, ["section_id"]), sizes[2], "chunk_id").select("query_id", "chunk_id", "dense")
-    below = narrowed(chunks, sections, ["section_id"]).select("query_id", "chunk_id", "text")
-    sparse_rows = top_k(bm25_within(asked, below).where("bm25 > 0"), sizes[2], [F.desc("bm25"), F.asc("chunk_id")], ["query_id"])
-    return _judged_evidence(asked, chunks, fuse(dense_rows, sparse_rows, ["query_id", "chunk_id"]), limit, least, True)
-
-
-def bm25_within(queries: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, bm25) where each query has candidates of its own; counts and lengths are those of its candidates."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.search_tokens("query"))).alias("term"))
-    words = staged(candidates.select("query_id", "chunk_id", X.search_tokens("text").alias("_tokens")), "candidate-tokens")
-    sizes = words.select("query_id", "chunk_id", F.size("_tokens").alias("_length"))
-    stats = sizes.groupBy("query_id").agg(F.count("*").alias("_n"), F.when(F.avg("_length") > 0, F.avg("_length")).otherwise(1.0).alias("_mean"))
-    tf = words.select("query_id", "chunk_id", F.size("_tokens").alias("_length"), F.explode("_tokens").alias("term")).join(asked, ["query_id", "term"]).groupBy("query_id", "chunk_id", "term").agg(F.count("*").alias("_tf"), F.first("_length").alias("_length"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("_df"))
-    scored = tf.join(df, ["query_id", "term"]).join(stats, "query_id")
+    sparse_rows = bm25_within(asked, sections, chunks).withColumn("_r", F.round("bm25", 9)).where("_r > 0")
+    sparse_rows = top_k(sparse_rows, sizes[2], [F.desc("_r"), F.asc("chunk_id")], ["query_id"]).drop("_r")
+    return _judged_evidence(asked, chunks, fuse(dense_rows, sparse_rows, ["query_id", "chunk_id"]), limit, least, diverse)
+
+
+def bm25_within(queries: DataFrame, chosen: DataFrame, chunks: DataFrame, group: str = "section_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, bm25) where each query has groups of chunks of its own (`chosen`: query_id, group); counts and lengths are those of its chunks.
+
+    A chunk is split into tokens once, however many queries chose its group.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(X.search_tokens("query"))).alias("term")).join(chosen, "query_id")
+    words = staged(chunks.join(chosen.select(group).distinct(), group, "left_semi").select("chunk_id", group, X.search_tokens("text").alias("_tokens")), "candidate-tokens")
+    sizes = words.groupBy(group).agg(F.count("*").alias("_c"), F.sum(F.size("_tokens")).alias("_t"))
+    mean = F.sum("_t") / F.sum("_c")
+    stats = chosen.join(sizes, group).groupBy("query_id").agg(F.sum("_c").alias("_n"), F.when(mean > 0, mean).otherwise(1.0).alias("_mean"))
+    each = words.select("chunk_id", group, F.size("_tokens").alias("_length"), F.explode("_tokens").alias("term")).join(asked.select(group, "term").distinct(), [group, "term"], "left_semi")
+    tf = staged(each.groupBy("chunk_id", group, "term").agg(F.count("*").alias("_tf"), F.first("_length").alias("_length")), "candidate-terms")
+    df = tf.groupBy(group, "term").agg(F.count("*").alias("_df")).join(asked, [group, "term"]).groupBy("query_id", "term").agg(F.sum("_df").alias("_df"))
+    scored = tf.join(asked, [group, "term"]).join(df, ["query_id", "term"]).join(stats, "query_id")
     idf = F.log(1.0 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))

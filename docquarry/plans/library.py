@@ -603,6 +603,44 @@ def rewritten_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
+_NARROWED = f"""
+WITH qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text || ' in ' || (SELECT max(source) FROM documents) ELSE text END AS query FROM benchmark),
+pp AS (SELECT DISTINCT source AS paper_id FROM documents WHERE source IS NOT NULL), ss AS (SELECT DISTINCT source AS paper_id, source || ':' || lang AS section_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+nm AS (SELECT query_id, paper_id, max(CASE WHEN {_sql_collapse("lower(paper_id)")} = {_sql_collapse("lower(query)")} THEN 1.0 ELSE 0.92 END) AS score FROM qs JOIN pp ON contains({_sql_collapse("lower(query)")}, {_sql_collapse("lower(paper_id)")}) AND paper_id <> '' GROUP BY 1, 2),
+nr AS (SELECT query_id, paper_id, round(list_cosine_similarity(CAST({_BY_LENGTH.format("query")} AS DOUBLE[]), CAST({_BY_LENGTH.format("paper_id")} AS DOUBLE[])), 9) AS score FROM qs JOIN pp ON query_id NOT IN (SELECT query_id FROM nm)),
+rp AS (SELECT query_id, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS k FROM (SELECT * FROM nm UNION ALL SELECT * FROM nr)) WHERE k <= 2),
+rs AS (SELECT query_id, section_id FROM (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST({_BY_LENGTH.format("query")} AS DOUBLE[]), CAST({_BY_LENGTH.format("section_id")} AS DOUBLE[])), 9) DESC, section_id) AS k
+  FROM rp JOIN ss USING (paper_id) JOIN qs USING (query_id)) WHERE k <= 3),
+dc AS (SELECT doc_id, source || ':' || lang AS section_id, text, {_tokens("lower(text)")} AS t FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+cd AS (SELECT query_id, doc_id, text, t FROM rs JOIN dc USING (section_id)),
+dn AS (SELECT query_id, doc_id AS chunk_id, dense FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS k FROM (SELECT query_id, doc_id, round(list_cosine_similarity(CAST({_BY_LENGTH.format("query")} AS DOUBLE[]), CAST({_BY_LENGTH.format("text")} AS DOUBLE[])), 9) AS dense FROM cd JOIN qs USING (query_id))) WHERE k <= 30),
+aq AS (SELECT DISTINCT query_id, unnest({_tokens("lower(query)")}) AS term FROM qs),
+st AS (SELECT query_id, count(*) AS total, avg(len(t)) AS mean FROM cd GROUP BY 1),
+tf AS (SELECT doc_id, section_id, term, count(*) AS tf, min(n) AS n FROM (SELECT doc_id, section_id, len(t) AS n, unnest(t) AS term FROM dc) WHERE term IN (SELECT term FROM aq) GROUP BY 1, 2, 3),
+mt AS (SELECT query_id, doc_id, term, tf, n FROM tf JOIN rs USING (section_id) JOIN aq USING (query_id, term)), df AS (SELECT query_id, term, count(*) AS df FROM mt GROUP BY 1, 2),
+bm AS (SELECT query_id, doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS bm25 FROM mt JOIN df USING (query_id, term) JOIN st USING (query_id) GROUP BY 1, 2),
+sp AS (SELECT query_id, doc_id AS chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS k FROM bm WHERE round(bm25, 9) > 0) WHERE k <= 30),
+fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, dense, bm25 FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id),
+sc AS (SELECT f.*, query AS q, d.text AS x, list_distinct({_tokens("lower(query)")}) AS qt, list_distinct(d.t) AS xt FROM fu f JOIN qs USING (query_id) JOIN dc d ON d.doc_id = f.chunk_id),
+rv AS (SELECT *, round(least(1, least(1, coalesce(dense, 0)) * 0.45 + (1 - exp(-coalesce(bm25, 0) / 3)) * 0.25 + least(1, len(list_intersect(qt, xt)) / len(qt) * 0.85 + CASE WHEN contains(lower(x), trim(lower(q))) THEN 0.15 ELSE 0 END) * 0.30), 9) AS relevance FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS n FROM rv WHERE relevance >= 0.22)
+SELECT qs.query_id, rk.chunk_id, round(rk.relevance, 6) AS relevance, CASE WHEN rk.chunk_id IS NULL THEN 'no_evidence' ELSE 'ok' END AS status FROM qs LEFT JOIN rk ON rk.query_id = qs.query_id AND rk.n <= 8"""
+
+
+@query(_NARROWED)
+def narrowed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that a benchmark item names, else near ones, their nearest languages, and evidence among the documents of these."""
+    docs = table(spark, d, "documents")
+    by_length = lambda c: F.array((F.length(c) % 11 + 1).cast("double"), (F.length(c) % 5).cast("double"), (F.length(c) % 3).cast("double"), F.lit(1.0))
+    placed = docs.where("source is not null and lang is not null").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), F.concat_ws(":", "source", "lang").alias("section_id"), "text")
+    papers = docs.where("source is not null").select(F.col("source").alias("paper_id")).distinct().withColumns({"names": F.array("paper_id"), "acronym": F.lit(None).cast("string")})
+    sections = placed.select("paper_id", "section_id").distinct().withColumn("embedding", by_length("section_id"))
+    named = F.when(F.col("item_id") % 2 == 0, F.concat_ws(" in ", "text", "_named")).otherwise(F.col("text"))
+    asked = table(spark, d, "benchmark").join(F.broadcast(docs.agg(F.max("source").alias("_named"))), F.lit(True)).select(F.col("item_id").alias("query_id"), named.alias("query")).withColumn("query_vector", by_length("query"))
+    found = R.search_narrowed(asked, papers, papers.select("paper_id", by_length("paper_id").alias("embedding")), sections, placed, placed.select("chunk_id", by_length("text").alias("embedding")), sizes=(2, 3, 30), diverse=False)
+    return found.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "status")
+
+
 @query(
     """
 WITH RECURSIVE m AS (SELECT conv_id, role, turn, round(length(text) % 97 / 97.0, 6) AS rel, length(text) % 50 AS t FROM conversations WHERE text IS NOT NULL),
