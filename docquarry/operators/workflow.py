@@ -124,7 +124,7 @@ def plan_units(tasks: DataFrame, task: str = "task_id", ordinal: str = "ordinal"
     return planned.withColumn("dependency_ids", F.coalesce("_e", F.array().cast("array<string>"))).drop("_e").select(*tasks.columns, "dependency_ids")
 
 
-#: A task of up to so many units is settled by one worker; larger ones are settled layer by layer over the cluster.
+#: A task of up to so many units is settled by one worker; larger ones are contracted over the cluster.
 UNITS_IN_ONE = 50_000
 _SETTLED = "layer int, state string, attempts int"
 
@@ -175,28 +175,63 @@ def _settled(units: pd.DataFrame) -> pd.DataFrame:
 
 
 def _layered(units: DataFrame) -> DataFrame:
-    """The same for tasks of any size: each round settles a layer, and the rounds end when one settles nothing."""
-    edges = staged(units.select("task_id", "unit_id", F.explode("dependency_ids").alias("need")), "unit-edges")
-    result = lambda rows, layer, skip: rows.select(
-        "task_id", "unit_id", F.lit(layer).cast("int").alias("layer"), F.when(skip, "skipped").when(F.col("_good"), "completed").otherwise("failed").alias("state"), F.when(skip, 0).otherwise(F.col("_tries")).alias("attempts")
-    )
-    lost = edges.join(units.select("task_id", F.col("unit_id").alias("need")), ["task_id", "need"], "left_anti").select("task_id", "unit_id").distinct().withColumn("_lost", F.lit(True))
-    first = units.join(lost, ["task_id", "unit_id"], "left").where((F.size("dependency_ids") == 0) | F.col("_lost"))
-    front = staged(result(first, 0, F.coalesce("_lost", F.lit(False))), "layer")
-    # a unit waits for so many; each layer takes off those that it settled
-    waiting = staged(edges.groupBy("task_id", "unit_id").agg(F.count("*").alias("left")).withColumn("bad", F.lit(False)).join(lost, ["task_id", "unit_id"], "left_anti"), "waiting")
-    done, layer = [front], 0
-    while not front.isEmpty():
-        layer += 1
-        told = edges.join(front.select("task_id", F.col("unit_id").alias("need"), "state"), ["task_id", "need"]).groupBy("task_id", "unit_id").agg(F.count("*").alias("n"), F.bool_or(F.col("state") != "completed").alias("b"))
-        now = waiting.join(told, ["task_id", "unit_id"], "left")
-        now = staged(now.select("task_id", "unit_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), (F.col("bad") | F.coalesce("b", F.lit(False))).alias("bad")), "waiting")
-        front = staged(result(units.join(now.where("left = 0"), ["task_id", "unit_id"]), layer, F.col("bad")), "layer")
-        done, waiting = [*done, front], now.where("left > 0")
-        if layer % 16 == 0:  # keep the plan short, however deep the graph is
+    """The same for tasks of any size, by contraction.
+
+    An edge carries how its end depends on its start: the end's layer is at least max(low, start's layer + far), and the
+    end is skipped unless `ok` holds and the start completes. Such maps compose. In a round, edges from settled units
+    become bounds of their ends, and edges from units that wait for one other only are drawn from that other, so chains
+    halve and trees fold. An edge longer than there are units comes out of a cycle. Rounds grow with the logarithm of the
+    length of chains, and by one for each layer only where units of a layer wait for several of the last.
+    """
+    at = ["task_id", "unit_id"]
+    most = units.count()
+    needs = units.select(*at, F.explode("dependency_ids").alias("need"))
+    lost = staged(needs.join(units.select("task_id", F.col("unit_id").alias("need")), ["task_id", "need"], "left_anti").select(*at).distinct(), "lost-units")
+    open_ = units.join(lost.withColumn("_lost", F.lit(True)), at, "left").select(*at, "_good", "_tries", F.lit(0).cast("long").alias("layer"), F.col("_lost").isNull().alias("ok"))
+    edges = staged(needs.join(lost, at, "left_anti").select(*at, "need", F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("far"), F.lit(True).alias("ok"), F.lit(False).alias("endless"), F.lit(True).alias("moved")), "unit-edges")
+    done, rounds = [], 0
+    while True:
+        rounds += 1
+        # rows without a need are what settled units have told
+        bound = F.col("need").isNull()
+        ends = edges.groupBy(*at).agg(
+            F.count("need").alias("n"), F.min("need").alias("need"), F.max(F.when(~bound, F.col("low"))).alias("low"), F.max(F.when(~bound, F.col("far"))).alias("far"), F.bool_and(F.when(~bound, F.col("ok"))).alias("_edge_ok"),
+            F.max(F.when(bound, F.col("low"))).alias("_least"), F.bool_and(F.when(bound, F.col("ok"))).alias("_told_ok"), F.bool_or(F.col("endless") | (F.col("need") == F.col("unit_id")) | (F.col("far") >= most)).alias("endless"),
+        )
+        met = open_.join(ends, at, "left").select(
+            *at, "_good", "_tries", F.greatest("layer", "_least").alias("layer"), (F.col("ok") & F.coalesce("_told_ok", F.lit(True))).alias("ok"),
+            F.coalesce("n", F.lit(0)).alias("n"), "need", "low", "far", "_edge_ok", F.coalesce("endless", F.lit(False)).alias("endless"),
+        )
+        met = staged(met, "met-units")
+        settled = F.col("endless") | (F.col("n") == 0)
+        done.append(_outcome(met.where(settled), F.col("endless")))
+        open_ = met.where(~settled).select(*at, "_good", "_tries", "layer", "ok")
+        passed = (F.col("ok") & F.col("_good")).alias("_ok")
+        ended = met.where(settled).select("task_id", F.col("unit_id").alias("need"), F.lit(None).cast(met.schema["unit_id"].dataType).alias("_to"), F.col("layer").alias("_low"), F.lit(0).cast("long").alias("_far"), passed, F.col("endless").alias("_endless"))
+        drawn = met.where(~settled & (F.col("n") == 1)).select("task_id", F.col("unit_id").alias("need"), F.col("need").alias("_to"), F.greatest("layer", "low").alias("_low"), F.col("far").alias("_far"), (passed & F.col("_edge_ok")).alias("_ok"), F.lit(False).alias("_endless"))
+        # nothing is drawn from a unit that has told its layer, as it tells it once
+        drawn = drawn.join(ended.select("task_id", F.col("need").alias("_to")), ["task_id", "_to"], "left_anti")
+        step = ended.unionByName(drawn).withColumn("_moved", F.lit(True))
+        moved = edges.where(~bound & (F.col("need") != F.col("unit_id")) & (F.col("far") < most)).join(step, ["task_id", "need"], "left")
+        moved = moved.select(
+            *at, F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("need")).alias("need"), F.greatest("low", F.col("_low") + F.col("far")).alias("low"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"),
+            (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.coalesce("_endless", F.lit(False)).alias("endless"), F.coalesce("_moved", F.lit(False)).alias("moved"),
+        )
+        edges = staged(moved.groupBy(*at, "need").agg(F.max("low").alias("low"), F.max("far").alias("far"), F.bool_and("ok").alias("ok"), F.bool_or("endless").alias("endless"), F.bool_or("moved").alias("moved")), "unit-edges")
+        if edges.where("moved").isEmpty():
+            break
+        if rounds % 16 == 0:  # keep the plan short, however many rounds there are
             done = [staged(functools.reduce(DataFrame.unionByName, done), "layers")]
-    rest = waiting.select("task_id", "unit_id", F.lit(None).cast("int").alias("layer"), F.lit("skipped").alias("state"), F.lit(0).alias("attempts"))
-    return functools.reduce(DataFrame.unionByName, done).unionByName(rest)
+    # what moves no more waits for a cycle
+    return functools.reduce(DataFrame.unionByName, [*done, _outcome(open_, F.lit(True))])
+
+
+def _outcome(units: DataFrame, endless: Column) -> DataFrame:
+    """Settled units as rows of a schedule; those on or behind a cycle have no layer."""
+    skip = endless | ~F.col("ok")
+    return units.select(
+        "task_id", "unit_id", F.when(~endless, F.col("layer")).cast("int").alias("layer"), F.when(skip, "skipped").when(F.col("_good"), "completed").otherwise("failed").alias("state"), F.when(skip, 0).otherwise(F.col("_tries")).alias("attempts")
+    )
 
 
 def generation_key(task: Column, kind: Column, objective: Column, papers: Column, inputs: Column, worker: Column) -> Column:

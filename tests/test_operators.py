@@ -237,13 +237,35 @@ def test_schedule_of_any_depth(spark, monkeypatch):
             assert state[u] == ("skipped", 0)
         else:
             assert state[u] == ("completed" if good or again else "failed", 1 if good else 2)
-    units = units.where("task_id <> 'deep' or cast(unit_id as int) < 12")
-    small = take()
     monkeypatch.setattr(W, "UNITS_IN_ONE", 3)
     assert take() == small
     assert W.schedule(units.where("false"), F.lit(True)).count() == 0
 
 
+def test_deep_tasks_are_contracted(spark, monkeypatch):
+    """A chain of 100,000 units, a tree and random graphs with cycles settle in few rounds, as one worker would settle them."""
+    rounds = []
+    monkeypatch.setattr(W, "staged", lambda df, name, kept=W.staged: (rounds.append(name), kept(df, name))[1])
+    n = 100_000
+    chain = spark.range(n).select(F.lit("t").alias("task_id"), F.col("id").cast("string").alias("unit_id"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("dependency_ids"), (F.col("id") != 70_000).alias("good"))
+    told = W.schedule(chain, F.col("good"))
+    assert told.count() == n and rounds.count("met-units") <= 20
+    assert told.where("layer <> cast(unit_id as int)").isEmpty()
+    assert {r["state"]: r["count"] for r in told.groupBy("state").count().collect()} == {"completed": 70_000, "failed": 1, "skipped": n - 70_001}
+
+    rnd = random.Random(11)
+    rows = [("tree", f"{i:03}", [] if i >= 64 else [f"{2 * i:03}", f"{2 * i + 1:03}"], i != 77) for i in range(1, 128)]
+    for t in range(6):
+        for i in range(60):
+            wanted = [f"{rnd.randrange(60) if rnd.random() < 0.06 else rnd.randrange(max(1, i)):03}" for _ in range(rnd.choice((0, 1, 1, 1, 2, 3)))]
+            rows.append((f"any{t}", f"{i:03}", [w for w in wanted if t or w != f"{i:03}"], rnd.random() < 0.9))
+    units = spark.createDataFrame(rows, "task_id string, unit_id string, dependency_ids array<string>, good boolean")
+    take = lambda: sorted(map(tuple, W.schedule(units, F.col("good")).collect()), key=str)
+    one = take()
+    monkeypatch.setattr(W, "UNITS_IN_ONE", 3)
+    assert take() == one and any(r[2] is None for r in one)
+
+
 def test_plan_of_verifiers(spark):
     rows = [("t", 0, "a", "method"), ("t", 1, "b", "verification"), ("t", 2, "c", "results"), ("t", 3, "d", "novelty_check"), ("u", 0, "e", "verify")]
     units = spark.createDataFrame(rows, "task_id string, ordinal int, unit_id string, work_type string")
