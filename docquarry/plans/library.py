@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from ..operators import views as W2
 from ..operators import workflow as W
 from ..sources import versions
 from ..sources.buckets import BucketTable
+from ..sources.ports import structure_function
 from ..sources.staging import shared_folder, spread
 from ..sources.tables import checksums, delete_blobs, get_blobs, look_up, manifest, put_blobs, save_documents, table
 from ..streaming import events as E
@@ -1306,3 +1308,45 @@ def saved_documents(spark: SparkSession, d: str) -> DataFrame:
     """Digests of documents in canonical form."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("version_id"), F.lit(1).alias("page_number"), F.col("turn").alias("reading_order"), F.concat(F.lit("b"), "turn").alias("block_id"), F.col("role").alias("tag"))
     return save_documents(c).select("version_id", "digest")
+
+
+# ---- structure processors plugged in, large tasks
+
+
+@query(
+    """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM l WHERE trim(line) <> '')
+SELECT doc_id AS version_id, CAST(k // 8 AS INTEGER) AS packet, CAST(count(*) AS INTEGER) AS n_lines, CAST(min(i) - 1 AS INTEGER) AS first_line, sha256(string_agg(line, chr(10) ORDER BY i)) AS content FROM n GROUP BY 1, 2"""
+)
+def line_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents in packets of eight, by a processor that is plugged in as a table function."""
+
+    def pack(rows):
+        for k in range(0, len(rows), 8):
+            part = rows[k : k + 8]
+            yield k // 8, len(part), part[0]["reading_order"], hashlib.sha256("\n".join(r["text"] for r in part).encode()).hexdigest()
+
+    packed = structure_function(pack, "packet int, n_lines int, first_line int, content string")
+    return packed(S.blocks_of(spread(table(spark, d, "documents"))).asTable())
+
+
+@query(
+    """
+WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
+e AS (SELECT k, n, CASE WHEN n > 1 THEN k WHEN k > 1 THEN k // 2 END AS pk, CASE WHEN n > 1 THEN n - 1 WHEN k > 1 THEN 1 END AS pn, (k * 7 + n) % 50 <> 0 AS good FROM u),
+r AS (SELECT e.k, e.n, good, 0 AS layer, pk IS NULL AS ok FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.k = pk AND u.n = pn)
+  UNION ALL SELECT e.k, e.n, e.good, r.layer + 1, r.ok AND (r.good OR r.k % 3 = 0) FROM r JOIN e ON e.pk = r.k AND e.pn = r.n)
+SELECT k || '-' || n AS unit_id, layer, CASE WHEN NOT ok THEN 'skipped' WHEN good OR k % 3 = 0 THEN 'completed' ELSE 'failed' END AS state, CASE WHEN NOT ok THEN 0 WHEN good THEN 1 ELSE 2 END AS attempts FROM r"""
+)
+def line_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of orders as units of one task: a line waits for the one before it, an order's first for that of the order with half its key.
+
+    Some fail at first; a second run succeeds where 3 divides the order's key.
+    """
+    k, n = F.col("k"), F.col("n")
+    name = lambda a, b: F.concat_ws("-", a, b)
+    units = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    needs = F.when(n > 1, F.array(name(k, n - 1))).when(k > 1, F.array(name(F.floor(k / 2), F.lit(1))))
+    told = W.schedule(units.select("k", "n", F.lit(0).alias("task_id"), name(k, n).alias("unit_id"), needs.alias("dependency_ids")), (k * 7 + n) % 50 != 0, k % 3 == 0)
+    return told.select("unit_id", "layer", "state", "attempts")
