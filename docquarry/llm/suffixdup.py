@@ -299,6 +299,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", unit: Unit = Unit(False,
     one = texts.where(F.octet_length("text") >= unit.least).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     holding = written(one.join(places, ["t1", "t2"]), "suffix-texts")
 
+    cut_leads = np.unique(splitters[:, 0]) if len(splitters) else np.zeros(0, np.int64)
+
     def contexts(batches):
         for batch in sliced(batches):
             a, b = (batch.column(c).to_numpy() for c in ("t1", "t2"))
@@ -315,13 +317,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", unit: Unit = Unit(False,
                     for i in np.nonzero(np.isin(lead, splitters[:, 0]))[0]:
                         same = np.nonzero(splitters[:, 0] == lead[i])[0]
                         bucket[i] = same[0] + np.searchsorted(splitters[same, 1], a[text[i]], side="right")
-                bucket = bucket * parts + (mixed(lead.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                # a lead that splitters cut may fill its ranges: its texts part, as their strings meet across borders anyway
+                salt = np.where(np.isin(lead, cut_leads), a[text], 0).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                bucket = bucket * parts + (mixed(lead.view(np.uint64) + salt) % np.uint64(parts)).astype(np.int64)
                 cut = pa.array([raw[t][f : e + length] for t, f, e in zip(text, first, last, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a[text]), pa.array(b[text]), pa.array(first), pa.array(at - first), cut], names=["bucket", "t1", "t2", "low", "off", "context"])
 
-    cut = np.unique(splitters[:, 0]) if len(splitters) else np.zeros(0, np.int64)
     records = holding.mapInArrow(contexts, "bucket long, t1 long, t2 long, low long, off long, context binary")
-    found = written(records.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([compare(t, length, cut, step)]), _FOUND), "suffix-found")
+    found = written(records.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([compare(t, length, cut_leads, step)]), _FOUND), "suffix-found")
     across = found.where("w1 is not null")
     again = across.groupBy("w1", "w2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).where("a <> b or c <> d").select("w1", "w2")
     spans = found.where("w1 is null").select("t1", "t2", "start", "end").unionByName(across.join(again, ["w1", "w2"], "left_semi").select("t1", "t2", "start", "end"))

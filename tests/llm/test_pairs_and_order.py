@@ -218,6 +218,28 @@ def test_repeats_brute(spark, monkeypatch):
     assert suffixdup.remove_repeats(df.where("length(text) < 90")).count() == sum(len(t or "") < 90 and t is not None for _, t in rows)
 
 
+def test_a_lead_that_fills_ranges_is_dealt_by_text(spark, monkeypatch):
+    """One passage in all texts, so nearly all suffixes start alike, in few ranges of many parts."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot = text(520)
+    rows = [(i, text(rnd.randint(0, 90)) + hot[rnd.randint(0, 60) : rnd.randint(455, 520)] + text(rnd.randint(0, 90))) for i in range(120)]
+    for name, value in (("BUCKET", 10), ("RANGES", 3)):
+        monkeypatch.setattr(suffixdup, name, value)
+    seen = {}
+
+    def told(df, name, kept=suffixdup.written):
+        out = kept(df, name)
+        if name == "suffix-live":
+            seen["leads"] = sorted(r["n"] for r in out.groupBy("lead").agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(suffixdup, "written", told)
+    got = suffixdup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(rows)
+    assert seen["leads"][-1] > 3 * 10  # beyond the buckets of a range
+
+
 def brute_word_repeats(rows, length=50):
     """The texts without the words of repeated sequences and the white space after them."""
     word = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,11 +1,15 @@
 """BPE, chat formatting, HTML extraction, quality and toxicity against plain versions."""
 
 import base64
+import functools
 import hashlib
+import itertools
 import math
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -373,6 +377,36 @@ def test_toxicity_query_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_op10_scores_equal_plain(spark, smallest):
+    """The whole query against scores that are worked out word by word, from every subsequence by itself."""
+    docs, labels = (spark.read.parquet(f"{smallest}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    of = {c: i for i, c in enumerate(model.alphabet, 1)}
+
+    @functools.cache
+    def margin(word):
+        if len(word) < 3:
+            return -1.0
+        found = Counter()
+        for i, j in itertools.combinations(range(len(word)), 2):
+            for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                if word[i] in of and word[j] in of and word[k] in of:
+                    found[(of[word[i]] * 64 + of[word[j]]) * 64 + of[word[k]]] += model.decay ** (k - i + 1)
+        norm = math.sqrt(sum(v * v for v in found.values()))
+        return max(-1.0, sum(v * float(model.table[c]) for c, v in found.items()) / max(norm, 1e-6) + model.bias)
+
+    want = {}
+    for r in docs.collect():
+        # windows of one word count as one instance
+        best = sorted((max(map(margin, toxicity.windows(i))) for i in toxicity.instances(r["text"] or "")), reverse=True)
+        a, b = [*best, -1.0, -1.0][:2]
+        want[r["doc_id"]] = 1 / (1 + math.exp(-(a * model.logistic[0] + b * model.logistic[1] + model.logistic[2])))
+    got = queries.op10_toxicity(spark, smallest).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-4 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_toxicity_without_examples(spark, insults):
     few = insults.limit(5).drop("toxic")
     labels = insults.select("doc_id", F.lit(0).alias("toxic"))
