@@ -143,6 +143,39 @@ def elements_of_turns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("version_id", "block_id", "element_type", "label", "caption", "page")
 
 
+@query(
+    f"""
+WITH b AS (SELECT conv_id AS version_id, CAST(turn // 6 AS INTEGER) AS so, CAST(turn AS INTEGER) AS ord, CAST(turn // 4 + 1 AS INTEGER) AS page, 'b' || turn AS block_id, CASE turn % 6 WHEN 0 THEN 'heading' WHEN 2 THEN 'equation' ELSE 'paragraph' END AS kind,
+  CASE turn % 6 WHEN 2 THEN 'Equation ' || turn || ': ' || text WHEN 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'where ' || text ELSE text END WHEN 4 THEN 'Figure ' || turn || ': ' || text WHEN 5 THEN CASE WHEN conv_id % 3 = 0 THEN text || ' (see Figure ' || turn - 1 || ')' ELSE text END ELSE text END AS text FROM conversations),
+t AS (SELECT *, {_sql_collapse("text")} AS t FROM b), w AS (SELECT *, lower(regexp_extract(t, '{_CAPTION}', 1)) AS word, regexp_extract(t, '{_CAPTION}', 2) AS number FROM t),
+e AS (SELECT *, CASE WHEN kind = 'equation' THEN kind WHEN word LIKE 'fig%' THEN 'figure' WHEN word LIKE 'table%' THEN 'table' WHEN word LIKE 'alg%' THEN 'algorithm' WHEN word LIKE 'eq%' THEN 'equation' END AS el FROM w),
+n AS (SELECT *, CASE WHEN el IS NOT NULL AND word <> '' AND number <> '' THEN lower(el || ' ' || number) END AS label, lower(lag(text) OVER s) AS bt, lag(kind) OVER s AS bk, lower(lead(text) OVER s) AS behind FROM e WINDOW s AS (PARTITION BY version_id, so ORDER BY ord)),
+d AS (SELECT version_id, so,
+  ord - CASE WHEN bt IS NOT NULL AND bk <> 'heading' AND (coalesce(contains(bt, label), false) OR el = 'equation' AND len(string_split({_sql_collapse("bt")}, ' ')) <= 80) THEN 1 ELSE 0 END AS a,
+  ord + CASE WHEN behind IS NOT NULL AND (coalesce(contains(behind, label), false) OR el = 'equation' AND regexp_matches(behind, '^(?:{"|".join(S.CONTINUES)})')) THEN 1 ELSE 0 END AS z FROM n WHERE el IS NOT NULL),
+i AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY version_id, so ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM d),
+j AS (SELECT *, sum(fresh) OVER (PARTITION BY version_id, so ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM i), k AS (SELECT version_id, so, min(a) AS a, max(z) AS z FROM j GROUP BY version_id, so, island),
+g AS (SELECT e.*, k.a IS NOT NULL AS dep, coalesce(k.a, e.ord) AS grp FROM e LEFT JOIN k ON k.version_id = e.version_id AND e.so = k.so AND e.ord BETWEEN k.a AND k.z),
+m AS (SELECT version_id, so, grp, bool_or(dep) AS dependency, min(page) AS page_start, max(page) AS page_end, string_agg(block_id, ',' ORDER BY ord) AS blocks, string_agg(trim(text), chr(10) || chr(10) ORDER BY ord) FILTER (WHERE trim(text) <> '') AS text,
+  coalesce(array_to_string({_ordered_distinct("list(el ORDER BY ord) FILTER (WHERE el IS NOT NULL)")}, ','), '') AS kinds FROM g GROUP BY version_id, so, grp)
+SELECT version_id, so AS section_order, CAST(row_number() OVER (PARTITION BY version_id ORDER BY so, grp) - 1 AS INTEGER) AS group_order, dependency, page_start, page_end, blocks, kinds, CAST(len({_tokens("text")}) AS INTEGER) AS token_count, sha256(text) AS content FROM m WHERE text <> ''"""
+)
+def dependency_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as paragraphs, equations and figures, with the blocks that belong to them in one group."""
+    t, text, conv = F.col("turn"), F.col("text"), F.col("conv_id")
+    kinds = F.when(t % 6 == 0, "heading").when(t % 6 == 2, "equation").otherwise("paragraph")
+    said = F.when(t % 6 == 2, F.concat(F.lit("Equation "), t, F.lit(": "), text)).when((t % 6 == 3) & (conv % 2 == 0), F.concat(F.lit("where "), text)).when(t % 6 == 4, F.concat(F.lit("Figure "), t, F.lit(": "), text))
+    said = said.when((t % 6 == 5) & (conv % 3 == 0), F.concat(text, F.lit(" (see Figure "), t - 1, F.lit(")"))).otherwise(text)
+    section = F.floor(t / 6).cast("int")
+    located = table(spark, d, "conversations").select(
+        conv.alias("version_id"), section.alias("section_order"), F.concat(F.lit("S"), section).alias("section_path"), t.cast("int").alias("block_order"), F.concat(F.lit("b"), t).alias("block_id"),
+        kinds.alias("block_type"), said.alias("text"), (F.floor(t / 4) + 1).cast("int").alias("page_number"),
+    )
+    return S.groups(located).select(
+        "version_id", "section_order", "group_order", "dependency", "page_start", "page_end", F.array_join("source_block_ids", ",").alias("blocks"), F.array_join("element_types", ",").alias("kinds"), "token_count", F.sha2("text", 256).alias("content")
+    )
+
+
 @query(
     """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
