@@ -195,16 +195,31 @@ def followups(question: Column | str, unresolved: Column | str, suffix: str, mos
     return F.slice(F.array_distinct(F.when(F.size(_c(unresolved)) > 0, more).otherwise(F.array(F.concat_ws(" ", stem, F.lit(suffix))))), 1, most)
 
 
+def bound(x: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def edge_clean_text(x: Column | str) -> Column:
-    """A document's text without page numbers and without lines that stand at the edges of many pages."""
+    """A document's text without page numbers and without lines that stand at the edges of many pages.
+
+    What lambdas name is bound before: they'd evaluate it again for every line.
+    """
     one_page = lambda p: F.filter(F.transform(F.split(p, r"\R"), lambda v: F.lower(F.trim(F.regexp_replace(v, r"(?U)\s+", " ")))), lambda v: v != "")
-    pages = F.transform(F.split(_c(x), "\f"), one_page)
     edge = lambda p: F.array_distinct(F.concat(F.slice(p, 1, 2), F.when(F.size(p) > 2, F.slice(p, -2, 2)).otherwise(p)))
-    edges = F.flatten(F.transform(pages, edge))
-    least = F.greatest(F.lit(2), F.floor((F.size(pages) + 1) / 2).cast("int"))
-    repeated = F.filter(F.array_distinct(edges), lambda v: (F.size(pages) >= 2) & (F.size(F.filter(edges, lambda w: w == v)) >= least))
-    kept = F.filter(F.flatten(pages), lambda v: ~F.array_contains(repeated, v) & ~v.rlike(PAGE_NUMBER))
-    return F.concat_ws("\n", kept)
+
+    def repeated(pages: Column) -> Column:
+        """Lines that are at the edges of so many pages: equal ones are neighbours once sorted, so each ends its run."""
+        least = F.greatest(F.lit(2), F.floor((F.size(pages) + 1) / 2).cast("int"))
+        many = lambda e, n: F.array_distinct(F.filter(e, lambda v, i: (i >= n - 1) & (F.get(e, i - n + 1) == v)))
+        found = bound(F.array_sort(F.flatten(F.transform(pages, edge))), lambda e: bound(least, lambda n: many(e, n)))
+        return F.when(F.size(pages) >= 2, found).otherwise(F.array().cast("array<string>"))
+
+    def kept(pages: Column) -> Column:
+        # of one page nothing repeats, and no line is looked up
+        return bound(repeated(pages), lambda r: F.filter(F.flatten(pages), lambda v: ~F.array_contains(r, v) & ~v.rlike(PAGE_NUMBER)))
+
+    return F.concat_ws("\n", bound(F.transform(F.split(_c(x), "\f"), one_page), kept))
 
 
 def content_fingerprint(x: Column | str) -> Column:

@@ -1,9 +1,11 @@
 """Steps whose cost must not grow faster than their input."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
+from docquarry.functions import text as X
 from docquarry.operators import views as V2
 
 
@@ -19,3 +21,13 @@ def test_citation_manifest_reads_a_payload_once(spark):
     # what stands above the Generate is evaluated for each item, and would read the whole payload for each
     above = plan(found).split("Generate explode")[0]
     assert "get_json_object(payload" not in above
+
+
+def test_edge_cleaning_is_linear_in_the_lines(spark):
+    lines = [f"line {i}" for i in range(5000)]
+    pages = ["\n".join(["Head", *lines[k : k + 1000], f"page {k}"]) for k in range(0, 5000, 1000)]
+    rows = spark.createDataFrame([(i, "\f".join(pages)) for i in range(4)], "i int, text string")
+    began = time.monotonic()
+    got = {r[0] for r in rows.select(X.edge_clean_text("text")).collect()}
+    # lists of lines were made again for each line: minutes
+    assert time.monotonic() - began < 30 and got == {"\n".join(lines)}
