@@ -1,11 +1,14 @@
 """Steps whose cost must not grow faster than their input."""
 
 import json
+import re
 import time
+from difflib import SequenceMatcher
 
-from pyspark.sql import functions as F
+import pandas as pd
 
 from docquarry.functions import text as X
+from docquarry.operators import curation as C
 from docquarry.operators import views as V2
 
 
@@ -31,3 +34,20 @@ def test_edge_cleaning_is_linear_in_the_lines(spark):
     got = {r[0] for r in rows.select(X.edge_clean_text("text")).collect()}
     # lists of lines were made again for each line: minutes
     assert time.monotonic() - began < 30 and got == {"\n".join(lines)}
+
+
+def test_exploded_titles_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(i, f"title number {i % 90:03d} of a list of like ones") for i in range(90)], "k int, t string")
+    found = C.similar_titles(rows, "k", "t")
+    # the join of pieces, which names their places, is a merge
+    assert re.search(r"SortMergeJoin \[[^]]*i#[^]]*p#", found._jdf.queryExecution().executedPlan().toString())
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if SequenceMatcher(None, f"title number {a:03d} of a list of like ones", f"title number {b:03d} of a list of like ones").ratio() >= 0.94}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+
+
+def test_bound_of_titles_leaves_out_no_pair():
+    texts = ["", "abc", "cba", "abcd", "häuser und straßen", "hauser und strassen", "x" * 40, "x" * 39 + "y", "x" * 20]
+    pairs = [(a, b) for a in texts for b in texts]
+    told = C.may_match(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), 0.9)
+    assert all(m or SequenceMatcher(None, a, b).ratio() < 0.9 for (a, b), m in zip(pairs, told))
+    assert not told[pairs.index(("abc", "x" * 40))]
