@@ -31,16 +31,69 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources import versions
-from ..sources.staging import shared_folder, small, spread, staged
+from ..sources.staging import shared_folder, small, small_batches, spread, staged
 from .retrieval import COMMON, top_k
 
 #: Documents of a range at most, about, and folders by hash of the term.
 RANGE, BUCKETS = 8_192, 32
+#: Counts of a range that a task turns into postings at once, and tokens of a task that sorts.
+AT_ONCE, OF_TASK = 2_000_000, 2_000_000
+#: Words of all queries that meet the lists of a range at once.
+FEW_WORDS = 20_000
 
 
-def _range(doc: str, length: str, ranges: int) -> Column:
-    """Documents of like lengths share a range, so that bounds by the least length are close; then by hash."""
-    return F.floor(F.log2(F.col(length) + 1.0) * 4) * (1 << 32) + F.pmod(F.xxhash64(doc), F.lit(ranges))
+def _like(length: str) -> Column:
+    return F.floor(F.log2(F.col(length) + 1.0) * 4)
+
+
+def _range(docs: DataFrame, doc: str = "_id", length: str = "_length") -> Column:
+    """Documents of like lengths share a range, so that bounds by the least length are close; then by hash.
+
+    Lengths are of a few dozen kinds, each with as many ranges as its documents need.
+    """
+    ranges = {k: -(-n // RANGE) for k, n in docs.groupBy(_like(length).alias("k")).agg(F.count("*").alias("n")).collect()}
+    of = F.create_map(*(F.lit(x) for kn in sorted(ranges.items()) for x in kn)) if ranges else F.create_map(F.lit(0), F.lit(1))
+    return _like(length) * (1 << 32) + F.pmod(F.xxhash64(doc), F.coalesce(F.try_element_at(of, _like(length)), F.lit(1)))
+
+
+def _posted(batches):
+    """Documents (_range, _id, _length, _terms, _counts) in order of their ranges to postings: a row for each term of a range, more of a very large one."""
+    held, entries, at = [], 0, None
+
+    def rows():
+        docs = pa.Table.from_batches(held).combine_chunks()
+        lists = docs["_terms"].combine_chunks()
+        told = lists.flatten().dictionary_encode()
+        codes = np.asarray(told.indices, np.int64)
+        order = np.argsort(codes, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(codes, minlength=len(told.dictionary))))
+        which = pa.array(np.repeat(np.arange(docs.num_rows), np.asarray(lists.value_lengths()))[order])
+        ids, lengths = (docs[c].combine_chunks().take(which) for c in ("_id", "_length"))
+        counts = np.asarray(docs["_counts"].combine_chunks().flatten(), np.int32)[order]
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+        most, least = np.maximum.reduceat(counts, ends[:-1]), np.minimum.reduceat(np.asarray(lengths, np.int32), ends[:-1])
+        out = pa.RecordBatch.from_arrays(
+            [told.dictionary, pa.array(np.full(len(most), at, np.int64)), listed(ids), listed(pa.array(counts)), listed(lengths), pa.array(most), pa.array(least)],
+            names=["_term", "_range", "_ids", "_counts", "_lengths", "_most", "_least"],
+        )
+        for k in range(0, out.num_rows, 50_000):
+            yield out.slice(k, 50_000)
+
+    for batch in batches:
+        ranges = np.asarray(batch.column("_range"), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if entries and (ranges[a] != at or entries >= AT_ONCE):
+                yield from rows()
+            if ranges[a] != at or entries >= AT_ONCE:
+                held, entries, at = [], 0, int(ranges[a])
+            part = batch.slice(a, b - a)
+            held.append(part)
+            entries += len(part.column("_terms").flatten())
+    if entries:
+        yield from rows()
 
 
 def _counted(batches):
@@ -107,6 +160,7 @@ class TextIndex(Segments):
             if complete:
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
             rows = rows.join(live.select("_id", "_had"), "_id", "left").where(~F.col("_had").eqNullSafe(F.col("_digest"))).drop("_had")
+        small_batches(self.spark)
         split = rows.select("_id", "_digest", self.tokens("_text").alias("_tokens"))
         counted = staged(split.mapInArrow(_counted, f"_id {self.id_type}, _digest string, _length int, _terms array<string>, _counts array<int>"), "index-counts")
         once = counted.groupBy("_id").agg(F.max(F.struct("_digest", "_length")).alias("_m"), F.count("*").alias("_rows")).select("_id", "_m.*", "_rows")
@@ -115,11 +169,10 @@ class TextIndex(Segments):
         n, tokens = added.agg(F.count("*"), F.coalesce(F.sum("_length"), F.lit(0))).first()
         told = {"added": n, "dead": 0}
         if n:
-            ranges = -(-n // RANGE)
             each = counted.dropDuplicates(["_id", "_digest"]).join(added.select("_id", "_digest"), ["_id", "_digest"], "left_semi") if once.where("_rows > 1").limit(1).count() else counted
-            flat = each.select("_id", "_length", F.explode(F.arrays_zip(F.col("_terms").alias("t"), F.col("_counts").alias("c"))).alias("_z")).select(F.col("_z.t").alias("_term"), _range("_id", "_length", ranges).alias("_range"), F.struct("_id", F.col("_z.c").alias("c"), F.col("_length").alias("n")).alias("_p"))
-            listed = flat.groupBy("_term", "_range").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-            self._write(listed, f"{self.path}/{name}")
+            # whole documents go to the task of their range, which turns them into lists: no row is made for each word of each text
+            placed = each.select(_range(added).alias("_range"), "_id", "_length", "_terms", "_counts").repartition(self._parts(tokens), "_range").sortWithinPartitions("_range", "_id")
+            self._write(placed.mapInArrow(_posted, self._listing()), f"{self.path}/{name}", tokens)
             state["segments"] = [*state["segments"], name]
         if had:
             old = live.join(added.select("_id"), "_id", "left_semi")
@@ -133,14 +186,17 @@ class TextIndex(Segments):
         versions.commit(self.spark, self.path, version, state)
         return told
 
-    def _write(self, listed: DataFrame, at: str) -> None:
-        """Postings (_term, _range, _p) in folders by the term's hash, sorted, with their bounds."""
-        p = F.col("_p")
-        rows = listed.select(
-            "_term", "_range", p["_id"].alias("_ids"), p["c"].alias("_counts"), p["n"].alias("_lengths"), F.array_max(p["c"]).alias("_most"), F.array_min(p["n"]).alias("_least"),
-            F.pmod(F.xxhash64("_term"), F.lit(BUCKETS)).cast("int").alias("_bucket"),
-        )
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def _parts(self, tokens: int) -> int:
+        """Tasks for so many tokens: a task's part doesn't grow with the table."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // OF_TASK))
+
+    def _listing(self) -> str:
+        return f"_term string, _range bigint, _ids array<{self.id_type}>, _counts array<int>, _lengths array<int>, _most int, _least int"
+
+    def _write(self, listed: DataFrame, at: str, tokens: int) -> None:
+        """Postings in folders by the term's hash, sorted."""
+        rows = listed.withColumn("_bucket", F.pmod(F.xxhash64("_term"), F.lit(BUCKETS)).cast("int"))
+        parts = self._parts(tokens)
         rows.repartition(parts, "_bucket", F.pmod(F.hash("_term", "_range"), F.lit(max(1, parts // BUCKETS)))).sortWithinPartitions("_bucket", "_term", "_range").write.partitionBy("_bucket").parquet(f"{at}/postings")
 
     def compact(self) -> None:
@@ -151,15 +207,17 @@ class TextIndex(Segments):
         name = f"segment-{version + 1}-{uuid.uuid4().hex[:8]}"
         self.documents(state).select("_id", "_digest", "_length").write.parquet(f"{self.path}/{name}/documents")
         each = self._entries(self._postings(state), state)
-        ranges = max(1, -(-state["documents"] // RANGE))
-        listed = each.groupBy("_term", _range("_id", "_length", ranges).alias("_range")).agg(F.sort_array(F.collect_list(F.struct("_id", F.col("_count").alias("c"), F.col("_length").alias("n")))).alias("_p"))
-        self._write(listed, f"{self.path}/{name}")
+        live = self.spark.read.parquet(f"{self.path}/{name}/documents")
+        p = F.col("_p")
+        listed = each.groupBy("_term", _range(live).alias("_range")).agg(F.sort_array(F.collect_list(F.struct("_id", F.col("_count").alias("c"), F.col("_length").alias("n")))).alias("_p"))
+        listed = listed.select("_term", "_range", p["_id"].alias("_ids"), p["c"].alias("_counts"), p["n"].alias("_lengths"), F.array_max(p["c"]).alias("_most"), F.array_min(p["n"]).alias("_least"))
+        self._write(listed, f"{self.path}/{name}", state["tokens"])
         versions.commit(self.spark, self.path, version, state | {"segments": [name], "dead": []})
 
     # ---- search
 
     def _postings(self, state: dict) -> DataFrame:
-        return self._read("postings", state["segments"], f"_term string, _range bigint, _ids array<{self.id_type}>, _counts array<int>, _lengths array<int>, _most int, _least int, _bucket int")
+        return self._read("postings", state["segments"], f"{self._listing()}, _bucket int")
 
     def _entries(self, postings: DataFrame, state: dict) -> DataFrame:
         """Postings as one row for each live document of a term."""
@@ -218,8 +276,17 @@ class TextIndex(Segments):
         _, state = self._state()
         words = F.filter(F.array_distinct(X.search_tokens("query")), lambda w: w.rlike(r"(?U)^\w+$"))
         asked = staged(queries.select("query_id", F.explode(words).alias("_term")), "asked-words")
-        held = self._entries(self._lists(asked.select("_term").distinct(), state), state).join(small(asked, 100_000), "_term")
-        found = held.select("query_id", F.col("_id").alias(doc_id)).distinct()
+        lists = self._lists(asked.select("_term").distinct(), state)
+        if state["dead"] or asked.limit(FEW_WORDS + 1).count() > FEW_WORDS:
+            held = self._entries(lists, state).join(small(asked, 100_000), "_term")
+            found = held.select("query_id", F.col("_id").alias(doc_id)).distinct()
+        else:
+            # all lists of a document have its range: they meet there once for all queries, and what a query finds never moves
+            near = lists.groupBy("_segment", "_range").agg(F.collect_list(F.struct("_term", "_ids")).alias("_l"))
+            # few words, as counted
+            each = near.join(F.broadcast(asked.groupBy("query_id").agg(F.collect_set("_term").alias("_w"))), F.lit(True))
+            ids = F.transform(F.filter("_l", lambda x: F.array_contains("_w", x["_term"])), lambda x: x["_ids"])
+            found = each.select("query_id", F.explode(F.array_distinct(F.flatten(ids))).alias(doc_id))
         return found if limit is None else top_k(found, limit, [F.asc(doc_id)], ["query_id"])
 
 

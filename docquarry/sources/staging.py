@@ -50,3 +50,10 @@ def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     at = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
     conf = spark._jsc.hadoopConfiguration()
     return df.repartition(cores) if sum(a.getFileSystem(conf).getFileStatus(a).getLen() for a in at) <= most else df
+
+
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Let Arrow batches hold fewer bytes than the default of 64 MB: rows here are whole texts or blocks of vectors, and tasks hold much more for each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > size:
+        spark.conf.set(name, f"{size}b")

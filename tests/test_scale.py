@@ -3,12 +3,14 @@
 import json
 import re
 import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
 
 from docquarry.functions import text as X
 from docquarry.operators import curation as C
+from docquarry.operators import text_index as N
 from docquarry.operators import views as V2
 
 
@@ -51,3 +53,16 @@ def test_bound_of_titles_leaves_out_no_pair():
     told = C.may_match(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), 0.9)
     assert all(m or SequenceMatcher(None, a, b).ratio() < 0.9 for (a, b), m in zip(pairs, told))
     assert not told[pairs.index(("abc", "x" * 40))]
+
+
+def test_index_makes_no_row_for_each_word(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(5 + i % 30))) for i in range(200)], "doc_id long, text string")
+    index, plans = N.TextIndex(spark, f"file://{tmp_path}/index"), []
+    write = index._write
+    monkeypatch.setattr(index, "_write", lambda listed, *a: (plans.append(plan(listed)), write(listed, *a))[1])
+    monkeypatch.setattr(N, "AT_ONCE", 50)
+    index.add(docs)
+    assert "explode" not in plans[0]
+    flat = index._entries(index._postings(index._state()[1]), index._state()[1]).select("_term", "_id", "_count", "_length").collect()
+    want = {(w, r["doc_id"], n, len(r["text"].split())) for r in docs.collect() for w, n in Counter(r["text"].split()).items()}
+    assert len(flat) == len(want) and {tuple(r) for r in flat} == want
