@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..sources.staging import staged
+from ..sources.staging import small, small_batches, staged
 
 
 def top_k(df: DataFrame, k: int, by: list[Column], within: list[str] | None = None) -> DataFrame:
@@ -117,6 +117,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
     Vectors that are null, zero or of another length than the query's aren't compared.
     """
     scope = scope or []
+    small_batches(queries.sparkSession)
     pick = lambda df, i, v: df.where(comparable(v)).select(*scope, F.col(i).alias("_id"), F.col(v).cast("array<double>").alias("_v"))
     q, v = _blocks(pick(queries, query_id, query_vector), scope, 1024, "q"), _blocks(pick(vectors, target, vector), scope, block, "v")
     met = _meet(staged(q, "query-blocks"), v, [*scope, "_dim"])
@@ -294,7 +295,7 @@ def _judged_evidence(queries: DataFrame, chunks: DataFrame, candidates: DataFram
     few = staged(candidates, "candidates")
     # each candidate's text and each query is tokenised once, before they meet
     wanted = few.select("chunk_id").distinct()
-    split = staged(chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "paper_id", F.lower("text").alias("text"), F.array_distinct(X.search_tokens("text")).alias("_tokens")), "candidate-texts")
+    split = staged(chunks.join(small(wanted, 100_000), "chunk_id", "left_semi").select("chunk_id", "paper_id", F.lower("text").alias("text"), F.array_distinct(X.search_tokens("text")).alias("_tokens")), "candidate-texts")
     asked = queries.select("query_id", "query", F.array_distinct(X.search_tokens("query")).alias("_query_tokens"))
     both = few.join(split, "chunk_id").join(asked, "query_id")
     # sums of doubles differ in their last digits with the order of rows: scores are told apart by nine digits
