@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Token patterns of chunking and search, of artifacts, of contexts, of entailment.
 CHUNK_TOKEN = r"(?U)([㐀-鿿]|[A-Za-z0-9_]+|[^\s])"
+#: CHUNK_TOKEN for Python: its \s also takes the separators U+001C to U+001F, which are no white space in Unicode.
+PYTHON_TOKEN = re.compile("[㐀-鿿]|[A-Za-z0-9_]+|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ARTIFACT_TOKEN = r"(?U)([㐀-䶿一-鿿豈-﫿]|[A-Za-z0-9_]+|[^\w\s]|[^\W\d_]+)"
 CONTEXT_TOKEN = r"(?U)([\w]+|[^\w\s])"
 ENTAILMENT_TOKEN = r"(?U)([\w一-鿿-]+)"

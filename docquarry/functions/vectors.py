@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,37 +29,90 @@ def dense_score(a: Column | str, b: Column | str) -> Column:
     return F.greatest(F.lit(0.0), cosine(a, b))
 
 
+#: Characters of texts that are turned into vectors at once, and hashed features that a task keeps.
+AT_ONCE, KEPT = 1 << 21, 1_000_000
+
+
+class _Numbers(dict):
+    """Numbers (from 1) of words as they are met; words of one folded case share theirs."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.folded: dict[str, int] = {}
+        # a word's bytes, and what stands before a pair's second word
+        self.spelled, self.first = [b""], [b""]
+
+    def __missing__(self, word: str) -> int:
+        w = word.casefold()
+        n = self.folded.setdefault(w, len(self.spelled))
+        if n == len(self.spelled):
+            self.spelled.append(w.encode())
+            self.first.append(f"{w}␟".encode())
+        self[word] = n
+        return n
+
+
 def hashing_embedding(dimension: int = 256):
-    """Hashed words and word pairs with signed logarithmic counts, of unit length; a text without words stays zero."""
+    """Hashed words and word pairs with signed logarithmic counts, of unit length; a text without words stays zero.
+
+    A word and a pair are hashed once for a task, not for each text that has them; texts are counted many at a time.
+    """
     if dimension < 32:
         raise ValueError("a dimension of at least 32 is needed")
 
-    places: dict[str, tuple[int, float]] = {}
-
-    def place(feature: str) -> tuple[int, float]:
-        found = places.get(feature)
-        if found is None:
-            if len(places) > 300_000:
-                places.clear()
-            d = blake2b(feature.encode(), digest_size=16).digest()
-            found = places[feature] = (int.from_bytes(d[:8], "big") % dimension, 1.0 if d[8] & 1 else -1.0)
-        return found
-
-    def vector(words: list[str]) -> np.ndarray:
-        seen = Counter(words)
-        seen.update(map("␟".join, zip(words, words[1:])))
-        out = np.zeros(dimension)
-        if seen:
-            at, sign = zip(*map(place, seen))
-            out = np.bincount(at, np.log1p(np.fromiter(seen.values(), float, len(seen))) * sign, dimension)
-        norm = np.sqrt((out**2).sum())
-        return out / norm if norm else out
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else vector([t.casefold() for t in w]))
-
-    return lambda x: embed(X.tokens(x))
+    ids = _Numbers()
+    places: dict[int, int] = {}
+
+    def placed(features: list[int]) -> np.ndarray:
+        """Twice each feature's place, and one more for a positive sign; a pair is its words' numbers (from 1) end to end."""
+        new = [f for f in features if f not in places]
+        spelled, first = ids.spelled, ids.first
+        digests = b"".join([blake2b(first[f >> 31] + spelled[f & 0x7FFFFFFF], digest_size=16).digest() for f in new])
+        at = (np.frombuffer(digests, ">u8")[::2] % dimension).astype(np.int64) * 2 + (np.frombuffer(digests, np.uint8)[8::16] & 1)
+        places.update(zip(new, at.tolist()))
+        return np.fromiter(map(places.__getitem__, features), np.int64, len(features))
+
+    def vectors(texts: list[str | None]) -> np.ndarray:
+        if len(places) > KEPT or len(ids) > KEPT:
+            ids.forget()
+            places.clear()
+        words, sizes = [], []
+        for t in texts:
+            found = X.PYTHON_TOKEN.findall(t or "")
+            sizes.append(len(found))
+            words += found
+        codes = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        near = rows[1:] == rows[:-1]
+        at, weights = [], []
+        for keys, of_row in ((codes, rows), (codes[:-1][near] << 31 | codes[1:][near], rows[1:][near])):
+            features, which = np.unique(keys, return_inverse=True)
+            # in the order in which a text first has them, as sums of doubles depend on it
+            each, first, counts = np.unique(of_row * max(1, len(features)) + which, return_index=True, return_counts=True)
+            order = np.argsort(first)
+            told = placed(features.tolist())[which[first[order]]]
+            at.append(of_row[first[order]] * dimension + told // 2)
+            weights.append(np.log1p(counts[order]) * (told % 2 * 2.0 - 1.0))
+        out = np.bincount(np.concatenate(at), np.concatenate(weights), len(texts) * dimension).reshape(-1, dimension)
+        norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
+        return out / np.where(norms == 0, 1.0, norms)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(column: pa.Array) -> pa.Array:
+        texts, made, a = column.to_pylist(), [np.zeros((0, dimension))], 0
+        sizes = np.cumsum([len(t or "") for t in texts])
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + AT_ONCE, "right")))
+            made.append(vectors(texts[a:b]))
+            a = b
+        ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimension)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made).ravel()), mask=column.is_null())
+
+    return lambda x: embed(F.make_valid_utf8(x))
 
 
 def overlap(query_tokens: Column | str, text_tokens: Column | str) -> Column:

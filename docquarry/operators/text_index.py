@@ -23,11 +23,15 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources import versions
@@ -38,8 +42,8 @@ from .retrieval import COMMON, top_k
 RANGE, BUCKETS = 8_192, 32
 #: Counts of a range that a task turns into postings at once, and tokens of a task that sorts.
 AT_ONCE, OF_TASK = 2_000_000, 2_000_000
-#: Words of all queries that meet the lists of a range at once.
-FEW_WORDS = 20_000
+#: Words of all queries that meet the lists of a range at once: in full text search, and when they are scored.
+FEW_WORDS, SCORED_WORDS = 20_000, 200_000
 
 
 def _like(length: str) -> Column:
@@ -96,18 +100,55 @@ def _posted(batches):
         yield from rows()
 
 
-def _counted(batches):
-    """Rows (_id, _digest, _tokens) to (_id, _digest, _length, _terms, _counts), by one sort of a batch's tokens."""
-    for batch in batches:
-        tokens = batch.column("_tokens")
-        lengths = np.asarray(tokens.value_lengths().fill_null(0))
-        told = tokens.flatten().dictionary_encode()
-        codes = np.asarray(told.indices, np.int64)
-        n = max(1, len(told.dictionary))
-        keys, counts = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + codes, return_counts=True)
-        ends = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) * n), pa.int32())
-        terms = pa.ListArray.from_arrays(ends, told.dictionary.take(pa.array(keys % n)) if len(keys) else pa.array([], pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(lengths, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))], names=["_id", "_digest", "_length", "_terms", "_counts"])
+def word_counts(texts: list[str]) -> tuple[list[int], list[int], list[str], list[int]]:
+    """(lengths, ends, terms, counts) of texts in lower case: their search tokens, each once for a text, text after text."""
+    lengths, ends, terms, counts = [], [0], [], []
+    for t in texts:
+        words = X.PYTHON_TOKEN.findall(t)
+        seen = Counter(words)
+        lengths.append(len(words))
+        terms += seen
+        counts += seen.values()
+        ends.append(len(terms))
+    return lengths, ends, terms, counts
+
+
+def gram_counts(texts: list[str]) -> tuple[list[int], np.ndarray, pa.Array, np.ndarray]:
+    """The same of the strings of three characters from each place, fewer at a text's end, as whole numbers of 63 bits."""
+    lengths = list(map(len, texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64) + 1
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    keys = points.copy()
+    for k in (1, 2):
+        keys[:-k] |= np.where(rows[k:] == rows[:-k], points[k:], 0) << 21 * k
+    told, codes = np.unique(keys, return_inverse=True)
+    n = max(1, len(told))
+    each, counts = np.unique(rows * n + codes, return_counts=True)
+    parts = np.stack([told >> 21 * k & 0x1FFFFF for k in range(3)], axis=1)
+    spelled, at = (parts[parts > 0] - 1).astype("<u4").tobytes().decode("utf-32-le"), np.append(0, np.cumsum((parts > 0).sum(axis=1))).tolist()
+    names = pa.array([spelled[a:b] for a, b in zip(at, at[1:])], pa.string())
+    return lengths, np.searchsorted(each, np.arange(len(texts) + 1) * n), names.take(pa.array(each % n)), counts
+
+
+#: Characters of texts that are counted at once.
+CHARACTERS = 1 << 20
+
+
+def _counted(count):
+    """Rows (_id, _digest, _text) to (_id, _digest, _length, _terms, _counts)."""
+
+    def each(batches):
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            sizes, a = np.cumsum([len(t) for t in texts]), 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHARACTERS, "right")))
+                lengths, ends, terms, counts = count(texts[a:b])
+                listed = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], batch.column("_digest")[a:b], pa.array(lengths, pa.int32()), listed(terms, pa.string()), listed(counts, pa.int32())], names=["_id", "_digest", "_length", "_terms", "_counts"])
+                a = b
+
+    return each
 
 
 class Segments:
@@ -143,8 +184,8 @@ class Segments:
 
 
 class TextIndex(Segments):
-    #: What a text is listed under.
-    tokens = staticmethod(X.search_tokens)
+    #: What a text in lower case is listed under.
+    counts = staticmethod(word_counts)
 
     # ---- upkeep
 
@@ -161,8 +202,7 @@ class TextIndex(Segments):
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
             rows = rows.join(live.select("_id", "_had"), "_id", "left").where(~F.col("_had").eqNullSafe(F.col("_digest"))).drop("_had")
         small_batches(self.spark)
-        split = rows.select("_id", "_digest", self.tokens("_text").alias("_tokens"))
-        counted = staged(split.mapInArrow(_counted, f"_id {self.id_type}, _digest string, _length int, _terms array<string>, _counts array<int>"), "index-counts")
+        counted = staged(rows.select("_id", "_digest", F.lower("_text").alias("_text")).mapInArrow(_counted(self.counts), f"_id {self.id_type}, _digest string, _length int, _terms array<string>, _counts array<int>"), "index-counts")
         once = counted.groupBy("_id").agg(F.max(F.struct("_digest", "_length")).alias("_m"), F.count("*").alias("_rows")).select("_id", "_m.*", "_rows")
         once.select("_id", "_digest", "_length").write.parquet(f"{self.path}/{name}/documents")
         added = self.spark.read.parquet(f"{self.path}/{name}/documents")
@@ -231,9 +271,10 @@ class TextIndex(Segments):
         return self._postings(state).where(F.col("_bucket").isin(buckets)).join(small(terms, 100_000), "_term")
 
     def bm25(self, queries: DataFrame, best: int | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(query_id, doc_id, bm25); with `best`, only rows that may be among so many best of a query.
+        """(query_id, doc_id, bm25); with `best`, only rows that may be among so many best of a query, ties by the least ids.
 
-        Rarer terms are scored first and give a cutoff. What common terms may add is bounded row by row of the
+        With `best`, few words and no dead documents, the lists of a range meet in one task and all queries are scored
+        there, so no row is made for a document of a list. Else rarer terms are scored first and give a cutoff. What common terms may add is bounded row by row of the
         postings; a row without a document that may still reach the cutoff is skipped whole.
         """
         _, state = self._state()
@@ -250,6 +291,8 @@ class TextIndex(Segments):
         named = lambda df: df.select(query_id, F.col("_id").alias(doc_id), "bm25")
         if best is None:
             return named(scored(weights))
+        if not state["dead"] and weights.limit(SCORED_WORDS + 1).count() <= SCORED_WORDS:
+            return self._best(lists, weights, best, query_id, k1, b, mean).select(query_id, F.col("_id").alias(doc_id), "bm25")
         common = F.col("_df") > n * COMMON
         rarer = staged(scored(weights.where(~common)), "rarer-scores")
         kth = top_k(rarer, best, [F.desc("bm25"), F.asc("_id")], [query_id]).groupBy(query_id).agg(F.min("bm25").alias("_cut"), F.count("*").alias("_c")).where(F.col("_c") == best).select(query_id, "_cut")
@@ -267,6 +310,49 @@ class TextIndex(Segments):
         met = closed.unionByName(added).groupBy(*place).agg(F.sum("bm25").alias("bm25"))
         return named(met.unionByName(scored(weights.join(small(opened), query_id))))
 
+    def _best(self, lists: DataFrame, weights: DataFrame, best: int, query_id: str, k1: float, b: float, mean: float) -> DataFrame:
+        """(query_id, _id, bm25) of each range's best documents of each query, all scores taken in the task of the range."""
+        # queries are known by numbers, as their ids may be of any type; both sides are few, as counted
+        numbers = staged(weights.select(query_id).distinct().withColumn("_q", F.monotonically_increasing_id()), "query-numbers")
+        asking = weights.join(F.broadcast(numbers), query_id).groupBy("_term").agg(F.collect_list(F.struct("_q", "_idf")).alias("_by"))
+        met = lists.select("_segment", "_range", "_term", "_ids", "_counts", "_lengths").join(F.broadcast(asking), "_term")
+
+        def score(lists: pa.Table) -> pa.Table:
+            # a sum of doubles depends on its order: like documents get like scores in every range
+            lists = lists.sort_by("_term").combine_chunks()
+            told = lists["_ids"].combine_chunks().flatten().dictionary_encode()
+            at, ids = np.asarray(told.indices, np.int64), told.dictionary
+            flat = lambda c: np.asarray(lists[c].combine_chunks().flatten(), np.float64)
+            tf = flat("_counts")
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * flat("_lengths") / mean))
+            ends = np.append(0, np.cumsum(np.asarray(lists["_ids"].combine_chunks().value_lengths())))
+            by = lists["_by"].combine_chunks()
+            q, idf = (np.asarray(by.flatten().field(c)) for c in ("_q", "_idf"))
+            row, order = np.repeat(np.arange(lists.num_rows), np.asarray(by.value_lengths())), np.argsort(q, kind="stable")
+            out = []
+            for own in np.split(order, np.flatnonzero(np.diff(q[order])) + 1):
+                held, found = np.zeros(len(ids)), np.zeros(len(ids), bool)
+                for r, w in zip(row[own].tolist(), idf[own].tolist()):
+                    a, z = ends[r], ends[r + 1]
+                    held[at[a:z]] += w * part[a:z]
+                    found[at[a:z]] = True
+                near = np.flatnonzero(found)
+                if len(near) > best:
+                    near = near[held[near] >= np.partition(held[near], len(near) - best)[len(near) - best] - 1e-6]
+                if len(near) > best:
+                    # of equal scores the least ids
+                    near = near[np.asarray(pc.sort_indices(ids.take(pa.array(near))))]
+                    _, kind = np.unique(held[near], return_inverse=True)
+                    alike = np.argsort(kind, kind="stable")
+                    sizes = np.bincount(kind)
+                    place = np.arange(len(near)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    near = near[alike[place < best]]
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q[own[0]])), ids.take(pa.array(near)), pa.array(held[near])], names=["_q", "_id", "bm25"]))
+            return pa.Table.from_batches(out)
+
+        found = met.groupBy("_segment", "_range").applyInArrow(score, f"_q bigint, _id {self.id_type}, bm25 double")
+        return found.join(F.broadcast(numbers), "_q").select(query_id, "_id", "bm25")
+
     def needed(self, lists: DataFrame, near: DataFrame, weights: DataFrame, query_id: str = "query_id") -> DataFrame:
         """The rows of postings, for each query, that hold the range of a document in question; all others are skipped."""
         return lists.join(weights, "_term").join(near.select(query_id, "_segment", "_range").distinct(), [query_id, "_segment", "_range"], "left_semi")
@@ -290,9 +376,10 @@ class TextIndex(Segments):
         return found if limit is None else top_k(found, limit, [F.asc(doc_id)], ["query_id"])
 
 
-def grams(text: Column | str) -> Column:
-    """The three characters from each place of a text in lower case, fewer at its end."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def grams(lowered: pd.Series) -> pd.Series:
+    """The distinct strings of three characters of a pattern in lower case, as the index cuts texts."""
+    return lowered.map(lambda t: None if t is None else sorted({t[i : i + 3] for i in range(len(t) - 2)}))
 
 
 class SubstringIndex(TextIndex):
@@ -301,7 +388,7 @@ class SubstringIndex(TextIndex):
     An empty or null pattern finds nothing.
     """
 
-    tokens = staticmethod(grams)
+    counts = staticmethod(gram_counts)
     #: A pattern's rarest lists that are read.
     LISTS = 4
 
@@ -312,7 +399,7 @@ class SubstringIndex(TextIndex):
         """
         _, state = self._state()
         asked = staged(queries.select("query_id", F.lower(pattern).alias("_pattern")).where(F.length("_pattern") > 0), "asked-patterns")
-        long = asked.where(F.length("_pattern") >= 3).select("query_id", "_pattern", F.explode(F.array_distinct(F.filter(grams("_pattern"), lambda g: F.length(g) == 3))).alias("_term"))
+        long = asked.where(F.length("_pattern") >= 3).select("query_id", "_pattern", F.explode(grams("_pattern")).alias("_term"))
         sizes = self._lists(long.select("_term").distinct(), state).groupBy("_term").agg(F.sum(F.size("_ids")).alias("_size"))
         # a string without a list tells that nothing is found; it stays as the rarest of all
         ranked = long.join(sizes, "_term", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))

@@ -2,11 +2,13 @@
 
 import hashlib
 import time
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import text as X
 from docquarry.operators import retrieval as R
 from docquarry.operators import text_index as N
 from docquarry.sources import versions
@@ -105,6 +107,31 @@ def test_empty_index(spark, tmp_path, asked):
     assert index.bm25(asked, best=3).count() == 0
 
 
+def test_best_documents_are_taken_range_by_range(spark, tmp_path, monkeypatch):
+    """No row is made for a document of a list, and of many copies only those of the least ids leave a range."""
+    monkeypatch.setattr(N, "RANGE", 64)
+    docs = spark.createDataFrame([(i, "the alpha beta") for i in range(300)] + [(i, _text(i)) for i in range(300, 360)], "doc_id long, text string")
+    index = N.TextIndex(spark, f"file://{tmp_path}/index")
+    index.add(docs)
+    queries = spark.createDataFrame([((1, "a"), "the alpha"), ((2, None), "kappa the"), ((3, "c"), "unknown")], "query_id struct<n: int, s: string>, query string")
+    found = index.bm25(queries, best=3)
+    assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() <= 2 * 3 * index.documents().select(N._range(index.documents())).distinct().count()
+    plain = R.bm25(queries, docs)
+    assert _best(_scores(found), 3) == _best(_scores(plain), 3) and {r[0]["n"] for r in found.select("query_id").collect()} == {1, 2}
+
+
+def test_counts_of_texts_equal_the_columns(spark):
+    odd = ["", "a\x1fb\x85c\u3000d\u180ee", "İstanbul ÀB_1 漢字\U00020000 x\u200by", "\U0001f600\U0001f600 a\x00b", "aa aa aa"]
+    low = [r[0] for r in spark.createDataFrame([(t,) for t in odd], "t string").select(F.lower("t")).collect()]
+    lengths, ends, terms, counts = N.word_counts(low)
+    words = [r[0] for r in spark.createDataFrame([(t,) for t in odd], "t string").select(X.search_tokens("t")).collect()]
+    assert lengths == list(map(len, words)) and [dict(zip(terms[a:b], counts[a:b])) for a, b in zip(ends, ends[1:])] == [dict(Counter(w)) for w in words]
+    lengths, ends, terms, counts = N.gram_counts(low)
+    want = [dict(Counter(t[i : i + 3] for i in range(len(t)))) for t in low]
+    assert lengths == list(map(len, low)) and [dict(zip(terms.to_pylist()[a:b], counts.tolist()[a:b])) for a, b in zip(ends, ends[1:])] == want
+
+
 def test_substrings_equal_contains_on_all_rows(spark, tmp_path):
     rows = [(i, _text(i)) for i in range(150)] + [(500, "ab"), (501, "b"), (502, ""), (503, None), (504, "ALPHA\nbeta.Ünï\U0001f600x"), (505, "aaaa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
