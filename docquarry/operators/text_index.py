@@ -382,6 +382,13 @@ def grams(lowered: pd.Series) -> pd.Series:
     return lowered.map(lambda t: None if t is None else sorted({t[i : i + 3] for i in range(len(t) - 2)}))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def contained(texts: pa.Array, patterns: pa.Array) -> pa.Array:
+    """Those of a row's patterns that its text holds."""
+    pairs = zip(texts.to_pylist(), patterns.to_pylist())
+    return pa.array([[p for p in asked if p in t] if t else [] for t, asked in pairs], pa.list_(pa.string()))
+
+
 class SubstringIndex(TextIndex):
     """Documents by the strings of three characters that they hold, for patterns inside words, without case.
 
@@ -392,33 +399,68 @@ class SubstringIndex(TextIndex):
     #: A pattern's rarest lists that are read.
     LISTS = 4
 
-    def candidates(self, queries: DataFrame, pattern: str = "pattern") -> DataFrame:
-        """(query_id, pattern, id): documents that hold a pattern's rarest strings; every one with the pattern is among them.
+    def _asked(self, queries: DataFrame, pattern: str) -> DataFrame:
+        return staged(queries.select("query_id", F.lower(pattern).alias("_pattern")).where(F.length("_pattern") > 0), "asked-patterns")
 
-        Patterns shorter than three characters are found by the lists that begin with them, which is exact.
-        """
+    def _holding(self, patterns: DataFrame) -> DataFrame:
+        """(_id, _patterns): the patterns whose rarest strings a document holds; the lists of a range meet in one task, so none is taken apart into rows."""
         _, state = self._state()
-        asked = staged(queries.select("query_id", F.lower(pattern).alias("_pattern")).where(F.length("_pattern") > 0), "asked-patterns")
-        long = asked.where(F.length("_pattern") >= 3).select("query_id", "_pattern", F.explode(grams("_pattern")).alias("_term"))
+        long = patterns.where(F.length("_pattern") >= 3).select("_pattern", F.explode(grams("_pattern")).alias("_term"))
         sizes = self._lists(long.select("_term").distinct(), state).groupBy("_term").agg(F.sum(F.size("_ids")).alias("_size"))
         # a string without a list tells that nothing is found; it stays as the rarest of all
         ranked = long.join(sizes, "_term", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
-        chosen = staged(top_k(ranked, self.LISTS, [F.asc("_size"), F.asc("_term")], ["query_id", "_pattern"]), "rarest-lists")
-        wanted = chosen.groupBy("query_id", "_pattern").agg(F.count("*").alias("_of"))
-        held = self._entries(self._lists(chosen.select("_term").distinct(), state), state).join(chosen, "_term").groupBy("query_id", "_pattern", "_id").agg(F.count("*").alias("_n"))
-        found = held.join(wanted, ["query_id", "_pattern"]).where("_n = _of").select("query_id", "_pattern", "_id")
-        short = asked.where(F.length("_pattern") < 3)
-        if short.isEmpty():
-            return found
-        begin = short.select("query_id", "_pattern", F.length("_pattern").alias("_long"))
-        lists = self._postings(state).withColumn("_long", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_pattern", F.left("_term", F.col("_long"))).where(F.length("_pattern") == F.col("_long"))
-        return found.unionByName(self._entries(lists.join(small(begin), ["_pattern", "_long"]), state).select("query_id", "_pattern", "_id").distinct())
+        chosen = staged(top_k(ranked, self.LISTS, [F.asc("_size"), F.asc("_term")], ["_pattern"]), "rarest-lists")
+        needed = chosen.join(chosen.groupBy("_pattern").agg(F.count("*").cast("int").alias("_of")), "_pattern")
+        asking = lambda df, by: small(df.groupBy(*by).agg(F.collect_list(F.struct("_pattern", "_of")).alias("_by")), 100_000)
+        met = self._lists(chosen.select("_term").distinct(), state).join(asking(needed, ["_term"]), "_term").select("_segment", "_range", "_ids", "_by")
+        short = patterns.where(F.length("_pattern") < 3)
+        if not short.isEmpty():
+            begin = short.select("_pattern", F.lit(1).alias("_of"), F.col("_pattern").alias("_begin"), F.length("_pattern").alias("_long"))
+            lists = self._postings(state).withColumn("_long", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_begin", F.left("_term", F.col("_long"))).where(F.length("_begin") == F.col("_long"))
+            met = met.unionByName(lists.join(asking(begin, ["_begin", "_long"]), ["_begin", "_long"]).select("_segment", "_range", "_ids", "_by"))
+
+        def hold(lists: pa.Table) -> pa.Table:
+            segment, lists = lists["_segment"][0].as_py(), lists.combine_chunks()
+            ids, by = lists["_ids"].combine_chunks(), lists["_by"].combine_chunks()
+            told = ids.flatten().dictionary_encode()
+            at, ends = np.asarray(told.indices, np.int64), np.append(0, np.cumsum(np.asarray(ids.value_lengths())))
+            names = by.flatten().field("_pattern").dictionary_encode()
+            of, code = np.asarray(by.flatten().field("_of")), np.asarray(names.indices, np.int64)
+            row, order = np.repeat(np.arange(lists.num_rows), np.asarray(by.value_lengths())), np.argsort(code, kind="stable")
+            docs, which = [], []
+            for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if len(own) < of[own[0]]:
+                    continue
+                held = np.zeros(len(told.dictionary), np.int32)
+                for r in row[own].tolist():
+                    held[at[ends[r] : ends[r + 1]]] += 1
+                near = np.flatnonzero(held >= of[own[0]])
+                docs.append(near)
+                which.append(np.full(len(near), code[own[0]]))
+            docs, which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, which))
+            order = np.argsort(docs, kind="stable")
+            kept, first = np.unique(docs[order], return_index=True)
+            found = pa.ListArray.from_arrays(pa.array(np.append(first, len(docs)), pa.int32()), names.dictionary.take(pa.array(which[order])))
+            return pa.Table.from_arrays([pa.array([segment] * len(kept), pa.string()), told.dictionary.take(pa.array(kept)), found], names=["_segment", "_id", "_patterns"])
+
+        found = met.groupBy("_segment", "_range").applyInArrow(hold, f"_segment string, _id {self.id_type}, _patterns array<string>")
+        return (found.join(self._dead(state), ["_segment", "_id"], "left_anti") if state["dead"] else found).drop("_segment")
+
+    def candidates(self, queries: DataFrame, pattern: str = "pattern") -> DataFrame:
+        """(query_id, pattern, id): documents that hold a pattern's rarest strings; every one with the pattern is among them.
+
+        Patterns shorter than three characters are found by the lists that begin with them, which is exact.
+        """
+        asked = self._asked(queries, pattern)
+        return self._holding(asked.select("_pattern").distinct()).select("_id", F.explode("_patterns").alias("_pattern")).join(small(asked, 100_000), "_pattern").select("query_id", "_pattern", "_id")
 
     def containing(self, queries: DataFrame, docs: DataFrame, pattern: str = "pattern", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(query_id, doc_id) of the documents whose text holds the pattern; only the candidates' texts are looked at."""
-        near = staged(self.candidates(queries, pattern), "substring-candidates")
-        texts = docs.select(F.col(doc_id).alias("_id"), F.lower(text).alias("_text")).join(near.select("_id").distinct(), "_id", "left_semi")
-        return near.join(texts, "_id").where(F.contains("_text", "_pattern")).select("query_id", F.col("_id").alias(doc_id)).distinct()
+        """(query_id, doc_id) of the documents whose text holds the pattern; only the candidates' texts are looked at, each once with all its patterns."""
+        asked = self._asked(queries, pattern)
+        small_batches(self.spark)
+        near = staged(self._holding(asked.select("_pattern").distinct()), "substring-candidates")
+        found = near.join(docs.select(F.col(doc_id).alias("_id"), F.lower(text).alias("_text")), "_id").select("_id", F.explode(contained("_text", "_patterns")).alias("_pattern"))
+        return found.join(small(asked, 100_000), "_pattern").select("query_id", F.col("_id").alias(doc_id)).distinct()
 
 
 def folder_of(table: DataFrame, name: str) -> str:

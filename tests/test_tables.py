@@ -147,6 +147,19 @@ def test_substrings_equal_contains_on_all_rows(spark, tmp_path):
     assert [r["doc_id"] for r in index.containing(queries.where("query_id = 3"), docs.unionByName(spark.createDataFrame([(506, "xaaax")], docs.schema))).collect()] == [506]
 
 
+def test_substring_lists_are_not_taken_apart(spark, tmp_path, monkeypatch):
+    """A document is one row whatever its patterns, and no row is made for a document of a list."""
+    monkeypatch.setattr(N, "RANGE", 16)
+    docs = spark.createDataFrame([(i, _text(i)) for i in range(90)], "doc_id long, text string")
+    index = N.SubstringIndex(spark, f"file://{tmp_path}/grams")
+    index.add(docs)
+    near = index._holding(spark.createDataFrame([("the",), ("alpha",), ("e",), ("q?",)], "_pattern string"))
+    assert "arrays_zip" not in near._jdf.queryExecution().executedPlan().toString()
+    told = {r["_id"]: set(r["_patterns"]) for r in near.collect()}
+    want = {i: {p for p in ("the", "alpha", "e", "q?") if p in _text(i)} for i in range(90)}
+    assert near.count() == len(told) and all(want[i] <= told.get(i, set()) for i in want) and all("q?" not in p for p in told.values())
+
+
 # ---- bucketed tables
 
 
