@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,6 +58,11 @@ def height_heading(text: Column | str, height: Column | str) -> Column:
     return F.when(short & (h >= 16), F.when(h >= 24, 1).otherwise(2))
 
 
+def stay_with_document(spark: SparkSession) -> None:
+    """Let rows that are dealt by document be joined on finer keys where they are: documents are many, and texts needn't move again."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def sections(blocks: DataFrame) -> DataFrame:
     """blocks with section_order, section_level, parent_order, section_title, section_path.
 
@@ -66,10 +71,13 @@ def sections(blocks: DataFrame) -> DataFrame:
     headings only, not over its blocks.
     """
     order = Window.partitionBy("version_id").orderBy("page_number", "reading_order", "block_id")
+    stay_with_document(blocks.sparkSession)
     marked = blocks.withColumn("_level", heading_level("text", "block_type", "level"))
+    # only titles go to the fold, not the texts of all blocks
+    marked = marked.withColumn("_title", F.when(F.col("_level").isNotNull(), X.collapse("text")))
     marked = marked.withColumns({"_ord": F.row_number().over(order), "_front": F.first(F.col("_level").isNull()).over(order)})
     marked = marked.withColumn("section_order", (F.sum(F.col("_level").isNotNull().cast("int")).over(order) - 1 + F.col("_front").cast("int")).cast("int"))
-    heads = marked.where("_level is not null").select("version_id", "section_order", F.col("_level").alias("level"), X.collapse("text").alias("title"), "_front")
+    heads = marked.where("_level is not null").select("version_id", "section_order", F.col("_level").alias("level"), F.col("_title").alias("title"), "_front")
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("section_order")
@@ -88,7 +96,7 @@ def sections(blocks: DataFrame) -> DataFrame:
 
     kind = blocks.schema["version_id"].dataType.simpleString()
     tree = heads.groupBy("version_id").applyInPandas(nest, f"version_id {kind}, section_order int, section_level int, parent_order int, section_title string, section_path string")
-    joined = marked.drop("_level", "_front").join(tree, ["version_id", "section_order"], "left").withColumnRenamed("_ord", "block_order")
+    joined = marked.drop("_level", "_title", "_front").join(tree, ["version_id", "section_order"], "left").withColumnRenamed("_ord", "block_order")
     # a document without any heading is front matter throughout
     alone = {"section_level": F.lit(1), "section_title": F.lit("Front Matter"), "section_path": F.lit("Front Matter")}
     return joined.withColumns({c: F.coalesce(F.col(c), v) for c, v in alone.items()})
@@ -101,45 +109,50 @@ def section_table(located: DataFrame) -> DataFrame:
     return located.groupBy(*keys).agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), blocks.alias("source_block_ids"))
 
 
-def elements(located: DataFrame) -> DataFrame:
-    """Figures, tables, equations and algorithms, by block type or caption."""
+def _element(located: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The blocks with element_type and label, null for others; and a caption's word and number."""
     t = X.collapse("text")
-    word = F.lower(F.regexp_extract(t, CAPTION, 1))
+    word, number = F.lower(F.regexp_extract(t, CAPTION, 1)), F.regexp_extract(t, CAPTION, 2)
     own = F.when(F.col("block_type").isin("figure", "table", "equation", "algorithm"), F.col("block_type"))
     by_caption = F.when(word.startswith("fig"), "figure").when(word.startswith("table"), "table").when(word.startswith("alg"), "algorithm").when(word.startswith("eq"), "equation")
-    kind, number = F.coalesce(own, by_caption), F.regexp_extract(t, CAPTION, 2)
-    found = located.withColumn("element_type", kind).where("element_type is not null")
-    label = F.when((word != "") & (number != ""), F.concat_ws(" ", F.initcap("element_type"), number))
-    return found.select(
-        "version_id", "section_order", "block_order", "block_id", "element_type", label.alias("label"),
+    found = located.withColumn("element_type", F.coalesce(own, by_caption))
+    label = F.when(F.col("element_type").isNotNull() & (word != "") & (number != ""), F.concat_ws(" ", F.initcap("element_type"), number))
+    return found.withColumn("label", label), word, t
+
+
+def elements(located: DataFrame) -> DataFrame:
+    """Figures, tables, equations and algorithms, by block type or caption."""
+    found, word, t = _element(located)
+    return found.where("element_type is not null").select(
+        "version_id", "section_order", "block_order", "block_id", "element_type", "label",
         F.when((word != "") & (F.col("element_type") != "equation"), t).alias("caption"), F.when(F.col("element_type") == "equation", t).alias("content"), F.col("page_number").alias("page"),
     )
 
 
 def groups(located: DataFrame) -> DataFrame:
-    """Semantic groups: elements with the blocks that depend on them, all other blocks alone, in order, empty ones left out."""
+    """Semantic groups: elements with the blocks that depend on them, all other blocks alone, in order, empty ones left out.
+
+    A block is linked to the one before it in its section if either is an element on which the other depends; runs of
+    linked blocks are groups. Blocks stay in the task of their document.
+    """
+    stay_with_document(located.sparkSession)
     place = Window.partitionBy("version_id", "section_order").orderBy("block_order")
-    with_element = located.join(elements(located).select("version_id", "block_id", "element_type", "label"), ["version_id", "block_id"], "left")
-    near = with_element
+    near, _, _ = _element(located)
     for name, step in (("before", F.lag), ("after", F.lead)):
         near = near.withColumns({f"_{name}_text": F.lower(step("text").over(place)), f"_{name}_type": step("block_type").over(place)})
     label = F.lower("label")
     mentions = lambda t: F.coalesce(F.contains(t, label), F.lit(False))
     continues = F.coalesce(F.col("_after_text").rlike("^(?:" + "|".join(CONTINUES) + ")"), F.lit(False))
-    equation = F.col("element_type") == "equation"
+    element, equation = F.col("element_type").isNotNull(), F.col("element_type") == "equation"
     back = F.col("_before_text").isNotNull() & (F.col("_before_type") != "heading") & (mentions(F.col("_before_text")) | (equation & (F.size(F.split(X.collapse("_before_text"), " ")) <= 80)))
     ahead = F.col("_after_text").isNotNull() & (mentions(F.col("_after_text")) | (equation & continues))
-    start = F.when(F.col("element_type").isNotNull(), F.col("block_order") - F.when(back, 1).otherwise(0))
-    end = F.when(F.col("element_type").isNotNull(), F.col("block_order") + F.when(ahead, 1).otherwise(0))
-    spans = near.select("version_id", "section_order", start.alias("_a"), end.alias("_b")).where("_a is not null")
-    run = Window.partitionBy("version_id", "section_order").orderBy("_a", "_b")
-    before = F.max("_b").over(run.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_new", F.coalesce((F.col("_a") > before).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(run))
-    spans = spans.groupBy("version_id", "section_order", "_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
-    member = spans.select("version_id", F.explode(F.sequence("_a", "_b")).alias("block_order"), F.col("_a").alias("_start"))
-    owned = with_element.join(member, ["version_id", "block_order"], "left").withColumn("_group", F.coalesce("_start", "block_order"))
+    near = near.withColumns({"_back": F.coalesce(element & back, F.lit(False)), "_ahead": F.coalesce(element & ahead, F.lit(False))})
+    near = near.drop("_before_text", "_before_type", "_after_text", "_after_type")
+    near = near.withColumn("_linked", F.col("_back") | F.coalesce(F.lag("_ahead").over(place), F.lit(False)))
+    near = near.withColumn("_member", element | F.col("_linked") | F.coalesce(F.lead("_linked").over(place), F.lit(False)))
+    owned = near.withColumn("_group", F.max(F.when(~F.col("_linked"), F.col("block_order"))).over(place))
     ordered = F.sort_array(F.collect_list(F.struct("block_order", "block_id", F.trim("text").alias("text"), "element_type")))
-    made = owned.groupBy("version_id", "section_order", "section_path", "_group").agg(ordered.alias("_b"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.max(F.col("_start").isNotNull()).alias("dependency"))
+    made = owned.groupBy("version_id", "section_order", "section_path", "_group").agg(ordered.alias("_b"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.max("_member").alias("dependency"))
     text = F.array_join(F.filter(F.transform("_b", lambda b: b["text"]), lambda t: t != ""), "\n\n")
     made = made.select(
         "version_id", "section_order", "section_path", "_group", text.alias("text"), "page_start", "page_end", "dependency",
@@ -238,8 +251,9 @@ def chunks(grouped: DataFrame, target: int = 600, most: int = 800, fill: float =
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_packed(held, target, most, fill)), arrow)], schema=arrow)
 
-    rows = grouped.select(*_Group._fields).repartition("version_id").sortWithinPartitions("version_id", "section_order", "group_order")
-    return rows.mapInArrow(pack, schema)
+    # a window asks for a document's groups in one task, in order, and moves none that are there; its column is handed on so that it stays
+    own = Window.partitionBy("version_id").orderBy("section_order", "group_order")
+    return grouped.select(*_Group._fields).withColumn("_n", F.row_number().over(own)).mapInArrow(pack, schema)
 
 
 def blocks_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_per_page: int = 40) -> DataFrame:

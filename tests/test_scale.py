@@ -10,6 +10,7 @@ import pandas as pd
 
 from docquarry.functions import text as X
 from docquarry.operators import curation as C
+from docquarry.operators import structure as S
 from docquarry.operators import text_index as N
 from docquarry.operators import views as V2
 
@@ -66,3 +67,16 @@ def test_index_makes_no_row_for_each_word(spark, tmp_path, monkeypatch):
     flat = index._entries(index._postings(index._state()[1]), index._state()[1]).select("_term", "_id", "_count", "_length").collect()
     want = {(w, r["doc_id"], n, len(r["text"].split())) for r in docs.collect() for w, n in Counter(r["text"].split()).items()}
     assert len(flat) == len(want) and {tuple(r) for r in flat} == want
+
+
+def test_texts_of_blocks_move_once(spark):
+    """Sections, groups and chunks of documents are made where a document's blocks are."""
+    texts = [(i, f"Introduction\nline {i}\nas equation 2 shows\nEquation 2: a = b\nwhere a is b\nTable 1: numbers\nlast\n2. Method\nFigure 3. one\nFigure 3. two") for i in range(40)]
+    grouped = S.groups(S.sections(S.blocks_of(spark.createDataFrame(texts, "doc_id long, text string"))))
+    made = S.chunks(grouped, target=4, most=8)
+    # the blocks with their texts; and the headings, for their levels and with these
+    told = re.findall(r"[^\n]*\bExchange [^\n]*", made._jdf.queryExecution().executedPlan().toString())
+    assert len(told) == 3, told
+    got = [(r["section_order"], r["source_block_ids"], r["dependency"]) for r in grouped.where("version_id = 7").orderBy("group_order").collect()]
+    assert got == [(0, ["b0"], False), (0, ["b1"], False), (0, ["b2", "b3", "b4"], True), (0, ["b5"], True), (0, ["b6"], False), (1, ["b7"], False), (1, ["b8", "b9"], True)]
+    assert made.select("version_id").distinct().count() == 40
