@@ -100,6 +100,58 @@ def _posted(batches):
         yield from rows()
 
 
+#: Pairs of a query and a document that a batch of found ones holds at most, about.
+FOUND = 1 << 18
+
+
+def _found(batches):
+    """Lists (_segment, _range, _ids, _by) in order of their ranges to (_q, _id): the documents of a query's lists, each once.
+
+    A list is let go once it was read: a range holds its ids, and a bit for each query and each of them.
+    """
+    at, ids, queries, held = None, None, {}, np.zeros((0, 0), np.uint8)
+
+    def pairs():
+        asked, step = np.fromiter(queries, np.int64, len(queries)), max(1, FOUND // len(ids))
+        for k in range(0, len(asked), step):
+            q, doc = np.nonzero(np.unpackbits(held[k : min(k + step, len(asked))], axis=1, count=len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(asked[k + q]), ids.take(pa.array(doc))], names=["_q", "_id"])
+
+    for batch in batches:
+        segments, ranges = np.asarray(batch.column("_segment").dictionary_encode().indices), np.asarray(batch.column("_range"), np.int64)
+        cuts = [0, *(np.flatnonzero((np.diff(ranges) != 0) | (np.diff(segments) != 0)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            place = (batch.column("_segment")[a].as_py(), int(ranges[a]))
+            if place != at:
+                if queries:
+                    yield from pairs()
+                at, ids, queries, held = place, batch.column("_ids").values[:0], {}, np.zeros((0, 0), np.uint8)
+            lists, by = batch.column("_ids")[a:b], batch.column("_by")[a:b]
+            told = lists.flatten().dictionary_encode()
+            known = pc.index_in(told.dictionary, value_set=ids)
+            new = np.asarray(known.is_null())
+            which = np.asarray(known.fill_null(0), np.int64)
+            which[new] = len(ids) + np.arange(new.sum())
+            ids = pa.concat_arrays([ids, told.dictionary.filter(pa.array(new))])
+            doc = which[np.asarray(told.indices)]
+            asked, code = np.unique(np.asarray(by.flatten()), return_inverse=True)
+            row = np.array([queries.setdefault(q, len(queries)) for q in asked.tolist()], np.int64)[code]
+            if len(queries) > held.shape[0] or len(ids) > 8 * held.shape[1]:
+                # twice as large, so that it's copied a few times at most
+                more = np.zeros((max(held.shape[0], 2 * len(queries)), max(held.shape[1], len(ids) // 4 + 1)), np.uint8)
+                more[: held.shape[0], : held.shape[1]] = held
+                held = more
+            ends, by_ends = (np.append(0, np.cumsum(np.asarray(x.value_lengths()))) for x in (lists, by))
+            for k in range(b - a):
+                bits = np.zeros(8 * held.shape[1], bool)
+                bits[doc[ends[k] : ends[k + 1]]] = True
+                held[row[by_ends[k] : by_ends[k + 1]]] |= np.packbits(bits)
+    if queries:
+        yield from pairs()
+
+
 def word_counts(texts: list[str]) -> tuple[list[int], list[int], list[str], list[int]]:
     """(lengths, ends, terms, counts) of texts in lower case: their search tokens, each once for a text, text after text."""
     lengths, ends, terms, counts = [], [0], [], []
@@ -361,18 +413,21 @@ class TextIndex(Segments):
         """(query_id, doc) of the documents that hold some word of the query, with `limit` those of the least ids."""
         _, state = self._state()
         words = F.filter(F.array_distinct(X.search_tokens("query")), lambda w: w.rlike(r"(?U)^\w+$"))
-        asked = staged(queries.select("query_id", F.explode(words).alias("_term")), "asked-words")
-        lists = self._lists(asked.select("_term").distinct(), state)
+        each = queries.select("query_id", F.explode(words).alias("_term")).groupBy("query_id").agg(F.collect_set("_term").alias("_w"))
+        # queries are known by numbers, as their ids may be of any type
+        numbers = staged(each.withColumn("_q", F.monotonically_increasing_id()), "asked-words")
+        asked = numbers.select("query_id", "_q", F.explode("_w").alias("_term"))
         if state["dead"] or asked.limit(FEW_WORDS + 1).count() > FEW_WORDS:
-            held = self._entries(lists, state).join(small(asked, 100_000), "_term")
-            found = held.select("query_id", F.col("_id").alias(doc_id)).distinct()
+            lists = self._lists(asked.select("_term").distinct(), state)
+            found = self._entries(lists, state).join(small(asked, 100_000), "_term").select("query_id", "_id").distinct()
         else:
             # all lists of a document have its range: they meet there once for all queries, and what a query finds never moves
-            near = lists.groupBy("_segment", "_range").agg(F.collect_list(F.struct("_term", "_ids")).alias("_l"))
-            # few words, as counted
-            each = near.join(F.broadcast(asked.groupBy("query_id").agg(F.collect_set("_term").alias("_w"))), F.lit(True))
-            ids = F.transform(F.filter("_l", lambda x: F.array_contains("_w", x["_term"])), lambda x: x["_ids"])
-            found = each.select("query_id", F.explode(F.array_distinct(F.flatten(ids))).alias(doc_id))
+            small_batches(self.spark)
+            lists = self._lists(asked.groupBy("_term").agg(F.collect_list("_q").alias("_by")), state).select("_segment", "_range", "_ids", "_by")
+            met = lists.repartition("_segment", "_range").sortWithinPartitions("_segment", "_range").mapInArrow(_found, f"_q bigint, _id {self.id_type}")
+            # few, as counted
+            found = met.join(F.broadcast(numbers.select("_q", "query_id")), "_q")
+        found = found.select("query_id", F.col("_id").alias(doc_id))
         return found if limit is None else top_k(found, limit, [F.asc(doc_id)], ["query_id"])
 
 

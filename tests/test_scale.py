@@ -7,9 +7,11 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 
 from docquarry.functions import text as X
 from docquarry.operators import curation as C
+from docquarry.operators import retrieval as R
 from docquarry.operators import structure as S
 from docquarry.operators import text_index as N
 from docquarry.operators import views as V2
@@ -69,6 +71,27 @@ def test_index_makes_no_row_for_each_word(spark, tmp_path, monkeypatch):
     assert len(flat) == len(want) and {tuple(r) for r in flat} == want
 
 
+def test_full_text_holds_no_lists_of_a_range(spark, tmp_path, monkeypatch):
+    """All lists of a range were one row, which was copied for each query."""
+    monkeypatch.setattr(N, "RANGE", 16)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(5 + i % 30))) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i * 3 % 40} - nothing") for i in range(30)] + [(3, "w9"), (None, "w11"), (50, "-"), (51, None)], "query_id long, query string")
+    index = N.TextIndex(spark, f"file://{tmp_path}/index")
+    index.add(docs)
+    found = index.full_text(asked)
+    assert not re.search("NestedLoop|Cartesian|collect_list\\(struct", found._jdf.queryExecution().executedPlan().toString())
+    hits = lambda df: Counter(map(tuple, df.collect()))
+    want = hits(R.full_text(asked, docs))
+    assert hits(found) == want and any(q is None for q, _ in want)
+    # lists of a range come in several batches, and what is found goes in several
+    rows = [(s, r, [k + 100 * r + 1000 * (s == "b") for k in range(n % 5, 20, 1 + n % 7)], [7, 1 << 33, n][n % 2 :]) for s in "ab" for r in (1, 2) for n in range(12)]
+    lists = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["_segment", "_range", "_ids", "_by"])
+    want = Counter({(q, i): 1 for _, _, ids, by in rows for q in by for i in ids})
+    for size in (1, 5, 100):
+        monkeypatch.setattr(N, "FOUND", 10 * size)
+        assert Counter((r["_q"], r["_id"]) for b in N._found(lists.to_batches(size)) for r in b.to_pylist()) == want
+
+
 def test_texts_of_blocks_move_once(spark):
     """Sections, groups and chunks of documents are made where a document's blocks are."""
     texts = [(i, f"Introduction\nline {i}\nas equation 2 shows\nEquation 2: a = b\nwhere a is b\nTable 1: numbers\nlast\n2. Method\nFigure 3. one\nFigure 3. two") for i in range(40)]
