@@ -4,7 +4,7 @@ The index is a folder of segments. A segment holds the documents of one addition
 (id, digest, length) and their postings: rows (term, range, ids, counts, lengths)
 in files by a hash of the term, so a query reads the files of its terms only, and
 a frequent term is dealt over as many rows as its documents have ranges, which are
-by length and then by hash. Each row keeps its greatest count and its least length,
+by length and then by hash, of so many documents and counts at most. Each row keeps its greatest count and its least length,
 which bound any score inside it.
 Documents whose text has changed, and those that have gone, are listed as dead in
 their old segment, whose files stay as they are; `compact` rewrites postings
@@ -38,10 +38,10 @@ from ..sources import versions
 from ..sources.staging import shared_folder, small, small_batches, spread, staged
 from .retrieval import COMMON, top_k
 
-#: Documents of a range at most, about, and folders by hash of the term.
-RANGE, BUCKETS = 8_192, 32
-#: Counts of a range that a task turns into postings at once, and tokens of a task that sorts.
-AT_ONCE, OF_TASK = 2_000_000, 2_000_000
+#: Documents and counts of a range at most, about, and folders by hash of the term.
+RANGE, OF_RANGE, BUCKETS = 8_192, 750_000, 32
+#: Counts of a range that a task turns into postings at once, counts of a task that writes postings, and tokens of a task that sorts them anew.
+AT_ONCE, OF_WRITER, OF_TASK = 1_000_000, 4_000_000, 2_000_000
 #: Words of all queries that meet the lists of a range at once: in full text search, and when they are scored.
 FEW_WORDS, SCORED_WORDS = 20_000, 200_000
 
@@ -50,16 +50,21 @@ def _like(length: str) -> Column:
     return F.floor(F.log2(F.col(length) + 1.0) * 4)
 
 
-def _range(docs: DataFrame, doc: str = "_id", length: str = "_length") -> Column:
+def _range(docs: DataFrame, doc: str = "_id", length: str = "_length", counts: str | None = None) -> Column:
     """Documents of like lengths share a range, so that bounds by the least length are close; then by hash.
 
-    Lengths are of a few dozen kinds, each with as many ranges as its documents need.
+    Lengths are of a few dozen kinds, each with as many ranges as its documents need, and their counts, if these are told.
     """
-    ranges = {k: -(-n // RANGE) for k, n in docs.groupBy(_like(length).alias("k")).agg(F.count("*").alias("n")).collect()}
+    held = F.sum(counts) if counts else F.lit(0)
+    ranges = {k: max(-(-n // RANGE), -(-m // OF_RANGE)) for k, n, m in docs.groupBy(_like(length).alias("k")).agg(F.count("*").alias("n"), held.alias("m")).collect()}
     of = F.create_map(*(F.lit(x) for kn in sorted(ranges.items()) for x in kn)) if ranges else F.create_map(F.lit(0), F.lit(1))
     return _like(length) * (1 << 32) + F.pmod(F.xxhash64(doc), F.coalesce(F.try_element_at(of, _like(length)), F.lit(1)))
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("_term"), F.lit(BUCKETS)).cast("int")
+
+
 def _posted(batches):
     """Documents (_range, _id, _length, _terms, _counts) in order of their ranges to postings: a row for each term of a range, more of a very large one."""
     held, entries, at = [], 0, None
@@ -187,7 +192,7 @@ CHARACTERS = 1 << 20
 
 
 def _counted(count):
-    """Rows (_id, _digest, _text) to (_id, _digest, _length, _terms, _counts)."""
+    """Rows (_id, _digest, _text) to (_id, _digest, _length, _n, _terms, _counts)."""
 
     def each(batches):
         for batch in batches:
@@ -197,7 +202,7 @@ def _counted(count):
                 b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHARACTERS, "right")))
                 lengths, ends, terms, counts = count(texts[a:b])
                 listed = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
-                yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], batch.column("_digest")[a:b], pa.array(lengths, pa.int32()), listed(terms, pa.string()), listed(counts, pa.int32())], names=["_id", "_digest", "_length", "_terms", "_counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id")[a:b], batch.column("_digest")[a:b], pa.array(lengths, pa.int32()), pa.array(np.diff(ends), pa.int32()), listed(terms, pa.string()), listed(counts, pa.int32())], names=["_id", "_digest", "_length", "_n", "_terms", "_counts"])
                 a = b
 
     return each
@@ -254,7 +259,7 @@ class TextIndex(Segments):
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
             rows = rows.join(live.select("_id", "_had"), "_id", "left").where(~F.col("_had").eqNullSafe(F.col("_digest"))).drop("_had")
         small_batches(self.spark)
-        counted = staged(rows.select("_id", "_digest", F.lower("_text").alias("_text")).mapInArrow(_counted(self.counts), f"_id {self.id_type}, _digest string, _length int, _terms array<string>, _counts array<int>"), "index-counts")
+        counted = staged(rows.select("_id", "_digest", F.lower("_text").alias("_text")).mapInArrow(_counted(self.counts), f"_id {self.id_type}, _digest string, _length int, _n int, _terms array<string>, _counts array<int>"), "index-counts", "zstd")
         once = counted.groupBy("_id").agg(F.max(F.struct("_digest", "_length")).alias("_m"), F.count("*").alias("_rows")).select("_id", "_m.*", "_rows")
         once.select("_id", "_digest", "_length").write.parquet(f"{self.path}/{name}/documents")
         added = self.spark.read.parquet(f"{self.path}/{name}/documents")
@@ -262,9 +267,11 @@ class TextIndex(Segments):
         told = {"added": n, "dead": 0}
         if n:
             each = counted.dropDuplicates(["_id", "_digest"]).join(added.select("_id", "_digest"), ["_id", "_digest"], "left_semi") if once.where("_rows > 1").limit(1).count() else counted
-            # whole documents go to the task of their range, which turns them into lists: no row is made for each word of each text
-            placed = each.select(_range(added).alias("_range"), "_id", "_length", "_terms", "_counts").repartition(self._parts(tokens), "_range").sortWithinPartitions("_range", "_id")
-            self._write(placed.mapInArrow(_posted, self._listing()), f"{self.path}/{name}", tokens)
+            # whole documents go to the task of their range, which turns them into lists and writes these: no row is made for each word of each text
+            counts = each.agg(F.sum("_n")).first()[0]
+            parts = max(min(self.spark.sparkContext.defaultParallelism, -(-counts // OF_RANGE)), -(-counts // OF_WRITER), 1)
+            placed = each.select(_range(each, counts="_n").alias("_range"), "_id", "_length", "_terms", "_counts").repartition(parts, "_range").sortWithinPartitions("_range", "_id")
+            self._write(placed.mapInArrow(_posted, self._listing()), f"{self.path}/{name}")
             state["segments"] = [*state["segments"], name]
         if had:
             old = live.join(added.select("_id"), "_id", "left_semi")
@@ -278,18 +285,13 @@ class TextIndex(Segments):
         versions.commit(self.spark, self.path, version, state)
         return told
 
-    def _parts(self, tokens: int) -> int:
-        """Tasks for so many tokens: a task's part doesn't grow with the table."""
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // OF_TASK))
-
     def _listing(self) -> str:
         return f"_term string, _range bigint, _ids array<{self.id_type}>, _counts array<int>, _lengths array<int>, _most int, _least int"
 
-    def _write(self, listed: DataFrame, at: str, tokens: int) -> None:
-        """Postings in folders by the term's hash, sorted."""
-        rows = listed.withColumn("_bucket", F.pmod(F.xxhash64("_term"), F.lit(BUCKETS)).cast("int"))
-        parts = self._parts(tokens)
-        rows.repartition(parts, "_bucket", F.pmod(F.hash("_term", "_range"), F.lit(max(1, parts // BUCKETS)))).sortWithinPartitions("_bucket", "_term", "_range").write.partitionBy("_bucket").parquet(f"{at}/postings")
+    def _write(self, listed: DataFrame, at: str) -> None:
+        """Postings in folders by the term's hash, sorted; a task writes a file of each folder."""
+        rows = listed.withColumn("_bucket", _bucket())
+        rows.sortWithinPartitions("_bucket", "_term", "_range").write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{at}/postings")
 
     def compact(self) -> None:
         """One segment of the live documents, from the postings; the dead go. Old folders stay for readers that have begun, `clean` deletes them."""
@@ -303,7 +305,9 @@ class TextIndex(Segments):
         p = F.col("_p")
         listed = each.groupBy("_term", _range(live).alias("_range")).agg(F.sort_array(F.collect_list(F.struct("_id", F.col("_count").alias("c"), F.col("_length").alias("n")))).alias("_p"))
         listed = listed.select("_term", "_range", p["_id"].alias("_ids"), p["c"].alias("_counts"), p["n"].alias("_lengths"), F.array_max(p["c"]).alias("_most"), F.array_min(p["n"]).alias("_least"))
-        self._write(listed, f"{self.path}/{name}", state["tokens"])
+        # a task's part doesn't grow with the table
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-state["tokens"] // OF_TASK))
+        self._write(listed.repartition(parts, _bucket(), F.pmod(F.hash("_term", "_range"), F.lit(max(1, parts // BUCKETS)))), f"{self.path}/{name}")
         versions.commit(self.spark, self.path, version, state | {"segments": [name], "dead": []})
 
     # ---- search
@@ -319,7 +323,7 @@ class TextIndex(Segments):
 
     def _lists(self, terms: DataFrame, state: dict) -> DataFrame:
         """The postings of some terms: their folders' files only, as many of these as there are at most."""
-        buckets = [r[0] for r in terms.select(F.pmod(F.xxhash64("_term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        buckets = [r[0] for r in terms.select(_bucket()).distinct().collect()]
         return self._postings(state).where(F.col("_bucket").isin(buckets)).join(small(terms, 100_000), "_term")
 
     def bm25(self, queries: DataFrame, best: int | None = None, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:

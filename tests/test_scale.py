@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
 from docquarry.operators import curation as C
@@ -92,6 +93,22 @@ def test_full_text_holds_no_lists_of_a_range(spark, tmp_path, monkeypatch):
         assert Counter((r["_q"], r["_id"]) for b in N._found(lists.to_batches(size)) for r in b.to_pylist()) == want
 
 
+def test_ranges_hold_few_counts_and_are_written_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Ranges of long documents held as many of these as others, and lists moved once more before they were written."""
+    monkeypatch.setattr(N, "OF_RANGE", 500, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 150}" for j in range(100 if i < 60 else 2))) for i in range(260)], "doc_id long, text string")
+    index = N.TextIndex(spark, f"file://{tmp_path}/index")
+    assert index.add(docs)["added"] == 260
+    rows = index._postings(index._state()[1])
+    held = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.sum(F.size("_ids")).alias("n")).collect()}
+    assert sum(held.values()) == 60 * 100 + 200 * 2 and len(held) > 8 and max(held.values()) <= 3 * 500
+    writers = rows.select("_range", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)).distinct()
+    assert writers.count() == len(held)
+    index.compact()
+    flat = index._entries(index._postings(index._state()[1]), index._state()[1])
+    assert flat.count() == 60 * 100 + 200 * 2 and flat.where("_id < 60").groupBy("_id").count().where("count = 100").count() == 60
+
+
 def test_texts_of_blocks_move_once(spark):
     """Sections, groups and chunks of documents are made where a document's blocks are."""
     texts = [(i, f"Introduction\nline {i}\nas equation 2 shows\nEquation 2: a = b\nwhere a is b\nTable 1: numbers\nlast\n2. Method\nFigure 3. one\nFigure 3. two") for i in range(40)]
