@@ -259,7 +259,7 @@ class TextIndex(Segments):
                 gone = live.join(rows.select("_id").distinct(), "_id", "left_anti")
             rows = rows.join(live.select("_id", "_had"), "_id", "left").where(~F.col("_had").eqNullSafe(F.col("_digest"))).drop("_had")
         small_batches(self.spark)
-        counted = staged(rows.select("_id", "_digest", F.lower("_text").alias("_text")).mapInArrow(_counted(self.counts), f"_id {self.id_type}, _digest string, _length int, _n int, _terms array<string>, _counts array<int>"), "index-counts", "zstd")
+        counted = staged(rows.select("_id", "_digest", F.lower("_text").alias("_text")).mapInArrow(_counted(self.counts), f"_id {self.id_type}, _digest string, _length int, _n int, _terms array<string>, _counts array<int>"), "index-counts", compression="zstd")
         once = counted.groupBy("_id").agg(F.max(F.struct("_digest", "_length")).alias("_m"), F.count("*").alias("_rows")).select("_id", "_m.*", "_rows")
         once.select("_id", "_digest", "_length").write.parquet(f"{self.path}/{name}/documents")
         added = self.spark.read.parquet(f"{self.path}/{name}/documents")

@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write and read again, which cuts the lineage and survives lost executors. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**options).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
